@@ -36,6 +36,25 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, ids_sha256 (of the ids joined by commas), decoded_sha256, round_trip."""
+    import public_tokenizers
+
+    from papertide.llm.unigram import Vocabulary, decode_column, encode_column
+
+    vocab = Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = decode_column(encode_column(docs, vocab), vocab)
+    return both.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("piece_ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papertide.llm.suffix import kept_digest, without_repeats
 

@@ -76,6 +76,13 @@ def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.pages import fit_pages, main_texts
+
+    pages = table(spark, sf_dir, "pages")
+    return main_texts(pages, fit_pages(pages))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papertide.llm.suffix import kept_digest, without_repeats
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,30 +145,47 @@ class ItemIndex:
         return zip(cut, cut[1:], strict=False)
 
 
+class _Finder:
+    """Matches of a text, remembering the hashes of words."""
+
+    def __init__(self, index: ItemIndex, least: float):
+        self.index, self.least, self.known = index, least, {}
+
+    def __call__(self, text: str | None) -> list[tuple[int, int, int, float]]:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        words = words_of(text)
+        for w in words:
+            if w not in self.known:
+                self.known[w] = word_hash(w)
+        return self.index.matches(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)), self.least)
+
+
 def _match(shared, least: float):
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: ItemIndex = shared.value
-        known: dict[bytes, int] = {}
+        find = _Finder(shared.value, least)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                words = words_of(text.as_py())
-                for w in words:
-                    if w not in known:
-                        known[w] = word_hash(w)
-                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                out += [(doc, *m) for m in index.matches(h, least)]
-                if len(known) > 500_000:
-                    known.clear()
+            out = [(doc, *m) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for m in find(text.as_py())]
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)],
-                    ["doc_id", "item_id", "first_word", "bits", "similarity"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "first_word", "bits", "similarity"])
 
     return run
 
 
+def _passes(items: DataFrame, radius: int) -> Iterator:
+    """Broadcast indexes over the items, each of bounded size."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    n, size = items.agg(F.count("*"), F.sum(utf8_size(F.col("text")))).first()
+    passes = max(1, -(-n // PASS_ITEMS), -(-(size or 0) // PASS_BYTES))
+    for p in range(passes):
+        rows = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(passes)) == p).collect()
+        worded = [(r["item_id"], [word_hash(w) for w in words_of(r["text"])]) for r in rows]
+        ordered = sorted((x for x in worded if x[1]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex(ordered, radius))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, first_word, bits, similarity: the best window of each benchmark item that a
     document holds with similarity ``least`` or more (the first among equals).
@@ -176,17 +194,25 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, r
     texts match nothing; items under five words are one shingle; repeated rows of documents return
     their matches each, repeated items count once; null ids stay null.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    n, size = items.agg(F.count("*"), F.sum(utf8_size(F.col("text")))).first()
-    passes = max(1, -(-n // PASS_ITEMS), -(-(size or 0) // PASS_BYTES))
-    found = None
-    for p in range(passes):
-        rows = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(passes)) == p).collect() if passes > 1 else items.collect()
-        worded = [(r["item_id"], [word_hash(w) for w in words_of(r["text"])]) for r in rows]
-        shared = spark.sparkContext.broadcast(ItemIndex(sorted((x for x in worded if x[1]), key=lambda x: (x[0] is None, x[0])), radius))
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _match(shared, least), "doc_id long, item_id long, first_word int, bits int, similarity double"
-        )
-        found = part if found is None else found.unionByName(part)
-    return found
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = [rows.mapInArrow(_match(shared, least), "doc_id long, item_id long, first_word int, bits int, similarity double") for shared in _passes(items, radius)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _clean(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _Finder(shared.value, least)
+        for batch in batches:
+            keep = [i for i, text in enumerate(batch["text"]) if not find(text.as_py())]
+            if keep:
+                yield batch.take(pa.array(keep))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows, with all their columns, that hold no benchmark item."""
+    schema = docs.schema
+    for shared in _passes(items, radius):
+        docs = docs.mapInArrow(_clean(shared, least), schema)
+    return docs

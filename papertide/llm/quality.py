@@ -60,15 +60,19 @@ def statistics(text: str | None) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each whole text."""
+def with_statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (doc_id) and the statistics of each whole text, the latter named ``q_..``."""
+    carry = ["doc_id"] if carry is None else carry
+    names = [f"q_{s}" for s in STATISTICS]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = np.array([statistics(t.as_py()) for t in batch["text"]])
-        return pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(rows[:, i]) for i in range(len(STATISTICS)))], ["doc_id", *STATISTICS])
+        rows = np.array([statistics(t.as_py()) for t in batch["_text"]])
+        held = [c for c in batch.schema.names if c != "_text"]
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in held), *(pa.array(rows[:, i]) for i in range(len(names)))], [*held, *names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    types = dict(rows.dtypes)
+    return map_batches(rows, run, ", ".join([*(f"`{c}` {types[c]}" for c in carry), *(f"{s} double" for s in names)]))
 
 
 Rule = tuple[tuple[str, str, float], ...]
@@ -95,7 +99,7 @@ def tree_rules(description: str) -> list[Rule]:
         if m := re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) ([-\d.E+]+)\)", line):
             depth = len(m[1])
             path = [p for p in path if p[0] < depth]
-            path.append((depth, (STATISTICS[int(m[2])], m[3], float(m[4]))))
+            path.append((depth, ("q_" + STATISTICS[int(m[2])], m[3], float(m[4]))))
             rules[tuple(p[1] for p in path)] = None
         elif re.match(r" *Tree \d+", line):
             path = []
@@ -108,7 +112,7 @@ def fit_rules(labelled: DataFrame, trees: int = 16, depth: int = 3, lasso: float
     if not 0 < ones < n:
         share = min(max((ones + 0.5) / (n + 1), 1e-6), 1 - 1e-6)
         return RuleModel(float(np.log(share / (1 - share))), [])
-    held = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(labelled.withColumn("label", F.col("label").cast("double")))
+    held = VectorAssembler(inputCols=[f"q_{s}" for s in STATISTICS], outputCol="features").transform(labelled.withColumn("label", F.col("label").cast("double")))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed).fit(held)
     rules = tree_rules(forest.toDebugString)
     flags = labelled.select(F.col("label").cast("double").alias("label"), *(_holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)))
@@ -141,5 +145,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 def quality_scores(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each row. Null and empty texts have all statistics 0 and
     are scored like any other; repeated rows return a row each; other columns are ignored."""
-    scored = with_statistics(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = with_statistics(rows).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_documents(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score is ``threshold`` or more."""
+    if clash := [c for c in docs.columns if c.lower().startswith("q_")]:
+        raise ValueError(f"columns {clash} clash with the statistics")
+    return with_statistics(docs, docs.columns).filter(model.score() >= threshold).select(*docs.columns)

@@ -208,3 +208,14 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) ->
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows, with all their columns, that stay when of each group only the least doc_id does.
+    Of repeated rows one stays; rows without an id cannot be told apart and all stay."""
+    ids = written(near_duplicate_groups(docs.filter("doc_id is not null"), radius, shingle).select("doc_id", "component_id"), "groups")
+    kept = ids.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    once = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    if not kept.filter("times > 1").isEmpty():
+        once = once.dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

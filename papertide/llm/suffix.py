@@ -324,5 +324,25 @@ def without_repeats(docs: DataFrame, length: int = 400, carry: list[str] | None
     return rows.mapInArrow(_remove, schema)
 
 
+def shortened(docs: DataFrame, length: int = 400) -> DataFrame:
+    """``docs`` with repeated strings removed from ``text`` and ``n_chars`` counted anew; a character
+    that loses some of its bytes goes whole. Rows stay even if nothing is left of their text."""
+    rows = docs.withColumn("_was_null", F.col("text").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [k.decode("utf-8", errors="ignore") for k in batch["kept"].to_pylist()]
+            rest = [x for x in batch.schema.names if x != "kept"]
+            yield pa.RecordBatch.from_arrays([*(batch[x] for x in rest), pa.array(texts, pa.string())], [*rest, "_left"])
+
+    carry = [c for c in rows.columns if c != "text"]
+    left = without_repeats(rows, length, carry).drop("n_bytes", "n_removed", "n_spans")
+    left = left.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in left.dtypes if c != "kept") + ", _left string")
+    left = left.withColumn("text", F.when(~F.col("_was_null"), F.col("_left")))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("_was_null"), F.col("n_chars")).otherwise(F.char_length("_left")).cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
 def kept_digest(kept: Column) -> Column:
     return F.sha2(kept, 256)

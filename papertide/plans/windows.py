@@ -1 +1,181 @@
-"""."""
+"""Two-window analytics queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from papertide.operators import windows as op
+from papertide.plans.corpus import rounded
+from papertide.plans.registry import query
+from papertide.sources import tables as t
+
+LAST, DAYS = "1998-06-30", 180
+EVENTS_SQL = f"""WITH {t.PAPERS_SQL}, {t.VERSIONS_SQL}, events_v AS (SELECT v.version_id, v.version_type, v.source, p.paper_id, p.abstract, p.doi, p.is_open_access, p.cited_by_count, p.source AS paper_source,
+ coalesce(CASE WHEN v.version_type = 'preprint' THEN v.submitted_date END, v.publication_date, v.submitted_date, p.pub_date) AS paper_date
+ FROM (SELECT * FROM papers_v WHERE view_eligible AND data_mode = 'real') p JOIN versions_v v ON v.canonical_paper_id = p.paper_id)"""
+OUT_SQL = f"""{EVENTS_SQL}, out_v AS (SELECT *, CASE WHEN research_date >= DATE '1998-01-02' THEN 'current' ELSE 'baseline' END AS window_name FROM (SELECT paper_id, min(paper_date) AS research_date, CAST(max(CASE WHEN version_type = 'preprint' THEN 1 ELSE 0 END) AS INTEGER) AS has_preprint,
+ CAST(max(CASE WHEN version_type IN ('publication', 'published') THEN 1 ELSE 0 END) AS INTEGER) AS has_publication, CAST(max(CASE WHEN trim(coalesce(abstract, '')) <> '' THEN 1 ELSE 0 END) AS INTEGER) AS has_abstract, CAST(max(CASE WHEN coalesce(doi, '') <> '' THEN 1 ELSE 0 END) AS INTEGER) AS has_doi,
+ CAST(max(CASE WHEN is_open_access THEN 1 ELSE 0 END) AS INTEGER) AS is_open_access, max(coalesce(cited_by_count, 0)) AS cited_by_count FROM events_v WHERE paper_date <= DATE '1998-06-30' GROUP BY 1) WHERE research_date BETWEEN DATE '1997-07-06' AND DATE '1998-06-30')"""
+SRC_SQL = f"""{OUT_SQL}, src_v AS (SELECT DISTINCT o.paper_id, o.window_name, CASE WHEN e.source = 'legacy' THEN e.paper_source ELSE e.source END AS source_name FROM out_v o JOIN events_v e USING (paper_id))"""
+MIX_SQL = f"""{SRC_SQL}, mix AS (SELECT source_name, count(*) FILTER (window_name = 'current') AS current, count(*) FILTER (window_name = 'baseline') AS baseline FROM src_v GROUP BY 1)"""
+LINK_SQL = f"{t.TERMS_SQL}, link_v AS (SELECT DISTINCT paper_id, normalized_term AS term FROM terms_v WHERE term_type = 'concept' AND display_eligible = 1)"
+
+
+def events(spark, d):
+    return op.version_events(t.papers(spark, d).filter("view_eligible and data_mode = 'real'"), t.versions(spark, d))
+
+
+def outputs(spark, d):
+    return op.canonical_outputs(events(spark, d), LAST, DAYS)
+
+
+def sources(spark, d):
+    return op.output_sources(outputs(spark, d), events(spark, d))
+
+
+def links(spark, d):
+    return t.terms(spark, d).filter("term_type = 'concept' and display_eligible = 1").select("paper_id", F.col("normalized_term").alias("term")).distinct()
+
+
+@query("anchor", f"{EVENTS_SQL} SELECT coalesce(max(paper_date) FILTER (paper_date < DATE '2001-08-01'), max(paper_date) FILTER (paper_date = DATE '2001-08-01')) AS anchor FROM events_v")
+def anchor(spark, d):
+    return op.anchor(events(spark, d), "2001-08-01")
+
+
+@query("version_events", f"{EVENTS_SQL} SELECT version_type, source, count(*) AS versions, min(paper_date) AS first_day, max(paper_date) AS last_day FROM events_v WHERE paper_date BETWEEN DATE '1997-07-06' AND DATE '1998-06-30' GROUP BY 1, 2")
+def version_events(spark, d):
+    inside = events(spark, d).filter(F.col("paper_date").between(F.lit("1997-07-06").cast("date"), F.lit(LAST).cast("date")))
+    return inside.groupBy("version_type", "source").agg(F.count("*").alias("versions"), F.min("paper_date").alias("first_day"), F.max("paper_date").alias("last_day"))
+
+
+@query("canonical_outputs", f"{OUT_SQL} SELECT * FROM out_v")
+def canonical_outputs(spark, d):
+    return outputs(spark, d)
+
+
+@query("output_sources", f"{SRC_SQL} SELECT * FROM src_v")
+def output_sources(spark, d):
+    return sources(spark, d)
+
+
+@query("window_summary", f"{OUT_SQL} SELECT window_name, count(*) AS papers, CAST(sum(has_preprint) AS BIGINT) AS preprints, CAST(sum(has_publication) AS BIGINT) AS publications, round(avg(has_abstract), 9) AS abstract_share, round(avg(has_doi), 9) AS doi_share, round(avg(is_open_access), 9) AS open_share FROM out_v GROUP BY 1")
+def window_summary(spark, d):
+    share = lambda c, name: F.round(F.avg(c), 9).alias(name)
+    return outputs(spark, d).groupBy("window_name").agg(
+        F.count("*").alias("papers"), F.sum("has_preprint").alias("preprints"), F.sum("has_publication").alias("publications"),
+        share("has_abstract", "abstract_share"), share("has_doi", "doi_share"), share("is_open_access", "open_share"),
+    )
+
+
+@query("source_mix", f"{MIX_SQL} SELECT source_name, current, baseline, round(current / sum(current) OVER (), 9) AS current_share, round(baseline / sum(baseline) OVER (), 9) AS baseline_share, current >= 10 AND baseline >= 10 AS comparable FROM mix")
+def source_mix(spark, d):
+    return op.source_mix(sources(spark, d)).withColumns({c: F.round(c, 9) for c in ("current_share", "baseline_share")})
+
+
+@query("source_overlap", f"{SRC_SQL} SELECT x.source_name AS a, y.source_name AS b, count(*) AS papers FROM src_v x JOIN src_v y USING (paper_id) GROUP BY 1, 2")
+def source_overlap(spark, d):
+    return op.source_overlap(sources(spark, d))
+
+
+_COUNTS = f"""{OUT_SQL}, {LINK_SQL}, n AS (SELECT count(*) FILTER (window_name = 'current') AS current_total, count(*) FILTER (window_name = 'baseline') AS baseline_total, count(*) AS n FROM out_v), i AS (SELECT * FROM link_v JOIN out_v USING (paper_id)),
+c AS (SELECT term, count(*) FILTER (window_name = 'current') AS current, count(*) FILTER (window_name = 'baseline') AS baseline FROM i GROUP BY 1),
+r AS (SELECT *, (SELECT count(DISTINCT paper_id) FROM i) / n AS coverage FROM c, n),
+m AS (SELECT *, least(1.0, sqrt((current + baseline) / 20)) * greatest(0, least(1, coverage)) AS reliability, log2(((current + 0.5) / (current_total + 1)) / ((baseline + 0.5) / (baseline_total + 1))) AS ratio FROM r),
+k AS (SELECT *, 100 * (exp(ratio) - 1) / (exp(ratio) + 1) * reliability AS momentum FROM m)"""
+
+
+@query("two_window", f"""{_COUNTS} SELECT term, current, baseline, round(reliability, 6) AS reliability, round(momentum, 6) AS momentum, CASE WHEN current < 3 OR current_total < 5 OR baseline_total < 5 THEN 'insufficient_evidence' WHEN momentum >= 15 THEN CASE WHEN baseline = 0 THEN 'emerging' ELSE 'rising' END WHEN momentum <= -15 THEN 'cooling' ELSE 'stable' END AS status,
+round(greatest(0, momentum) * 0.55 + least(100, 25 * ln(1 + current)) * 0.45, 6) AS heat_score FROM k""")
+def two_window(spark, d):
+    found = op.two_window_momentum(op.window_counts(outputs(spark, d), links(spark, d)))
+    return rounded(found.select("term", "current", "baseline", "reliability", "momentum", "status", "heat_score"), "reliability", "momentum", "heat_score")
+
+
+@query("entity_trends", f"""{MIX_SQL}, {LINK_SQL}, w AS (SELECT source_name, current AS cn, baseline AS bn, 1 / (1 / current + 1 / baseline) AS w FROM mix WHERE current >= 10 AND baseline >= 10),
+s AS (SELECT term, source_name, count(*) FILTER (window_name = 'current') AS c, count(*) FILTER (window_name = 'baseline') AS b FROM link_v JOIN src_v USING (paper_id) GROUP BY 1, 2),
+p AS (SELECT term, CAST(sum(c) AS BIGINT) AS current, CAST(sum(b) AS BIGINT) AS baseline, sum(w) AS en, count(*) AS shared_sources, sum(w * c / cn) / sum(w) AS current_share, sum(w * b / bn) / sum(w) AS baseline_share FROM s JOIN w USING (source_name) GROUP BY 1),
+q AS (SELECT *, log2((current_share + 0.5 / en) / (baseline_share + 0.5 / en)) AS ratio FROM p), r AS (SELECT *, 100 * (exp(ratio) - 1) / (exp(ratio) + 1) * least(1.0, sqrt((current + baseline) / 20)) AS momentum FROM q)
+SELECT term, current, baseline, shared_sources, round(current_share, 9) AS current_share, round(baseline_share, 9) AS baseline_share, round(momentum, 6) AS momentum,
+CASE WHEN current < 3 THEN 'insufficient_evidence' WHEN momentum >= 15 THEN CASE WHEN baseline = 0 THEN 'emerging' ELSE 'rising' END WHEN momentum <= -15 THEN 'cooling' ELSE 'stable' END AS status FROM r""")
+def entity_trends(spark, d):
+    found = op.source_trends(outputs(spark, d), sources(spark, d), links(spark, d))
+    return found.withColumns({"current_share": F.round("current_share", 9), "baseline_share": F.round("baseline_share", 9), "momentum": F.round("momentum", 6)})
+
+
+@query("reliability", f"""{MIX_SQL}, {LINK_SQL}, n AS (SELECT count(*) FILTER (window_name = 'current') AS c, count(*) FILTER (window_name = 'baseline') AS b, max(research_date) AS last FROM out_v), sh AS (SELECT sum(abs(current / tc - baseline / tb)) / 2 AS shift FROM mix, (SELECT sum(current) AS tc, sum(baseline) AS tb FROM mix))
+SELECT round(c / b, 9) AS volume_ratio, round((SELECT count(DISTINCT paper_id) FROM link_v SEMI JOIN out_v USING (paper_id)) / (c + b), 9) AS coverage, round(shift, 9) AS source_shift, date_diff('day', last, DATE '1998-06-30') AS stale_days, CASE WHEN c >= 20 AND b >= 20 AND c / b BETWEEN 0.5 AND 2 AND shift <= 0.35 THEN 'pass' ELSE 'caution' END AS verdict FROM n, sh""")
+def reliability(spark, d):
+    out = outputs(spark, d)
+    n = out.agg(F.count_if(F.col("window_name") == "current").alias("c"), F.count_if(F.col("window_name") == "baseline").alias("b"), F.max("research_date").alias("last"))
+    covered = links(spark, d).select("paper_id").distinct().join(out.select("paper_id"), "paper_id", "left_semi").agg(F.count("*").alias("k"))
+    shift = op.source_mix(sources(spark, d)).agg((F.sum(F.abs(F.col("current_share") - F.col("baseline_share"))) / 2).alias("shift"))
+    ratio = F.col("c") / F.col("b")
+    good = (F.col("c") >= 20) & (F.col("b") >= 20) & ratio.between(0.5, 2) & (F.col("shift") <= 0.35)
+    return n.crossJoin(covered).crossJoin(shift).select(
+        F.round(ratio, 9).alias("volume_ratio"), F.round(F.col("k") / (F.col("c") + F.col("b")), 9).alias("coverage"), F.round("shift", 9).alias("source_shift"),
+        F.datediff(F.lit(LAST).cast("date"), "last").cast("long").alias("stale_days"), F.when(good, "pass").otherwise("caution").alias("verdict"),
+    )
+
+
+@query("pathways", f"""{EVENTS_SQL}, f AS (SELECT paper_id, min(paper_date) FILTER (version_type = 'preprint') AS pre, min(paper_date) FILTER (version_type = 'published') AS pub FROM events_v GROUP BY 1),
+k AS (SELECT *, CASE WHEN pre IS NOT NULL AND pub IS NOT NULL THEN 'linked' WHEN pre IS NOT NULL THEN 'preprint_only' WHEN pub IS NOT NULL THEN 'publication_only' END AS pathway FROM f) SELECT pathway, count(*) AS papers, median(CASE WHEN pathway = 'linked' THEN greatest(date_diff('day', pre, pub), 0) END) AS median_lag FROM k WHERE pathway IS NOT NULL GROUP BY 1""")
+def pathways(spark, d):
+    return op.pathways(events(spark, d))
+
+
+@query("quality_timeline", f"{OUT_SQL} SELECT CAST(date_trunc('week', research_date) AS DATE) AS period, count(*) AS papers, CAST(sum(has_abstract) AS BIGINT) AS with_abstract, CAST(sum(has_doi) AS BIGINT) AS with_doi FROM out_v GROUP BY 1")
+def quality_timeline(spark, d):
+    return outputs(spark, d).groupBy(F.trunc("research_date", "week").alias("period")).agg(F.count("*").alias("papers"), F.sum("has_abstract").alias("with_abstract"), F.sum("has_doi").alias("with_doi"))
+
+
+@query("timeline", f"{OUT_SQL} SELECT CAST(x AS DATE) AS day, count(paper_id) AS papers, CAST(coalesce(sum(has_preprint), 0) AS BIGINT) AS preprints, CAST(coalesce(sum(has_publication), 0) AS BIGINT) AS publications FROM generate_series(DATE '1998-01-02', DATE '1998-06-30', INTERVAL 1 DAY) g(x) LEFT JOIN out_v ON research_date = CAST(x AS DATE) GROUP BY 1")
+def timeline(spark, d):
+    return op.daily(outputs(spark, d), LAST, DAYS)
+
+
+@query("citation_hist", f"{OUT_SQL} SELECT CASE WHEN cited_by_count = 0 THEN '0' WHEN cited_by_count < 5 THEN '1-4' WHEN cited_by_count < 20 THEN '5-19' WHEN cited_by_count < 100 THEN '20-99' ELSE '100+' END AS bucket, count(*) AS papers FROM out_v GROUP BY 1")
+def citation_hist(spark, d):
+    n = F.col("cited_by_count")
+    bucket = F.when(n == 0, "0").when(n < 5, "1-4").when(n < 20, "5-19").when(n < 100, "20-99").otherwise("100+")
+    return outputs(spark, d).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("papers"))
+
+
+@query("top_materials", f"{OUT_SQL}, {t.TERMS_SQL} SELECT normalized_term AS material, count(DISTINCT paper_id) AS papers, count(DISTINCT CASE WHEN has_preprint = 1 THEN paper_id END) AS preprints, count(DISTINCT CASE WHEN has_publication = 1 THEN paper_id END) AS publications FROM terms_v JOIN out_v USING (paper_id) WHERE term_type = 'material' AND window_name = 'current' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def top_materials(spark, d):
+    rows = t.terms(spark, d).filter("term_type = 'material'").join(outputs(spark, d).filter("window_name = 'current'"), "paper_id")
+    counted = rows.groupBy(F.col("normalized_term").alias("material")).agg(F.count("*").alias("papers"), F.sum("has_preprint").alias("preprints"), F.sum("has_publication").alias("publications"))
+    return counted.orderBy(F.desc("papers"), "material").limit(15)
+
+
+@query("type_coverage", f"{OUT_SQL}, {t.TERMS_SQL} SELECT term_type, count(DISTINCT paper_id) AS papers, round(count(DISTINCT paper_id) / (SELECT count(*) FROM out_v), 9) AS share FROM terms_v JOIN out_v USING (paper_id) GROUP BY 1")
+def type_coverage(spark, d):
+    out = outputs(spark, d)
+    counted = t.terms(spark, d).select("paper_id", "term_type").distinct().join(out, "paper_id").groupBy("term_type").agg(F.count("*").alias("papers"))
+    return counted.crossJoin(F.broadcast(out.agg(F.count("*").alias("n")))).select("term_type", "papers", F.round(F.col("papers") / F.col("n"), 9).alias("share"))
+
+
+COVER_SQL = f"""WITH {t.PAPERS_SQL}, {t.VERSIONS_SQL}, ks AS (SELECT canonical_paper_id AS paper_id, source FROM versions_v WHERE source <> 'legacy' UNION SELECT paper_id, source FROM papers_v), cov AS (SELECT p.paper_id, p.doi, list_sort(list(ks.source)) AS sources FROM papers_v p JOIN ks USING (paper_id) GROUP BY 1, 2)"""
+PROVIDERS = ("arxiv", "crossref", "openalex")
+
+
+def covered(spark, d):
+    return op.coverage_sources(t.papers(spark, d), t.versions(spark, d))
+
+
+@query("coverage_audit", f"{COVER_SQL} SELECT array_to_string(sources, '+') AS sources, count(*) AS papers, count(doi) AS with_doi FROM cov GROUP BY 1")
+def coverage_audit(spark, d):
+    return covered(spark, d).groupBy(F.array_join("sources", "+").alias("sources")).agg(F.count("*").alias("papers"), F.count("doi").alias("with_doi"))
+
+
+@query("coverage_pairs", f"{COVER_SQL}, n AS (SELECT source, count(*) AS n FROM ks GROUP BY 1), p AS (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM ks x JOIN ks y ON x.paper_id = y.paper_id AND x.source < y.source GROUP BY 1, 2) SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 9) AS jaccard FROM p JOIN n na ON na.source = a JOIN n nb ON nb.source = b")
+def coverage_pairs(spark, d):
+    rows = covered(spark, d).select("paper_id", F.explode("sources").alias("source"))
+    n = F.broadcast(rows.groupBy("source").agg(F.count("*").alias("n")))
+    pairs = rows.select("paper_id", F.col("source").alias("a")).join(rows.select("paper_id", F.col("source").alias("b")), "paper_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sized = pairs.join(n.select(F.col("source").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("source").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 9).alias("jaccard"))
+
+
+@query("coverage_gaps", f"{COVER_SQL}, g AS (SELECT paper_id, doi, unnest(list_filter(['arxiv', 'crossref', 'openalex'], lambda x: NOT list_contains(sources, x))) AS target FROM cov WHERE doi IS NOT NULL) SELECT paper_id, target, 'doi' AS lookup, doi AS value, sha256(concat_ws('|', paper_id, target, 'doi')) AS gap_id FROM g")
+def coverage_gaps(spark, d):
+    return op.coverage_gaps(covered(spark, d), PROVIDERS)

@@ -1 +1,159 @@
-"""."""
+"""Text and entity queries over the documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from papertide.operators import entities as op
+from papertide.plans.corpus import rounded
+from papertide.plans.registry import query
+from papertide.sources import tables as t
+
+# Phrases put before titles and abstracts, so that the invented texts hold entities.
+SEEDS = ("MoS2 on BN", "quantum hall effect", "Weyl-semimetal FeSe", "ARPES study", "erratum for GaAs", "comment on spin liquid", "WSe2 and CrI3", "density functional theory", "H2O and NaCl", "topological insulator Bi2Se3", "DNA and NATO", "plain words")
+DICTIONARY = (
+    ("quantum hall effect", "quantum Hall effect", "concept", 1.0, 0.72), ("weyl semimetal", "Weyl semimetal", "concept", 1.0, 0.72), ("spin liquid", "quantum spin liquid", "concept", 1.0, 0.72),
+    ("topological-insulator", "topological insulator", "concept", 1.0, 0.72), ("arpes", "ARPES", "method", 0.9, 0.62), ("density functional theory", "DFT", "method", 0.9, 0.62), ("mos2", "MoS2", "material", 0.92, 0.66), ("gaas", "GaAs", "material", 0.92, 0.66),
+)
+_SEED_LIST = "[" + ", ".join(f"'{s}'" for s in SEEDS) + "]"
+SEEDED_SQL = f"WITH {t.DOCS_SQL}, seeded_v AS (SELECT doc_id, lang, source, concat({_SEED_LIST}[doc_id % 12 + 1], '. ', title) AS title, CASE WHEN doc_id % 24 >= 12 THEN concat({_SEED_LIST}[(doc_id + 5) % 12 + 1], '. ', abstract) ELSE abstract END AS abstract FROM docs_v)"
+_FOLD = "concat(' ', trim(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"
+_DICT_SQL = "d(phrase, term, term_type, in_title, in_abstract) AS (VALUES " + ", ".join(f"('{p.replace('-', ' ')}', '{n}', '{k}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for p, n, k, a, b in DICTIONARY) + ")"
+
+
+def seeded(spark, d):
+    seeds = F.array(*map(F.lit, SEEDS))
+    seed = lambda n: F.element_at(seeds, (n % 12 + 1).cast("int"))
+    i = F.col("doc_id")
+    abstract = F.when(i % 24 >= 12, F.concat(seed(i + 5), F.lit(". "), "abstract")).otherwise(F.col("abstract"))
+    return t.docs(spark, d).select("doc_id", "lang", "source", F.concat(seed(i), F.lit(". "), "title").alias("title"), abstract.alias("abstract"))
+
+
+_EXTRACT = f"""{SEEDED_SQL}, {_DICT_SQL}, f AS (SELECT doc_id, {_FOLD.format('title')} AS ti, {_FOLD.format('abstract')} AS ab FROM seeded_v),
+x AS (SELECT doc_id, term, term_type, greatest(CASE WHEN contains(ti, concat(' ', phrase, ' ')) THEN in_title ELSE 0 END, CASE WHEN contains(ab, concat(' ', phrase, ' ')) THEN in_abstract ELSE 0 END) AS confidence FROM f CROSS JOIN d)"""
+
+
+def extracted(spark, d):
+    return op.extract_terms(seeded(spark, d), spark.createDataFrame(DICTIONARY, "phrase string, term string, term_type string, in_title double, in_abstract double"))
+
+
+@query("extract_terms", f"{_EXTRACT} SELECT doc_id, term, term_type, confidence FROM x WHERE confidence > 0")
+def extract_terms(spark, d):
+    return extracted(spark, d)
+
+
+@query("normalize_terms", f"WITH {t.TERMS_SQL}, s(k, canonical) AS (VALUES ('red gear', 'gear'), ('blue bolt', 'bolt')) SELECT term_type, coalesce(canonical, normalized_term) AS normalized, count(*) AS papers FROM terms_v LEFT JOIN s ON lower(normalized_term) = k GROUP BY 1, 2")
+def normalize_terms(spark, d):
+    synonyms = spark.createDataFrame([("Red-Gear", "gear"), ("blue bolt", "bolt")], "alias string, canonical string")
+    terms = t.terms(spark, d).groupBy("term_type", F.col("normalized_term").alias("term")).agg(F.count("*").alias("n"))
+    return op.normalize_terms(terms, synonyms).groupBy("term_type", "normalized").agg(F.sum("n").alias("papers"))
+
+
+@query("eligibility", f"""WITH {t.TERMS_SQL}, r AS (SELECT *, lower(replace(trim(normalized_term), '-', ' ')) AS k FROM terms_v) SELECT term_type, CASE WHEN length(trim(normalized_term)) < 3 THEN 'too_short' WHEN k IN ('red', 'gear', 'blue') THEN 'generic_term' WHEN k IN ('red gear', 'blue gear') THEN 'generic_ngram'
+WHEN term_type = 'material' THEN CASE WHEN regexp_matches(normalized_term, '^([A-Z][a-z]?[0-9]*){{2,}}$') OR k IN ('green bolt') THEN 'material' ELSE 'weak_material_candidate' END WHEN term_type = 'method' THEN CASE WHEN k IN ('standard', 'promo') THEN 'method_dictionary' ELSE 'weak_method_candidate' END
+WHEN k IN ('green bolt') THEN 'canonical_phrase' WHEN regexp_matches(normalized_term, '^([A-Z][a-z]?[0-9]*){{2,}}$') THEN 'material_formula' WHEN confidence < 0.7 THEN 'weak_candidate' ELSE 'not_canonical' END AS display_reason, count(*) AS n FROM r GROUP BY 1, 2""")
+def eligibility(spark, d):
+    terms = t.terms(spark, d).withColumnRenamed("normalized_term", "term")
+    return op.eligibility(terms, ["red", "gear", "blue"], ["green bolt"], ["standard", "promo"]).groupBy("term_type", "display_reason").agg(F.count("*").alias("n"))
+
+
+@query("formulas", f"""{SEEDED_SQL}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(title, '[A-Za-z0-9.]+')) AS f FROM seeded_v), c AS (SELECT doc_id, rtrim(f, '.') AS f FROM w), s AS (SELECT DISTINCT doc_id, f, regexp_extract_all(f, '[A-Z][a-z]?') AS e FROM c WHERE regexp_matches(f, '^([A-Z][a-z]?([0-9]+(\\.[0-9]+)?)?){{2,}}$'))
+SELECT doc_id, f AS formula FROM s WHERE length(f) BETWEEN 4 AND 32 AND f NOT IN {op.NO_FORMULAS} AND len(list_filter(e, lambda x: NOT list_contains({op.ELEMENTS}, x))) = 0 AND (regexp_matches(f, '[0-9]') OR len(e) <= 3)""")
+def formulas(spark, d):
+    return op.formulas(seeded(spark, d), "title")
+
+
+@query("field_filter", f"{SEEDED_SQL}, r AS (SELECT *, CASE WHEN contains(lower(title), 'erratum') OR contains(lower(title), 'dna') THEN 'excluded' WHEN starts_with(source, 'src1') THEN 'category' WHEN contains(lower(title), 'quantum') OR contains(lower(title), 'spin') THEN 'keyword' ELSE 'none' END AS reason FROM seeded_v) SELECT reason, reason IN ('category', 'keyword') AS in_field, count(*) AS docs FROM r GROUP BY 1, 2")
+def field_filter(spark, d):
+    return op.field_filter(seeded(spark, d), ["src1"], ["quantum", "spin"], ["erratum", "dna"], "source", "title").groupBy("reason", "in_field").agg(F.count("*").alias("docs"))
+
+
+@query("research_only", f"{SEEDED_SQL} SELECT doc_id FROM seeded_v WHERE NOT regexp_matches(lower(trim(title)), '^(erratum|corrigendum|comment on|reply to|publisher.s note|retraction|editorial)')")
+def research_only(spark, d):
+    return op.research_only(seeded(spark, d), "title").select("doc_id")
+
+
+_PROMPT = "quantum spin transport of the in and hall insulator"
+
+
+@query("relevance", f"""{SEEDED_SQL}, o AS (SELECT doc_id, abstract, len(list_intersect(list_distinct(string_split(trim({_FOLD.format('abstract')}), ' ')), string_split('{_PROMPT}', ' '))) AS overlap FROM seeded_v), s AS (SELECT doc_id, overlap, least(10.0, 2 + least(1.2 * overlap, 6.0) + CASE WHEN length(abstract) > 0 THEN 0.8 ELSE 0 END) AS score FROM o)
+SELECT doc_id, CAST(overlap AS INTEGER) AS overlap, round(CAST(score AS DOUBLE), 6) AS score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS priority FROM s""")
+def relevance(spark, d):
+    return rounded(op.relevance(seeded(spark, d), _PROMPT, "abstract").select("doc_id", "overlap", "score", "priority"), "score")
+
+
+_POSTINGS = f"""WITH p AS (SELECT doc_id, list_filter(string_split({_FOLD.format('text')}, ' '), lambda x: x <> '') AS w FROM documents), post AS (SELECT token, doc_id, length, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS INTEGER) AS length, unnest(w) AS token FROM p) GROUP BY ALL)"""
+
+
+@query("postings", f"{_POSTINGS} SELECT token, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY 1")
+def postings(spark, d):
+    return op.postings(t.read(spark, d, "documents"), "text").groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+
+
+@query("bm25", f"""{_POSTINGS}, n AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc_id, length FROM post)), h AS (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM post WHERE token IN ('the', 'of'))
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h, n GROUP BY 1 HAVING count(*) = 2""")
+def bm25(spark, d):
+    index = op.postings(t.read(spark, d, "documents"), "text")
+    totals = index.select("doc_id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    return rounded(op.bm25(index, totals, "the of"), "score")
+
+
+@query("redact_urls", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '([?&][A-Za-z0-9_]+=)[^&#\\s]+', '\\1***', 'g'), '://[^/@\\s]+@', '://***@', 'g'), '#\\S*', '', 'g') AS url FROM pages")
+def redact_urls(spark, d):
+    return op.redact_urls(t.read(spark, d, "pages").select("page_id", "url"), "url")
+
+
+@query("file_dedup", "SELECT sha256(html) AS digest, CAST(max(strlen(html)) AS BIGINT) AS size, count(*) AS copies, min(page_id) AS first_page, starts_with(max(html), '%PDF-') AS is_pdf FROM pages GROUP BY 1")
+def file_dedup(spark, d):
+    data = F.col("html").cast("binary")
+    return t.read(spark, d, "pages").groupBy(F.sha2(data, 256).alias("digest")).agg(
+        F.max(F.octet_length("html")).cast("long").alias("size"), F.count("*").alias("copies"), F.min("page_id").alias("first_page"), F.startswith(F.max("html"), F.lit("%PDF-")).alias("is_pdf")
+    )
+
+
+@query("src_inverted_index", "SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') AS text FROM documents")
+def src_inverted_index(spark, d):
+    words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: x != "")
+    placed = t.read(spark, d, "documents").select("doc_id", F.posexplode(words).alias("p", "w"))
+    index = placed.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    return index.select("doc_id", op.inverted_index_to_text(F.col("index")).alias("text"))
+
+
+@query("translation_plan", "WITH k AS (SELECT sha256(text) AS key, CAST(max(length(text)) AS BIGINT) AS chars, bool_or(doc_id % 3 = 0) AS done FROM documents GROUP BY 1) SELECT CASE WHEN done THEN 'cached' ELSE 'needed' END AS state, count(*) AS texts, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(ceil(chars / 4)) AS BIGINT) AS tokens FROM k GROUP BY 1")
+def translation_plan(spark, d):
+    docs = t.read(spark, d, "documents")
+    done = docs.filter("doc_id % 3 = 0").select(F.sha2(F.col("text"), 256).alias("key"))
+    plan = op.translation_plan(docs.select("text"), done)
+    return plan.groupBy("state").agg(F.count("*").alias("texts"), F.sum("chars").cast("long").alias("chars"), F.sum(F.ceil(F.col("chars") / 4)).alias("tokens"))
+
+
+@query("confidence", f"WITH {t.PAPERS_SQL}, {t.TERMS_SQL}, n AS (SELECT paper_id, count(*) AS n, max(confidence) AS c FROM terms_v GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'excluded' WHEN c >= 0.9 AND n >= 6 THEN 'high' WHEN c >= 0.7 THEN 'medium' ELSE 'low' END AS grade, count(*) AS papers FROM papers_v LEFT JOIN n USING (paper_id) GROUP BY 1")
+def confidence(spark, d):
+    n = t.terms(spark, d).groupBy("paper_id").agg(F.count("*").alias("n"), F.max("confidence").alias("c"))
+    grade = F.when(F.col("n").isNull(), "excluded").when((F.col("c") >= 0.9) & (F.col("n") >= 6), "high").when(F.col("c") >= 0.7, "medium").otherwise("low")
+    return t.papers(spark, d).join(n, "paper_id", "left").groupBy(grade.alias("grade")).agg(F.count("*").alias("papers"))
+
+
+_FIELD = f"""WITH {t.TERMS_SQL}, w(term_type, field, rank) AS (VALUES ('concept', 'a', 1), ('material', 'b', 2), ('method', 'c', 3)), s AS (SELECT paper_id, field, min(rank) AS rank, round(sum(confidence), 6) AS score FROM terms_v JOIN w USING (term_type) WHERE display_eligible = 1 GROUP BY 1, 2)"""
+
+
+@query("primary_field", f"{_FIELD} SELECT field, count(*) AS papers FROM (SELECT paper_id, arg_min(field, (-score, rank)) AS field FROM s GROUP BY 1) GROUP BY 1")
+def primary_field(spark, d):
+    kinds = F.broadcast(spark.createDataFrame([("concept", "a", 1), ("material", "b", 2), ("method", "c", 3)], "term_type string, field string, rank int"))
+    scores = t.terms(spark, d).filter("display_eligible = 1").join(kinds, "term_type").groupBy("paper_id", "field").agg(F.min("rank").alias("rank"), F.round(F.sum("confidence"), 6).alias("score"))
+    best = scores.groupBy("paper_id").agg(F.min_by("field", F.struct(-F.col("score"), F.col("rank"))).alias("field"))
+    return best.groupBy("field").agg(F.count("*").alias("papers"))
+
+
+@query("paper_children", f"WITH {t.TERMS_SQL} SELECT paper_id, array_to_string(list(normalized_term ORDER BY confidence DESC, normalized_term), '|') AS materials FROM terms_v WHERE term_type = 'material' GROUP BY 1")
+def paper_children(spark, d):
+    rows = t.terms(spark, d).filter("term_type = 'material'").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), F.col("normalized_term").alias("m")))).alias("s"))
+    return rows.select("paper_id", F.array_join(F.transform("s", lambda x: x["m"]), "|").alias("materials"))
+
+
+@query("material_search", f"WITH {t.TERMS_SQL} SELECT DISTINCT normalized_term AS material FROM terms_v WHERE term_type = 'material' AND normalized_term ILIKE '%2%' UNION SELECT DISTINCT normalized_term FROM terms_v WHERE term_type = 'concept' AND normalized_term ILIKE '%gear%'")
+def material_search(spark, d):
+    terms = t.terms(spark, d)
+    by_name = terms.filter((F.col("term_type") == "material") & F.col("normalized_term").ilike("%2%"))
+    by_alias = terms.filter((F.col("term_type") == "concept") & F.col("normalized_term").ilike("%gear%"))
+    return by_name.union(by_alias).select(F.col("normalized_term").alias("material")).distinct()

@@ -1 +1,195 @@
-"""."""
+"""Identity, merge, operations and streaming queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from papertide.operators import records as op
+from papertide.plans.corpus import rounded
+from papertide.plans.registry import query
+from papertide.sources import tables as t
+from papertide.sources.scratch import saved
+from papertide.streaming import events as st
+
+DOC_KEYS_SQL = f"WITH {t.DOCS_SQL}, keys_v AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN concat('10.1/', CAST(doc_id % 200 AS VARCHAR)) END AS doi_key, nullif(trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '') AS title_key, CAST(year(pub_date) AS INTEGER) AS year FROM docs_v)".replace("{{", "{").replace("}}", "}")
+
+
+def keyed(spark, d):
+    docs = t.docs(spark, d).withColumn("doi", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), (F.col("doc_id") % 200).cast("string"))))
+    return op.with_identity_keys(docs).select(F.col("doc_id").alias("id"), "doi_key", "title_key", "year")
+
+
+@query("identity_keys", f"{DOC_KEYS_SQL} SELECT * FROM keys_v")
+def identity_keys(spark, d):
+    return keyed(spark, d)
+
+
+@query("resolve_exact", f"""{DOC_KEYS_SQL}, k AS (SELECT * FROM keys_v WHERE id % 2 = 0), i AS (SELECT * FROM keys_v WHERE id % 2 = 1), a AS (SELECT doi_key, min(id) AS by_doi FROM k WHERE doi_key IS NOT NULL GROUP BY 1), b AS (SELECT title_key, year, min(id) AS by_title FROM k WHERE title_key IS NOT NULL GROUP BY 1, 2)
+SELECT id, coalesce(by_doi, by_title) AS paper_id, CASE WHEN by_doi IS NOT NULL THEN 'doi' WHEN by_title IS NOT NULL THEN 'title_year' END AS rule, CASE WHEN by_doi IS NOT NULL THEN CAST(1.0 AS DOUBLE) WHEN by_title IS NOT NULL THEN 0.97 END AS confidence FROM i LEFT JOIN a USING (doi_key) LEFT JOIN b USING (title_key, year)""")
+def resolve_exact(spark, d):
+    both = keyed(spark, d)
+    return op.resolve_exact(both.filter("id % 2 = 1"), both.filter("id % 2 = 0").withColumnRenamed("id", "paper_id")).select("id", "paper_id", "rule", "confidence")
+
+
+@query("title_candidates", f"{DOC_KEYS_SQL} SELECT a.id AS left_id, b.id AS right_id FROM keys_v a JOIN keys_v b ON a.title_key = b.title_key AND a.id < b.id WHERE length(a.title_key) >= 16")
+def title_candidates(spark, d):
+    both = keyed(spark, d)
+    return op.title_candidates(both, both).select("left_id", "right_id")
+
+
+@query("id_conflicts", f"WITH {t.PAPERS_SQL}, c AS (SELECT 'group' AS namespace, concat(journal, month) AS external_id, paper_id, pub_date AS claimed_at FROM papers_v) SELECT namespace, external_id, arg_min(paper_id, (claimed_at, paper_id)) AS kept, count(DISTINCT paper_id) AS papers FROM c GROUP BY 1, 2 HAVING count(DISTINCT paper_id) > 1")
+def id_conflicts(spark, d):
+    claims = t.papers(spark, d).select(F.lit("group").alias("namespace"), F.concat("journal", "month").alias("external_id"), "paper_id", F.col("pub_date").alias("claimed_at"))
+    return op.id_conflicts(claims)
+
+
+@query("merge_sources", f"WITH {t.PAPERS_SQL} SELECT month, arg_min(doi, (source, doi)) FILTER (doi IS NOT NULL) AS doi, max(cited_by_count) AS cited_by_count, bool_or(is_open_access) AS is_open_access, count(*) AS records FROM papers_v GROUP BY 1")
+def merge_sources(spark, d):
+    return op.merge_sources(t.papers(spark, d), "month", "source", ["doi"], ["cited_by_count"], ["is_open_access"])
+
+
+@query("components", f"""{DOC_KEYS_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, f AS (SELECT id, doi_key AS k FROM keys_v WHERE doi_key IS NOT NULL UNION ALL SELECT id, concat('t:', title_key) FROM keys_v WHERE length(title_key) >= 16),
+e AS (SELECT DISTINCT a.id AS a, b.m AS b FROM f a JOIN (SELECT k, min(id) AS m FROM f GROUP BY 1) b USING (k) WHERE a.id <> b.m), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, w.root FROM w JOIN u ON u.a = w.node) SELECT node, min(root) AS root FROM w GROUP BY 1""")
+def components(spark, d):
+    both = keyed(spark, d)
+    keys = both.filter("doi_key is not null").select("id", F.col("doi_key").alias("k")).union(both.filter("length(title_key) >= 16").select("id", F.concat(F.lit("t:"), "title_key")))
+    heads = keys.groupBy("k").agg(F.min("id").alias("b"))  # a star for each key: links grow with rows, not with pairs
+    edges = keys.join(heads, "k").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    return op.components(edges, lambda df: saved(df, "components"))
+
+
+@query("new_records", f"{DOC_KEYS_SQL}, k AS (SELECT * FROM keys_v WHERE id % 4 = 0), i AS (SELECT * FROM keys_v WHERE id % 4 <> 0) SELECT min(id) AS id FROM i WHERE coalesce(doi_key, title_key) IS NOT NULL AND CASE WHEN doi_key IS NOT NULL THEN doi_key NOT IN (SELECT doi_key FROM k WHERE doi_key IS NOT NULL) ELSE title_key NOT IN (SELECT title_key FROM k WHERE title_key IS NOT NULL) END GROUP BY coalesce(doi_key, title_key)")
+def new_records(spark, d):
+    both = keyed(spark, d)
+    return op.new_records(both.filter("id % 4 <> 0"), both.filter("id % 4 = 0")).select("id")
+
+
+def newer(spark, d):
+    p = t.papers(spark, d)
+    third = F.col("paper_id").cast("long") % 3 == 0
+    return p.withColumns({"journal": F.when(third, F.upper("journal")).otherwise(F.col("journal")), "doi": F.when(third, F.lit(None)).otherwise(F.col("doi")), "abstract": F.lit(""), "cited_by_count": F.when(third, F.col("cited_by_count") + 1).otherwise(F.col("cited_by_count") - 1)})
+
+
+_NEWER = f"WITH {t.PAPERS_SQL}, n AS (SELECT paper_id, CASE WHEN CAST(paper_id AS BIGINT) % 3 = 0 THEN upper(journal) ELSE journal END AS journal, CASE WHEN CAST(paper_id AS BIGINT) % 3 = 0 THEN NULL ELSE doi END AS doi, '' AS abstract, CASE WHEN CAST(paper_id AS BIGINT) % 3 = 0 THEN cited_by_count + 1 ELSE cited_by_count - 1 END AS cited_by_count FROM papers_v)"
+
+
+@query("diff_records", f"{_NEWER} SELECT p.paper_id, CASE WHEN n.journal IS DISTINCT FROM p.journal THEN 'journal,cited_by_count' ELSE 'cited_by_count' END AS fields FROM papers_v p JOIN n USING (paper_id)")
+def diff_records(spark, d):
+    found = op.changed(t.papers(spark, d), newer(spark, d), "paper_id", ["journal", "doi", "abstract", "cited_by_count"])
+    return found.select("paper_id", F.array_join("fields", ",").alias("fields"))
+
+
+@query("upsert_papers", f"{_NEWER} SELECT p.paper_id, coalesce(nullif(n.journal, ''), p.journal) AS journal, coalesce(n.doi, p.doi) AS doi, coalesce(nullif(n.abstract, ''), p.abstract) AS abstract, greatest(p.cited_by_count, n.cited_by_count) AS cited_by_count FROM papers_v p LEFT JOIN n ON n.paper_id = p.paper_id")
+def upsert_papers(spark, d):
+    return op.upsert(t.papers(spark, d), newer(spark, d), "paper_id", ["journal", "doi", "abstract"], ["cited_by_count"])
+
+
+@query("replace_terms", f"WITH {t.TERMS_SQL} SELECT paper_id, term_type, normalized_term, CASE WHEN CAST(paper_id AS BIGINT) % 5 = 0 THEN 'new' ELSE 'kept' END AS state FROM terms_v WHERE CAST(paper_id AS BIGINT) % 5 <> 0 OR term_type = 'method'")
+def replace_terms(spark, d):
+    terms = t.terms(spark, d).select("paper_id", "term_type", "normalized_term")
+    keys = terms.filter("cast(paper_id as bigint) % 5 = 0").select("paper_id")
+    new = terms.join(keys.distinct(), "paper_id", "left_semi").filter("term_type = 'method'").withColumn("state", F.lit("new"))
+    return op.replace_for_keys(terms.withColumn("state", F.lit("kept")), new, keys, "paper_id")
+
+
+@query("preferred_version", f"WITH {t.VERSIONS_SQL} SELECT canonical_paper_id, arg_min(version_id, (CASE WHEN version_type = 'published' THEN 0 ELSE 1 END, CASE WHEN source = 'legacy' THEN 1 ELSE 0 END, -epoch(coalesce(publication_date, submitted_date)), version_id)) AS version_id FROM versions_v GROUP BY 1")
+def preferred_version(spark, d):
+    day = F.coalesce("publication_date", "submitted_date")
+    order = [F.when(F.col("version_type") == "published", 0).otherwise(1), F.when(F.col("source") == "legacy", 1).otherwise(0), -F.unix_date(day), F.col("version_id")]
+    return op.best_by(t.versions(spark, d), "canonical_paper_id", order).select("canonical_paper_id", "version_id")
+
+
+@query("best_abstract", "SELECT lang, source, max(length(text)) AS chars, arg_min(doc_id, (-length(text), doc_id)) AS doc_id FROM documents GROUP BY 1, 2")
+def best_abstract(spark, d):
+    docs = t.read(spark, d, "documents").select("lang", "source", "doc_id", F.char_length("text").cast("long").alias("chars"))
+    return docs.groupBy("lang", "source").agg(F.max("chars").alias("chars"), F.min_by("doc_id", F.struct(-F.col("chars"), F.col("doc_id"))).alias("doc_id"))
+
+
+@query("corpus_overlap", f"{DOC_KEYS_SQL}, a AS (SELECT * FROM keys_v WHERE id % 2 = 0), b AS (SELECT * FROM keys_v WHERE id % 2 = 1) SELECT CASE WHEN doi_key IN (SELECT doi_key FROM b WHERE doi_key IS NOT NULL) THEN 'doi' WHEN title_key IN (SELECT title_key FROM b WHERE title_key IS NOT NULL) THEN 'title' ELSE 'only_left' END AS found, count(*) AS records FROM a GROUP BY 1")
+def corpus_overlap(spark, d):
+    both = keyed(spark, d)
+    right = both.filter("id % 2 = 1")
+    doi = right.filter("doi_key is not null").select("doi_key", F.lit(True).alias("d")).distinct()
+    title = right.filter("title_key is not null").select("title_key", F.lit(True).alias("t")).distinct()
+    left = both.filter("id % 2 = 0").join(doi, "doi_key", "left").join(title, "title_key", "left")
+    return left.groupBy(F.when(F.col("d"), "doi").when(F.col("t"), "title").otherwise("only_left").alias("found")).agg(F.count("*").alias("records"))
+
+
+@query("integrity", f"WITH {t.PAPERS_SQL}, {t.VERSIONS_SQL} SELECT 'orphan_versions' AS problem, count(*) AS n FROM versions_v ANTI JOIN papers_v ON paper_id = canonical_paper_id UNION ALL SELECT 'papers_without_version', count(*) FROM papers_v ANTI JOIN versions_v ON paper_id = canonical_paper_id UNION ALL SELECT 'repeated_text', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)")
+def integrity(spark, d):
+    p, v = t.papers(spark, d).select(F.col("paper_id").alias("k")), t.versions(spark, d).select(F.col("canonical_paper_id").alias("k"))
+    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
+    repeated = t.read(spark, d, "documents").groupBy(F.sha2(F.col("text"), 256)).agg(F.count("*").alias("n")).filter("n > 1").agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("repeated_text").alias("problem"), "n")
+    return one("orphan_versions", v.join(p, "k", "left_anti")).union(one("papers_without_version", p.join(v, "k", "left_anti"))).union(repeated)
+
+
+@query("attempt_stats", f"WITH {t.ATTEMPTS_SQL} SELECT candidate_source, coalesce(failure_class, 'none') AS failure_class, count(*) AS attempts, count(*) FILTER (status = 'completed') AS completed, round(count(*) FILTER (status = 'completed') / count(*), 9) AS success FROM attempts_v GROUP BY 1, 2")
+def attempt_stats(spark, d):
+    done = F.count_if(F.col("status") == "completed")
+    return t.attempts(spark, d).groupBy("candidate_source", F.coalesce("failure_class", F.lit("none")).alias("failure_class")).agg(F.count("*").alias("attempts"), done.alias("completed"), F.round(done / F.count("*"), 9).alias("success"))
+
+
+@query("retry_plan", f"WITH {t.ATTEMPTS_SQL}, k AS (SELECT *, CASE WHEN failure_class IN ('request_timeout', 'http_server_error') THEN 'transient' WHEN failure_class = 'access_denied' THEN 'manual' WHEN failure_class IS NOT NULL THEN 'permanent' END AS kind FROM attempts_v) SELECT event_id, kind, coalesce(kind = 'transient' AND attempt_number < 5, false) AS retry, CASE WHEN kind = 'transient' AND attempt_number < 5 THEN CAST(least(3600, 5 * pow(2, attempt_number - 1)) AS BIGINT) END AS delay FROM k")
+def retry_plan(spark, d):
+    return op.failure_plan(t.attempts(spark, d)).select("event_id", "kind", "retry", "delay")
+
+
+@query("latest_status", f"WITH {t.ATTEMPTS_SQL} SELECT task_id, arg_max(status, attempt_number) AS status, max(attempt_number) AS attempts FROM attempts_v GROUP BY 1")
+def latest_status(spark, d):
+    return t.attempts(spark, d).groupBy("task_id").agg(F.max_by("status", "attempt_number").alias("status"), F.max("attempt_number").alias("attempts"))
+
+
+@query("due_tasks", f"WITH {t.ATTEMPTS_SQL}, l AS (SELECT task_id, max(attempt_number) AS n, arg_max(status, attempt_number) AS status, arg_max(failure_class, attempt_number) AS failure_class FROM attempts_v GROUP BY 1) SELECT task_id, n AS attempts FROM l WHERE status = 'failed' AND failure_class <> 'access_denied'")
+def due_tasks(spark, d):
+    last = t.attempts(spark, d).groupBy("task_id").agg(F.max("attempt_number").alias("attempts"), F.max_by(F.struct("status", "failure_class"), "attempt_number").alias("l"))
+    return last.filter("l.status = 'failed' and l.failure_class <> 'access_denied'").select("task_id", "attempts")
+
+
+@query("lifecycle_counts", f"WITH {t.ATTEMPTS_SQL} SELECT status, candidate_source, count(DISTINCT task_id) AS tasks FROM attempts_v GROUP BY ROLLUP (status, candidate_source)")
+def lifecycle_counts(spark, d):
+    return t.attempts(spark, d).rollup("status", "candidate_source").agg(F.countDistinct("task_id").alias("tasks"))
+
+
+@query("storage_estimate", f"WITH {t.PAPERS_SQL} SELECT journal, count(*) AS papers, round(count(*) * 0.006 + sum(CASE WHEN is_open_access THEN 5 ELSE 0 END), 6) AS mb FROM papers_v GROUP BY ROLLUP (journal)")
+def storage_estimate(spark, d):
+    mb = F.count("*") * 0.006 + F.sum(F.when(F.col("is_open_access"), 5.0).otherwise(0.0))
+    return t.papers(spark, d).rollup("journal").agg(F.count("*").alias("papers"), F.round(mb, 6).alias("mb"))
+
+
+@query("completeness_grid", "WITH g AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders), c AS (SELECT n_nationkey, n_name FROM nation), f AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, c_nationkey AS n_nationkey, count(*) AS papers FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1, 2) SELECT g.year, c.n_name, f.papers FROM g CROSS JOIN c LEFT JOIN f ON f.year = g.year AND f.n_nationkey = c.n_nationkey")
+def completeness_grid(spark, d):
+    o, c, n = (t.read(spark, d, x) for x in ("orders", "customer", "nation"))
+    year = F.year(F.col("o_orderdate").cast("date")).alias("year")
+    facts = o.filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").join(c, o.o_custkey == c.c_custkey).groupBy(year, F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("papers"))
+    return op.completeness_grid(facts, [o.select(year).distinct(), n.select("n_nationkey", "n_name")], ["year", "n_nationkey"]).select("year", "n_name", "papers")
+
+
+@query("export_ris", f"WITH {t.PAPERS_SQL} SELECT paper_id, concat_ws(chr(10), concat('TY  - ', CASE WHEN source_scope = 'preprint' THEN 'UNPB' ELSE 'JOUR' END), concat('T2  - ', journal), concat('PY  - ', CAST(year AS VARCHAR)), CASE WHEN doi IS NOT NULL THEN concat('DO  - ', doi) END, CASE WHEN abstract <> '' THEN concat('AB  - ', abstract) END, 'ER  - ') AS ris FROM papers_v")
+def export_ris(spark, d):
+    return op.ris(t.papers(spark, d))
+
+
+@query("citation_keys", f"WITH {t.PAPERS_SQL}, b AS (SELECT paper_id, concat(lower(replace(journal, ' ', '')), '_', month) AS base FROM papers_v), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY paper_id) AS n FROM b) SELECT paper_id, CASE WHEN n = 1 THEN base ELSE concat(base, '_', CAST(n AS VARCHAR)) END AS citation_key FROM r")
+def citation_keys(spark, d):
+    base = F.concat(F.lower(F.replace("journal", F.lit(" "), F.lit(""))), F.lit("_"), F.col("month"))
+    return op.citation_keys(t.papers(spark, d).select("paper_id", base.alias("base")))
+
+
+@query("in_window", f"WITH {t.VERSIONS_SQL} SELECT version_id FROM versions_v WHERE submitted_date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' OR publication_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'")
+def in_window(spark, d):
+    return t.versions(spark, d).filter("submitted_date between date'1998-01-01' and date'1998-06-30' or publication_date between date'1998-03-01' and date'1998-03-31'").select("version_id")
+
+
+@query("st_tumbling", "SELECT event_type, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def st_tumbling(spark, d):
+    return rounded(st.tumbling(spark, d), "value").withColumn("value", F.round("value", 4))
+
+
+@query("st_dedup", "SELECT user_id, event_type, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1, 2")
+def st_dedup(spark, d):
+    return st.distinct_observations(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("days"))
+
+
+@query("st_hits", "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS hits FROM events WHERE event_type = 'error' OR value < 20 GROUP BY 1")
+def st_hits(spark, d):
+    return st.hits(spark, d)

@@ -34,7 +34,12 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template iframe object textarea title svg math audio video canvas".split())
 #: An open element of the second kind ends where the first one starts.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# Markup stops at the next "<" outside of comments, so broken pages cost no more than their length.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>",
+    re.S,
+)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -63,6 +68,7 @@ def parse(source: str | None) -> Page:
     source = source or ""
     page = Page()
     node, at, pieces, linked, links = 0, 0, [], 0, 0
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -88,12 +94,13 @@ def parse(source: str | None) -> Page:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in _BLOCKS:
-                up = node
-                while up > 0 and page.tags[up] != tag:
-                    up = page.parent[up]
-                if up > 0:
+                if opened.get(tag):
                     flush()
-                    node = page.parent[up]
+                    while page.tags[node] != tag:
+                        opened[page.tags[node]] -= 1
+                        node = page.parent[node]
+                    opened[tag] -= 1
+                    node = page.parent[node]
             continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
@@ -107,15 +114,14 @@ def parse(source: str | None) -> Page:
             flush()
             links = 0
             if page.tags[node] == "p":
+                opened["p"] -= 1
+                node = page.parent[node]
+            while tag in _ENDS and page.tags[node] in _ENDS[tag]:
+                opened[page.tags[node]] -= 1
                 node = page.parent[node]
-            if tag in _ENDS:
-                up = node
-                while up > 0 and page.tags[up] not in ("ul", "ol", "menu", "dl", "table", "select", "nav", "div", "article", "section"):
-                    if page.tags[up] in _ENDS[tag]:
-                        node = page.parent[up]
-                    up = page.parent[up]
             if tag in _VOID:
                 continue
+            opened[tag] = opened.get(tag, 0) + 1
             attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(m[3] or m[6] or "")}
             words = " ".join(attrs.get(k, "") for k in ("class", "id", "role", "itemprop"))
             page.parent.append(node)

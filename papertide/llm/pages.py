@@ -179,7 +179,9 @@ class TreeModel:
     def counted(cls, counts: Counter) -> TreeModel:
         """From counts of ('f', feature, label), ('leaf' or 'inner', parent's label, label) and ('n', '', label)."""
         nodes = [counts["n", "", y] + 1.0 for y in range(3)]
-        emit = {f: tuple(math.log((counts["f", f, y] + 0.5) / (nodes[y] + 1)) for y in range(3)) for k, f, _ in counts if k == "f"}
+        # features of shape overlap with each other and with the tag, so they weigh half
+        power = lambda f: 1.0 if f.startswith(("tag ", "name ")) else 0.5
+        emit = {f: tuple(power(f) * math.log((counts["f", f, y] + 0.5) / (nodes[y] + 1)) for y in range(3)) for k, f, _ in counts if k == "f"}
         child = {
             kind == "inner": tuple(tuple((counts[kind, str(p), y] + 0.01) / (sum(counts[kind, str(p), x] for x in range(3)) + 0.03) for y in range(3)) for p in range(3))
             for kind in ("leaf", "inner")

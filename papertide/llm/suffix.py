@@ -26,6 +26,8 @@ GRAM = 128
 SLICE = 1 << 20
 #: Contexts sorted in one place; anchors with more are dealt out and meet again by window hash.
 GROUP_CONTEXTS = 256
+#: Neighbouring windows of a dealt-out context that are looked up by what they have in common.
+PROBE_WINDOWS = 17
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
 
@@ -192,9 +194,29 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def _probes(text: bytes, wanted: np.ndarray, length: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For the wanted windows of a context: (hash of a probe, [(window, hash of the window)]).
+
+    Equal windows lie at the same distance from their anchor, so windows are binned by that
+    distance; the probe is what all windows of a bin have in common.
+    """
+    anchor = int(np.argmin(_gram_hashes(np.frombuffer(text, np.uint8))[: length - GRAM + 1]))
+    bins: dict[int, list[tuple[int, int]]] = {}
+    for i in wanted.tolist():
+        bins.setdefault((anchor - i) // PROBE_WINDOWS, []).append((i, xxhash.xxh3_64_intdigest(text[i : i + length]) - (1 << 63)))
+    out = []
+    for b, windows in bins.items():
+        start = anchor - PROBE_WINDOWS * b
+        core = text[start : start - PROBE_WINDOWS + 1 + length]
+        out.append((xxhash.xxh3_64_intdigest(core, seed=b) - (1 << 63), windows))
+    return out
+
+
 def _sort_groups(length: int):
-    """Contexts sorted by group -> flagged window runs; for dealt-out groups also a row for each
-    window class with its hash, ``flag`` telling if it already repeats in its own group."""
+    """Contexts sorted by group -> flagged window runs; for dealt-out groups also, by probe, each window
+    class: with its context where it is alone in its group, without one where it already repeats."""
+    window = pa.struct([("at", pa.int32()), ("hash", pa.int64())])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, shared, held = None, False, {}
@@ -202,20 +224,18 @@ def _sort_groups(length: int):
         def flush() -> pa.RecordBatch | None:
             out = []
             if len(held) > 1 or shared:
-                names = list(held)
                 seen: set[int] = set()
-                for (anchor, ctx), text, classes in zip(names, held.values(), repeated_windows(list(held.values()), length), strict=True):
-                    out += [(anchor, ctx, a, b, None) for a, b in _runs(classes >= 0)]
+                for (anchor, ctx), text, classes in zip(list(held), held.values(), repeated_windows(list(held.values()), length), strict=True):
+                    out += [(group, anchor, ctx, a, b, None, None) for a, b in _runs(classes >= 0)]
                     if shared:
-                        for i, c in enumerate(classes.tolist()):
-                            if c < 0 or c not in seen:
-                                seen.add(c)
-                                digest = xxhash.xxh3_64_intdigest(text[i : i + length]) - (1 << 63)
-                                out.append((anchor, ctx if c < 0 else None, i, i + 1, digest))
+                        new = [i for i, c in enumerate(classes.tolist()) if c >= 0 and c not in seen]
+                        seen.update(classes[new].tolist())
+                        for owner, wanted in ((ctx, np.flatnonzero(classes < 0)), (None, np.array(new, np.int64))):
+                            out += [(group, anchor, owner, None, None, p, [{"at": i, "hash": h} for i, h in w]) for p, w in _probes(text, wanted, length)]
             held.clear()
             if not out:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["anchor", "ctx", "lo", "hi", "window"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["group", "anchor", "ctx", "lo", "hi", "probe", "windows"])
 
         for batch in batches:
             for g, s, a, c, text in zip(*(batch[x].to_pylist() for x in ("group", "shared", "anchor", "ctx", "bytes")), strict=True):
@@ -269,11 +289,15 @@ def repeated_ranges(docs: DataFrame, length: int = 400, group_contexts: int = GR
         "anchor", "ctx", "bytes", (F.col("kinds") > group_contexts).alias("shared"),
         F.xxhash64("anchor", F.pmod("ctx", groups)).alias("group"),
     )
-    sorted_ = sized.repartition("group").sortWithinPartitions("group", "anchor").mapInArrow(_sort_groups(length), "anchor long, ctx long, lo int, hi int, window long")
-    found = written(sorted_, "window-runs")
-    again = found.filter("window is not null").groupBy("anchor", "window").agg(F.count("*").alias("times")).filter("times > 1")
-    met = found.filter("window is not null and ctx is not null").join(again, ["anchor", "window"]).select("anchor", "ctx", "lo", "hi")
-    runs = whole.union(found.filter("window is null").select("anchor", "ctx", "lo", "hi")).union(met)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "group long, anchor long, ctx long, lo int, hi int, probe long, windows array<struct<at:int,hash:long>>"
+    found = written(sized.repartition(parts, "group").sortWithinPartitions("group", "anchor").mapInArrow(_sort_groups(length), schema), "window-runs")
+    probes = found.filter("probe is not null")
+    several = probes.groupBy("anchor", "probe").agg(F.min("group").alias("g"), F.max("group").alias("h")).filter("g <> h").select("anchor", "probe")
+    windows = probes.join(several, ["anchor", "probe"]).select("anchor", "ctx", F.inline("windows"))
+    again = windows.groupBy("anchor", "hash").agg(F.count("*").alias("times")).filter("times > 1").select("anchor", "hash")
+    met = windows.filter("ctx is not null").join(again, ["anchor", "hash"]).select("anchor", "ctx", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    runs = whole.union(found.filter("probe is null").select("anchor", "ctx", "lo", "hi")).union(met)
     runs = runs.groupBy("anchor", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     hit = placed.join(runs, ["anchor", "ctx"]).select("id", "key", F.explode("at").alias("at"), "runs")
     ranges = hit.select("id", "key", F.explode("runs").alias("r"), "at").select("id", "key", F.struct((F.col("at") + F.col("r.lo")).alias("from"), (F.col("at") + F.col("r.hi") + length - 1).alias("to")).alias("r"))

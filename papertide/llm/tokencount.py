@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,25 +20,18 @@ from pyspark.sql.utils import AnalysisException
 from papertide.llm.common import scratch_path, utf8_size
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
-#: Characters encoded in one call; longer texts are cut at white space where the tokenizer drops it.
-CALL_CHARS = 1 << 20
-
-
-def _pieces(text: str, size: int) -> Iterator[str]:
-    at = 0
-    while len(text) - at > size:
-        cut = max(text.rfind(" ", at, at + size), text.rfind("\n", at, at + size))
-        cut = cut if cut > at else at + size
-        while cut < len(text) and text[cut] not in " \n":
-            cut += 1
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+#: Characters encoded in one call, and chunks between white space whose counts a task remembers.
+CALL_CHARS, REMEMBERED = 1 << 20, 400_000
+_CHUNK = re.compile("[^ \t\n\r]+")
 
 
 def token_counter(path: str, drops_white_space: bool = False) -> Callable[[list[str]], list[int]]:
     """Counts as the file's own library gives them: no begin, end or added tokens, special strings
-    in texts as its default has them, nothing truncated or padded."""
+    in texts as its default has them, nothing truncated or padded.
+
+    Where the tokenizer drops white space, nothing it does reaches across a blank or line end, so a
+    text's count is the sum over its chunks, and each distinct chunk is encoded once.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".json"):
         from tokenizers import Tokenizer
@@ -58,13 +52,9 @@ def token_counter(path: str, drops_white_space: bool = False) -> Callable[[list[
     else:
         raise ValueError(f"no library known for {path}")
 
-    def run(texts: list[str]) -> list[int]:
+    def whole(texts: list[str]) -> list[int]:
         out, held, size = [], [], 0
         for text in texts:
-            if drops_white_space and len(text) > CALL_CHARS:
-                out += counts(held) + [sum(counts([x])[0] for x in _pieces(text, CALL_CHARS))]
-                held, size = [], 0
-                continue
             held.append(text)
             size += len(text)
             if size >= CALL_CHARS:
@@ -72,7 +62,21 @@ def token_counter(path: str, drops_white_space: bool = False) -> Callable[[list[
                 held, size = [], 0
         return out + counts(held)
 
-    return run
+    known: dict[str, int] = {}
+
+    def by_chunk(texts: list[str]) -> list[int]:
+        out = []
+        for text in texts:
+            chunks = _CHUNK.findall(text)
+            if len(known) > REMEMBERED:
+                known.clear()
+            if new := list({c: None for c in chunks if c not in known}):
+                for i in range(0, len(new), 65536):
+                    known.update(zip(new[i : i + 65536], counts(new[i : i + 65536]), strict=True))
+            out.append(sum(map(known.__getitem__, chunks)))
+        return out
+
+    return by_chunk if drops_white_space else whole
 
 
 def tokenizer_version(path: str, strip: bool) -> str:
@@ -122,7 +126,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     ``cache_path`` keeps counts between runs; without one the cache lives in a new shared folder.
     ``drops_white_space`` states that the tokenizer ignores white space around words, so outer
-    white space is normalised away and very long texts may be cut at spaces. Null texts count as
+    white space is normalised away and texts are counted chunk by chunk. Null texts count as
     empty; repeated rows return a row each; ids may be null; other columns are ignored.
     """
     spark = docs.sparkSession

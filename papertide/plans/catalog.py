@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papertide.plans import corpus, entities, records, series, windows  # noqa: F401  they register themselves
+from papertide.plans import corpus, entities, more, records, series, windows  # noqa: F401  they register themselves
 from papertide.plans.registry import QUERIES, SQL
 
 

@@ -1,8 +1,10 @@
 """Registered queries of the library against their SQL, and hand-made cases."""
 
 import math
+import numbers
 import os
 
+import numpy as np
 import pytest
 
 from papertide.plans import catalog
@@ -16,7 +18,7 @@ def rows(frame):
     def plain(x):
         if x is None or (isinstance(x, float) and math.isnan(x)) or str(x) in ("NaT", "<NA>"):
             return "null"
-        if isinstance(x, (int, float)) and not isinstance(x, bool):
+        if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)):
             return f"{float(x):.5f}"
         return str(x).removesuffix(" 00:00:00")
 

@@ -299,9 +299,10 @@ def repeated_ranges(docs: DataFrame, length: int = 400, group_contexts: int = GR
     met = windows.filter("ctx is not null").join(again, ["anchor", "hash"]).select("anchor", "ctx", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
     runs = whole.union(found.filter("probe is null").select("anchor", "ctx", "lo", "hi")).union(met)
     runs = runs.groupBy("anchor", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    hit = placed.join(runs, ["anchor", "ctx"]).select("id", "key", F.explode("at").alias("at"), "runs")
-    ranges = hit.select("id", "key", F.explode("runs").alias("r"), "at").select("id", "key", F.struct((F.col("at") + F.col("r.lo")).alias("from"), (F.col("at") + F.col("r.hi") + length - 1).alias("to")).alias("r"))
-    return ranges.groupBy("id", "key").agg(F.collect_set("r").alias("ranges"))
+    at_each = lambda r: lambda a: F.struct((a + r["lo"]).alias("from"), (a + r["hi"] + length - 1).alias("to"))
+    ranges = F.flatten(F.transform("runs", lambda r: F.transform("at", at_each(r))))
+    hit = placed.join(runs, ["anchor", "ctx"]).select("id", "key", ranges.alias("ranges"))
+    return hit.groupBy("id", "key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def merged(ranges: list[dict]) -> list[tuple[int, int]]:

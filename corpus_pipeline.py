@@ -16,10 +16,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each SimHash group."""
-    from papertide.llm.simhash import one_of_each_group
+    """Keeps the document of least id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    from papertide.llm.nearcopies import near_copy_groups
+    from papertide.llm.simhash import least_of_groups
 
-    return one_of_each_group(docs)
+    return least_of_groups(docs, near_copy_groups(docs.filter("doc_id is not null")))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,7 +213,12 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) ->
 def one_of_each_group(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """The rows, with all their columns, that stay when of each group only the least doc_id does.
     Of repeated rows one stays; rows without an id cannot be told apart and all stay."""
-    ids = written(near_duplicate_groups(docs.filter("doc_id is not null"), radius, shingle).select("doc_id", "component_id"), "groups")
+    return least_of_groups(docs, near_duplicate_groups(docs.filter("doc_id is not null"), radius, shingle))
+
+
+def least_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows that stay when of each group (doc_id, component_id) only the least doc_id does."""
+    ids = written(groups.select("doc_id", "component_id"), "groups")
     kept = ids.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
     once = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     if not kept.filter("times > 1").isEmpty():

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from papertide.llm.common import map_batches, written
 from papertide.llm.components import star_components
+from papertide.llm.decontaminate import shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts of one shingle that are compared in one place; larger groups are dealt in block pairs.
@@ -27,6 +28,8 @@ KEY_ROWS = 2048
 #: Texts of the sample for the order of shingles, and frequent shingles sent to the executors (cost only: any order is right).
 SAMPLE, FREQUENT = 8_000, 50_000
 SKETCH = 512
+#: Texts that are hashed, and pairs that are verified, at once.
+SLICE = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -34,16 +37,21 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+#: Hashes of words this process has met.
+_KNOWN: dict[bytes, int] = {}
+
+
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a shorter text is one shingle."""
     words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    k, line, digest = min(size, len(words)), b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(line[a:b]) for a, b in spans), np.uint64, len(words) - k + 1))
+    if len(_KNOWN) > 200_000:
+        _KNOWN.clear()
+    for w in words:
+        if w not in _KNOWN:
+            _KNOWN[w] = xxhash.xxh64_intdigest(w)
+    hashes = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    # a text of fewer words has another length than a shingle: its own length keeps the two apart
+    return np.unique(shingle_hashes(hashes, size) + np.uint64(min(size, len(words)) % size))
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -56,6 +64,17 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8))
 
 
+def _map_slices(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``map_batches`` over parts of at most ``SLICE`` rows: their sets are larger than their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                yield fn(batch.slice(i, SLICE))
+
+    return df.mapInArrow(run, schema)
+
+
 def _text_keys(docs: DataFrame) -> DataFrame:
     """doc_id, fp (hash of the words in order, 0 without words), text."""
 
@@ -75,7 +94,7 @@ def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
 
     part = texts.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, rows // SAMPLE))) == 0).select("text")
-    counts = map_batches(part, run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 2")
+    counts = _map_slices(part, run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 2")
     found = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     tokens, n = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
     at = np.argsort(tokens.view(np.uint64))
@@ -101,7 +120,7 @@ def _prefixes(texts: DataFrame, shared, least: float) -> DataFrame:
         columns = [batch["fp"], pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, ["fp", "n", "sketch", "tokens"])
 
-    return map_batches(texts.select("fp", "text"), run, "fp long, n int, sketch binary, tokens array<long>")
+    return _map_slices(texts.select("fp", "text"), run, "fp long, n int, sketch binary, tokens array<long>")
 
 
 def _candidates(rows: DataFrame, least: float, heads: bool) -> DataFrame:
@@ -158,8 +177,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         good = [similar(shingle_set(x.as_py()), shingle_set(y.as_py()), least) for x, y in zip(batch["x"], batch["y"], strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    pairs = written(pairs, "copy-pairs")  # of known size: few pairs are broadcast instead of dealing out all texts
     x, y = (texts.select(F.col("fp").alias(k), F.col("text").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    return _map_slices(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def near_copy_groups(docs: DataFrame, least: float = SIMILARITY, key_rows: int = KEY_ROWS) -> DataFrame:

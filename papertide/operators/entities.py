@@ -30,17 +30,18 @@ def phrases(words: str, longest: int = 4) -> Column:
     return F.array_distinct(F.flatten(F.array(*runs)))
 
 
-def extract_terms(docs: DataFrame, dictionary: DataFrame, longest: int = 4) -> DataFrame:
+def extract_terms(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """doc_id, term, term_type, confidence: dictionary phrases (phrase, term, term_type, in_title, in_abstract)
     found in title or abstract, the best confidence of each.
 
-    Texts become word runs that meet the phrases by an equi-join; the cost follows the text, not the
-    number of phrases.
+    Texts become word runs, as long as the dictionary's longest phrase, that meet the phrases by an
+    equi-join; the cost follows the text, not the number of phrases.
     """
+    longest = dictionary.agg(F.max(F.size(tokens(F.col("phrase"))))).first()[0]
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in (("title", "title"), ("abstract", "abstract"))))
     texts = docs.select("doc_id", F.inline(fields))
     worded = texts.select("doc_id", "field", F.explode(F.array(tokens(F.col("text")))).alias("words"))  # cut to words once
-    runs = worded.select("doc_id", "field", F.explode(phrases("words", longest)).alias("phrase"))
+    runs = worded.select("doc_id", "field", F.explode(phrases("words", max(1, longest or 1))).alias("phrase"))
     key = dictionary.select(F.array_join(tokens(F.col("phrase")), " ").alias("phrase"), "term", "term_type", "in_title", "in_abstract")
     hits = runs.join(key, "phrase")
     return hits.groupBy("doc_id", "term", "term_type").agg(F.max(F.when(F.col("field") == "title", F.col("in_title")).otherwise(F.col("in_abstract"))).alias("confidence"))

@@ -79,8 +79,8 @@ def _text_keys(docs: DataFrame) -> DataFrame:
     """doc_id, fp (hash of the words in order, 0 without words), text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [words_of(t.as_py()) for t in batch["text"]]
-        fp = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) if w else 0 for w in words), np.uint64, len(words))
+        lines = (b" ".join(words_of(t.as_py())) for t in batch["text"])
+        fp = np.fromiter((xxhash.xxh64_intdigest(x) if x else 0 for x in lines), np.uint64, batch.num_rows)
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp.view(np.int64)), batch["text"]], ["doc_id", "fp", "text"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long, text string")
@@ -177,7 +177,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         good = [similar(shingle_set(x.as_py()), shingle_set(y.as_py()), least) for x, y in zip(batch["x"], batch["y"], strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs = written(pairs, "copy-pairs")  # of known size: few pairs are broadcast instead of dealing out all texts
+    pairs = written(pairs, "copy-pairs")
+    ids = written(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "copy-ids")  # of known size: not all texts are dealt out
+    texts = written(texts.join(ids, "fp", "left_semi"), "copy-needed")
     x, y = (texts.select(F.col("fp").alias(k), F.col("text").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return _map_slices(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
 

@@ -4,8 +4,8 @@ Texts are word sequences (ASCII punctuation is white space, A-Z lower-cased). Fo
 window of as many words slides over a text; the window's five-word shingles, repeats included, are
 summed to a SimHash. Windows of whose shingles too few occur in any item cannot reach the similarity and
 are not hashed. A multi-index over eight fingerprint blocks finds every item within the radius: of eight blocks one
-differs in at most an eighth of the radius, and each block lists the items so near to each of its
-values. What it finds is verified by the exact weighted similarity: sum of the lesser over sum of the
+differs in at most an eighth of the radius, and each block lists, for each of its values, the items so near to it. Lists are
+read for as many windows at once as ``PAIRS`` allows, so memory is bounded. What it finds is verified by the exact weighted similarity: sum of the lesser over sum of the
 greater shingle counts.
 """
 
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from papertide.llm.common import ragged_arange, utf8_size
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints at similarity 0.8 differ in about 10 of 64 bits; 23 leave no pair out in practice (more than 4 deviations).
+#: Fingerprints at similarity 0.8 differ in about 10 of 64 bits; more than 23 is over 4 standard deviations away.
 RADIUS = 23
+#: Windows times items that are looked at together.
+PAIRS = 1 << 20
 #: Items and their bytes that one pass over the documents sends to the executors.
 PASS_ITEMS, PASS_BYTES = 20_000, 32 << 20
 _SPACE = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(128)) + bytes(range(128, 256))
@@ -87,7 +89,11 @@ class ItemIndex:
         self.sizes = []
         for size in np.unique(self.words).tolist():
             own = np.flatnonzero(self.words == size)
-            self.sizes.append((size, own, np.stack([near[:, blocks[own, b]] for b in range(8)])))
+            lists = [np.nonzero(near[:, blocks[own, b]]) for b in range(8)] if size >= SHINGLE else []
+            self.sizes.append((size, own, [(np.searchsorted(value, np.arange(257)), item) for value, item in lists]))
+        self.short_by_size: dict[int, dict[int, list[int]]] = {}
+        for i in np.flatnonzero(self.words < SHINGLE).tolist():
+            self.short_by_size.setdefault(int(self.words[i]), {}).setdefault(int(hashes[i][0]), []).append(i)
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Places of shingles that some item has."""
@@ -97,27 +103,50 @@ class ItemIndex:
             at = at[self.shingles[to] == h[at]]
         return at
 
-    def within(self, prints: np.ndarray, own: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``prints``, item) of all items of one size within the radius: the blocks' tables
+    def within(self, prints: np.ndarray, own: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``prints``, item) of all items of one size within the radius: the blocks' lists
         name the candidates, whose differing bits are then counted."""
-        blocks = prints.view(np.uint8).reshape(-1, 8)
-        at, item = np.nonzero(np.logical_or.reduce([tables[b][blocks[:, b]] for b in range(8)]))
-        item = own[item]
-        close = np.bitwise_count(self.prints[item] ^ prints[at]) <= self.radius
-        return at[close], item[close]
+        found = [np.zeros(0, np.int64)]
+        step = max(1, PAIRS // len(own))
+        for first in range(0, len(prints), step):
+            part = prints[first : first + step]
+            blocks = part.view(np.uint8).reshape(-1, 8)
+            for b, (starts, items) in enumerate(lists):
+                low = starts[blocks[:, b]]
+                n = starts[blocks[:, b].astype(np.int64) + 1] - low
+                at, item = np.repeat(np.arange(len(part)), n), items[ragged_arange(low, n)]
+                close = np.bitwise_count(self.prints[own[item]] ^ part[at]) <= self.radius
+                found.append((at[close] + first) * len(own) + item[close])
+        at, item = np.divmod(np.unique(np.concatenate(found)), len(own))
+        return at, own[item]
+
+    def short_matches(self, words: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """Items of fewer words than a shingle, word for word at their first place."""
+        for size, items in self.short_by_size.items():
+            if len(words) >= size:
+                seen: set[int] = set()
+                for start, h in enumerate(shingle_hashes(words, size).tolist()):
+                    if h in items and h not in seen:
+                        seen.add(h)
+                        yield from ((self.ids[i], start, 0, 1.0) for i in items[h])
 
     def matches(self, words: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
         """(item, first word, differing bits, similarity) of each item's best window."""
+        found = list(self.short_matches(words))
+        if len(words) < SHINGLE:
+            return found
         h = shingle_hashes(words)
         hit = self.hits(h)
         if not len(hit):
-            return []
+            return found
         before = np.zeros(len(h) + 1, np.int64)
         before[hit + 1] = 1
         before = before.cumsum()
         best: dict[int, tuple[float, int, int]] = {}
-        for size, own, tables in self.sizes:
-            width = max(1, min(size, len(words)) - SHINGLE + 1)
+        for size, own, lists in self.sizes:
+            if not lists:
+                continue
+            width = min(size, len(words)) - SHINGLE + 1
             starts = np.unique(np.clip(ragged_arange(hit - width + 1, np.full(len(hit), width)), 0, len(h) - width))
             starts = starts[before[starts + width] - before[starts] >= least * width - 1e-9]
             for a, b in self._stretches(starts, width):
@@ -125,12 +154,12 @@ class ItemIndex:
                 lo, hi = int(run[0]), int(run[-1]) + width
                 sums = np.concatenate([np.zeros((1, 64), np.int32), bit_rows(h[lo:hi]).cumsum(0, dtype=np.int32)])
                 prints = pack(sums[run - lo + width] - sums[run - lo])
-                for at, i in zip(*(x.tolist() for x in self.within(prints, own, tables)), strict=True):
+                for at, i in zip(*(x.tolist() for x in self.within(prints, own, lists)), strict=True):
                     start = int(run[at])
                     sim = weighted_similarity(Counter(h[start : start + width].tolist()), self.counts[i])
                     if sim >= least and (i not in best or sim > best[i][0]):
                         best[i] = (sim, start, int(np.bitwise_count(prints[at] ^ self.prints[i])))
-        return [(self.ids[i], start, bits, sim) for i, (sim, start, bits) in best.items()]
+        return [*found, *((self.ids[i], start, bits, sim) for i, (sim, start, bits) in best.items())]
 
     @staticmethod
     def _stretches(starts: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
@@ -191,8 +220,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, r
     document holds with similarity ``least`` or more (the first among equals).
 
     Items go to the executors in passes of bounded size, each over all documents. Null or wordless
-    texts match nothing; items under five words are one shingle; repeated rows of documents return
-    their matches each, repeated items count once; null ids stay null.
+    texts match nothing; items under five words are found word for word; repeated rows of documents return
+    their matches each, repeated items count once; null ids stay null; other columns are ignored; empty tables give an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = [rows.mapInArrow(_match(shared, least), "doc_id long, item_id long, first_word int, bits int, similarity double") for shared in _passes(items, radius)]
@@ -211,7 +240,8 @@ def _clean(shared, least: float):
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """The rows, with all their columns, that hold no benchmark item."""
+    """The rows, with all their columns, that hold no benchmark item; null and wordless texts hold none, repeated rows
+    stay or go together, other columns may have any name; an empty table gives an empty one."""
     schema = docs.schema
     for shared in _passes(items, radius):
         docs = docs.mapInArrow(_clean(shared, least), schema)

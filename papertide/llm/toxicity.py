@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from papertide.llm.common import held_out, map_batches, written
 from papertide.llm.quality import fit_sample
 
-#: Labelled rows that a fit uses at most, and features it keeps.
-FIT_ROWS, FIT_FEATURES = 20_000, 8_000
+#: Labelled rows that a fit uses at most.
+FIT_ROWS = 20_000
 THRESHOLD = 0.5
 # Identity terms by group and language; a term is swapped for the next of its row.
 IDENTITY_TERMS = (
@@ -123,11 +123,11 @@ def _gradients(shared, size: int, penalty: float):
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES, penalty: float = 1.0, ridge: float = 2e-4,
-    steps: int = 40, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = 1.0, ridge: float = 2e-4,
+    support: float = 10, steps: int = 40, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
 ) -> ToxicModel:
-    """Fits on the bounded sample. The ``fit_features`` features whose share differs most between the
-    labels in favour of label 1 (and all identity terms) have weights; each of the ``steps`` sums gradients in Spark."""
+    """Fits on the bounded sample. Every feature whose share is greater among label 1 has a weight, and so have all identity
+    terms; weights are 0 or more, so others would end at 0. The ridge is stronger for features of few texts (double at ``support``). Each of the ``steps`` sums gradients in Spark."""
     spark = docs.sparkSession
     sample = written(fit_sample(docs, labels, "toxic", fit_rows).select("text", "label"), "toxic-fit")
     n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -135,12 +135,10 @@ def fit_toxicity(
         share = min(max((ones + 0.5) / (n + 1), 1e-6), 1 - 1e-6)
         return ToxicModel(float(np.log(share / (1 - share))), {})
     counts = map_batches(sample, _feature_counts, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p0, p1 = F.col("n0") / (n - ones), F.col("n1") / ones
-    p = (F.col("n0") + F.col("n1")) / n
-    apart = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / ones + 1 / (n - ones)) + 1e-12)
-    kept = [r["feature"] for r in counts.filter("n0 + n1 >= 5").orderBy(F.desc(apart), "feature").limit(fit_features).collect()]
+    kept = {r["feature"]: r["n"] for r in counts.filter(F.col("n1") * (n - ones) > F.col("n0") * ones).select("feature", (F.col("n0") + F.col("n1")).alias("n")).collect()}
     named = {t for row in terms for t in row}
-    names = sorted(set(kept) | features(named))
+    names = sorted(kept.keys() | features(named))
+    shrink = ridge * (1 + (support / np.array([kept.get(f, 1) for f in names])) ** 2)
     shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
     rows = written(sample.mapInArrow(_encoded(shared, swaps(terms)), "label int, has array<int>, had array<int>"), "toxic-features")
     w = np.zeros(len(names) + 1)
@@ -150,7 +148,7 @@ def fit_toxicity(
         now = spark.sparkContext.broadcast(w)
         parts = rows.mapInArrow(_gradients(now, len(w), penalty), "gradient binary").collect()
         grad = sum(np.frombuffer(bytes(r["gradient"])) for r in parts) / n
-        grad[:-1] += ridge * w[:-1]
+        grad[:-1] += shrink * w[:-1]
         first, second = 0.8 * first + 0.2 * grad, 0.95 * second + 0.05 * grad**2
         w = w - 0.25 * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-8)
         w[:-1] = np.maximum(w[:-1], 0)
@@ -160,7 +158,7 @@ def fit_toxicity(
 
 def toxicity_scores(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each row. Null, empty and wordless texts have the score of
-    the bias; repeated rows return a row each; other columns are ignored."""
+    the bias; repeated rows return a row each; other columns are ignored; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

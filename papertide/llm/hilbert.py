@@ -11,8 +11,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from papertide.llm.common import utf8_size, written
 
@@ -45,24 +46,42 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _prefix_number(text: Column) -> Column:
-    """The first six UTF-8 bytes as a number: keeps the order of strings, so its ranges prune."""
-    head = F.rpad(F.hex(F.substring(text.cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+def string_cuts(rows: DataFrame, column: str, points: list[float]) -> list[str]:
+    """The values of a string column at the given shares of its rows, by whole value in byte order.
+
+    Values are counted first; the counted values are sorted in range partitions, of which only the sums are gathered,
+    and each partition finds the points that fall into it. At most one value a point reaches the driver.
+    """
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    placed = written(counts.repartitionByRange("v").select("*", F.spark_partition_id().alias("part")), "values")
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts or [(0, 0)], "part int, start long"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ends = placed.join(offsets, "part").withColumn("upto", upto)
+    at = F.array(*(F.lit(int(p * total)) for p in points))
+    reached = F.filter(at, lambda x: (x > F.col("upto") - F.col("n")) & (x <= F.col("upto")))
+    return sorted({r["v"] for r in ends.filter(F.size(reached) > 0).select("v").collect()})
 
 
 def with_curve(rows: DataFrame, dims: dict[str, Column], bits: int = 4) -> DataFrame:
     """Adds ``curve``: the Hilbert index of the quantised dimensions (nulls fall in the first cell).
 
-    The cut points are quantile estimates over all rows, 2^bits - 1 numbers a dimension.
+    The cut points are quantiles over all rows, at most 2^bits - 1 values a dimension: estimates of numbers, exact for strings.
     """
     names = list(dims)
-    valued = rows.withColumns({f"_d{i}": dims[d].cast("double") for i, d in enumerate(names)})
+    valued = rows.withColumns({f"_d{i}": dims[d] for i, d in enumerate(names)})
     points = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = valued.agg(*(F.percentile_approx(f"_d{i}", points, 1000).alias(f"_d{i}") for i in range(len(names)))).first()
+    strings = [i for i in range(len(names)) if isinstance(valued.schema[f"_d{i}"].dataType, StringType)]
+    numbers = [i for i in range(len(names)) if i not in strings]
+    found = valued.agg(*(F.percentile_approx(F.col(f"_d{i}").cast("double"), points, 1000).alias(f"_d{i}") for i in numbers), F.count("*").alias("n")).first()
+    cuts = {i: found[f"_d{i}"] or [] for i in numbers} | {i: string_cuts(valued, f"_d{i}", points) for i in strings}
     cells = []
     for i in range(len(names)):
-        steps = [F.when(F.col(f"_d{i}") > c, 1).otherwise(0) for c in sorted(set(cuts[i] or []))]
+        steps = [F.when(F.col(f"_d{i}") > c, 1).otherwise(0) for c in sorted(set(cuts[i]))]
         cells.append(reduce(Column.__add__, steps, F.lit(0)))
 
     @F.pandas_udf("long")
@@ -103,7 +122,7 @@ def shard(docs: DataFrame, shards: int = 24, bits: int = 4) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         size.cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_crc32"),
-        *((_prefix_number(F.col(c)) if c in has else F.lit(None).cast("double")).alias(f"_{c}") for c in ("lang", "source")),
+        *((F.col(c) if c in has else F.lit(None)).cast("string").alias(f"_{c}") for c in ("lang", "source")),
         F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).alias("_chars"),
     )
     dims = {"size": F.col("size"), "lang": F.col("_lang"), "source": F.col("_source"), "chars": F.col("_chars") / F.col("size")}

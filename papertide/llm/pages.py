@@ -303,7 +303,7 @@ def label_counts(source: str) -> Counter:
 def _fit_counts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     counts: Counter = Counter()
     for number, source in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist(), strict=True):
-        texts = [text for _, text, link in parse(source).blocks if not link][:40]
+        texts = [text for _, text, link in parse(source).blocks if not link]
         for labelled in labelled_pages(texts, number or 0):
             counts += label_counts(labelled)
     if not counts:
@@ -322,7 +322,8 @@ def fit_pages(pages: DataFrame, fit_pages: int = FIT_PAGES) -> TreeModel:
 
 def main_texts(pages: DataFrame, model: TreeModel) -> DataFrame:
     """page_id, url, text, n_chars of each row. Null and empty pages have the empty text; markup that
-    never closes ends with the page; repeated rows return a row each; ids and urls may be null."""
+    never closes ends with the page; repeated rows return a row each; ids and urls may be null; other columns are ignored; an
+    empty table gives an empty one."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

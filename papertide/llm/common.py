@@ -63,6 +63,32 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+#: Rows of one key that stay in one task, and keys at most that are split.
+HOT_ROWS, HOT_KEYS = 100_000, 10_000
+
+
+def split_join(big: DataFrame, small: DataFrame, on: list[str], sizes: DataFrame | None = None, how: str = "inner", hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
+    """``big`` joined to ``small``, whose keys may be frequent in ``big``: a key of more than ``hot_rows`` rows
+    is split by a hash of the row into pieces, and its rows of ``small`` go to each piece.
+
+    ``sizes`` holds the keys and their number of rows in ``big`` as ``n`` (counted here if not given), ``total`` a bound of their sum. At most ``HOT_KEYS``
+    keys are split, so what is broadcast is bounded: with N rows, the bound of a piece becomes N / ``HOT_KEYS`` if that is more.
+    """
+    total = big.count() if total is None else total
+    if total <= hot_rows:
+        return big.join(small, on, how)
+    sizes = big.groupBy(*on).agg(F.count("*").alias("n")) if sizes is None else sizes
+    bound = max(hot_rows, total // HOT_KEYS)
+    hot = sizes.filter(F.col("n") > bound)
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    hot = F.broadcast(hot.select(*on, F.ceil(F.col("n") / bound).cast("int").alias("_pieces")))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    dealt = big.join(hot, on, "left").withColumn("_piece", F.pmod(F.xxhash64(*big.columns), pieces).cast("int")).drop("_pieces")
+    each = small.join(hot, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
+    return dealt.join(each, [*on, "_piece"], how).drop("_piece")
+
+
 def ragged_arange(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0] .. starts[0]+lengths[0]-1, starts[1] .., concatenated."""
     total = int(lengths.sum())

@@ -68,11 +68,13 @@ def _exceeds(counter: list[np.ndarray], over: np.ndarray, radius: int) -> np.nda
 
 
 def within_radius(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    """Indices i with Hamming distance of left[i] and right[i] at most radius, by bit planes."""
+    """Indices i with Hamming distance of left[i] and right[i] at most radius, by bit planes.
+    Fingerprints are unsigned longs, or rows of several."""
     n = len(left)
     words = -(-n // (64 * BLOCK_WORDS)) * BLOCK_WORDS
-    planes = np.zeros((64, words * 8), np.uint8)
-    bits = np.unpackbits((left ^ right).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    size = 64 * (left.shape[1] if left.ndim > 1 else 1)
+    planes = np.zeros((size, words * 8), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(left ^ right).view(np.uint8).reshape(n, size // 8), axis=1, bitorder="little")
     packed = np.packbits(bits.T, axis=1, bitorder="little")
     planes[:, : packed.shape[1]] = packed
     planes = planes.view(np.uint64)
@@ -86,7 +88,7 @@ def within_radius(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarra
             counter[c], plane = counter[c] ^ plane, counter[c] & plane
         over = over | plane
 
-    for first in range(0, 64, 8):
+    for first in range(0, size, 8):
         part = planes[first : first + 8][:, alive]
         for i in (0, 3):
             a, b, c = part[i], part[i + 1], part[i + 2]
@@ -217,10 +219,11 @@ def one_of_each_group(docs: DataFrame, radius: int = 2, shingle: int = 3) -> Dat
 
 
 def least_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows that stay when of each group (doc_id, component_id) only the least doc_id does."""
+    """The rows, with all their columns, that stay when of each group (doc_id, component_id) only the least doc_id does.
+    Of rows of the same id and text one stays; rows without an id cannot be told apart and all stay."""
     ids = written(groups.select("doc_id", "component_id"), "groups")
     kept = ids.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
     once = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     if not kept.filter("times > 1").isEmpty():
-        once = once.dropDuplicates(["doc_id"])
+        once = once.dropDuplicates(["doc_id", "text"])
     return once.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -2,7 +2,7 @@
 
 A suffix array over the whole corpus would need one task to see everything, so candidates are
 found first, without loss: every window of ``length`` bytes is assigned to the least hash among
-its ``GRAM``-byte strings (the leftmost if several are equal). Equal windows have equal
+its strings of ``gram_size(length)`` bytes (the leftmost if several are equal). Equal windows have equal
 anchors, so only contexts (the windows of one anchor, as one string) with the same anchor hash need
 comparing. Equal contexts repeat as a whole; different contexts of one anchor are sorted as a suffix
 array, where neighbours with a common prefix of ``length`` bytes repeat.
@@ -19,11 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertide.llm.common import ragged_arange, written
+from papertide.llm.common import HOT_ROWS, ragged_arange, split_join, written
 
-GRAM = 128
 #: Bytes hashed at once; longer texts are cut with an overlap of a window.
 SLICE = 1 << 20
+#: Shortest strings that can be looked for.
+LEAST = 96
 #: Contexts sorted in one place; anchors with more are dealt out and meet again by window hash.
 GROUP_CONTEXTS = 256
 #: Neighbouring windows of a dealt-out context that are looked up by what they have in common.
@@ -32,10 +33,15 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` (a power of two) bytes from each position, by doubling."""
+def gram_size(length: int) -> int:
+    """Bytes of an anchor: the largest power of two that is at most a third of the window."""
+    return 1 << (length // 3).bit_length() - 1
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` (a power of two) bytes from each position, by doubling."""
     h, size, factor = _BYTE[data], 1, _MULTIPLIER
-    while size < GRAM:
+    while size < gram:
         h = h[:-size] * np.uint64(factor) + h[size:]
         size, factor = 2 * size, factor * factor % (1 << 64)
     h ^= h >> np.uint64(32)
@@ -54,10 +60,11 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 def anchor_contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, number of windows): all windows inside the texts
     [starts[i], ends[i]) of ``data``, each in the row of its anchor."""
-    width = length - GRAM + 1
+    gram = gram_size(length)
+    width = length - gram + 1
     if len(data) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = _gram_hashes(data)
+    h = _gram_hashes(data, gram)
     least = _sliding(h, width, np.minimum)
     ok = np.zeros(len(least) + 1, np.int8)
     long_enough = ends - starts >= length
@@ -200,7 +207,8 @@ def _probes(text: bytes, wanted: np.ndarray, length: int) -> list[tuple[int, lis
     Equal windows lie at the same distance from their anchor, so windows are binned by that
     distance; the probe is what all windows of a bin have in common.
     """
-    anchor = int(np.argmin(_gram_hashes(np.frombuffer(text, np.uint8))[: length - GRAM + 1]))
+    gram = gram_size(length)
+    anchor = int(np.argmin(_gram_hashes(np.frombuffer(text, np.uint8), gram)[: length - gram + 1]))
     bins: dict[int, list[tuple[int, int]]] = {}
     for i in wanted.tolist():
         bins.setdefault((anchor - i) // PROBE_WINDOWS, []).append((i, xxhash.xxh3_64_intdigest(text[i : i + length]) - (1 << 63)))
@@ -263,29 +271,32 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"_text": text.cast("binary"), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_key": F.xxhash64(text)})
+    """row (all columns), text (bytes), id, key (hash of the text)."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), text.alias("text"), docs["doc_id"].cast("long").alias("id"))
+    return rows.select("row", F.col("text").cast("binary").alias("text"), F.coalesce("id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("key"))
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 400, group_contexts: int = GROUP_CONTEXTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """id, key, ranges (array of byte ranges ``[from, to)``, unmerged) of texts with a string of
-    ``length`` bytes that starts at another place too."""
-    if length < GRAM:
-        raise ValueError(f"strings shorter than {GRAM} bytes have no anchor")
-    texts = _keyed(docs).select(F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("_text").alias("text"))
+    ``length`` bytes that starts at another place too. An anchor or context of more than ``hot_rows`` rows is split over several tasks."""
+    if length < LEAST:
+        raise ValueError(f"strings shorter than {LEAST} bytes have anchors too short to tell texts apart")
+    texts = _keyed(docs).select("id", "key", "text")
     long_texts = texts.filter(F.length("text") >= length)
     placed = written(long_texts.mapInArrow(_contexts(length), "id long, key long, anchor long, ctx long, n int, at array<long>"), "contexts")
-    kinds = placed.groupBy("anchor", "ctx").agg(F.sum(F.size("at")).alias("times"), F.min(F.struct("id", "key", F.col("at")[0].alias("at"), "n")).alias("one"))
+    kinds = placed.groupBy("anchor", "ctx").agg(F.sum(F.size("at")).alias("times"), F.min(F.struct("id", "key", F.col("at")[0].alias("at"), "n")).alias("one"), F.count("*").alias("rows"))
     kinds = written(kinds, "context-kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed-anchors")
+    per_anchor, n_kinds = mixed.withColumnRenamed("kinds", "n"), kinds.count()
     whole = kinds.filter("times > 1").select("anchor", "ctx", F.lit(0).alias("lo"), F.col("one.n").alias("hi"))
 
-    wants = kinds.join(mixed, "anchor").select("anchor", "ctx", "kinds", "one.*")
+    wants = split_join(kinds, mixed, ["anchor"], per_anchor, hot_rows=hot_rows, total=n_kinds).select("anchor", "ctx", "kinds", "one.*")
     dealt = written(wants, "wanted-contexts")
     lists = dealt.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "ctx", "at", (F.col("n") + length - 1).alias("size"))).alias("wants"))
     cut = texts.join(lists.hint("shuffle_hash"), ["id", "key"]).select("text", "wants").mapInArrow(_cut_out, "anchor long, ctx long, bytes binary")
     groups = F.ceil(F.col("kinds") / group_contexts)
-    sized = cut.join(mixed, "anchor").select(
+    sized = split_join(cut, mixed, ["anchor"], per_anchor, hot_rows=hot_rows, total=n_kinds).select(
         "anchor", "ctx", "bytes", (F.col("kinds") > group_contexts).alias("shared"),
         F.xxhash64("anchor", F.pmod("ctx", groups)).alias("group"),
     )
@@ -301,7 +312,8 @@ def repeated_ranges(docs: DataFrame, length: int = 400, group_contexts: int = GR
     runs = runs.groupBy("anchor", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     at_each = lambda r: lambda a: F.struct((a + r["lo"]).alias("from"), (a + r["hi"] + length - 1).alias("to"))
     ranges = F.flatten(F.transform("runs", lambda r: F.transform("at", at_each(r))))
-    hit = placed.join(runs, ["anchor", "ctx"]).select("id", "key", ranges.alias("ranges"))
+    per_context = kinds.filter("rows > 1").select("anchor", "ctx", F.col("rows").alias("n"))
+    hit = split_join(placed, runs, ["anchor", "ctx"], per_context, hot_rows=hot_rows, total=placed.count()).select("id", "key", ranges.alias("ranges"))
     return hit.groupBy("id", "key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
@@ -319,7 +331,7 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, spans = [], [], []
-        for text, ranges in zip(batch["_text"].to_pylist(), batch["ranges"].to_pylist(), strict=True):
+        for text, ranges in zip(batch["text"].to_pylist(), batch["ranges"].to_pylist(), strict=True):
             runs = merged(ranges or [])
             at, parts = 0, []
             for a, b in runs:
@@ -328,9 +340,16 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join([*parts, text[at:]]) if runs else text)
             removed.append(len(text) - len(kept[-1]))
             spans.append(len(runs))
-        rest = [x for x in batch.schema.names if x not in ("_text", "ranges")]
-        cols = [batch[x] for x in rest] + [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, [*rest, "kept", "n_removed", "n_spans"])
+        cols = [batch["row"], batch["n_bytes"], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "n_bytes", "kept", "n_removed", "n_spans"])
+
+
+def _cut_rows(docs: DataFrame, length: int, group_contexts: int) -> DataFrame:
+    """row (all columns of ``docs``), n_bytes, kept (the remaining bytes), n_removed, n_spans."""
+    ranges = repeated_ranges(docs, length, group_contexts)
+    rows = _keyed(docs).join(ranges.hint("shuffle_hash"), ["id", "key"], "left").select("row", F.length("text").cast("long").alias("n_bytes"), "text", "ranges")
+    schema = f"row {dict(rows.dtypes)['row']}, n_bytes long, kept binary, n_removed long, n_spans long"
+    return rows.mapInArrow(_remove, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = 400, carry: list[str] | None = None, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
@@ -338,35 +357,31 @@ def without_repeats(docs: DataFrame, length: int = 400, carry: list[str] | None
 
     Every byte covered by a string of ``length`` bytes that starts anywhere else, in the same or
     another row, is removed; strings are judged on the input. Null texts are empty; texts shorter
-    than ``length`` stay whole; repeated rows remove each other's bytes; null ids are fine.
+    than ``length`` stay whole; repeated rows remove each other's bytes; null ids are fine; other columns
+    may have any name; an empty table gives an empty one.
     """
     carry = carry or ["doc_id"]
-    ranges = repeated_ranges(docs, length, group_contexts).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "ranges")
-    rows = _keyed(docs.select(*dict.fromkeys([*carry, "doc_id", "text"]))).join(ranges.hint("shuffle_hash"), ["_id", "_key"], "left")
-    rows = rows.select(*carry, F.length("_text").cast("long").alias("n_bytes"), "_text", "ranges")
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*carry, "n_bytes"]) + ", kept binary, n_removed long, n_spans long"
-    return rows.mapInArrow(_remove, schema)
+    rows = _cut_rows(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])), length, group_contexts)
+    return rows.select(*(F.col("row")[c].alias(c) for c in carry), "n_bytes", "kept", "n_removed", "n_spans")
 
 
 def shortened(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with repeated strings removed from ``text`` and ``n_chars`` counted anew; a character
-    that loses some of its bytes goes whole. Rows stay even if nothing is left of their text."""
-    rows = docs.withColumn("_was_null", F.col("text").isNull())
+    that loses some of its bytes goes whole. Rows stay even if nothing is left of their text; null texts stay null,
+    repeated rows lose their common text, other columns stay as they are, whatever their names; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [k.decode("utf-8", errors="ignore") for k in batch["kept"].to_pylist()]
-            rest = [x for x in batch.schema.names if x != "kept"]
-            yield pa.RecordBatch.from_arrays([*(batch[x] for x in rest), pa.array(texts, pa.string())], [*rest, "_left"])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], ["row", "left"])
 
-    carry = [c for c in rows.columns if c != "text"]
-    left = without_repeats(rows, length, carry).drop("n_bytes", "n_removed", "n_spans")
-    left = left.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in left.dtypes if c != "kept") + ", _left string")
-    left = left.withColumn("text", F.when(~F.col("_was_null"), F.col("_left")))
+    left = _cut_rows(docs, length, GROUP_CONTEXTS).select("row", "kept")
+    left = left.mapInArrow(run, f"row {dict(left.dtypes)['row']}, left string")
+    was_null = F.col("row")["text"].isNull()
+    new = {"text": F.when(~was_null, F.col("left"))}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("_was_null"), F.col("n_chars")).otherwise(F.char_length("_left")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+        new["n_chars"] = F.when(was_null, F.col("row")["n_chars"]).otherwise(F.char_length("left")).cast(docs.schema["n_chars"].dataType)
+    return left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def kept_digest(kept: Column) -> Column:

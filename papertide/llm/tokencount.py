@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from papertide.llm.common import scratch_path, utf8_size
+from papertide.llm.common import scratch_path, split_join, utf8_size, written
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: Characters encoded in one call, and chunks between white space whose counts a task remembers.
@@ -89,11 +89,17 @@ def _normalised(text: Column, strip: bool) -> Column:
     return F.btrim(text, F.lit(" \t\n\r")) if strip else text
 
 
+#: Digests that a task remembers.
+SEEN = 1 << 18
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops the later copies of a text within one task, before the shuffle."""
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
+        if len(seen) > SEEN:  # a copy that is met again is counted twice at worst
+            seen.clear()
         for i, digest in enumerate(batch["digest"].to_pylist()):
             if digest not in seen:
                 seen.add(digest)
@@ -134,6 +140,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     version = tokenizer_version(tokenizer_path, drops_white_space)
     content = docs.select("doc_id", F.col("text").cast("string").alias("text"), _normalised(F.col("text"), drops_white_space).alias("content"))
     content = content.withColumn("digest", F.unhex(F.sha2("content", 256)))
+    rows = written(content.select("doc_id", F.coalesce(utf8_size(F.col("text")), F.lit(0).cast("long")).alias("n_bytes"), "digest"), "digests")
     known = read_cache(spark, cache_path, version)
     texts = content.select("digest", "content").mapInArrow(_once, "digest binary, content string")
     if known is None:
@@ -141,6 +148,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     else:
         misses = texts.join(known.select("digest").hint("shuffle_hash"), "digest", "left_anti")
     misses.mapInArrow(_encode(tokenizer_path, version, drops_white_space), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    rows = content.select("doc_id", F.coalesce(utf8_size(F.col("text")), F.lit(0).cast("long")).alias("n_bytes"), "digest")
-    counted = rows.join(read_cache(spark, cache_path, version), "digest")
+    counted = split_join(rows, read_cache(spark, cache_path, version), ["digest"])
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,11 +1,14 @@
-"""Near copies: texts whose sets of five-word shingles have similarity (Jaccard) 0.8 or more.
-
-Candidates come from prefixes. Shingles have one order for all texts; of two sets of similarity t, the
-first n - ceil(t n) + 1 shingles of each share one, whatever the order is, so no pair is left out. Shingles
-that are frequent in a sample stand last in the order, which keeps the groups small. A parity sketch (each shingle
-flips one of 512 bits) differs in no more bits than the sets in shingles, so its filter is exact too. What passes
-is verified on the texts. A first round compares each text of a group with the group's first only and joins large
-groups of copies; the second compares the pairs that are still in different components.
+"""Near copies: texts whose sets of five-word shingles have similarity (Jaccard) 0.8 or more, by SimHash.
+
+The 128-bit SimHashes of a group of candidates stand as bit planes and are compared by the carry-save counters of
+``simhash``; what is within the radius is verified on the texts. At similarity 0.8 the sets' cosine is 0.889 at least,
+so a bit differs with probability 0.151: 19 of 128 bits on average, and more than ``RADIUS`` in less than one pair of 10^7.
+
+Two SimHashes that far apart share no block of bits that could be looked up, so the groups come from prefixes of the sets. Shingles
+have one order for all texts; of two sets of similarity t, the first n - ceil(t n) + 1 shingles of each share one, whatever
+the order is, so no pair is left out. Shingles that are frequent in a sample stand last, which keeps the groups small. A first round
+compares each text of a group with the group's first only and joins large groups of copies; the second compares
+the pairs that are still in different components.
 """
 
 from __future__ import annotations
@@ -18,18 +21,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertide.llm.common import map_batches, written
+from papertide.llm.common import HOT_ROWS, split_join, written
 from papertide.llm.components import star_components
 from papertide.llm.decontaminate import shingle_hashes
+from papertide.llm.simhash import within_radius
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Differing bits of 128 up to which a pair is verified.
+RADIUS = 48
 #: Texts of one shingle that are compared in one place; larger groups are dealt in block pairs.
 KEY_ROWS = 2048
 #: Texts of the sample for the order of shingles, and frequent shingles sent to the executors (cost only: any order is right).
 SAMPLE, FREQUENT = 8_000, 50_000
-SKETCH = 512
 #: Texts that are hashed, and pairs that are verified, at once.
 SLICE = 256
+#: Hashes of words this process has met.
+_KNOWN: dict[bytes, int] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,13 +44,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-#: Hashes of words this process has met.
-_KNOWN: dict[bytes, int] = {}
-
-
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+def shingle_set(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a shorter text is one shingle."""
-    words = words_of(text)
     if len(_KNOWN) > 200_000:
         _KNOWN.clear()
     for w in words:
@@ -59,13 +61,19 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8))
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """128-bit SimHash as two unsigned longs."""
+    counts = np.zeros(128, np.int64)
+    for i in range(0, len(shingles), 65536):
+        h = shingles[i : i + 65536]
+        other = (h ^ (h >> np.uint64(31))) * np.uint64(0xA0761D6478BD642F)
+        both = np.stack([h, other ^ (other >> np.uint64(29))], 1)
+        counts += np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.uint64)
 
 
 def _map_slices(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``map_batches`` over parts of at most ``SLICE`` rows: their sets are larger than their texts."""
+    """A function over parts of at most ``SLICE`` rows: their sets are larger than their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,25 +83,29 @@ def _map_slices(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _text_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (hash of the words in order, 0 without words), text."""
+def prefix(shingles: np.ndarray, tokens: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set: those not frequent by hash, then the frequent ones by count."""
+    rank = np.zeros(len(shingles), np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, shingles), len(tokens) - 1)
+        rank = np.where(tokens[at] == shingles, counts[at], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(least * n - 1e-9)) + 1]] if n else shingles
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines = (b" ".join(words_of(t.as_py())) for t in batch["text"])
-        fp = np.fromiter((xxhash.xxh64_intdigest(x) if x else 0 for x in lines), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp.view(np.int64)), batch["text"]], ["doc_id", "fp", "text"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long, text string")
+def _text_key(words: list[bytes]) -> int:
+    """Hash of the words in order, 0 without words."""
+    return xxhash.xxh64_intdigest(b" ".join(words)) if words else 0
 
 
-def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are in three or more texts of a sample, sorted, and their counts there."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t.as_py()) for t in batch["text"]]
+        sets = [shingle_set(words_of(t.as_py())) for t in batch["text"]]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
 
-    part = texts.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, rows // SAMPLE))) == 0).select("text")
+    part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0).select("text").distinct()
     counts = _map_slices(part, run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 2")
     found = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     tokens, n = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
@@ -101,48 +113,44 @@ def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens.view(np.uint64)[at], n[at]
 
 
-def prefix(shingles: np.ndarray, tokens: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles of a set: those not frequent by hash, then the frequent ones by count."""
-    rank = np.zeros(len(shingles), np.int64)
-    if len(tokens):
-        at = np.minimum(np.searchsorted(tokens, shingles), len(tokens) - 1)
-        rank = np.where(tokens[at] == shingles, counts[at], 0)
-    n = len(shingles)
-    return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(least * n - 1e-9)) + 1]] if n else shingles
-
-
-def _prefixes(texts: DataFrame, shared, least: float) -> DataFrame:
-    """fp, n (shingles), sketch, tokens (the prefix)."""
+def _sets(docs: DataFrame, shared, least: float) -> DataFrame:
+    """doc_id, fp (text key), n (shingles), x and y (SimHash), tokens (the prefix)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t.as_py()) for t in batch["text"]]
+        words = [words_of(t.as_py()) for t in batch["text"]]
+        sets = [shingle_set(w) for w in words]
+        prints = np.stack([wide_fingerprint(s) for s in sets]).view(np.int64)
         tokens = [prefix(s, *shared.value, least).view(np.int64) for s in sets]
-        columns = [batch["fp"], pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["fp", "n", "sketch", "tokens"])
+        fp = np.array([_text_key(w) for w in words], np.uint64).view(np.int64)
+        columns = [batch["doc_id"], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(prints[:, i])) for i in (0, 1)), pa.array(tokens, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "x", "y", "tokens"])
 
-    return _map_slices(texts.select("fp", "text"), run, "fp long, n int, sketch binary, tokens array<long>")
+    return _map_slices(docs, run, "doc_id long, fp long, n int, x long, y long, tokens array<long>")
 
 
 def _candidates(rows: DataFrame, least: float, heads: bool) -> DataFrame:
-    """Pairs ``(a, b)`` of rows (key, fp, n, sketch, root) of one key that sizes and sketches let pass: each
-    row with the key's first, or all pairs of different roots."""
+    """Pairs ``(a, b)`` of rows (key, fp, n, x, y, root) of one key and different roots that sizes and SimHashes
+    let pass: each row with the key's first, or all pairs."""
 
     def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
-        key, fp, n, bits, root = part
+        key, fp, n, x, y, root = part
+        bits = np.stack([x, y], 1).view(np.uint64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        several = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        sizes = np.diff(np.r_[first, len(key)])
         out: list[np.ndarray] = []
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
-            i, j = (x[root[i] != root[j]] for x in (i, j))
-            i, j = (x[np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9] for x in (i, j))
-            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-            good = differ <= (1 - least) / (1 + least) * (n[i] + n[j]) + 1e-9
-            out.append(np.stack([np.minimum(fp[i], fp[j])[good], np.maximum(fp[i], fp[j])[good]], 1))
-
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        at = np.arange(len(key))
+            good = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[good], j[good]
+            if len(i):
+                near = within_radius(bits[i], bits[j], RADIUS)
+                i, j = i[near], j[near]
+                out.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], 1))
+
+        at = np.flatnonzero(np.repeat(several, sizes))
         if heads:
-            head = np.repeat(first, np.diff(np.append(first, len(key))))
-            test(head, at)
+            test(np.repeat(first, sizes)[at], at)
         shift = 1
         while not heads and len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
             for k in range(0, len(at), 1 << 16):
@@ -158,57 +166,83 @@ def _candidates(rows: DataFrame, least: float, heads: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "fp", "n")]
-            new += [np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH // 64), batch["root"].to_numpy(zero_copy_only=False)]
-            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
+            new = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "fp", "n", "x", "y", "root")]
+            kept = [np.concatenate(v) for v in zip(kept, new, strict=True)] if kept else new
             if len(kept[0]) >= 1 << 16 and (cut := int(np.searchsorted(kept[0], kept[0][-1]))):
-                yield pairs([x[:cut] for x in kept])
-                kept = [x[cut:] for x in kept]
+                yield pairs([v[:cut] for v in kept])
+                kept = [v[cut:] for v in kept]
         if kept:
             yield pairs(kept)
 
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "fp", "n", "x", "y", "root").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts are similar."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = [similar(shingle_set(x.as_py()), shingle_set(y.as_py()), least) for x, y in zip(batch["x"], batch["y"], strict=True)]
+        good, last, left = [], None, None
+        for a, x, y in zip(batch["a"].to_pylist(), batch["left"], batch["right"], strict=True):
+            if a != last:
+                last, left = a, shingle_set(words_of(x.as_py()))
+            good.append(similar(left, shingle_set(words_of(y.as_py())), least))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs = written(pairs, "copy-pairs")
-    ids = written(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "copy-ids")  # of known size: not all texts are dealt out
-    texts = written(texts.join(ids, "fp", "left_semi"), "copy-needed")
-    x, y = (texts.select(F.col("fp").alias(k), F.col("text").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return _map_slices(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    left, right = (texts.select(F.col("fp").alias(k), F.col("text").alias(v)) for k, v in (("a", "left"), ("b", "right")))
+    sizes = {k: pairs.groupBy(k).agg(F.count("*").alias("n")) for k in ("a", "b")}
+    total = pairs.count()
+    both = split_join(split_join(pairs, right, ["b"], sizes["b"], total=total), left, ["a"], sizes["a"], total=total)
+    return _map_slices(both.select("a", "b", "left", "right"), run, "a long, b long")
+
+
+def _dealt(shares: DataFrame, key_rows: int) -> DataFrame:
+    """Rows of a key as they are; of more than ``key_rows`` (``size``) in block pairs."""
+    blocks = F.ceil(F.col("size") / key_rows).cast("int")
+    dealt = shares.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    key = F.when(F.col("size") <= key_rows, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt.select(key.alias("key"), "fp")
 
 
-def near_copy_groups(docs: DataFrame, least: float = SIMILARITY, key_rows: int = KEY_ROWS) -> DataFrame:
+def near_copy_groups(docs: DataFrame, least: float = SIMILARITY, key_rows: int = KEY_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, component_id (least doc_id reachable over pairs of similarity ``least`` or more) of rows with an id.
 
-    Texts of the same words are one group, null and wordless texts too. Repeated rows return a row each.
+    Texts of the same words are one group, null and wordless texts too. Repeated rows return a row each, rows without an id
+    none; other columns are ignored; an empty table gives an empty one.
     """
-    keyed = _text_keys(docs)
-    fps = written(keyed.select("doc_id", "fp"), "copy-keys")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "copy-distinct")
-    firsts = distinct.select("fp", F.col("least_id").alias("doc_id"))
-    texts = written(keyed.filter("fp <> 0").join(firsts, ["fp", "doc_id"], "left_semi").select("fp", "text"), "copy-texts")
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts, distinct.count()))
-    sets = written(_prefixes(texts, shared, least), "copy-prefixes")
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(rows))
+    every = written(_sets(rows, shared, least), "copy-sets")
+    distinct = written(every.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "copy-distinct")
+    firsts = distinct.filter("fp <> 0").select("fp", F.col("least_id").alias("doc_id"))
+    sets = every.join(firsts, ["fp", "doc_id"], "left_semi")
     tokens = sets.select("fp", F.explode("tokens").alias("key"))
-    counts = tokens.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shares = tokens.join(counts, "key").join(sets.select("fp", "n", "sketch"), "fp")
-    blocks = F.ceil(F.col("size") / key_rows).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    dealt = shares.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    key = F.when(F.col("size") <= key_rows, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    rows = written(dealt.select(key.alias("key"), "fp", "n", "sketch"), "copy-rows")
-    near = written(_verified(_candidates(rows.withColumn("root", F.col("fp")), least, True), texts, least), "copy-links")
+    counts = written(tokens.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "copy-keys")
+    total = every.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    shares = written(_dealt(split_join(tokens, counts, ["key"], counts.withColumnRenamed("size", "n"), hot_rows=hot_rows, total=total), key_rows), "copy-shares")
+    needed = written(shares.select("fp").distinct(), "copy-ids")  # texts that share a shingle; all others end here
+    prints = written(sets.join(needed, "fp", "left_semi").select("fp", "n", "x", "y").dropDuplicates(["fp"]), "copy-prints")
+    with_prints = written(shares.join(prints, "fp"), "copy-rows")
+    heads = written(_candidates(with_prints.withColumn("root", F.col("fp")), least, True), "copy-heads")
+    return _joined(rows, every, distinct, with_prints, heads, firsts, needed, least)
+
+
+def _joined(rows: DataFrame, every: DataFrame, distinct: DataFrame, with_prints: DataFrame, heads: DataFrame, firsts: DataFrame, needed: DataFrame, least: float) -> DataFrame:
+    """The two rounds of verified links, their components, and the rows' ids."""
+
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """An id of several texts: only the text of the key."""
+        keys = np.array([_text_key(words_of(t.as_py())) for t in batch["text"]], np.uint64).view(np.int64)
+        return batch.filter(pa.array(keys == batch["fp"].to_numpy()))
+
+    ids = needed.join(firsts, "fp").select("doc_id", "fp")
+    named = _map_slices(rows.join(ids, "doc_id").select("fp", "text"), own, "fp long, text string")
+    texts = written(named.dropDuplicates(["fp"]), "copy-texts")
+    near = written(_verified(heads, texts, least), "copy-links")
     roots = star_components(near).select(F.col("node").alias("fp"), "root")
-    rooted = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = with_prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     links = near.union(written(_verified(_candidates(rooted, least, False), texts, least), "copy-links"))
     nodes = star_components(links).select(F.col("node").alias("fp"), "root")
     named = written(distinct.join(nodes, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "copy-roots")
     component = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return fps.join(named.join(component, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return every.select("doc_id", "fp").join(named.join(component, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")

@@ -144,14 +144,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
 def quality_scores(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each row. Null and empty texts have all statistics 0 and
-    are scored like any other; repeated rows return a row each; other columns are ignored."""
+    are scored like any other; repeated rows return a row each; other columns are ignored; an empty table gives an empty one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = with_statistics(rows).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def good_documents(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, whose score is ``threshold`` or more."""
-    if clash := [c for c in docs.columns if c.lower().startswith("q_")]:
-        raise ValueError(f"columns {clash} clash with the statistics")
-    return with_statistics(docs, docs.columns).filter(model.score() >= threshold).select(*docs.columns)
+    """The rows, with all their columns, whose score is ``threshold`` or more. Null and empty texts are scored like
+    any other, repeated rows stay or go together, other columns may have any name; an empty table gives an empty one."""
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
+    kept = with_statistics(rows, ["row"]).filter(model.score() >= threshold)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

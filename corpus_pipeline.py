@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from papertide.llm.common import table, written
 
+#: A passage of over 50 words is to be caught: 51 words of the languages at hand take 240 bytes or more.
+REPEAT_BYTES = 240
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the rule ensemble scores 0.3 or more."""
@@ -24,10 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes bytes that are part of a 400-byte string found elsewhere too."""
+    """Removes bytes that are part of a string of ``REPEAT_BYTES`` bytes found elsewhere too."""
     from papertide.llm.suffix import shortened
 
-    return shortened(docs)
+    return shortened(docs, REPEAT_BYTES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

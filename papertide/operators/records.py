@@ -23,19 +23,12 @@ def with_identity_keys(records: DataFrame) -> DataFrame:
     return records.withColumns({"doi_key": normalized_doi(F.col("doi")), "title_key": title_key(F.col("title")), "year": F.year("pub_date")})
 
 
-def resolve_exact(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds paper_id, rule and confidence: by DOI (1.0), else by title and year (0.97), else null. ``known`` has
-    one row for each paper; of several the least paper_id counts."""
-    by_doi = known.filter("doi_key is not null").groupBy("doi_key").agg(F.min("paper_id").alias("by_doi"))
-    by_title = known.filter("title_key is not null").groupBy("title_key", "year").agg(F.min("paper_id").alias("by_title"))
-    rows = incoming.join(by_doi, "doi_key", "left").join(by_title, ["title_key", "year"], "left")
-    rule = F.when(F.col("by_doi").isNotNull(), "doi").when(F.col("by_title").isNotNull(), "title_year")
-    return rows.withColumns({"paper_id": F.coalesce("by_doi", "by_title"), "rule": rule, "confidence": F.when(rule == "doi", 1.0).when(rule == "title_year", 0.97)}).drop("by_doi", "by_title")
-
-
-def title_candidates(a: DataFrame, b: DataFrame, least: int = 16) -> DataFrame:
-    """Pairs (left_id, right_id, title_key) of equal titles of ``least`` characters at least."""
-    return a.filter(F.length("title_key") >= least).select(F.col("id").alias("left_id"), "title_key").join(b.select(F.col("id").alias("right_id"), "title_key"), "title_key").filter("left_id < right_id")
+def title_candidates(records: DataFrame, least: int = 16) -> DataFrame:
+    """left_id, right_id: each record and the first of its title, for titles of ``least`` characters at least. One pair a record, not
+    all pairs of a title: what joins them is the same."""
+    long_titles = records.filter(F.length("title_key") >= least)
+    heads = long_titles.groupBy("title_key").agg(F.min("id").alias("right_id"))
+    return long_titles.select(F.col("id").alias("left_id"), "title_key").join(heads, "title_key").filter("left_id <> right_id")
 
 
 def id_conflicts(claims: DataFrame) -> DataFrame:
@@ -49,12 +42,12 @@ def merge_sources(records: DataFrame, key: str, order: str, fill: list[str], gro
     return records.groupBy(key).agg(*first, *(F.max(c).alias(c) for c in grow), *(F.bool_or(c).alias(c) for c in any_of), F.count("*").alias("records"))
 
 
-def components(edges: DataFrame, save, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, save) -> DataFrame:
     """node, root (least node reachable) of links (a, b). Each round takes the least label of the neighbours and
-    the label of the label; ``save`` writes a round away, so the lineage stays short."""
+    the label of the label, until none changes; ``save`` writes a round away, so the lineage stays short."""
     both = save(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         stepped = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jumped = stepped.join(labels.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.least("root", "up").alias("root"), "was")
@@ -62,7 +55,6 @@ def components(edges: DataFrame, save, rounds: int = 60) -> DataFrame:
         if labels.filter("root <> was").isEmpty():
             return labels.select("node", "root")
         labels = labels.select("node", "root")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def new_records(incoming: DataFrame, known: DataFrame) -> DataFrame:

@@ -127,13 +127,6 @@ def paper_search(spark, d):
     return found.join(terms.filter("term_type = 'method' and normalized_term ilike 'promo%'").select("paper_id"), "paper_id", "left_anti").select("paper_id", "journal", "year")
 
 
-@query("link_versions", f"WITH {t.VERSIONS_SQL}, a AS (SELECT * FROM versions_v WHERE version_type = 'preprint'), b AS (SELECT canonical_paper_id, arg_min(version_id, (publication_date, version_id)) AS published FROM versions_v WHERE version_type = 'published' GROUP BY 1) SELECT a.version_id, b.published FROM a JOIN b USING (canonical_paper_id)")
-def link_versions(spark, d):
-    v = t.versions(spark, d)
-    first = v.filter("version_type = 'published'").groupBy("canonical_paper_id").agg(F.min_by("version_id", F.struct("publication_date", "version_id")).alias("published"))
-    return v.filter("version_type = 'preprint'").join(first, "canonical_paper_id").select("version_id", "published")
-
-
 @query("author_dim", "SELECT md5(lower(trim(c_name))) AS author_id, arg_max(c_name, c_custkey) AS display_name, count(*) AS records FROM customer GROUP BY 1")
 def author_dim(spark, d):
     return t.read(spark, d, "customer").groupBy(F.md5(F.lower(F.trim("c_name")).cast("binary")).alias("author_id")).agg(F.max_by("c_name", "c_custkey").alias("display_name"), F.count("*").alias("records"))

@@ -8,7 +8,6 @@ from papertide.operators import records as op
 from papertide.plans.corpus import rounded
 from papertide.plans.registry import query
 from papertide.sources import tables as t
-from papertide.sources.scratch import saved
 from papertide.streaming import events as st
 
 DOC_KEYS_SQL = f"WITH {t.DOCS_SQL}, keys_v AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN concat('10.1/', CAST(doc_id % 200 AS VARCHAR)) END AS doi_key, nullif(trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '') AS title_key, CAST(year(pub_date) AS INTEGER) AS year FROM docs_v)".replace("{{", "{").replace("}}", "}")
@@ -24,17 +23,9 @@ def identity_keys(spark, d):
     return keyed(spark, d)
 
 
-@query("resolve_exact", f"""{DOC_KEYS_SQL}, k AS (SELECT * FROM keys_v WHERE id % 2 = 0), i AS (SELECT * FROM keys_v WHERE id % 2 = 1), a AS (SELECT doi_key, min(id) AS by_doi FROM k WHERE doi_key IS NOT NULL GROUP BY 1), b AS (SELECT title_key, year, min(id) AS by_title FROM k WHERE title_key IS NOT NULL GROUP BY 1, 2)
-SELECT id, coalesce(by_doi, by_title) AS paper_id, CASE WHEN by_doi IS NOT NULL THEN 'doi' WHEN by_title IS NOT NULL THEN 'title_year' END AS rule, CASE WHEN by_doi IS NOT NULL THEN CAST(1.0 AS DOUBLE) WHEN by_title IS NOT NULL THEN 0.97 END AS confidence FROM i LEFT JOIN a USING (doi_key) LEFT JOIN b USING (title_key, year)""")
-def resolve_exact(spark, d):
-    both = keyed(spark, d)
-    return op.resolve_exact(both.filter("id % 2 = 1"), both.filter("id % 2 = 0").withColumnRenamed("id", "paper_id")).select("id", "paper_id", "rule", "confidence")
-
-
-@query("title_candidates", f"{DOC_KEYS_SQL} SELECT a.id AS left_id, b.id AS right_id FROM keys_v a JOIN keys_v b ON a.title_key = b.title_key AND a.id < b.id WHERE length(a.title_key) >= 16")
+@query("title_candidates", f"{DOC_KEYS_SQL} SELECT a.id AS left_id, b.m AS right_id FROM keys_v a JOIN (SELECT title_key, min(id) AS m FROM keys_v WHERE length(title_key) >= 16 GROUP BY 1) b USING (title_key) WHERE a.id <> b.m")
 def title_candidates(spark, d):
-    both = keyed(spark, d)
-    return op.title_candidates(both, both).select("left_id", "right_id")
+    return op.title_candidates(keyed(spark, d)).select("left_id", "right_id")
 
 
 @query("id_conflicts", f"WITH {t.PAPERS_SQL}, c AS (SELECT 'group' AS namespace, concat(journal, month) AS external_id, paper_id, pub_date AS claimed_at FROM papers_v) SELECT namespace, external_id, arg_min(paper_id, (claimed_at, paper_id)) AS kept, count(DISTINCT paper_id) AS papers FROM c GROUP BY 1, 2 HAVING count(DISTINCT paper_id) > 1")
@@ -48,16 +39,6 @@ def merge_sources(spark, d):
     return op.merge_sources(t.papers(spark, d), "month", "source", ["doi"], ["cited_by_count"], ["is_open_access"])
 
 
-@query("components", f"""{DOC_KEYS_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, f AS (SELECT id, doi_key AS k FROM keys_v WHERE doi_key IS NOT NULL UNION ALL SELECT id, concat('t:', title_key) FROM keys_v WHERE length(title_key) >= 16),
-e AS (SELECT DISTINCT a.id AS a, b.m AS b FROM f a JOIN (SELECT k, min(id) AS m FROM f GROUP BY 1) b USING (k) WHERE a.id <> b.m), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, w.root FROM w JOIN u ON u.a = w.node) SELECT node, min(root) AS root FROM w GROUP BY 1""")
-def components(spark, d):
-    both = keyed(spark, d)
-    keys = both.filter("doi_key is not null").select("id", F.col("doi_key").alias("k")).union(both.filter("length(title_key) >= 16").select("id", F.concat(F.lit("t:"), "title_key")))
-    heads = keys.groupBy("k").agg(F.min("id").alias("b"))  # a star for each key: links grow with rows, not with pairs
-    edges = keys.join(heads, "k").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    return op.components(edges, lambda df: saved(df, "components"))
-
-
 @query("new_records", f"{DOC_KEYS_SQL}, k AS (SELECT * FROM keys_v WHERE id % 4 = 0), i AS (SELECT * FROM keys_v WHERE id % 4 <> 0) SELECT min(id) AS id FROM i WHERE coalesce(doi_key, title_key) IS NOT NULL AND CASE WHEN doi_key IS NOT NULL THEN doi_key NOT IN (SELECT doi_key FROM k WHERE doi_key IS NOT NULL) ELSE title_key NOT IN (SELECT title_key FROM k WHERE title_key IS NOT NULL) END GROUP BY coalesce(doi_key, title_key)")
 def new_records(spark, d):
     both = keyed(spark, d)

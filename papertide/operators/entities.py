@@ -30,20 +30,37 @@ def phrases(words: str, longest: int = 4) -> Column:
     return F.array_distinct(F.flatten(F.array(*runs)))
 
 
-def extract_terms(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """doc_id, term, term_type, confidence: dictionary phrases (phrase, term, term_type, in_title, in_abstract)
-    found in title or abstract, the best confidence of each.
+#: First words of phrases that are looked for in a text directly; with more every run of words is looked up.
+HEADS = 20_000
+
+
+def phrase_hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (without ``text``) for each phrase of ``dictionary`` they hold, with its other columns; once a text.
 
-    Texts become word runs, as long as the dictionary's longest phrase, that meet the phrases by an
-    equi-join; the cost follows the text, not the number of phrases.
+    Only runs of words that start like a phrase leave the text, as long as the longest phrase; they meet the phrases by an
+    equi-join, so the cost follows the text and not the number of phrases.
     """
-    longest = dictionary.agg(F.max(F.size(tokens(F.col("phrase"))))).first()[0]
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in (("title", "title"), ("abstract", "abstract"))))
-    texts = docs.select("doc_id", F.inline(fields))
-    worded = texts.select("doc_id", "field", F.explode(F.array(tokens(F.col("text")))).alias("words"))  # cut to words once
-    runs = worded.select("doc_id", "field", F.explode(phrases("words", max(1, longest or 1))).alias("phrase"))
-    key = dictionary.select(F.array_join(tokens(F.col("phrase")), " ").alias("phrase"), "term", "term_type", "in_title", "in_abstract")
-    hits = runs.join(key, "phrase")
+    key = dictionary.withColumn("_words", tokens(F.col("phrase"))).filter(F.size("_words") > 0)
+    heads = [r[0] for r in key.select(F.get("_words", F.lit(0))).distinct().limit(HEADS + 1).collect()]
+    longest = key.agg(F.max(F.size("_words"))).first()[0] or 1
+    rest = [c for c in texts.columns if c != "text"]
+    worded = texts.select(*rest, F.explode(F.array(tokens(F.col("text")))).alias("_w"))  # cut to words once
+    words = F.col("_w")
+    starts = F.transform(words, lambda w, i: F.when(w.isin(heads), i) if len(heads) <= HEADS else i)
+    run = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i)), lambda k: F.array_join(F.slice(words, i + 1, k), " "))
+    runs = worded.select(*rest, F.explode(F.array_distinct(F.flatten(F.transform(F.array_compact(starts), run)))).alias("_run"))
+    return runs.join(key.withColumn("_run", F.array_join("_words", " ")).drop("_words"), "_run").drop("_run")
+
+
+def by_field(docs: DataFrame) -> DataFrame:
+    """doc_id, field (title or abstract), text."""
+    return docs.select("doc_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "abstract")))))
+
+
+def extract_terms(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """doc_id, term, term_type, confidence: dictionary phrases (phrase, term, term_type, in_title, in_abstract)
+    found in title or abstract, the best confidence of each."""
+    hits = phrase_hits(by_field(docs), dictionary)
     return hits.groupBy("doc_id", "term", "term_type").agg(F.max(F.when(F.col("field") == "title", F.col("in_title")).otherwise(F.col("in_abstract"))).alias("confidence"))
 
 
@@ -116,6 +133,68 @@ def bm25(index: DataFrame, totals: DataFrame, query: str, k1: float = 1.2, b: fl
     return scored.groupBy("doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("found")).filter(F.col("found") == len(wanted)).drop("found")
 
 
+def bm25_texts(docs: DataFrame, text: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Like ``bm25``, from the texts: the words of the query are counted in each text, and one row of totals is gathered; no
+    postings are built and no text is shuffled."""
+    wanted = sorted(set(query.lower().split()))
+    count = lambda q: F.size(F.filter("w", lambda x: x == q))
+    worded = docs.select("doc_id", F.explode(F.array(tokens(F.col(text)))).alias("w"))
+    counted = worded.select("doc_id", F.size("w").alias("length"), *(count(q).alias(f"tf{i}") for i, q in enumerate(wanted))).filter("length > 0")
+    totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
+    every = reduce(Column.__and__, [F.col(f"tf{i}") > 0 for i in range(len(wanted))])
+    norm = k1 * (1 - b + b * F.col("length") / F.col("mean"))
+    part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + norm)
+    return counted.filter(every).crossJoin(F.broadcast(totals)).select("doc_id", reduce(Column.__add__, [part(i) for i in range(len(wanted))]).alias("score"))
+
+
+def rebuild_terms(target: DataFrame, docs: DataFrame, dictionary: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """New snapshot of ``target`` (doc_id, term, term_type, confidence, display_eligible, display_reason): the terms of ``ids`` (all
+    documents if None; none if empty) extracted anew. Documents of low or excluded ``grade`` hide all their terms."""
+    wanted = docs if ids is None else docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    low = F.coalesce("grade", F.lit("medium")).isin("low", "excluded")
+    found = extract_terms(wanted, dictionary).join(wanted.select("doc_id", low.alias("_low")), "doc_id")
+    new = found.select("doc_id", "term", "term_type", "confidence", F.when(F.col("_low"), 0).otherwise(1).alias("display_eligible"), F.when(F.col("_low"), "low_confidence").otherwise("dictionary").alias("display_reason"))
+    return target.join(wanted.select("doc_id"), "doc_id", "left_anti").select(*new.columns).unionByName(new)
+
+
+def refresh_postings(index: DataFrame, docs: DataFrame, text: str, ids: DataFrame | None = None) -> DataFrame:
+    """New snapshot of ``index``: the postings of ``ids`` and of documents that have none are made anew, the others stay."""
+    missing = docs.join(index.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
+    changed = missing if ids is None else missing.union(ids.select("doc_id")).distinct()
+    new = postings(docs.join(changed, "doc_id", "left_semi"), text)
+    return index.join(changed, "doc_id", "left_anti").select(*new.columns).unionByName(new)
+
+
+def translation_estimate(texts: DataFrame, done: DataFrame, batch: int = 20, most: int = 12_000) -> DataFrame:
+    """One row: unique_inputs, input_chars, oversized, requests, input_tokens, output_tokens of the texts still to do.
+
+    Four characters are one token in, three one token out; a request costs 160 and an input 35 tokens more. Packing is an approximation:
+    inputs are dealt to 16 buckets by the first digit of their hash, and a bucket needs as many requests as its inputs or characters ask for.
+    """
+    plan = translation_plan(texts, done).filter("state = 'needed'")
+    fits = plan.filter(F.col("chars").between(1, most))
+    buckets = fits.groupBy(F.substring("key", 1, 1).alias("bucket")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    requests = F.greatest(F.ceil(F.col("n") / batch), F.ceil(F.col("chars") / most))
+    sums = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unique_inputs"), F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("input_chars"), F.coalesce(F.sum(requests), F.lit(0)).alias("requests"))
+    large = plan.filter(F.col("chars") > most).agg(F.count("*").alias("oversized"))
+    tokens_in = F.ceil(F.col("input_chars") / 4) + 160 * F.col("requests") + 35 * F.col("unique_inputs")
+    return sums.crossJoin(F.broadcast(large)).withColumns({"input_tokens": tokens_in, "output_tokens": F.ceil(F.col("input_chars") / 3) + 35 * F.col("unique_inputs")})
+
+
+def provider_terms(works: DataFrame, existing: DataFrame, synonyms: DataFrame, lists: tuple[list[str], list[str], list[str]], least: float = 0.25) -> DataFrame:
+    """doc_id, term, normalized, confidence, display_eligible, display_reason of the concepts (score ``least`` or more) and keywords (score 0.5
+    if none is given) of works (doc_id, concepts, keywords: arrays of display_name, score); terms that the document already has stay out."""
+    empty = F.array().cast("array<struct<display_name:string,score:double>>")
+    concepts = F.filter(F.coalesce("concepts", empty), lambda x: F.coalesce(x["score"], F.lit(0.0)) >= least)
+    keywords = F.transform(F.coalesce("keywords", empty), lambda x: F.struct(x["display_name"].alias("display_name"), F.coalesce(x["score"], F.lit(0.5)).alias("score")))
+    rows = works.select("doc_id", F.inline(F.concat(concepts, keywords))).filter(F.trim(F.coalesce("display_name", F.lit(""))) != "")
+    named = normalize_terms(rows.select("doc_id", F.col("display_name").alias("term"), F.col("score").alias("confidence")), synonyms)
+    graded = eligibility(named.select("doc_id", F.col("term").alias("given"), F.col("normalized").alias("term"), "confidence", F.lit("concept").alias("term_type")), *lists)
+    once = graded.groupBy("doc_id", F.col("term").alias("normalized")).agg(F.min_by(F.struct("given", "confidence", "display_eligible", "display_reason"), F.struct((-F.col("confidence")).alias("c"), "given")).alias("r"))
+    new = once.join(existing.select("doc_id", "normalized"), ["doc_id", "normalized"], "left_anti")
+    return new.select("doc_id", F.col("r.given").alias("term"), "normalized", "r.confidence", "r.display_eligible", "r.display_reason")
+
+
 def redact_urls(df: DataFrame, column: str) -> DataFrame:
     """Replaces values of query parameters, user info and fragments of the URLs of a column."""
     url = F.regexp_replace(F.col(column), r"([?&][A-Za-z0-9_]+=)[^&#\s]+", "$1***")

@@ -34,7 +34,7 @@ x AS (SELECT doc_id, term, term_type, greatest(CASE WHEN contains(ti, concat(' '
 
 
 def extracted(spark, d):
-    return op.extract_terms(seeded(spark, d), spark.createDataFrame(DICTIONARY, "phrase string, term string, term_type string, in_title double, in_abstract double"))
+    return op.extract_terms(seeded(spark, d), dictionary(spark))
 
 
 @query("extract_terms", f"{_EXTRACT} SELECT doc_id, term, term_type, confidence FROM x WHERE confidence > 0")
@@ -93,9 +93,15 @@ def postings(spark, d):
 @query("bm25", f"""{_POSTINGS}, n AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc_id, length FROM post)), h AS (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM post WHERE token IN ('the', 'of'))
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h, n GROUP BY 1 HAVING count(*) = 2""")
 def bm25(spark, d):
-    index = op.postings(t.read(spark, d, "documents"), "text")
-    totals = index.select("doc_id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    return rounded(op.bm25(index, totals, "the of"), "score")
+    return rounded(op.bm25_texts(t.read(spark, d, "documents"), "text", "the of"), "score")
+
+
+@query("bm25_index", f"""{_POSTINGS}, n AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc_id, length FROM post)), h AS (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM post WHERE token IN ('is', 'and'))
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h, n GROUP BY 1 HAVING count(*) = 2""")
+def bm25_index(spark, d):
+    docs = t.read(spark, d, "documents")
+    totals = docs.select(F.size(op.tokens(F.col("text"))).alias("length")).filter("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    return rounded(op.bm25(op.postings(docs, "text"), totals, "and is"), "score")
 
 
 @query("redact_urls", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '([?&][A-Za-z0-9_]+=)[^&#\\s]+', '\\1***', 'g'), '://[^/@\\s]+@', '://***@', 'g'), '#\\S*', '', 'g') AS url FROM pages")
@@ -157,3 +163,48 @@ def material_search(spark, d):
     by_name = terms.filter((F.col("term_type") == "material") & F.col("normalized_term").ilike("%2%"))
     by_alias = terms.filter((F.col("term_type") == "concept") & F.col("normalized_term").ilike("%gear%"))
     return by_name.union(by_alias).select(F.col("normalized_term").alias("material")).distinct()
+
+
+_GRADED = "CASE WHEN doc_id % 6 = 0 THEN 'low' ELSE 'high' END"
+
+
+def dictionary(spark):
+    return spark.createDataFrame(DICTIONARY, "phrase string, term string, term_type string, in_title double, in_abstract double")
+
+
+@query("rebuild_terms", f"{_EXTRACT} SELECT doc_id, term, term_type, CASE WHEN doc_id % 3 = 0 THEN confidence ELSE confidence / 2 END AS confidence, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN {_GRADED} = 'low' THEN 0 ELSE 1 END ELSE 1 END AS display_eligible, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN {_GRADED} = 'low' THEN 'low_confidence' ELSE 'dictionary' END ELSE 'old' END AS display_reason FROM x WHERE confidence > 0")
+def rebuild_terms(spark, d):
+    docs = seeded(spark, d).withColumn("grade", F.when(F.col("doc_id") % 6 == 0, "low").otherwise("high"))
+    old = extracted(spark, d).withColumns({"confidence": F.col("confidence") / 2, "display_eligible": F.lit(1), "display_reason": F.lit("old")})
+    return op.rebuild_terms(old, docs, dictionary(spark), docs.filter("doc_id % 3 = 0").select("doc_id"))
+
+
+@query("postings_refresh", f"{_POSTINGS} SELECT doc_id, max(length) AS length, count(*) AS tokens, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY 1")
+def postings_refresh(spark, d):
+    docs = t.read(spark, d, "documents").select("doc_id", "text")
+    stale = docs.filter("doc_id % 4 <> 0").withColumn("text", F.when(F.col("doc_id") % 8 == 1, "an older text").otherwise(F.col("text")))
+    index = op.refresh_postings(op.postings(stale, "text"), docs, "text", docs.filter("doc_id % 8 = 1").select("doc_id"))
+    return index.groupBy("doc_id").agg(F.max("length").alias("length"), F.count("*").alias("tokens"), F.sum("tf").alias("tf"))
+
+
+@query("translation_estimate", """WITH k AS (SELECT sha256(text) AS key, max(length(text)) AS chars, bool_or(doc_id % 3 = 0) AS done FROM documents GROUP BY 1), f AS (SELECT * FROM k WHERE NOT done AND chars BETWEEN 1 AND 12000), b AS (SELECT substr(key, 1, 1) AS bucket, count(*) AS n, sum(chars) AS chars FROM f GROUP BY 1),
+s AS (SELECT CAST(sum(n) AS BIGINT) AS unique_inputs, CAST(sum(chars) AS BIGINT) AS input_chars, CAST(sum(greatest(ceil(n / 20), ceil(chars / 12000))) AS BIGINT) AS requests FROM b) SELECT *, (SELECT count(*) FROM k WHERE NOT done AND chars > 12000) AS oversized, CAST(ceil(input_chars / 4) + 160 * requests + 35 * unique_inputs AS BIGINT) AS input_tokens, CAST(ceil(input_chars / 3) + 35 * unique_inputs AS BIGINT) AS output_tokens FROM s""")
+def translation_estimate(spark, d):
+    docs = t.read(spark, d, "documents")
+    return op.translation_estimate(docs.select("text"), docs.filter("doc_id % 3 = 0").select(F.sha2(F.col("text"), 256).alias("key")))
+
+
+@query("provider_terms", """WITH w AS (SELECT doc_id, unnest([{'n': concat(lang, ' Theory'), 's': doc_id % 10 / 10.0}, {'n': 'Spin-Liquid', 's': doc_id % 4 / 4.0}, {'n': concat('key ', lang), 's': CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.75 END}, {'n': 'Fe2O3', 's': 0.5}]) AS x, unnest(['c', 'c', 'k', 'k']) AS kind FROM documents),
+f AS (SELECT doc_id, x.n AS term, CASE WHEN x.n = 'Spin-Liquid' THEN 'quantum spin liquid' ELSE x.n END AS normalized, CAST(x.s AS DOUBLE) AS confidence FROM w WHERE kind = 'k' OR x.s >= 0.25),
+g AS (SELECT *, lower(replace(normalized, '-', ' ')) AS k FROM f WHERE NOT (doc_id % 7 = 0 AND normalized = 'Fe2O3')), h AS (SELECT *, CASE WHEN k = 'key en' THEN 'generic_term' WHEN k IN ('quantum spin liquid') THEN 'canonical_phrase' WHEN normalized = 'Fe2O3' THEN 'material_formula' WHEN confidence < 0.7 THEN 'weak_candidate' ELSE 'not_canonical' END AS display_reason FROM g)
+SELECT doc_id, term, normalized, confidence, CASE WHEN display_reason IN ('canonical_phrase', 'material_formula') THEN 1 ELSE 0 END AS display_eligible, display_reason FROM h""")
+def provider_terms(spark, d):
+    i = F.col("doc_id")
+    item = lambda name, score: F.struct(name.alias("display_name"), score.cast("double").alias("score"))
+    works = t.read(spark, d, "documents").select(
+        "doc_id", F.array(item(F.concat("lang", F.lit(" Theory")), i % 10 / 10), item(F.lit("Spin-Liquid"), i % 4 / 4)).alias("concepts"),
+        F.array(item(F.concat(F.lit("key "), "lang"), F.when(i % 2 == 1, 0.75)), item(F.lit("Fe2O3"), F.lit(None))).alias("keywords"),
+    )
+    synonyms = spark.createDataFrame([("spin liquid", "quantum spin liquid")], "alias string, canonical string")
+    existing = works.filter("doc_id % 7 = 0").select("doc_id", F.lit("Fe2O3").alias("normalized"))
+    return op.provider_terms(works, existing, synonyms, (["key en"], ["quantum spin liquid"], []))

@@ -1,14 +1,17 @@
 """Near copies: texts whose sets of five-word shingles have similarity (Jaccard) 0.8 or more, by SimHash.
 
-The 128-bit SimHashes of a group of candidates stand as bit planes and are compared by the carry-save counters of
+The 256-bit SimHashes of a group of candidates stand as bit planes and are compared by the carry-save counters of
 ``simhash``; what is within the radius is verified on the texts. At similarity 0.8 the sets' cosine is 0.889 at least,
-so a bit differs with probability 0.151: 19 of 128 bits on average, and more than ``RADIUS`` in less than one pair of 10^7.
+so a bit differs with probability 0.151: 39 of 256 bits on average, and more than ``RADIUS`` in less than one pair of 10^7.
+
+Before the texts are read, a parity sketch (each shingle flips one of 512 bits) drops pairs by an exact bound: it differs in no more
+bits than the sets in shingles.
 
 Two SimHashes that far apart share no block of bits that could be looked up, so the groups come from prefixes of the sets. Shingles
 have one order for all texts; of two sets of similarity t, the first n - ceil(t n) + 1 shingles of each share one, whatever
 the order is, so no pair is left out. Shingles that are frequent in a sample stand last, which keeps the groups small. A first round
-compares each text of a group with the group's first only and joins large groups of copies; the second compares
-the pairs that are still in different components.
+compares each text of a group with the most central only (that nearest to the bits' majority, as an original is among its
+edited copies) and joins large groups; the last compares the pairs that are still in different components.
 """
 
 from __future__ import annotations
@@ -24,11 +27,17 @@ from pyspark.sql import functions as F
 from papertide.llm.common import HOT_ROWS, split_join, written
 from papertide.llm.components import star_components
 from papertide.llm.decontaminate import shingle_hashes
-from papertide.llm.simhash import within_radius
+from papertide.llm.simhash import pairs_within, within_radius
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Differing bits of 128 up to which a pair is verified.
-RADIUS = 48
+#: Bits of a SimHash, and differing bits up to which a pair is verified.
+BITS, RADIUS = 256, 71
+#: Bits of a parity sketch.
+SKETCH = 512
+#: Rows of a group from which on its bit planes are stored once for all its comparisons.
+LARGE = 96
+#: Rounds of comparisons with one text a group before the pairs that are left.
+HEAD_ROUNDS = 1
 #: Texts of one shingle that are compared in one place; larger groups are dealt in block pairs.
 KEY_ROWS = 2048
 #: Texts of the sample for the order of shingles, and frequent shingles sent to the executors (cost only: any order is right).
@@ -62,16 +71,33 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """128-bit SimHash as two unsigned longs."""
-    counts = np.zeros(128, np.int64)
+    """``BITS``-bit SimHash as unsigned longs."""
+    counts = np.zeros(BITS, np.int64)
     for i in range(0, len(shingles), 65536):
-        h = shingles[i : i + 65536]
-        other = (h ^ (h >> np.uint64(31))) * np.uint64(0xA0761D6478BD642F)
-        both = np.stack([h, other ^ (other >> np.uint64(29))], 1)
-        counts += np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        lanes = [shingles[i : i + 65536]]
+        while len(lanes) < BITS // 64:
+            h = (lanes[-1] ^ (lanes[-1] >> np.uint64(31))) * np.uint64(0xA0761D6478BD642F)
+            lanes.append(h ^ (h >> np.uint64(29)))
+        bits = np.unpackbits(np.stack(lanes, 1).view(np.uint8).reshape(len(lanes[0]), BITS // 8), axis=1, bitorder="little")
+        counts += bits.sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.uint64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    return np.packbits((np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8))
+
+
+def central(bits: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run of rows the row nearest to the majority of the run's bits."""
+    heads = firsts.copy()
+    for k in np.flatnonzero(sizes > 2).tolist():
+        run = bits[firsts[k] : firsts[k] + sizes[k]]
+        votes = np.unpackbits(run.view(np.uint8).reshape(len(run), BITS // 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        majority = np.packbits(votes * 2 > len(run), bitorder="little").view(np.uint64)
+        heads[k] += int(np.argmin(np.bitwise_count(run ^ majority).sum(1, dtype=np.int64)))
+    return heads
+
+
 def _map_slices(df: DataFrame, fn, schema: str) -> DataFrame:
     """A function over parts of at most ``SLICE`` rows: their sets are larger than their texts."""
 
@@ -114,51 +140,71 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, shared, least: float) -> DataFrame:
-    """doc_id, fp (text key), n (shingles), x and y (SimHash), tokens (the prefix)."""
+    """doc_id, fp (text key), n (shingles), bits (SimHash), sketch (parities), tokens (the prefix)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [words_of(t.as_py()) for t in batch["text"]]
         sets = [shingle_set(w) for w in words]
-        prints = np.stack([wide_fingerprint(s) for s in sets]).view(np.int64)
+        prints = [wide_fingerprint(s).tobytes() for s in sets]
         tokens = [prefix(s, *shared.value, least).view(np.int64) for s in sets]
         fp = np.array([_text_key(w) for w in words], np.uint64).view(np.int64)
-        columns = [batch["doc_id"], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(prints[:, i])) for i in (0, 1)), pa.array(tokens, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "x", "y", "tokens"])
+        columns = [batch["doc_id"], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints, pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "bits", "sketch", "tokens"])
+
+    return _map_slices(docs, run, "doc_id long, fp long, n int, bits binary, sketch binary, tokens array<long>")
 
-    return _map_slices(docs, run, "doc_id long, fp long, n int, x long, y long, tokens array<long>")
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def _candidates(rows: DataFrame, least: float, heads: bool) -> DataFrame:
-    """Pairs ``(a, b)`` of rows (key, fp, n, x, y, root) of one key and different roots that sizes and SimHashes
-    let pass: each row with the key's first, or all pairs."""
+    """Pairs ``(a, b)`` of rows (key, fp, n, bits, root, and sketch for all pairs) of one key and different roots that sizes, SimHashes and
+    sketches let pass: each row with the key's most central, or all pairs."""
+    names = ["key", "fp", "n", "root", "bits"] + ([] if heads else ["sketch"])
 
     def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
-        key, fp, n, x, y, root = part
-        bits = np.stack([x, y], 1).view(np.uint64)
+        key, fp, n, root, bits = part[:5]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         several = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
         sizes = np.diff(np.r_[first, len(key)])
-        out: list[np.ndarray] = []
+        out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
 
-        def test(i: np.ndarray, j: np.ndarray) -> None:
+        def put(i: np.ndarray, j: np.ndarray, near: bool) -> None:
             good = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
             i, j = i[good], j[good]
-            if len(i):
-                near = within_radius(bits[i], bits[j], RADIUS)
-                i, j = i[near], j[near]
-                out.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], 1))
-
-        at = np.flatnonzero(np.repeat(several, sizes))
-        if heads:
-            test(np.repeat(first, sizes)[at], at)
-        shift = 1
-        while not heads and len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
-            for k in range(0, len(at), 1 << 16):
-                test(at[k : k + (1 << 16)], at[k : k + (1 << 16)] + shift)
+            if len(i) and not near:
+                hit = within_radius(bits[i], bits[j], RADIUS)
+                i, j = i[hit], j[hit]
+            if len(i) and not heads:
+                differ = np.bitwise_count(part[5][i] ^ part[5][j]).sum(1, dtype=np.int64)
+                hit = differ <= (1 - least) / (1 + least) * (n[i] + n[j]) + 1e-9
+                i, j = i[hit], j[hit]
+            out.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], 1))
             if len(out) > 64:
                 out[:] = [np.unique(np.concatenate(out), axis=0)]
-            shift += 1
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+        if heads:
+            at = np.flatnonzero(np.repeat(several, sizes))
+            own = np.flatnonzero(several)
+            begins, lengths = np.cumsum(sizes[own]) - sizes[own], sizes[own]
+            if len(at):
+                put(at[np.repeat(central(bits[at], begins, lengths), lengths)], at, False)
+        else:
+            for g in np.flatnonzero(several & (sizes >= LARGE)).tolist():
+                group = np.arange(first[g], first[g] + sizes[g])
+                roots, times = np.unique(root[group], return_counts=True)
+                asking = group[root[group] != roots[np.argmax(times)]]  # rows of the most common root need not ask each other
+                for k in range(0, len(asking), 256):
+                    i, j = pairs_within(bits[asking[k : k + 256]], bits[group], RADIUS)
+                    put(asking[k + i], group[j], True)
+            at = np.flatnonzero(np.repeat(several & (sizes < LARGE), sizes))
+            shift = 1
+            while len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
+                for k in range(0, len(at), 1 << 16):
+                    put(at[k : k + (1 << 16)], at[k : k + (1 << 16)] + shift, False)
+                shift += 1
+        found = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, c]), pa.int64()) for c in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,15 +212,15 @@ def _candidates(rows: DataFrame, least: float, heads: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "fp", "n", "x", "y", "root")]
+            new = [batch[c].to_numpy(zero_copy_only=False) for c in names[:4]] + [_longs(batch[c]) for c in names[4:]]
             kept = [np.concatenate(v) for v in zip(kept, new, strict=True)] if kept else new
-            if len(kept[0]) >= 1 << 16 and (cut := int(np.searchsorted(kept[0], kept[0][-1]))):
+            if len(kept[0]) >= 1 << 15 and (cut := int(np.searchsorted(kept[0], kept[0][-1]))):
                 yield pairs([v[:cut] for v in kept])
                 kept = [v[cut:] for v in kept]
         if kept:
             yield pairs(kept)
 
-    return rows.select("key", "fp", "n", "x", "y", "root").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*names).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -221,14 +267,13 @@ def near_copy_groups(docs: DataFrame, least: float = SIMILARITY, key_rows: int =
     total = every.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
     shares = written(_dealt(split_join(tokens, counts, ["key"], counts.withColumnRenamed("size", "n"), hot_rows=hot_rows, total=total), key_rows), "copy-shares")
     needed = written(shares.select("fp").distinct(), "copy-ids")  # texts that share a shingle; all others end here
-    prints = written(sets.join(needed, "fp", "left_semi").select("fp", "n", "x", "y").dropDuplicates(["fp"]), "copy-prints")
-    with_prints = written(shares.join(prints, "fp"), "copy-rows")
-    heads = written(_candidates(with_prints.withColumn("root", F.col("fp")), least, True), "copy-heads")
-    return _joined(rows, every, distinct, with_prints, heads, firsts, needed, least)
+    prints = written(sets.join(needed, "fp", "left_semi").select("fp", "n", "bits", "sketch").dropDuplicates(["fp"]), "copy-prints")
+    with_prints = written(shares.join(prints.drop("sketch"), "fp"), "copy-rows")
+    return _joined(rows, every, distinct, with_prints, prints.select("fp", "sketch"), firsts, needed, least)
 
 
-def _joined(rows: DataFrame, every: DataFrame, distinct: DataFrame, with_prints: DataFrame, heads: DataFrame, firsts: DataFrame, needed: DataFrame, least: float) -> DataFrame:
-    """The two rounds of verified links, their components, and the rows' ids."""
+def _joined(rows: DataFrame, every: DataFrame, distinct: DataFrame, with_prints: DataFrame, sketches: DataFrame, firsts: DataFrame, needed: DataFrame, least: float) -> DataFrame:
+    """The rounds of verified links, their components, and the rows' ids."""
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:
         """An id of several texts: only the text of the key."""
@@ -238,10 +283,16 @@ def _joined(rows: DataFrame, every: DataFrame, distinct: DataFrame, with_prints:
     ids = needed.join(firsts, "fp").select("doc_id", "fp")
     named = _map_slices(rows.join(ids, "doc_id").select("fp", "text"), own, "fp long, text string")
     texts = written(named.dropDuplicates(["fp"]), "copy-texts")
-    near = written(_verified(heads, texts, least), "copy-links")
-    roots = star_components(near).select(F.col("node").alias("fp"), "root")
-    rooted = with_prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    links = near.union(written(_verified(_candidates(rooted, least, False), texts, least), "copy-links"))
+    links, rooted = None, with_prints.withColumn("root", F.col("fp"))
+    for turn in range(HEAD_ROUNDS + 1):
+        heads = turn < HEAD_ROUNDS
+        found = written(_verified(_candidates(rooted if heads else rooted.join(sketches, "fp"), least, heads), texts, least), "copy-links")
+        links = found if links is None else links.union(found)
+        if heads:
+            roots = star_components(links).select(F.col("node").alias("fp"), "root")
+            left = with_prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+            mixed = left.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
+            rooted = written(left.join(mixed, "key", "left_semi"), "copy-rows")  # keys of one component are done
     nodes = star_components(links).select(F.col("node").alias("fp"), "root")
     named = written(distinct.join(nodes, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "copy-roots")
     component = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

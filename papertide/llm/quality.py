@@ -153,6 +153,13 @@ def quality_scores(docs: DataFrame, model: RuleModel, threshold: float = THRESHO
 def good_documents(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, whose score is ``threshold`` or more. Null and empty texts are scored like
     any other, repeated rows stay or go together, other columns may have any name; an empty table gives an empty one."""
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
-    kept = with_statistics(rows, ["row"]).filter(model.score() >= threshold)
-    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    names = [f"q_{s}" for s in STATISTICS]
+    place = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        numbers = np.array([statistics(None if (x := t.as_py()) is None else str(x)) for t in batch["row"].field(place)])
+        return pa.RecordBatch.from_arrays([batch["row"], *(pa.array(numbers[:, i]) for i in range(len(names)))], ["row", *names])
+
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))  # one copy of the text; columns of any name
+    scored = map_batches(rows, run, ", ".join([f"row {rows.dtypes[0][1]}", *(f"{n} double" for n in names)]))
+    return scored.filter(model.score() >= threshold).select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -113,6 +113,46 @@ def within_radius(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarra
     return found[found < n]
 
 
+def pairs_within(left: np.ndarray, right: np.ndarray, radius: int, words_at_once: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all rows left[i], right[j] of several unsigned longs with Hamming distance at most radius.
+
+    The planes of ``right`` are stored once; each row of ``left`` turns them into its differences, of which 64 lanes
+    a word are counted by carry-save counters. Words whose lanes all exceed the radius are abandoned.
+    """
+    bits, n = 64 * right.shape[1], len(right)
+    packed = np.packbits(np.unpackbits(np.ascontiguousarray(right).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T, axis=1, bitorder="little")
+    words = -(-n // 64)
+    planes = np.zeros((bits, words * 8), np.uint8)
+    planes[:, : packed.shape[1]] = packed
+    planes = planes.view(np.uint64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max(1, words_at_once // words)
+    for first in range(0, len(left), step):
+        part = np.ascontiguousarray(left[first : first + step])
+        masks = np.where(np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").T == 1, ~np.uint64(0), np.uint64(0))
+        query, word = np.repeat(np.arange(len(part)), words), np.tile(np.arange(words), len(part))
+        counter = [np.zeros(len(query), np.uint64) for _ in range(max(2, radius.bit_length()))]
+        over = np.zeros(len(query), np.uint64)
+        for at in range(0, bits, 32):
+            for b in range(at, at + 32, 2):
+                x, y = (planes[k][word] ^ masks[k][query] for k in (b, b + 1))
+                half = counter[0] ^ x
+                carry = (counter[0] & x) | (half & y)
+                counter[0] = half ^ y
+                for c in range(1, len(counter)):
+                    counter[c], carry = counter[c] ^ carry, counter[c] & carry
+                over |= carry
+            if at + 32 > radius:
+                live = _exceeds(counter, over, radius) != ~np.uint64(0)
+                if not live.all():
+                    query, word, over, counter = query[live], word[live], over[live], [c[live] for c in counter]
+        close = np.unpackbits((~_exceeds(counter, over, radius)).view(np.uint8), bitorder="little").reshape(len(query), 64)
+        row, lane = np.nonzero(close)
+        j = word[row] * 64 + lane
+        found.append((query[row[j < n]] + first, j[j < n]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
 def _linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links among rows with equal key (rows sorted by key), as a forest for each call."""
     parent: dict[int, int] = {}

@@ -271,10 +271,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """row (all columns), text (bytes), id, key (hash of the text)."""
+    """row (all columns but the text), was_null (the text was), text (bytes), id, key (hash of the text)."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), text.alias("text"), docs["doc_id"].cast("long").alias("id"))
-    return rows.select("row", F.col("text").cast("binary").alias("text"), F.coalesce("id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("key"))
+    others = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), docs["text"].isNull().alias("was_null"), text.alias("text"), docs["doc_id"].cast("long").alias("id"))
+    return rows.select("row", "was_null", F.col("text").cast("binary").alias("text"), F.coalesce("id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("key"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, group_contexts: int = GROUP_CONTEXTS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -340,15 +341,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join([*parts, text[at:]]) if runs else text)
             removed.append(len(text) - len(kept[-1]))
             spans.append(len(runs))
-        cols = [batch["row"], batch["n_bytes"], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, ["row", "n_bytes", "kept", "n_removed", "n_spans"])
+        cols = [batch["row"], batch["was_null"], batch["n_bytes"], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "was_null", "n_bytes", "kept", "n_removed", "n_spans"])
 
 
 def _cut_rows(docs: DataFrame, length: int, group_contexts: int) -> DataFrame:
-    """row (all columns of ``docs``), n_bytes, kept (the remaining bytes), n_removed, n_spans."""
+    """row (all columns of ``docs`` but the text), was_null, n_bytes, kept (the remaining bytes), n_removed, n_spans."""
     ranges = repeated_ranges(docs, length, group_contexts)
-    rows = _keyed(docs).join(ranges.hint("shuffle_hash"), ["id", "key"], "left").select("row", F.length("text").cast("long").alias("n_bytes"), "text", "ranges")
-    schema = f"row {dict(rows.dtypes)['row']}, n_bytes long, kept binary, n_removed long, n_spans long"
+    rows = _keyed(docs).join(ranges.hint("shuffle_hash"), ["id", "key"], "left").select("row", "was_null", F.length("text").cast("long").alias("n_bytes"), "text", "ranges")
+    schema = f"row {dict(rows.dtypes)['row']}, was_null boolean, n_bytes long, kept binary, n_removed long, n_spans long"
     return rows.mapInArrow(_remove, schema)
 
 
@@ -373,15 +374,15 @@ def shortened(docs: DataFrame, length: int = 400) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [k.decode("utf-8", errors="ignore") for k in batch["kept"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], ["row", "left"])
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["was_null"], pa.array(texts, pa.string())], ["row", "was_null", "left"])
 
-    left = _cut_rows(docs, length, GROUP_CONTEXTS).select("row", "kept")
-    left = left.mapInArrow(run, f"row {dict(left.dtypes)['row']}, left string")
-    was_null = F.col("row")["text"].isNull()
+    left = _cut_rows(docs, length, GROUP_CONTEXTS).select("row", "was_null", "kept")
+    left = left.mapInArrow(run, f"row {dict(left.dtypes)['row']}, was_null boolean, left string")
+    was_null = F.col("was_null")
     new = {"text": F.when(~was_null, F.col("left"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(was_null, F.col("row")["n_chars"]).otherwise(F.char_length("left")).cast(docs.schema["n_chars"].dataType)
-    return left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return left.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def kept_digest(kept: Column) -> Column:

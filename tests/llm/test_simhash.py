@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from papertide.llm.components import star_components
-from papertide.llm.simhash import fingerprint, fingerprint_links, near_duplicate_groups, one_of_each_group, within_radius
+from papertide.llm.simhash import fingerprint, fingerprint_links, near_duplicate_groups, one_of_each_group, pairs_within, within_radius
 
 
 def brute(values, radius):
@@ -34,6 +34,17 @@ def test_bit_slices_count_like_popcount(radius):
     assert within_radius(a, b, radius).tolist() == np.flatnonzero(np.bitwise_count(a ^ b) <= radius).tolist()
 
 
+def test_stored_planes_count_like_popcount():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, (70, 4), dtype=np.uint64)
+    b = np.concatenate([a, rng.integers(0, 1 << 63, (131, 4), dtype=np.uint64)])
+    b[:70] ^= rng.integers(0, 1 << 63, (70, 4), dtype=np.uint64) & rng.integers(0, 1 << 63, (70, 4), dtype=np.uint64) & rng.integers(0, 1 << 63, (70, 4), dtype=np.uint64)
+    for radius, step in ((71, 1 << 15), (30, 5), (110, 64), (0, 8)):
+        i, j = pairs_within(a, b, radius, step)
+        want = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]).sum(2) <= radius)
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in want), strict=True))
+
+
 @pytest.mark.parametrize("key_rows", [2048, 5, 2])
 def test_links_connect_all_pairs(spark, key_rows):
     r = random.Random(1)

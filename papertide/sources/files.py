@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,13 @@ def _first_present(df: DataFrame, names: tuple[str, ...]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def read_manual(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (with header, by name) or JSON records with any of the known column spellings; dates that are none become null."""
+def read_manual(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """CSV (with header, by name) or JSON records (a list a file, or with ``lines`` a record a line) with any of the known column spellings; dates
+    that are none become null."""
     if path.endswith(".csv"):
         raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     else:
-        raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+        raw = spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(path)
     picked = raw.select(*(_first_present(raw, names).alias(c) for c, names in ALIASES.items()))
     return picked.withColumn("pub_date", F.expr("try_to_date(pub_date, 'yyyy-MM-dd')"))
 
@@ -54,6 +56,17 @@ def read_arxiv_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_feed(entries: DataFrame, path: str) -> None:
+    """Text files of XML entries (column ``value``), each file with one root."""
+
+    def rooted(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["<feed>"])], ["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</feed>"])], ["value"])
+
+    entries.select("value").mapInArrow(rooted, "value string").write.text(path)
+
+
 def export_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Fixed columns in fixed order with a header; quotes are doubled."""
     df.select(*columns).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)

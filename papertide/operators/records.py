@@ -109,6 +109,16 @@ def ris(records: DataFrame) -> DataFrame:
     return records.select("paper_id", F.concat_ws("\n", line("TY", kind), line("T2", F.col("journal")), line("PY", F.col("year")), line("DO", F.col("doi")), line("AB", F.col("abstract")), F.lit("ER  - ")).alias("ris"))
 
 
+def bibtex(records: DataFrame) -> DataFrame:
+    """paper_id and its BibTeX entry (article with a journal, else misc) under ``citation_key``; empty fields are left out, braces in values dropped."""
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c.cast("string"), "[{}]", ""), r"\s+", " "))
+    line = lambda name, c: F.when(clean(c) != "", F.concat(F.lit(f"  {name} = {{"), clean(c), F.lit("}")))
+    preprint = F.col("source_scope") == "preprint"
+    kind = F.when(preprint, "misc").otherwise("article")
+    fields = F.concat_ws(",\n", line("title", F.col("title")), line("year", F.col("year")), F.when(~preprint, line("journal", F.col("journal"))), line("doi", F.col("doi")), line("abstract", F.col("abstract")))
+    return records.select("paper_id", F.concat(F.lit("@"), kind, F.lit("{"), F.col("citation_key"), F.lit(",\n"), fields, F.lit("\n}")).alias("bibtex"))
+
+
 def citation_keys(records: DataFrame) -> DataFrame:
     """paper_id, citation_key: base key, later papers of the same base get _2, _3 in id order. Ranks come from
     one window a base; a base stands for one author and year, which bounds it."""

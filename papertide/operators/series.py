@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertide.operators.corpus import month_number, number_month
@@ -113,6 +115,24 @@ def published_and_preprint(published: DataFrame, preprint: DataFrame) -> DataFra
     return joined.withColumn("gap", F.greatest(F.col("preprint_share") - F.col("published_share"), F.lit(0.0)) * (1 + F.col("preprint_momentum")))
 
 
+def side_rankings(published: DataFrame, preprint: DataFrame, top: int) -> DataFrame:
+    """ranking, rank, term, score: the ``top`` terms by published heat, preprint rise, gap, and least published heat (two published papers, or
+    one preprint, at least); of equal scores the first by name, of cooling ones the more frequent."""
+    side = lambda df, k: df.select("term", "month", F.col("raw_share").alias(f"{k}_share"), F.col("momentum").alias(f"{k}_m"), F.col("raw_freq").alias(f"{k}_n"))
+    both = side(published, "pub").join(side(preprint, "pre"), ["term", "month"], "full").na.fill(0)
+    gap = F.greatest(F.col("pre_share") - F.col("pub_share"), F.lit(0.0)) * (1 + F.col("pre_m"))
+    sums = both.groupBy("term").agg(F.round(F.sum("pub_m"), 6).alias("heat"), F.round(F.sum("pre_m"), 6).alias("rise"), F.round(F.sum(gap), 6).alias("gap"), F.sum("pub_n").alias("pub_n"), F.sum("pre_n").alias("pre_n"))
+    kinds = (
+        ("published_heat", "heat", "pub_n >= 2", [F.desc("heat"), F.col("term")]), ("preprint_rising", "rise", "pre_n >= 1", [F.desc("rise"), F.col("term")]),
+        ("validation_gap", "gap", "pre_n >= 1", [F.desc("gap"), F.col("term")]), ("cooling_published", "heat", "pub_n >= 2", [F.col("heat"), F.desc("pub_n"), F.col("term")]),
+    )
+    parts = []
+    for name, score, rule, order in kinds:
+        best = sums.filter(rule).orderBy(*order).limit(top)  # the few rows that remain are numbered
+        parts.append(best.select(F.lit(name).alias("ranking"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "term", F.col(score).alias("score")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cooccurrence(terms: DataFrame, min_count: int = 1) -> DataFrame:
     """a, b (a < b), papers: in how many papers both stand. ``terms`` holds distinct (paper_id, term); the
     pairs of one paper grow with the square of its terms, so papers are joined on their id and

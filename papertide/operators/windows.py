@@ -85,23 +85,77 @@ def source_mix(sources: DataFrame) -> DataFrame:
     return rows.select("source_name", "current", "baseline", (F.col("current") / F.col("_c")).alias("current_share"), (F.col("baseline") / F.col("_b")).alias("baseline_share"), ((F.col("current") >= 10) & (F.col("baseline") >= 10)).alias("comparable"))
 
 
-def source_trends(outputs: DataFrame, sources: DataFrame, links: DataFrame, floor: int = 10) -> DataFrame:
-    """Source-standardised momentum of terms: within every source that has ``floor`` papers in both windows the
-    term's smoothed shares are compared, and sources are pooled by their joint size."""
-    mix = source_mix(sources).filter((F.col("current") >= floor) & (F.col("baseline") >= floor))
-    size = 1 / (1 / F.col("current") + 1 / F.col("baseline"))
-    weights = F.broadcast(mix.select("source_name", F.col("current").alias("cn"), F.col("baseline").alias("bn"), size.alias("w")))
-    by_source = links.join(sources, "paper_id").groupBy("term", "source_name").agg(F.count_if(F.col("window_name") == "current").alias("c"), F.count_if(F.col("window_name") == "baseline").alias("b"))
-    pooled = by_source.join(weights, "source_name").groupBy("term").agg(
-        F.sum("c").alias("current"), F.sum("b").alias("baseline"), F.sum("w").alias("effective_n"), F.count("*").alias("shared_sources"),
-        (F.sum(F.col("w") * F.col("c") / F.col("cn")) / F.sum("w")).alias("current_share"), (F.sum(F.col("w") * F.col("b") / F.col("bn")) / F.sum("w")).alias("baseline_share"),
+def source_trends(outputs: DataFrame, sources: DataFrame, links: DataFrame) -> DataFrame:
+    """Source-standardised momentum of terms (distinct links paper_id, term).
+
+    Sources are shared if both windows hold enough of their papers (2 % of the smaller window, 2 to 10). A term's share in a window is its share
+    in each shared source, 0 where it is absent, weighted by the source's part of all shared papers. Momentum is shrunk by the
+    papers that support it, by the coverage of links and by the part of the outputs that shared sources hold. A term with too few papers
+    in shared sources is ``source_mix_confounded``; if links cover the windows unevenly or under 60 %, all is ``insufficient_evidence``.
+    """
+    now, old = F.col("window_name") == "current", F.col("window_name") == "baseline"
+    two = lambda a, b: (F.count_if(now).alias(a), F.count_if(old).alias(b))
+    totals = outputs.agg(*two("ct", "bt"))
+    linked = links.join(outputs.select("paper_id", "window_name"), "paper_id")
+    covered = outputs.join(links.select("paper_id").distinct(), "paper_id", "left_semi").agg(*two("kc", "kb"))
+    frame = totals.crossJoin(covered).select(
+        "*", F.greatest(F.lit(2), F.ceil(F.col("ct") * 0.002)).alias("least"), F.greatest(F.lit(2), F.least(F.lit(10), F.ceil(F.least("ct", "bt") * 0.02))).alias("floor"),
+        F.coalesce(F.col("kc") / F.nullif("ct", F.lit(0)), F.lit(0.0)).alias("cover_c"), F.coalesce(F.col("kb") / F.nullif("bt", F.lit(0)), F.lit(0.0)).alias("cover_b"),
     )
-    prior = 0.5 / F.col("effective_n")
-    ratio = F.log2((F.col("current_share") + prior) / (F.col("baseline_share") + prior))
-    support = F.least(F.lit(1.0), F.sqrt((F.col("current") + F.col("baseline")) / 20))
-    momentum = 100 * F.tanh(ratio / 2) * support
-    status = F.when(F.col("current") < 3, "insufficient_evidence").when(momentum >= 15, F.when(F.col("baseline") == 0, "emerging").otherwise("rising")).when(momentum <= -15, "cooling").otherwise("stable")
-    return pooled.select("term", "current", "baseline", "shared_sources", "current_share", "baseline_share", momentum.alias("momentum"), status.alias("status"))
+    shared = sources.groupBy("source_name").agg(*two("cn", "bn")).crossJoin(F.broadcast(frame.select("floor"))).filter((F.col("cn") >= F.col("floor")) & (F.col("bn") >= F.col("floor"))).drop("floor")
+    pooled = shared.agg(F.sum("cn").alias("sc"), F.sum("bn").alias("sb"), F.sum((F.col("cn") + F.col("bn")) * (F.col("cn") + F.col("bn"))).alias("square"))
+    size = F.col("sc") + F.col("sb")
+    frame = frame.crossJoin(pooled).select(
+        "ct", "bt", "least", "cover_c", "cover_b", size.alias("pooled"), (F.col("square") / size / 2).alias("effective_n"),
+        F.least(F.lit(1.0), F.col("sc") / F.col("ct"), F.col("sb") / F.col("bt")).alias("support"),
+    )
+    counts = linked.groupBy("term").agg(*two("current", "baseline"))
+    parts = links.join(sources, "paper_id").groupBy("term", "source_name").agg(*two("c", "b")).join(shared, "source_name")
+    weight = F.col("cn") + F.col("bn")
+    by_term = parts.groupBy("term").agg(F.sum("c").alias("comparable_current"), F.sum("b").alias("comparable_baseline"), F.sum(weight * F.col("c") / F.col("cn")).alias("wc"), F.sum(weight * F.col("b") / F.col("bn")).alias("wb"))
+    rows = counts.join(by_term, "term", "left").crossJoin(F.broadcast(frame))
+    rows = rows.filter((F.col("current") >= F.col("least")) | (F.col("current") + F.col("baseline") >= F.col("least") * 2))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("comparable_current", "comparable_baseline", "pooled")})
+    share = lambda w: F.coalesce(F.col(w) / F.nullif("pooled", F.lit(0)), F.lit(0.0))
+    rows = rows.withColumns({"current_share": share("wc"), "baseline_share": share("wb"), "_n": F.col("comparable_current") + F.col("comparable_baseline"), "_prior": 0.5 / F.greatest(F.lit(1.0), F.coalesce("effective_n", F.lit(0.0)))})
+    even = (F.col("cover_c") >= 0.6) & (F.col("cover_b") >= 0.6) & (F.abs(F.col("cover_c") - F.col("cover_b")) <= 0.15)
+    confounded = (F.col("pooled") == 0) | (F.col("_n") < F.col("least"))
+    shrunk = F.least(F.lit(1.0), F.sqrt(F.col("_n") / 20)) * F.least("cover_c", "cover_b") * F.sqrt(F.greatest(F.lit(0.0), F.coalesce("support", F.lit(0.0))))
+    ratio = F.log2((F.col("current_share") + F.col("_prior")) / (F.col("baseline_share") + F.col("_prior")))
+    rows = rows.withColumn("reliability", F.when(confounded | ~even, 0.0).otherwise(shrunk))
+    rows = rows.withColumn("momentum", F.when(confounded | ~even, 0.0).otherwise(100 * F.tanh(ratio / 2) * F.col("reliability")))
+    weak = (F.col("current") < F.col("least")) | (F.col("ct") < 5) | (F.col("bt") < 5)
+    status = (
+        F.when(~even, "insufficient_evidence").when(confounded, "source_mix_confounded").when(weak, "insufficient_evidence")
+        .when(F.col("momentum") >= 15, F.when(F.col("comparable_baseline") == 0, "emerging").otherwise("rising")).when(F.col("momentum") <= -15, "cooling").otherwise("stable")
+    )
+    heat = F.when(confounded | ~even, F.least(F.lit(15.0), 3 * F.log1p("current"))).otherwise(F.greatest(F.lit(0.0), F.col("momentum")) * 0.55 + F.least(F.lit(100.0), 25 * F.log1p("comparable_current")) * 0.45)
+    return rows.select("term", "current", "baseline", "comparable_current", "comparable_baseline", "current_share", "baseline_share", "reliability", "momentum", status.alias("status"), heat.alias("heat_score"))
+
+
+def release_gates(outputs: DataFrame, sources: DataFrame, links: dict[str, DataFrame], today: str) -> DataFrame:
+    """One row: volume_ratio, abstract_coverage, source_shift, stale_days, multi_source, providers, and the gates ``overlap``, ``common``, one for each kind
+    of ``links`` (covers 60 % of both windows, at most 15 points apart), and ``verdict`` (pass if all hold). Shares are between 0 and 1."""
+    now, old = F.col("window_name") == "current", F.col("window_name") == "baseline"
+    share = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    row = outputs.agg(F.count_if(now).alias("ct"), F.count_if(old).alias("bt"), F.max("research_date").alias("last"), F.sum(F.when(now, F.col("has_abstract"))).alias("told"))
+    mix = source_mix(sources).agg((F.sum(F.abs(F.col("current_share") - F.col("baseline_share"))) / 2).alias("source_shift"))
+    per_paper = sources.filter(now).groupBy("paper_id").agg(F.count("*").alias("n"))
+    several = per_paper.agg(F.count_if(F.col("n") > 1).alias("several"))
+    known = sources.filter(now).agg(F.countDistinct("source_name").alias("providers"))
+    row = row.crossJoin(mix).crossJoin(several).crossJoin(known)
+    for kind, found in links.items():
+        inside = outputs.join(found.select("paper_id").distinct(), "paper_id", "left_semi").agg(F.count_if(now).alias(f"{kind}_c"), F.count_if(old).alias(f"{kind}_b"))
+        row = row.crossJoin(inside)
+    row = row.withColumns({"volume_ratio": share(F.col("ct"), F.col("bt")), "abstract_coverage": share(F.col("told"), F.col("ct")), "stale_days": F.greatest(F.lit(0), F.datediff(F.lit(today).cast("date"), "last")), "multi_source": share(F.col("several"), F.col("ct"))})
+    row = row.withColumn("overlap", (F.col("multi_source") >= 0.25) & (F.col("providers") >= 3))
+    common = (F.col("ct") >= 100) & (F.col("bt") >= 100) & F.col("volume_ratio").between(0.5, 2.0) & (F.col("abstract_coverage") >= 0.7) & (F.coalesce("source_shift", F.lit(1.0)) <= 0.15) & (F.col("stale_days") <= 3) & F.col("overlap")
+    row = row.withColumn("common", common)
+    for kind in links:
+        c, b = share(F.col(f"{kind}_c"), F.col("ct")), share(F.col(f"{kind}_b"), F.col("bt"))
+        row = row.withColumn(kind, F.col("common") & (c >= 0.6) & (b >= 0.6) & (F.abs(c - b) <= 0.15))
+    every = F.forall(F.array(*(F.col(k) for k in links)), lambda x: x)
+    return row.select("volume_ratio", "abstract_coverage", "source_shift", "stale_days", "multi_source", "providers", "overlap", "common", *links, F.when(every, "pass").otherwise("caution").alias("verdict"))
 
 
 def source_overlap(sources: DataFrame, top: int = 8) -> DataFrame:

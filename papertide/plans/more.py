@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.operators import providers as op
@@ -64,6 +67,31 @@ def material_radar(spark, d):
     return counted.crossJoin(F.broadcast(counted.agg(F.count("*").alias("materials"))))
 
 
+_ORDERS = {"default": "month DESC, week DESC, year DESC", "preprint": "preprint_change DESC, preprints DESC", "publication": "publication_change DESC, publications DESC", "burst": "trend_score DESC, week DESC", "persistent": "year DESC, month DESC"}
+
+
+@query("material_rankings", f"""{_RADAR}, c AS (SELECT material, count(*) FILTER (age < 7) AS week, count(*) FILTER (age < 30) AS month, count(*) AS year, count(*) FILTER (age < 30 AND has_preprint = 1) AS preprints, count(*) FILTER (age < 30 AND has_publication = 1) AS publications,
+ count(*) FILTER (age < 30 AND has_preprint = 1) - count(*) FILTER (age BETWEEN 30 AND 59 AND has_preprint = 1) AS preprint_change, count(*) FILTER (age < 30 AND has_publication = 1) - count(*) FILTER (age BETWEEN 30 AND 59 AND has_publication = 1) AS publication_change FROM r GROUP BY 1),
+s AS (SELECT *, round((month - round(year / 12.0, 1)) / greatest(round(year / 12.0, 1), 1.0), 3) AS trend_score FROM c), k AS ({" UNION ALL ".join(f"SELECT '{v}' AS view, *, row_number() OVER (ORDER BY {o}, material) AS rank FROM s" for v, o in _ORDERS.items())})
+SELECT view, CAST(rank AS INTEGER) AS rank, material, week, month, year, preprint_change, publication_change, trend_score FROM k WHERE rank <= 12""")
+def material_rankings(spark, d):
+    age = F.datediff(F.lit(AS_OF).cast("date"), "research_date")
+    rows = t.terms(spark, d).filter("term_type = 'material'").join(outputs(spark, d), "paper_id").withColumn("age", age)
+    in_month = lambda c, lo, hi: F.count_if((F.col("age") >= lo) & (F.col("age") < hi) & (F.col(c) == 1))
+    change = lambda c: in_month(c, 0, 30) - in_month(c, 30, 60)
+    counted = rows.groupBy(F.col("normalized_term").alias("material")).agg(
+        F.count_if(F.col("age") < 7).alias("week"), F.count_if(F.col("age") < 30).alias("month"), F.count("*").alias("year"), in_month("has_preprint", 0, 30).alias("preprints"), in_month("has_publication", 0, 30).alias("publications"),
+        change("has_preprint").alias("preprint_change"), change("has_publication").alias("publication_change"),
+    )
+    base = F.round(F.col("year") / 12, 1)
+    scored = counted.withColumn("trend_score", F.round((F.col("month") - base) / F.greatest(base, F.lit(1.0)), 3))
+    parts = []
+    for view, order in _ORDERS.items():
+        best = scored.orderBy(*(F.expr(x.split()[0]).desc() for x in order.split(", ")), "material").limit(12)
+        parts.append(best.select(F.lit(view).alias("view"), F.expr(f"row_number() over (order by {order}, material)").alias("rank"), "material", "week", "month", "year", "preprint_change", "publication_change", "trend_score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("material_series", f"{_RADAR} SELECT material, strftime(research_date, '%Y-%m') AS month, count(*) AS papers FROM r GROUP BY 1, 2")
 def material_series(spark, d):
     rows = t.terms(spark, d).filter("term_type = 'material'").join(outputs(spark, d), "paper_id")

@@ -150,6 +150,12 @@ def export_ris(spark, d):
     return op.ris(t.papers(spark, d))
 
 
+@query("export_bibtex", f"WITH {t.PAPERS_SQL} SELECT paper_id, concat('@', CASE WHEN source_scope = 'preprint' THEN 'misc' ELSE 'article' END, '{{', 'key', paper_id, ',', chr(10), concat_ws(concat(',', chr(10)), concat('  title = {{A ', paper_id, '}}'), concat('  year = {{', CAST(year AS VARCHAR), '}}'), CASE WHEN source_scope <> 'preprint' THEN concat('  journal = {{', journal, '}}') END, CASE WHEN doi IS NOT NULL THEN concat('  doi = {{', doi, '}}') END, CASE WHEN abstract <> '' THEN concat('  abstract = {{', abstract, '}}') END), chr(10), '}}') AS bibtex FROM papers_v")
+def export_bibtex(spark, d):
+    papers = t.papers(spark, d).withColumns({"title": F.concat(F.lit("{A}  "), "paper_id"), "citation_key": F.concat(F.lit("key"), "paper_id")})
+    return op.bibtex(papers)
+
+
 @query("citation_keys", f"WITH {t.PAPERS_SQL}, b AS (SELECT paper_id, concat(lower(replace(journal, ' ', '')), '_', month) AS base FROM papers_v), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY paper_id) AS n FROM b) SELECT paper_id, CASE WHEN n = 1 THEN base ELSE concat(base, '_', CAST(n AS VARCHAR)) END AS citation_key FROM r")
 def citation_keys(spark, d):
     base = F.concat(F.lower(F.replace("journal", F.lit(" "), F.lit(""))), F.lit("_"), F.col("month"))

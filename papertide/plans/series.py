@@ -49,10 +49,10 @@ def smooth_rolling(spark, d):
     return rounded(six.select("term", "month", "rolling_3", "rolling_6"), "rolling_3", "rolling_6")
 
 
-@query("smooth_ewma", f"""WITH RECURSIVE {DENSE_SQL[5:]}, {EIGHT_SQL}, s AS (SELECT term, month, n, CAST(weighted_freq AS DOUBLE) AS v FROM dense_v SEMI JOIN eight USING (term)),
+@query("smooth_ewma", f"""WITH RECURSIVE {DENSE_SQL[5:]}, s AS (SELECT term, month, n, CAST(weighted_freq AS DOUBLE) AS v FROM dense_v),
 e AS (SELECT term, month, n, v AS smooth FROM s WHERE n = 1995 * 12 + 1 UNION ALL SELECT s.term, s.month, s.n, 0.35 * s.v + 0.65 * e.smooth FROM e JOIN s ON s.term = e.term AND s.n = e.n + 1) SELECT term, month, round(smooth, 6) AS smooth FROM e""")
 def smooth_ewma(spark, d):
-    return rounded(se.ewma(dense(spark, d).join(eight(spark, d), "term"), ["term"], "weighted_freq"), "smooth")
+    return rounded(se.ewma(dense(spark, d), ["term"], "weighted_freq"), "smooth")
 
 
 @query("compare_zscore", f"{DENSE_SQL}, {EIGHT_SQL} SELECT term, month, round((weighted_freq - avg(weighted_freq) OVER w) / CASE WHEN stddev_pop(weighted_freq) OVER w = 0 THEN 1 ELSE stddev_pop(weighted_freq) OVER w END, 6) AS z FROM dense_v SEMI JOIN eight USING (term) WINDOW w AS (PARTITION BY term)")
@@ -155,6 +155,18 @@ def pub_preprint_top(spark, d):
     return summed.orderBy(F.desc("gap"), "term").limit(20).select("term", F.round("gap", 5).alias("gap"))
 
 
+_SIDES = f"""WITH a AS ({_side('published').replace('raw_share, momentum', 'raw_share, momentum, raw_freq')}), b AS ({_side('preprint').replace('raw_share, momentum', 'raw_share, momentum, raw_freq')}), g AS (SELECT coalesce(a.term, b.term) AS term, coalesce(a.momentum, 0) AS heat, coalesce(b.momentum, 0) AS rise, coalesce(a.raw_freq, 0) AS pub_n, coalesce(b.raw_freq, 0) AS pre_n,
+ greatest(coalesce(b.raw_share, 0) - coalesce(a.raw_share, 0), 0) * (1 + coalesce(b.momentum, 0)) AS gap FROM a FULL JOIN b ON a.term = b.term AND a.month = b.month),
+s AS (SELECT term, round(sum(heat), 6) AS heat, round(sum(rise), 6) AS rise, round(sum(gap), 6) AS gap, CAST(sum(pub_n) AS BIGINT) AS pub_n, CAST(sum(pre_n) AS BIGINT) AS pre_n FROM g GROUP BY 1),
+k AS (SELECT 'published_heat' AS ranking, term, heat AS score, row_number() OVER (ORDER BY heat DESC, term) AS rank FROM s WHERE pub_n >= 2 UNION ALL SELECT 'preprint_rising', term, rise, row_number() OVER (ORDER BY rise DESC, term) FROM s WHERE pre_n >= 1
+ UNION ALL SELECT 'validation_gap', term, gap, row_number() OVER (ORDER BY gap DESC, term) FROM s WHERE pre_n >= 1 UNION ALL SELECT 'cooling_published', term, heat, row_number() OVER (ORDER BY heat, pub_n DESC, term) FROM s WHERE pub_n >= 2)"""
+
+
+@query("pub_preprint_rankings", f"{_SIDES} SELECT ranking, CAST(rank AS INTEGER) AS rank, term, score FROM k WHERE rank <= 20")
+def pub_preprint_rankings(spark, d):
+    return se.side_rankings(*sides(spark, d), 20)
+
+
 def pairs_of(spark, d):
     return t.terms(spark, d).filter("display_eligible = 1").select("paper_id", F.col("normalized_term").alias("term")).distinct()
 

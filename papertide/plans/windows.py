@@ -8,6 +8,7 @@ from papertide.operators import windows as op
 from papertide.plans.corpus import rounded
 from papertide.plans.registry import query
 from papertide.sources import tables as t
+from papertide.sources.scratch import saved
 
 LAST, DAYS = "1998-06-30", 180
 EVENTS_SQL = f"""WITH {t.PAPERS_SQL}, {t.VERSIONS_SQL}, events_v AS (SELECT v.version_id, v.version_type, v.source, p.paper_id, p.abstract, p.doi, p.is_open_access, p.cited_by_count, p.source AS paper_source,
@@ -33,6 +34,11 @@ def sources(spark, d):
     return op.output_sources(outputs(spark, d), events(spark, d))
 
 
+def kept(df, name):
+    """Made once where a query reads it several times."""
+    return saved(df, name)
+
+
 def links(spark, d):
     return t.terms(spark, d).filter("term_type = 'concept' and display_eligible = 1").select("paper_id", F.col("normalized_term").alias("term")).distinct()
 
@@ -91,30 +97,38 @@ def two_window(spark, d):
     return rounded(found.select("term", "current", "baseline", "reliability", "momentum", "status", "heat_score"), "reliability", "momentum", "heat_score")
 
 
-@query("entity_trends", f"""{MIX_SQL}, {LINK_SQL}, w AS (SELECT source_name, current AS cn, baseline AS bn, 1 / (1 / current + 1 / baseline) AS w FROM mix WHERE current >= 10 AND baseline >= 10),
-s AS (SELECT term, source_name, count(*) FILTER (window_name = 'current') AS c, count(*) FILTER (window_name = 'baseline') AS b FROM link_v JOIN src_v USING (paper_id) GROUP BY 1, 2),
-p AS (SELECT term, CAST(sum(c) AS BIGINT) AS current, CAST(sum(b) AS BIGINT) AS baseline, sum(w) AS en, count(*) AS shared_sources, sum(w * c / cn) / sum(w) AS current_share, sum(w * b / bn) / sum(w) AS baseline_share FROM s JOIN w USING (source_name) GROUP BY 1),
-q AS (SELECT *, log2((current_share + 0.5 / en) / (baseline_share + 0.5 / en)) AS ratio FROM p), r AS (SELECT *, 100 * (exp(ratio) - 1) / (exp(ratio) + 1) * least(1.0, sqrt((current + baseline) / 20)) AS momentum FROM q)
-SELECT term, current, baseline, shared_sources, round(current_share, 9) AS current_share, round(baseline_share, 9) AS baseline_share, round(momentum, 6) AS momentum,
-CASE WHEN current < 3 THEN 'insufficient_evidence' WHEN momentum >= 15 THEN CASE WHEN baseline = 0 THEN 'emerging' ELSE 'rising' END WHEN momentum <= -15 THEN 'cooling' ELSE 'stable' END AS status FROM r""")
+@query("entity_trends", f"""{MIX_SQL}, {LINK_SQL}, n AS (SELECT count(*) FILTER (window_name = 'current') AS ct, count(*) FILTER (window_name = 'baseline') AS bt, count(*) FILTER (window_name = 'current' AND k) AS kc, count(*) FILTER (window_name = 'baseline' AND k) AS kb FROM (SELECT *, paper_id IN (SELECT paper_id FROM link_v) AS k FROM out_v)),
+fr AS (SELECT *, greatest(2, ceil(ct * 0.002)) AS least_n, greatest(2, least(10, ceil(least(ct, bt) * 0.02))) AS fl, kc / ct AS cover_c, kb / bt AS cover_b FROM n), sh AS (SELECT source_name, current AS cn, baseline AS bn FROM mix, fr WHERE current >= fl AND baseline >= fl),
+po AS (SELECT sum(cn) AS sc, sum(bn) AS sb, sum(cn + bn) AS pooled, sum((cn + bn) * (cn + bn)) / sum(cn + bn) / 2 AS en FROM sh), c AS (SELECT term, count(*) FILTER (window_name = 'current') AS current, count(*) FILTER (window_name = 'baseline') AS baseline FROM link_v JOIN out_v USING (paper_id) GROUP BY 1),
+s AS (SELECT term, source_name, count(*) FILTER (window_name = 'current') AS c, count(*) FILTER (window_name = 'baseline') AS b FROM link_v JOIN src_v USING (paper_id) GROUP BY 1, 2), p AS (SELECT term, CAST(sum(c) AS BIGINT) AS cc, CAST(sum(b) AS BIGINT) AS cb, sum((cn + bn) * c / cn) AS wc, sum((cn + bn) * b / bn) AS wb FROM s JOIN sh USING (source_name) GROUP BY 1),
+q AS (SELECT term, current, baseline, coalesce(cc, 0) AS comparable_current, coalesce(cb, 0) AS comparable_baseline, coalesce(wc / pooled, 0) AS current_share, coalesce(wb / pooled, 0) AS baseline_share, 0.5 / greatest(1, coalesce(en, 0)) AS prior, ct, bt, least_n, cover_c, cover_b, coalesce(pooled, 0) AS pooled, least(1.0, sc / ct, sb / bt) AS support FROM c LEFT JOIN p USING (term), fr, po WHERE current >= least_n OR current + baseline >= least_n * 2),
+g AS (SELECT *, cover_c >= 0.6 AND cover_b >= 0.6 AND abs(cover_c - cover_b) <= 0.15 AS even, pooled = 0 OR comparable_current + comparable_baseline < least_n AS conf, least(1.0, sqrt((comparable_current + comparable_baseline) / 20)) * least(cover_c, cover_b) * sqrt(greatest(0, coalesce(support, 0))) AS shrunk, log2((current_share + prior) / (baseline_share + prior)) AS ratio FROM q),
+r AS (SELECT *, CASE WHEN conf OR NOT even THEN 0 ELSE shrunk END AS reliability, CASE WHEN conf OR NOT even THEN 0 ELSE 100 * (exp(ratio) - 1) / (exp(ratio) + 1) * shrunk END AS momentum FROM g)
+SELECT term, current, baseline, comparable_current, comparable_baseline, round(current_share, 9) AS current_share, round(baseline_share, 9) AS baseline_share, round(reliability, 6) AS reliability, round(momentum, 6) AS momentum,
+CASE WHEN NOT even THEN 'insufficient_evidence' WHEN conf THEN 'source_mix_confounded' WHEN current < least_n OR ct < 5 OR bt < 5 THEN 'insufficient_evidence' WHEN momentum >= 15 THEN CASE WHEN comparable_baseline = 0 THEN 'emerging' ELSE 'rising' END WHEN momentum <= -15 THEN 'cooling' ELSE 'stable' END AS status,
+round(CASE WHEN conf OR NOT even THEN least(15, 3 * ln(1 + current)) ELSE greatest(0, momentum) * 0.55 + least(100, 25 * ln(1 + comparable_current)) * 0.45 END, 6) AS heat_score FROM r""")
 def entity_trends(spark, d):
-    found = op.source_trends(outputs(spark, d), sources(spark, d), links(spark, d))
-    return found.withColumns({"current_share": F.round("current_share", 9), "baseline_share": F.round("baseline_share", 9), "momentum": F.round("momentum", 6)})
+    out = kept(outputs(spark, d), "outputs")
+    found = op.source_trends(out, kept(op.output_sources(out, events(spark, d)), "output-sources"), links(spark, d))
+    return found.withColumns({c: F.round(c, 9) for c in ("current_share", "baseline_share")} | {c: F.round(c, 6) for c in ("reliability", "momentum", "heat_score")})
+
 
+_COVER = lambda k: f"count(*) FILTER (window_name = 'current' AND paper_id IN (SELECT paper_id FROM terms_v WHERE term_type = '{k}' AND display_eligible = 1)) / count(*) FILTER (window_name = 'current') AS {k}_c, count(*) FILTER (window_name = 'baseline' AND paper_id IN (SELECT paper_id FROM terms_v WHERE term_type = '{k}' AND display_eligible = 1)) / count(*) FILTER (window_name = 'baseline') AS {k}_b"
+_GATE = lambda k: f"common AND {k}_c >= 0.6 AND {k}_b >= 0.6 AND abs({k}_c - {k}_b) <= 0.15"
 
-@query("reliability", f"""{MIX_SQL}, {LINK_SQL}, n AS (SELECT count(*) FILTER (window_name = 'current') AS c, count(*) FILTER (window_name = 'baseline') AS b, max(research_date) AS last FROM out_v), sh AS (SELECT sum(abs(current / tc - baseline / tb)) / 2 AS shift FROM mix, (SELECT sum(current) AS tc, sum(baseline) AS tb FROM mix))
-SELECT round(c / b, 9) AS volume_ratio, round((SELECT count(DISTINCT paper_id) FROM link_v SEMI JOIN out_v USING (paper_id)) / (c + b), 9) AS coverage, round(shift, 9) AS source_shift, date_diff('day', last, DATE '1998-06-30') AS stale_days, CASE WHEN c >= 20 AND b >= 20 AND c / b BETWEEN 0.5 AND 2 AND shift <= 0.35 THEN 'pass' ELSE 'caution' END AS verdict FROM n, sh""")
+
+@query("reliability", f"""{MIX_SQL}, {t.TERMS_SQL}, n AS (SELECT count(*) FILTER (window_name = 'current') AS ct, count(*) FILTER (window_name = 'baseline') AS bt, max(research_date) AS last, sum(has_abstract) FILTER (window_name = 'current') AS told, {_COVER('concept')}, {_COVER('material')}, {_COVER('method')} FROM out_v),
+sh AS (SELECT sum(abs(current / tc - baseline / tb)) / 2 AS shift FROM mix, (SELECT sum(current) AS tc, sum(baseline) AS tb FROM mix)), m AS (SELECT count(*) FILTER (k > 1) AS several FROM (SELECT paper_id, count(*) AS k FROM src_v WHERE window_name = 'current' GROUP BY 1)), pr AS (SELECT count(DISTINCT source_name) AS providers FROM src_v WHERE window_name = 'current'),
+r AS (SELECT *, ct / bt AS volume_ratio, told / ct AS abstract_coverage, greatest(0, date_diff('day', last, DATE '1998-06-30')) AS stale_days, several / ct AS multi_source, several / ct >= 0.25 AND providers >= 3 AS overlap FROM n, sh, m, pr),
+g AS (SELECT *, ct >= 100 AND bt >= 100 AND volume_ratio BETWEEN 0.5 AND 2 AND abstract_coverage >= 0.7 AND shift <= 0.15 AND stale_days <= 3 AND overlap AS common FROM r)
+SELECT round(volume_ratio, 9) AS volume_ratio, round(abstract_coverage, 9) AS abstract_coverage, round(shift, 9) AS source_shift, stale_days, round(multi_source, 9) AS multi_source, providers, overlap, common, {_GATE('concept')} AS concept, {_GATE('material')} AS material, {_GATE('method')} AS method, CASE WHEN ({_GATE('concept')}) AND ({_GATE('material')}) AND ({_GATE('method')}) THEN 'pass' ELSE 'caution' END AS verdict FROM g""")
 def reliability(spark, d):
-    out = outputs(spark, d)
-    n = out.agg(F.count_if(F.col("window_name") == "current").alias("c"), F.count_if(F.col("window_name") == "baseline").alias("b"), F.max("research_date").alias("last"))
-    covered = links(spark, d).select("paper_id").distinct().join(out.select("paper_id"), "paper_id", "left_semi").agg(F.count("*").alias("k"))
-    shift = op.source_mix(sources(spark, d)).agg((F.sum(F.abs(F.col("current_share") - F.col("baseline_share"))) / 2).alias("shift"))
-    ratio = F.col("c") / F.col("b")
-    good = (F.col("c") >= 20) & (F.col("b") >= 20) & ratio.between(0.5, 2) & (F.col("shift") <= 0.35)
-    return n.crossJoin(covered).crossJoin(shift).select(
-        F.round(ratio, 9).alias("volume_ratio"), F.round(F.col("k") / (F.col("c") + F.col("b")), 9).alias("coverage"), F.round("shift", 9).alias("source_shift"),
-        F.datediff(F.lit(LAST).cast("date"), "last").cast("long").alias("stale_days"), F.when(good, "pass").otherwise("caution").alias("verdict"),
-    )
+    out = kept(outputs(spark, d), "outputs")
+    found = kept(op.output_sources(out, events(spark, d)), "output-sources")
+    terms = kept(t.terms(spark, d).filter("display_eligible = 1").select("paper_id", "term_type").distinct(), "covered")
+    by_kind = {k: terms.filter(F.col("term_type") == k).select("paper_id") for k in ("concept", "material", "method")}
+    gates = op.release_gates(out, found, by_kind, LAST)
+    return gates.withColumns({c: F.round(c, 9) for c in ("volume_ratio", "abstract_coverage", "source_shift", "multi_source")})
 
 
 @query("pathways", f"""{EVENTS_SQL}, f AS (SELECT paper_id, min(paper_date) FILTER (version_type = 'preprint') AS pre, min(paper_date) FILTER (version_type = 'published') AS pub FROM events_v GROUP BY 1),

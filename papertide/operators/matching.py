@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from papertide.operators.records import components
 
@@ -45,7 +46,7 @@ def resolve_exact(incoming: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.withColumns({"paper_id": F.coalesce("_doi", "_arxiv", "_openalex"), "rule": rule, "confidence": confidence}).select(*incoming.columns, "paper_id", "rule", "confidence")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters of two titles; equal titles are not compared."""
     return pd.Series([1.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -31,7 +31,14 @@ def outputs(spark, d):
 
 
 def sources(spark, d):
-    return op.output_sources(outputs(spark, d), events(spark, d))
+    return both(spark, d)[1]
+
+
+def both(spark, d):
+    """Outputs and their sources; the events are made once, only as wide as both need."""
+    seen = kept(events(spark, d).select("paper_id", "version_type", "source", "paper_source", "paper_date", "abstract", "doi", "is_open_access", "cited_by_count"), "events")
+    out = op.canonical_outputs(seen, LAST, DAYS)
+    return out, op.output_sources(out, seen)
 
 
 def kept(df, name):
@@ -93,7 +100,8 @@ k AS (SELECT *, 100 * (exp(ratio) - 1) / (exp(ratio) + 1) * reliability AS momen
 @query("two_window", f"""{_COUNTS} SELECT term, current, baseline, round(reliability, 6) AS reliability, round(momentum, 6) AS momentum, CASE WHEN current < 3 OR current_total < 5 OR baseline_total < 5 THEN 'insufficient_evidence' WHEN momentum >= 15 THEN CASE WHEN baseline = 0 THEN 'emerging' ELSE 'rising' END WHEN momentum <= -15 THEN 'cooling' ELSE 'stable' END AS status,
 round(greatest(0, momentum) * 0.55 + least(100, 25 * ln(1 + current)) * 0.45, 6) AS heat_score FROM k""")
 def two_window(spark, d):
-    found = op.two_window_momentum(op.window_counts(outputs(spark, d), links(spark, d)))
+    out = kept(outputs(spark, d), "outputs")
+    found = op.two_window_momentum(op.window_counts(out, kept(links(spark, d).join(out.select("paper_id"), "paper_id", "left_semi"), "links")))
     return rounded(found.select("term", "current", "baseline", "reliability", "momentum", "status", "heat_score"), "reliability", "momentum", "heat_score")
 
 
@@ -108,8 +116,10 @@ SELECT term, current, baseline, comparable_current, comparable_baseline, round(c
 CASE WHEN NOT even THEN 'insufficient_evidence' WHEN conf THEN 'source_mix_confounded' WHEN current < least_n OR ct < 5 OR bt < 5 THEN 'insufficient_evidence' WHEN momentum >= 15 THEN CASE WHEN comparable_baseline = 0 THEN 'emerging' ELSE 'rising' END WHEN momentum <= -15 THEN 'cooling' ELSE 'stable' END AS status,
 round(CASE WHEN conf OR NOT even THEN least(15, 3 * ln(1 + current)) ELSE greatest(0, momentum) * 0.55 + least(100, 25 * ln(1 + comparable_current)) * 0.45 END, 6) AS heat_score FROM r""")
 def entity_trends(spark, d):
-    out = kept(outputs(spark, d), "outputs")
-    found = op.source_trends(out, kept(op.output_sources(out, events(spark, d)), "output-sources"), links(spark, d))
+    out, found = both(spark, d)
+    out = kept(out, "outputs")
+    inside = kept(links(spark, d).join(out.select("paper_id"), "paper_id", "left_semi"), "links")
+    found = op.source_trends(out, kept(found, "output-sources"), inside)
     return found.withColumns({c: F.round(c, 9) for c in ("current_share", "baseline_share")} | {c: F.round(c, 6) for c in ("reliability", "momentum", "heat_score")})
 
 
@@ -123,9 +133,9 @@ r AS (SELECT *, ct / bt AS volume_ratio, told / ct AS abstract_coverage, greates
 g AS (SELECT *, ct >= 100 AND bt >= 100 AND volume_ratio BETWEEN 0.5 AND 2 AND abstract_coverage >= 0.7 AND shift <= 0.15 AND stale_days <= 3 AND overlap AS common FROM r)
 SELECT round(volume_ratio, 9) AS volume_ratio, round(abstract_coverage, 9) AS abstract_coverage, round(shift, 9) AS source_shift, stale_days, round(multi_source, 9) AS multi_source, providers, overlap, common, {_GATE('concept')} AS concept, {_GATE('material')} AS material, {_GATE('method')} AS method, CASE WHEN ({_GATE('concept')}) AND ({_GATE('material')}) AND ({_GATE('method')}) THEN 'pass' ELSE 'caution' END AS verdict FROM g""")
 def reliability(spark, d):
-    out = kept(outputs(spark, d), "outputs")
-    found = kept(op.output_sources(out, events(spark, d)), "output-sources")
-    terms = kept(t.terms(spark, d).filter("display_eligible = 1").select("paper_id", "term_type").distinct(), "covered")
+    out, found = both(spark, d)
+    out, found = kept(out, "outputs"), kept(found, "output-sources")
+    terms = kept(t.terms(spark, d).filter("display_eligible = 1").join(out.select("paper_id"), "paper_id", "left_semi").select("paper_id", "term_type").distinct(), "covered")
     by_kind = {k: terms.filter(F.col("term_type") == k).select("paper_id") for k in ("concept", "material", "method")}
     gates = op.release_gates(out, found, by_kind, LAST)
     return gates.withColumns({c: F.round(c, 9) for c in ("volume_ratio", "abstract_coverage", "source_shift", "multi_source")})

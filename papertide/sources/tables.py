@@ -41,6 +41,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct rows; dealt by paper, which serves the distinct and the joins on the paper with one shuffle."""
     l, day = F.col, F.col("l_shipdate").cast("date")
     return read(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("version_id"),
@@ -49,17 +50,17 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(l("l_returnflag") != "R", day).alias("publication_date"),
         F.when(l("l_returnflag") == "R", day).alias("submitted_date"),
         F.when(l("l_suppkey") % 4 == 0, "openalex").when(l("l_suppkey") % 4 == 1, "crossref").when(l("l_suppkey") % 4 == 2, "arxiv").otherwise("legacy").alias("source"),
-    ).distinct()
+    ).repartition("canonical_paper_id").distinct()
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass over the join; the three kinds of term come from one row each."""
+    """One pass over the join; the three kinds of term come from one row each. Rows are dealt by paper before they become
+    three, which serves the grouping and later joins on the paper."""
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount")
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     kind = F.explode(F.array(*(F.struct(F.lit(t).alias("term_type"), F.col(c).alias("normalized_term")) for t, c in (("concept", "p_name"), ("material", "p_brand"), ("method", "p_type")))))
-    rows = items.join(parts, items.l_partkey == parts.p_partkey).select(
-        F.col("l_orderkey").cast("string").alias("paper_id"), kind.alias("k"), (1 - F.col("l_discount") * 5).alias("confidence"), F.when(F.col("p_size") % 5 != 0, 1).otherwise(0).alias("elig")
-    )
+    joined = items.join(parts, items.l_partkey == parts.p_partkey).withColumn("paper_id", F.col("l_orderkey").cast("string")).repartition("paper_id")
+    rows = joined.select("paper_id", kind.alias("k"), (1 - F.col("l_discount") * 5).alias("confidence"), F.when(F.col("p_size") % 5 != 0, 1).otherwise(0).alias("elig"))
     return rows.groupBy("paper_id", F.col("k.term_type").alias("term_type"), F.col("k.normalized_term").alias("normalized_term")).agg(
         F.max("confidence").alias("confidence"), F.max("elig").alias("display_eligible")
     )

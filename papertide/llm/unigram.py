@@ -132,6 +132,12 @@ class Vocabulary:
             not any("\n" in p for p in long_ones), not any(MARK in p.lstrip(MARK) for p in long_ones),
         )
 
+    def lists(self) -> tuple[list[int], list[int], list[int], list[float]]:
+        """Base, check and value of the trie, and the scores, as plain lists made once a process."""
+        if not hasattr(self, "_lists"):
+            self._lists = (self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist())
+        return self._lists
+
     def chunks(self, text: str) -> list[str]:
         """The text with a leading marker, cut where no piece can cross; blanks stand for markers."""
         text = " " + text.replace(MARK, " ") if text else ""
@@ -202,6 +208,46 @@ def _segment_equal(cells: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np
     return flat, counts
 
 
+#: Chunks of one length up to which each goes alone: one long run without blanks would pay numpy's cost for every byte.
+FEW = 12
+
+
+def _segment_one(chunk: bytes, vocab: Vocabulary) -> list[int]:
+    """Best piece ids of one chunk, by the same steps as ``_segment_equal``."""
+    base, check, value, scores = vocab.lists()
+    n, unset = len(chunk), float("-inf")
+    best, back_id, back_len = [unset] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+    best[0] = 0.0
+    for i in range(n):
+        here = best[i]
+        if here == unset:
+            continue
+        lead = chunk[i]
+        end = min(n, i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4))
+        state, j, single = 0, i, False
+        while j < n:
+            to = base[state] + chunk[j] + 1
+            if check[to] != state:
+                break
+            state = to
+            j += 1
+            found = value[state]
+            if found >= 0:
+                single = single or j == end
+                score = here + scores[found]
+                if score > best[j]:
+                    best[j], back_id[j], back_len[j] = score, found, j - i
+        if not single and here + vocab.unknown_score > best[end]:
+            best[end] = here + vocab.unknown_score
+            for j in range(i, end):
+                back_id[j + 1], back_len[j + 1] = int(vocab.byte_ids[chunk[j]]), 1
+    ids, at = [], n
+    while at > 0:
+        ids.append(back_id[at])
+        at -= back_len[at]
+    return ids[::-1]
+
+
 def segment(chunks: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Flat piece ids and their number for each chunk, in order."""
     sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
@@ -211,6 +257,12 @@ def segment(chunks: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndar
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     for n in np.unique(sizes):
         own = np.flatnonzero(sizes == n)
+        if len(own) <= FEW:
+            for i in own.tolist():
+                flat = np.array(_segment_one(chunks[i], vocab), np.int32)
+                counts[i] = len(flat)
+                parts.append((own[own == i], flat))
+            continue
         step = max(1, (1 << 20) // int(n))
         for k in range(0, len(own), step):
             rows = own[k : k + step]

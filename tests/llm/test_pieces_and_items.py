@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from papertide.llm.decontaminate import clean_documents, contaminated, weighted_similarity, words_of
-from papertide.llm.unigram import Encoder, Vocabulary, decode, decode_column, encode_column
+from papertide.llm.unigram import Encoder, Vocabulary, _segment_equal, _segment_one, decode, decode_column, encode_column
 
 P = pytest.importorskip("public_tokenizers")
 TEXTS = ["Hello  world\nagain ", "", "日本語 and 🙂 mixed\ttabs", "a", " ", "   lead", "x" * 5000, "plain words here " * 2000, "\x00\x01"]
@@ -38,6 +38,25 @@ def test_segmentation_is_the_best(vocab):
         assert own == pytest.approx(best_score(text, vocab))
 
 
+def test_one_chunk_alone_is_cut_alike(vocab):
+    r = random.Random(6)
+    chunks = [(" " + "".join(r.choice(["the", "q", "é", "日", "🙂", "ing", "\x01", "7"]) for _ in range(r.randint(1, 9)))).encode() for _ in range(300)] + [b"\xe6\x97"]
+    for c in chunks:
+        flat, counts = _segment_equal(np.frombuffer(c, np.uint8).astype(np.int32)[None], vocab)
+        assert _segment_one(c, vocab) == flat.tolist() and counts.tolist() == [len(flat)]
+
+
+def test_long_run_without_blanks(vocab):
+    text = "".join(random.Random(2).choice("abcdefgh漢字") for _ in range(200_000))
+    ids, counts = Encoder(vocab).encode([text, "x"])
+    assert counts.sum() == len(ids) and decode_all(ids, counts, vocab) == [text, "x"]
+
+
+def decode_all(ids, counts, vocab):
+    sizes = np.array([len(x) for x in vocab.surface])
+    return [t.removeprefix(" ") for t in decode(ids, counts, np.frombuffer(b"".join(vocab.surface), np.uint8), np.cumsum(sizes) - sizes, sizes)]
+
+
 def test_library_gives_the_same_score(vocab):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece

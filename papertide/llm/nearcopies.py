@@ -42,6 +42,8 @@ HEAD_ROUNDS = 1
 KEY_ROWS = 2048
 #: Texts of the sample for the order of shingles, and frequent shingles sent to the executors (cost only: any order is right).
 SAMPLE, FREQUENT = 8_000, 50_000
+#: Hash values of ids that are broadcast at most.
+BUCKETS = 1 << 19
 #: Texts that are hashed, and pairs that are verified, at once.
 SLICE = 256
 #: Hashes of words this process has met.
@@ -234,7 +236,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             good.append(similar(left, shingle_set(words_of(y.as_py())), least))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs = written(pairs, "copy-pairs")
     left, right = (texts.select(F.col("fp").alias(k), F.col("text").alias(v)) for k, v in (("a", "left"), ("b", "right")))
     sizes = {k: pairs.groupBy(k).agg(F.count("*").alias("n")) for k in ("a", "b")}
     total = pairs.count()
@@ -242,6 +243,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return _map_slices(both.select("a", "b", "left", "right"), run, "a long, b long")
 
 
+def _texts(rows: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """fp, text of the texts in pairs. A broadcast of at most ``BUCKETS`` hash values of their ids keeps most other texts from being dealt out."""
+
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """An id of several texts: only the text of the key."""
+        keys = np.array([_text_key(words_of(t.as_py())) for t in batch["text"]], np.uint64).view(np.int64)
+        return batch.select(["fp", "text"]).filter(pa.array(keys == batch["fp"].to_numpy()))
+
+    ids = written(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(firsts, "fp").select("doc_id", "fp"), "copy-ids")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+    wanted = F.broadcast(ids.select(bucket.alias("_bucket")).distinct())
+    some = rows.withColumn("_bucket", bucket).join(wanted, "_bucket", "left_semi").drop("_bucket")
+    found = some.join(ids, "doc_id").dropDuplicates(["doc_id", "fp", "text"])
+    return written(_map_slices(found.select("fp", "text"), own, "fp long, text string"), "copy-texts")
+
+
 def _dealt(shares: DataFrame, key_rows: int) -> DataFrame:
     """Rows of a key as they are; of more than ``key_rows`` (``size``) in block pairs."""
     blocks = F.ceil(F.col("size") / key_rows).cast("int")
@@ -261,7 +278,7 @@ def near_copy_groups(docs: DataFrame, least: float = SIMILARITY, key_rows: int =
     every = written(_sets(rows, shared, least), "copy-sets")
     distinct = written(every.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "copy-distinct")
     firsts = distinct.filter("fp <> 0").select("fp", F.col("least_id").alias("doc_id"))
-    sets = every.join(firsts, ["fp", "doc_id"], "left_semi")
+    sets = written(every.join(firsts, ["fp", "doc_id"], "left_semi").drop("doc_id"), "copy-first-sets")
     tokens = sets.select("fp", F.explode("tokens").alias("key"))
     counts = written(tokens.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "copy-keys")
     total = every.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
@@ -269,24 +286,16 @@ def near_copy_groups(docs: DataFrame, least: float = SIMILARITY, key_rows: int =
     needed = written(shares.select("fp").distinct(), "copy-ids")  # texts that share a shingle; all others end here
     prints = written(sets.join(needed, "fp", "left_semi").select("fp", "n", "bits", "sketch").dropDuplicates(["fp"]), "copy-prints")
     with_prints = written(shares.join(prints.drop("sketch"), "fp"), "copy-rows")
-    return _joined(rows, every, distinct, with_prints, prints.select("fp", "sketch"), firsts, needed, least)
+    return _joined(rows, every, distinct, with_prints, prints.select("fp", "sketch"), firsts, least)
 
 
-def _joined(rows: DataFrame, every: DataFrame, distinct: DataFrame, with_prints: DataFrame, sketches: DataFrame, firsts: DataFrame, needed: DataFrame, least: float) -> DataFrame:
+def _joined(rows: DataFrame, every: DataFrame, distinct: DataFrame, with_prints: DataFrame, sketches: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
     """The rounds of verified links, their components, and the rows' ids."""
-
-    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """An id of several texts: only the text of the key."""
-        keys = np.array([_text_key(words_of(t.as_py())) for t in batch["text"]], np.uint64).view(np.int64)
-        return batch.filter(pa.array(keys == batch["fp"].to_numpy()))
-
-    ids = needed.join(firsts, "fp").select("doc_id", "fp")
-    named = _map_slices(rows.join(ids, "doc_id").select("fp", "text"), own, "fp long, text string")
-    texts = written(named.dropDuplicates(["fp"]), "copy-texts")
     links, rooted = None, with_prints.withColumn("root", F.col("fp"))
     for turn in range(HEAD_ROUNDS + 1):
         heads = turn < HEAD_ROUNDS
-        found = written(_verified(_candidates(rooted if heads else rooted.join(sketches, "fp"), least, heads), texts, least), "copy-links")
+        pairs = written(_candidates(rooted if heads else rooted.join(sketches, "fp"), least, heads), "copy-pairs")
+        found = written(_verified(pairs, _texts(rows, pairs, firsts), least), "copy-links")
         links = found if links is None else links.union(found)
         if heads:
             roots = star_components(links).select(F.col("node").alias("fp"), "root")

@@ -328,9 +328,19 @@ def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.R
             yield batch.slice(a, b - a)
 
 
+def without_clash(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column called ``name``, in any case, renamed by an added ``_in``."""
+    for c in df.columns:
+        if c.lower() == name.lower():
+            return without_clash(df, c + "_in").withColumnRenamed(c, c + "_in")
+    return df
+
+
 def encode_column(df: DataFrame, vocab: Vocabulary, text: str = "text", to: str = "piece_ids") -> DataFrame:
     """Adds the piece ids of a text column; null and empty texts have none. Other columns and
-    repeated rows stay as they are; a literal marker character counts as a blank."""
+    repeated rows stay as they are; a literal marker character counts as a blank; a column that is already named ``to``
+    stays as ``to`` with ``_in`` added; an empty table gives an empty one."""
+    df = without_clash(df, to)
     shared = df.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,13 +352,13 @@ def encode_column(df: DataFrame, vocab: Vocabulary, text: str = "text", to: str
                 held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, held], [*part.schema.names, to])
 
-    if to in df.columns:
-        raise ValueError(f"there is a column {to} already")
     return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{to}` array<int>")
 
 
 def decode_column(df: DataFrame, vocab: Vocabulary, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
-    """Adds the text of a column of piece ids; null ids give an empty text."""
+    """Adds the text of a column of piece ids; null ids give an empty text. A column that is already named ``to`` stays as
+    ``to`` with ``_in`` added; an empty table gives an empty one."""
+    df = without_clash(df, to)
     shared = df.sparkSession.sparkContext.broadcast(vocab.surface)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,6 +372,4 @@ def decode_column(df: DataFrame, vocab: Vocabulary, ids: str = "piece_ids", to:
                 texts = decode(part[ids].flatten().to_numpy(zero_copy_only=False), n, surface, at, sizes)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, to])
 
-    if to in df.columns:
-        raise ValueError(f"there is a column {to} already")
     return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{to}` string")

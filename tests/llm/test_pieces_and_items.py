@@ -81,8 +81,8 @@ def test_round_trip(spark, vocab):
     assert len(back) == len(TEXTS) + 3 and all(r["decoded"] == (r["text"] or "") for r in back)
     assert [len(r["piece_ids"]) for r in back if not r["text"]] == [0, 0]
     assert encode_column(docs.limit(0), vocab).count() == 0
-    with pytest.raises(ValueError):
-        encode_column(docs.selectExpr("*", "1 piece_ids"), vocab)
+    twice = encode_column(docs.selectExpr("*", "1 piece_ids", "2 PIECE_IDS_in"), vocab)
+    assert [f.name for f in twice.schema][2:] == ["piece_ids_in", "PIECE_IDS_in_in", "piece_ids"] and twice.first()["piece_ids_in"] == 1
 
 
 def test_broken_bytes_are_replaced(vocab):

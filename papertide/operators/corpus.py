@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papertide.sources.tables import UNKNOWN_WEIGHT
 
-PRESETS = ("strict_core_published", "strict_context_published", "strict_core_plus_context_published", "arxiv_preprint", "core_all", "mock", "all_real", "strict_condmat", "published_vs_preprint")
+PRESETS = ("strict_core_published", "strict_context_published", "strict_core_plus_context_published", "arxiv_preprint", "core_all", "mock", "all_real", "strict", "published_vs_preprint")
 
 
 def is_preprint() -> Column:
@@ -53,7 +53,7 @@ def preset_filter(papers: DataFrame, preset: str) -> DataFrame:
         "all_real": real,
         "published_vs_preprint": real,
     }
-    rule["strict_condmat"] = rule["strict_core_published"]
+    rule["strict"] = rule["strict_core_published"]
     if preset not in rule:
         raise ValueError(f"no preset {preset}; there are {', '.join(rule)}")
     return papers.filter(rule[preset])

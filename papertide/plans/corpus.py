@@ -52,7 +52,7 @@ def journal_resolve(spark, d):
 @query("preset_counts", f"""{BASE_SQL}, s AS (SELECT *, data_mode = 'real' AND view_eligible AS strict, coalesce(journal_bucket, 'unknown') AS b FROM scoped_v)
 SELECT preset, count(*) AS papers FROM (SELECT unnest([CASE WHEN strict AND b = 'core' AND source_scope = 'published' THEN 'strict_core_published' END, CASE WHEN strict AND b = 'context' AND source_scope = 'published' THEN 'strict_context_published' END,
  CASE WHEN strict AND b IN ('core', 'context') AND source_scope = 'published' THEN 'strict_core_plus_context_published' END, CASE WHEN strict AND (source_scope = 'preprint' OR source = 'arxiv' OR journal = 'arXiv') THEN 'arxiv_preprint' END,
- CASE WHEN data_mode = 'real' AND b = 'core' THEN 'core_all' END, CASE WHEN data_mode = 'mock' THEN 'mock' END, CASE WHEN data_mode = 'real' THEN 'all_real' END, CASE WHEN data_mode = 'real' THEN 'published_vs_preprint' END, CASE WHEN strict AND b = 'core' AND source_scope = 'published' THEN 'strict_condmat' END]) AS preset FROM s) WHERE preset IS NOT NULL GROUP BY 1""")
+ CASE WHEN data_mode = 'real' AND b = 'core' THEN 'core_all' END, CASE WHEN data_mode = 'mock' THEN 'mock' END, CASE WHEN data_mode = 'real' THEN 'all_real' END, CASE WHEN data_mode = 'real' THEN 'published_vs_preprint' END, CASE WHEN strict AND b = 'core' AND source_scope = 'published' THEN 'strict' END]) AS preset FROM s) WHERE preset IS NOT NULL GROUP BY 1""")
 def preset_counts(spark, d):
     known = F.broadcast(t.journals(spark).select(F.col("name").alias("journal"), F.col("bucket").alias("journal_bucket")))
     papers = t.papers(spark, d).join(known, "journal", "left")

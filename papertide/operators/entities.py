@@ -31,7 +31,7 @@ def phrases(words: str, longest: int = 4) -> Column:
 
 
 #: First words of phrases that are looked for in a text directly; with more every run of words is looked up.
-HEADS = 20_000
+HEADS = 5_000
 
 
 def phrase_hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:

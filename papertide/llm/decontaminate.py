@@ -26,6 +26,8 @@ from papertide.llm.common import ragged_arange, utf8_size
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints at similarity 0.8 differ in about 10 of 64 bits; more than 23 is over 4 standard deviations away.
 RADIUS = 23
+#: Words whose hashes a task remembers.
+KNOWN = 100_000
 #: Windows times items that are looked at together.
 PAIRS = 1 << 20
 #: Items and their bytes that one pass over the documents sends to the executors.
@@ -181,7 +183,7 @@ class _Finder:
         self.index, self.least, self.known = index, least, {}
 
     def __call__(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         words = words_of(text)
         for w in words:

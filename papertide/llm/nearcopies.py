@@ -34,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS = 256, 71
 #: Bits of a parity sketch.
 SKETCH = 512
+#: Pairs whose bit planes stand side by side.
+AT_ONCE = 1 << 14
 #: Rows of a group from which on its bit planes are stored once for all its comparisons.
 LARGE = 96
 #: Rounds of comparisons with one text a group before the pairs that are left.
@@ -46,7 +48,8 @@ SAMPLE, FREQUENT = 8_000, 50_000
 BUCKETS = 1 << 19
 #: Texts that are hashed, and pairs that are verified, at once.
 SLICE = 256
-#: Hashes of words this process has met.
+#: Hashes of words this process has met, and how many it remembers.
+KNOWN = 50_000
 _KNOWN: dict[bytes, int] = {}
 
 
@@ -57,7 +60,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def shingle_set(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a shorter text is one shingle."""
-    if len(_KNOWN) > 200_000:
+    if len(_KNOWN) > KNOWN:
         _KNOWN.clear()
     for w in words:
         if w not in _KNOWN:
@@ -176,7 +179,7 @@ def _candidates(rows: DataFrame, least: float, heads: bool) -> DataFrame:
             good = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
             i, j = i[good], j[good]
             if len(i) and not near:
-                hit = within_radius(bits[i], bits[j], RADIUS)
+                hit = np.concatenate([within_radius(bits[i[k : k + AT_ONCE]], bits[j[k : k + AT_ONCE]], RADIUS) + k for k in range(0, len(i), AT_ONCE)])
                 i, j = i[hit], j[hit]
             if len(i) and not heads:
                 differ = np.bitwise_count(part[5][i] ^ part[5][j]).sum(1, dtype=np.int64)

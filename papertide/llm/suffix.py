@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from papertide.llm.common import HOT_ROWS, ragged_arange, split_join, written
 
 #: Bytes hashed at once; longer texts are cut with an overlap of a window.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Shortest strings that can be looked for.
 LEAST = 96
 #: Contexts sorted in one place; anchors with more are dealt out and meet again by window hash.

@@ -22,7 +22,7 @@ MARK = "▁"
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text segmented together, chunks remembered by a task.
-SLICE, REMEMBERED = 2 << 20, 300_000
+SLICE, REMEMBERED = 1 << 20, 150_000
 
 
 @dataclass

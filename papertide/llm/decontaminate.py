@@ -11,13 +11,13 @@ greater shingle counts.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +26,6 @@ from papertide.llm.common import ragged_arange, utf8_size
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints at similarity 0.8 differ in about 10 of 64 bits; more than 23 is over 4 standard deviations away.
 RADIUS = 23
-#: Words whose hashes a task remembers.
-KNOWN = 100_000
 #: Windows times items that are looked at together.
 PAIRS = 1 << 20
 #: Items and their bytes that one pass over the documents sends to the executors.
@@ -42,7 +40,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return xxhash.xxh64_intdigest(word)
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -176,29 +174,18 @@ class ItemIndex:
         return zip(cut, cut[1:], strict=False)
 
 
-class _Finder:
-    """Matches of a text, remembering the hashes of words."""
-
-    def __init__(self, index: ItemIndex, least: float):
-        self.index, self.least, self.known = index, least, {}
-
-    def __call__(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        words = words_of(text)
-        for w in words:
-            if w not in self.known:
-                self.known[w] = word_hash(w)
-        return self.index.matches(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)), self.least)
+def _found(index: ItemIndex, text: str | None, least: float) -> list[tuple[int, int, int, float]]:
+    words = words_of(text)
+    return index.matches(np.fromiter(map(word_hash, words), np.uint64, len(words)), least)
 
 
 def _match(shared, least: float):
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _Finder(shared.value, least)
+        index = shared.value
         for batch in batches:
-            out = [(doc, *m) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for m in find(text.as_py())]
+            out = [(doc, *m) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for m in _found(index, text.as_py(), least)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "first_word", "bits", "similarity"])
 
@@ -232,9 +219,9 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, r
 
 def _clean(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _Finder(shared.value, least)
+        index = shared.value
         for batch in batches:
-            keep = [i for i, text in enumerate(batch["text"]) if not find(text.as_py())]
+            keep = [i for i, text in enumerate(batch["text"]) if not _found(index, text.as_py(), least)]
             if keep:
                 yield batch.take(pa.array(keep))
 

@@ -48,9 +48,6 @@ SAMPLE, FREQUENT = 8_000, 50_000
 BUCKETS = 1 << 19
 #: Texts that are hashed, and pairs that are verified, at once.
 SLICE = 256
-#: Hashes of words this process has met, and how many it remembers.
-KNOWN = 50_000
-_KNOWN: dict[bytes, int] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -60,12 +57,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def shingle_set(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a shorter text is one shingle."""
-    if len(_KNOWN) > KNOWN:
-        _KNOWN.clear()
-    for w in words:
-        if w not in _KNOWN:
-            _KNOWN[w] = xxhash.xxh64_intdigest(w)
-    hashes = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     # a text of fewer words has another length than a shingle: its own length keeps the two apart
     return np.unique(shingle_hashes(hashes, size) + np.uint64(min(size, len(words)) % size))
 

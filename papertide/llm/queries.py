@@ -90,12 +90,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", kept_digest(F.col("kept")).alias("kept_sha256"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": OP6_SQL}
+    return {"op6_exact_topk": OP6_SQL, "op13_phrase_collocations": OP13_SQL}
 
 
 OP6_SQL = """
@@ -114,3 +120,41 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """
+
+OP13_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+), f1 AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang
+), p2 AS (SELECT lang, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 2
+), p3 AS (SELECT lang, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 3
+), f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM p2 GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM p3 GROUP BY ALL HAVING count(*) >= 10
+), held AS (
+  SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL
+), two AS (
+  SELECT a.lang, a.x || ' ' || a.y AS phrase, a.f AS a, b.f AS l, c.f AS r,
+    CAST(1000000 AS HUGEINT) * a.f * a.f // (CAST(b.f AS HUGEINT) * c.f) AS score
+  FROM f2 a JOIN f1 b ON a.lang = b.lang AND a.x = b.x JOIN f1 c ON a.lang = c.lang AND a.y = c.x
+  LEFT JOIN held h ON a.lang = h.lang AND a.x = h.x AND a.y = h.y
+  WHERE h.f IS NULL OR 100 * h.f < 50 * a.f
+), cuts AS (
+  SELECT a.lang, a.x || ' ' || a.y || ' ' || a.z AS phrase, a.f AS a, b.f AS l1, yz.f AS r1, xy.f AS l2, c.f AS r2,
+    CAST(1000000 AS HUGEINT) * a.f * a.f // (CAST(b.f AS HUGEINT) * yz.f) AS s1,
+    CAST(1000000 AS HUGEINT) * a.f * a.f // (CAST(xy.f AS HUGEINT) * c.f) AS s2
+  FROM f3 a JOIN f1 b ON a.lang = b.lang AND a.x = b.x JOIN f1 c ON a.lang = c.lang AND a.z = c.x
+  JOIN f2 xy ON a.lang = xy.lang AND a.x = xy.x AND a.y = xy.y JOIN f2 yz ON a.lang = yz.lang AND a.y = yz.x AND a.z = yz.y
+), every AS (
+  SELECT * FROM two
+  UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every
+)
+SELECT p.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM placed p JOIN totals t ON p.lang = t.lang WHERE rank <= 2000
+"""

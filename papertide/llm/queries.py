@@ -90,6 +90,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", kept_digest(F.col("kept")).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.variants import marked_words, variant_groups
+
+    return variant_groups(marked_words(table(spark, sf_dir, "documents")))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papertide.llm.phrases import collocations
 

@@ -96,6 +96,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_groups(marked_words(table(spark, sf_dir, "documents")))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.hyperminhash import near_sets
+
+    return near_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papertide.llm.phrases import collocations
 

@@ -2,9 +2,10 @@
 
 Texts become sequences of chunk-local numbers; the chunks' word lists meet in one count, and words of ``least``
 occurrences or more get ids by falling frequency, which go back to the chunks by a join. Pairs of neighbouring ids are then
-counted in tiles of ids: tiles with many pairs by a dense ``bincount``, all others as sorted coordinates. Frequent pairs are
-ranked and numbered like words, and the same step counts them with the word that follows, and so on up to the longest phrase.
-A task holds one chunk; nothing that grows with the corpus is sent to all tasks or to the driver.
+counted in tiles of ids: tiles with many pairs by a dense ``bincount``, all others as sorted coordinates. The chunks' counts travel as packed blocks, a
+block for each group of small squares of ids, and are added up there; frequent pairs get numbers, go back to their chunks and are ranked there by
+their frequency, and the same step counts them with the word that follows, and so on up to the longest phrase.
+A task holds one chunk, or some squares; nothing that grows with the corpus is sent to all tasks or to the driver.
 """
 
 from __future__ import annotations
@@ -29,8 +30,29 @@ CHUNK, PART = 1 << 20, 1 << 18
 #: Side of a tile, tiles a side that may be dense, and pairs from which on a tile is counted densely.
 SIDE, TILES, DENSE = 1024, 32, 1 << 16
 
-_ENCODED = "chunk long, lang string, part int, word string, local int, n long, tokens binary"
-_COUNTED = "chunk long, part int, u long, w int, n long, units binary, words binary"
+#: Side of the squares of ids that go to one task together, and entries of chunks that a task adds up, about.
+SQUARE, ENTRIES = 64, 1 << 20
+
+_ENCODED = "chunk long, lang string, part int, word string, local int, n long, data binary"
+_COUNTED = "chunk long, part int, square int, data binary"
+_SUMMED = "chunk long, u long, w int, f long, id long, data binary"
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as one compressed value: bytes of equal weight stand together."""
+    parts = [pa.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), "zstd", asbytes=True) for a in arrays]
+    head = np.array([(len(a), a.itemsize, len(p)) for a, p in zip(arrays, parts, strict=True)], np.int64)
+    return bytes([len(arrays)]) + head.tobytes() + b"".join(parts)
+
+
+def unpacked(value: bytes) -> list[np.ndarray]:
+    count, out = value[0], []
+    at = 1 + 24 * count
+    for n, size, length in np.frombuffer(value, np.int64, 3 * count, 1).reshape(count, 3).tolist():
+        raw = pa.decompress(value[at : at + length], n * size, "zstd", asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(f"i{size}").ravel() if n else np.zeros(0, f"i{size}"))
+        at += length
+    return out
 
 
 class _Numbers(dict):
@@ -49,7 +71,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, made, held = TaskContext.get().partitionId(), 0, 0
     open_chunks: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
     sizes: dict[str, int] = {}
-    schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("part", pa.int32()), ("word", pa.string()), ("local", pa.int32()), ("n", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("part", pa.int32()), ("word", pa.string()), ("local", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
     def close(lang: str) -> Iterator[pa.RecordBatch]:
         nonlocal made, held
@@ -64,7 +86,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [[chunk] * k, [lang] * k, [None] * k, part, np.arange(i, i + k, dtype=np.int32), counts[i : i + k], [None] * k]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         for i in range(0, len(tokens), PART):
-            columns = [[chunk], [lang], [i // PART], [None], [None], [None], [tokens[i : i + PART].tobytes()]]
+            columns = [[chunk], [lang], [i // PART], [None], [None], [None], [packed(tokens[i : i + PART])]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
@@ -109,84 +131,137 @@ def tile_counts(a: np.ndarray, b: np.ndarray, side: int = SIDE, tiles: int = TIL
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def _squeezed(units: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sequences without the gaps that follow a gap."""
-    keep = np.r_[True, (units[1:] >= 0) | (units[:-1] >= 0) | (words[1:] >= 0)] if len(units) else np.zeros(0, bool)
-    return units[keep], words[keep]
-
-
-def _numbered(length: int, keep: bool):
+def _blocks(chunk: int, u: np.ndarray, w: np.ndarray, n: np.ndarray, squares: int) -> Iterator[pa.RecordBatch]:
+    """The counts of a chunk, a row for each group of squares of ids."""
+    h = (u // SQUARE).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (w // SQUARE).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    group = ((h >> np.uint64(32)) % np.uint64(squares)).astype(np.int64)
+    order = np.lexsort((w, u, group))
+    u, w, n, group = u[order], w[order].astype(np.int32), n[order].astype(np.int32), group[order]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[: len(group)]
+    ends = np.r_[first[1:], len(group)]
+    for i in range(0, len(first), 512):
+        spans = list(zip(first[i : i + 512].tolist(), ends[i : i + 512].tolist(), strict=True))
+        data = [packed(np.diff(u[a:b], prepend=0), w[a:b], n[a:b]) for a, b in spans]
+        k = len(data)
+        columns = [pa.array(np.full(k, chunk)), pa.nulls(k, pa.int32()), pa.array(group[[a for a, _ in spans]].astype(np.int32)), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "part", "square", "data"])
+
+
+def _numbered(length: int, keep: bool, squares: int):
     """Rows of chunks (in order: ids of units, then the sequences) -> the counts of units with the word that follows and, if they are
     needed again, the sequences by the new ids. ``length`` is that of the units in words; of length 1 they are words."""
 
-    def chunk_rows(chunk: int, ids: list[tuple[np.ndarray, ...]], units: list[bytes], words: list[bytes]) -> Iterator[pa.RecordBatch]:
-        u, w, number = (np.concatenate([x[i] for x in ids]) if ids else np.zeros(0, np.int64) for i in range(3))
+    def chunk_rows(chunk: int, ids: list[list[np.ndarray]], parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        known = [np.concatenate(x) for x in zip(*ids, strict=True)] if ids else [np.zeros(0, np.int64)] * (2 if length == 1 else 4)
         if length == 1:
-            local = np.frombuffer(b"".join(units), np.int32)
-            table = np.full(int(max(local.max(initial=0), u.max(initial=0))) + 1, -1, np.int64)
-            table[u] = number
-            seq = follow = table[local]
+            local = np.concatenate([p[0] for p in parts])
+            table = np.full(int(max(local.max(initial=0), known[0].max(initial=0))) + 1, -1, np.int64)
+            table[known[0]] = known[1]
+            seq = table[local]
+            seq = seq[np.r_[True, (seq[1:] >= 0) | (seq[:-1] >= 0)]]  # one gap in a row is enough
+            follow, names = seq, None
         else:
-            before, follow = np.frombuffer(b"".join(units), np.int64), np.frombuffer(b"".join(words), np.int32).astype(np.int64)
-            # a unit is the one before it and the word that follows that one
+            # a unit is the one before it and the word that follows that one; its number in the chunk follows its frequency
+            before, follow = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (0, -1))
+            u, w, names, f = known
             heads = np.unique(u)
-            order = np.lexsort((w, u))
-            keys, number = np.searchsorted(heads, u[order]) << 32 | w[order], number[order]
-            at = np.minimum(np.searchsorted(heads, before), max(len(heads) - 1, 0))
-            nexts = np.r_[follow[length - 1 :], np.full(min(length - 1, len(follow)), -1, np.int64)]
+            order = np.argsort(-f, kind="stable")
+            names, number = names[order], np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            keys = np.searchsorted(heads, u) << 32 | w.astype(np.int64)
+            order = np.argsort(keys)
+            keys, number = keys[order], number[order]
             seq = np.full(len(before), -1, np.int64)
-            good = np.flatnonzero((before >= 0) & (nexts >= 0) & (heads[at] == before)) if len(heads) else np.zeros(0, np.int64)
-            wanted = at[good] << 32 | nexts[good]
-            place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            hit = keys[place] == wanted if len(keys) else np.zeros(0, bool)
-            seq[good[hit]] = number[place[hit]]
+            if len(keys):
+                nexts = np.r_[follow[length - 1 :], np.full(min(length - 1, len(follow)), -1, np.int64)]
+                at = np.minimum(np.searchsorted(heads, before), len(heads) - 1)
+                good = np.flatnonzero((before >= 0) & (nexts >= 0) & (heads[at] == before))
+                wanted = at[good] << 32 | nexts[good]
+                place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[place] == wanted
+                seq[good[hit]] = number[place[hit]]
         nexts = np.r_[follow[length:], np.full(min(length, len(follow)), -1, np.int64)]
         both = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0) & (nexts[:-1] >= 0))
-        a, b = seq[both], nexts[both]
-        names, a = (None, a) if a.max(initial=0) < 1 << 31 else np.unique(a, return_inverse=True)
-        a, b, n = tile_counts(a, b)
-        a = a if names is None else names[a]
-        for i in range(0, len(a), 1 << 17):
-            k = len(a[i : i + (1 << 17)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, chunk)), pa.nulls(k, pa.int32()), pa.array(a[i : i + k]), pa.array(b[i : i + k].astype(np.int32)), pa.array(n[i : i + k].astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
-                ["chunk", "part", "u", "w", "n", "units", "words"],
-            )
+        a, b, n = tile_counts(seq[both], nexts[both])
+        yield from _blocks(chunk, a if names is None else names[a], b, n, squares)
         if keep:
-            seq, follow = _squeezed(seq, follow) if length == 1 else (seq, follow)
+            units = seq.astype(np.int32) if names is None else np.where(seq >= 0, names[np.maximum(seq, 0)], -1) if len(names) else seq
             for i in range(0, len(seq), PART):
-                some = [[chunk], [i // PART], [None], [None], [None], [seq[i : i + PART].tobytes()], [follow[i : i + PART].astype(np.int32).tobytes()]]
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, types, strict=True)], ["chunk", "part", "u", "w", "n", "units", "words"])
+                data = packed(units[i : i + PART]) if names is None else packed(units[i : i + PART], follow[i : i + PART].astype(np.int32))
+                columns = [pa.array([chunk], pa.int64()), pa.array([i // PART], pa.int32()), pa.nulls(1, pa.int32()), pa.array([data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "part", "square", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, units, words = None, [], [], []
+        now, ids, parts = None, [], []
         for batch in batches:
-            chunks, parts = batch["chunk"].to_numpy(), batch["part"].to_numpy(zero_copy_only=False)
+            chunks, places = batch["chunk"].to_numpy(), batch["part"].to_numpy()
             for first in np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]] if len(chunks) else []).tolist():
                 if chunks[first] != now:
-                    if units:
-                        yield from chunk_rows(now, ids, units, words)
-                    now, ids, units, words = int(chunks[first]), [], [], []
-                own = batch.slice(first, int(np.searchsorted(chunks, chunks[first], "right")) - first)
-                named = int((parts[first : first + own.num_rows] < 0).sum())
-                if named:
-                    ids.append(tuple(own.slice(0, named)[c].to_numpy() for c in ("u", "w", "id")))
-                units += own["units"].to_pylist()[named:]
-                words += own["words"].to_pylist()[named:]
-        if units:
-            yield from chunk_rows(now, ids, units, words)
+                    if parts:
+                        yield from chunk_rows(now, ids, parts)
+                    now, ids, parts = int(chunks[first]), [], []
+                end = int(np.searchsorted(chunks, chunks[first], "right"))
+                split = first + int((places[first:end] < 0).sum())
+                data = batch["data"].slice(first, end - first).to_pylist()
+                if length == 1:
+                    ids.append([batch[c].slice(first, split - first).to_numpy() for c in ("u", "id")])
+                else:
+                    for value in data[: split - first]:
+                        u, *others = unpacked(value)
+                        ids.append([np.cumsum(u), *others])
+                parts += map(unpacked, data[split - first :])
+        if parts:
+            yield from chunk_rows(now, ids, parts)
 
     return run
 
 
-def _next_level(ids: DataFrame, sequences: DataFrame, length: int, keep: bool) -> DataFrame:
-    """Ids (chunk, u, w, id) and sequences (chunk, part, units, words) -> the written rows of ``_numbered``."""
-    null = F.lit(None).cast("binary")
-    both = ids.select("chunk", F.lit(-1).alias("part"), F.col("u").cast("long").alias("u"), F.col("w").cast("long").alias("w"), F.col("id").cast("long").alias("id"), null.alias("units"), null.alias("words"))
-    zero = F.lit(0).cast("long")
-    both = both.union(sequences.select("chunk", "part", zero, zero, zero, "units", "words"))
-    return written(both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_numbered(length, keep), _COUNTED), "phrase-counts")
+def _summed(least: int, keep: bool):
+    """Blocks of chunks, in the order of their squares -> the pairs of ``least`` occurrences or more with new ids and, if they are
+    needed again, the ids for each chunk."""
+
+    def square_rows(square: int, chunks: list[int], blocks: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        u, w, n = (np.concatenate([b[i] for b in blocks]) for i in range(3))
+        owner = np.repeat(np.arange(len(blocks)), [len(b[0]) for b in blocks])
+        order = np.lexsort((owner, w, u))
+        u, w = u[order], w[order]
+        first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])[: len(u)]
+        f = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        good = np.flatnonzero(f >= least)
+        for i in range(0, len(good), 1 << 16):
+            at = good[i : i + (1 << 16)]
+            k = len(at)
+            columns = [pa.nulls(k, pa.int64()), pa.array(u[first[at]]), pa.array(w[first[at]]), pa.array(f[at]), pa.array((square << 32) + at), pa.nulls(k, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "u", "w", "f", "id", "data"])
+        if keep:
+            number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(u)]))
+            rows = np.flatnonzero(f[number] >= least)
+            own = owner[order][rows]
+            rows = rows[np.argsort(own, kind="stable")]
+            ends = np.searchsorted(np.sort(own), np.arange(len(blocks) + 1))
+            for k, chunk in enumerate(chunks):
+                at = rows[ends[k] : ends[k + 1]]
+                if len(at):
+                    data = packed(np.diff(u[at], prepend=0), w[at], (square << 32) + number[at], f[number[at]])
+                    columns = [pa.array([chunk], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())), pa.array([data], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "u", "w", "f", "id", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunks, blocks = None, [], []
+        for batch in batches:
+            for square, chunk, value in zip(*(batch[c].to_pylist() for c in ("square", "chunk", "data")), strict=True):
+                if square != now:
+                    if blocks:
+                        yield from square_rows(now, chunks, blocks)
+                    now, chunks, blocks = square, [], []
+                u, w, n = unpacked(value)
+                chunks.append(chunk)
+                blocks.append([np.cumsum(u), w, n])
+        if blocks:
+            yield from square_rows(now, chunks, blocks)
+
+    return run
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[DataFrame, list[DataFrame], DataFrame]:
@@ -195,26 +270,30 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10) -> tupl
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     encoded = written(rows.mapInArrow(_encode, _ENCODED), "phrase-chunks")
     named = encoded.filter("word is not null")
+    totals = written(named.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     counted = written(named.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-sums")
     words, _ = ranked(counted.withColumn("_order", -F.col("n")), ["_order", "lang", "word"], "phrase-words")
     words = written(words.select(F.col("rank").alias("id"), "lang", "word", "n"), "phrase-words")
-    totals = named.groupBy("lang").agg(F.sum("n").alias("total"))
-    ids = named.select("chunk", "lang", "word", F.col("local").alias("u"), F.lit(0).alias("w")).join(words.select("lang", "word", "id"), ["lang", "word"])
-    sequences = encoded.filter("tokens is not null").select("chunk", "part", F.col("tokens").alias("units"), F.lit(None).cast("binary").alias("words"))
+    squares = 1 + int(totals.agg(F.sum("total")).first()[0] or 0) // ENTRIES
+    none = F.lit(None).cast("binary").alias("data")
+    ids = named.select("chunk", "lang", "word", "local").join(words.select("lang", "word", "id"), ["lang", "word"])
+    ids = ids.select("chunk", F.lit(-1).alias("part"), F.col("local").cast("long").alias("u"), "id", none)
+    zero = F.lit(0).cast("long")
+    sequences = encoded.filter("part is not null").select("chunk", "part", zero.alias("u"), zero.alias("id"), "data")
     phrases: list[DataFrame] = []
     spelled = words.select("id", F.array("id").alias("words"))
     for length in range(1, longest):
-        level = _next_level(ids, sequences, length, length + 1 < longest)
-        found = level.filter("u is not null")
-        sums = written(found.groupBy("u", "w").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-sums")
-        order, _ = ranked(sums.withColumn("_order", -F.col("n")), ["_order", "u", "w"], "phrase-ranks")
-        grams = order.select(F.col("rank").alias("id"), "u", "w", F.col("n").alias("f"))
-        grams = grams.join(spelled.select(F.col("id").alias("u"), F.col("words").alias("_head")), "u")
-        grams = written(grams.select("id", "u", "w", F.concat("_head", F.array(F.col("w").cast("long"))).alias("words"), "f"), "phrase-grams")
+        keep = length + 1 < longest
+        dealt = ids.union(sequences).repartition("chunk").sortWithinPartitions("chunk", "part")
+        level = written(dealt.mapInArrow(_numbered(length, keep, squares), _COUNTED), "phrase-counts")
+        dealt = level.filter("square is not null").select("square", "chunk", "data").repartition("square").sortWithinPartitions("square", "chunk")
+        summed = written(dealt.mapInArrow(_summed(least, keep), _SUMMED), "phrase-sums")
+        grams = summed.filter("id is not null").select("id", "u", "w", "f").join(spelled.select(F.col("id").alias("u"), F.col("words").alias("_head")), "u")
+        grams = written(grams.select("id", F.concat("_head", F.array(F.col("w").cast("long"))).alias("words"), "f"), "phrase-grams")
         phrases.append(grams.select("words", "f"))
         spelled = grams.select("id", "words")
-        ids = found.select("chunk", "u", "w").join(grams.select("u", "w", "id"), ["u", "w"])
-        sequences = level.filter("units is not null").select("chunk", "part", "units", "words")
+        ids = summed.filter("chunk is not null").select("chunk", F.lit(-1).alias("part"), zero.alias("u"), zero.alias("id"), "data")
+        sequences = level.filter("part is not null").select("chunk", "part", zero.alias("u"), zero.alias("id"), "data")
     return words, phrases, totals
 
 

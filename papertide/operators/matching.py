@@ -11,19 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from papertide.operators.records import components
-
-#: Least ratio of two titles that may be one paper.
-TITLE_RATIO = 0.94
-#: Shortest normalised title that is compared with unequal ones.
-FUZZY_CHARS = 16
-
-
-def arxiv_base(value: Column) -> Column:
-    """Lower-case arXiv id without prefix, address, suffix and version; empty becomes null."""
-    bare = F.regexp_replace(F.lower(F.trim(value)), r"^(arxiv:\s*|https?://(export\.)?arxiv\.org/(abs|pdf)/)", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"[?#].*$", ""), r"\.pdf$", "")
-    return F.nullif(F.regexp_replace(bare, r"v\d+$", ""), F.lit(""))
+from papertide.operators.records import arxiv_base, components  # noqa: F401
+from papertide.operators.titles import FUZZY_CHARS, TITLE_RATIO, folded_names, near_titles
 
 
 def openalex_key(value: Column) -> Column:
@@ -52,10 +41,6 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def author_key(name: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("([a-z]+)"), F.lit(1)), " ")
-
-
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """left_id, right_id, matched, auto_merge, rule, confidence of pairs with columns ``i_..`` and ``c_..`` (id, doi_key,
     arxiv_key, title_key, authors, year, reference) of the incoming record and the candidate.
@@ -70,8 +55,8 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     rows = pairs.withColumn("_by_id", by_id)
     rows = rows.withColumn("_ratio", F.when(F.col("_by_id").isNull() & i("title_key").isNotNull() & c("title_key").isNotNull(), title_ratio(i("title_key"), c("title_key"))))
     conflict = F.coalesce(i("doi_key") != c("doi_key"), F.lit(False)) | F.coalesce(i("arxiv_key") != c("arxiv_key"), F.lit(False))
-    keys = lambda a: F.filter(F.transform(a, author_key), lambda x: x != "")
-    left, right = keys(i("authors")), keys(c("authors"))
+    rows = rows.withColumn("_left", folded_names(i("authors"))).withColumn("_right", folded_names(c("authors")))
+    left, right = F.col("_left"), F.col("_right")
     shared = F.size(F.array_intersect(left, right)) / F.greatest(F.lit(1), F.size(F.array_union(left, right)))
     first = F.coalesce(F.get(left, F.lit(0)) == F.get(right, F.lit(0)), F.lit(False))
     sure = same("title_key") & first & same("year")
@@ -89,21 +74,23 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
 def candidate_pairs(incoming: DataFrame, known: DataFrame, fuzzy: bool = False) -> DataFrame:
     """Pairs for ``score_pairs``: each incoming record with the first known one of its DOI, arXiv id, DOI in the reference and
-    title, and with ``fuzzy`` of each block of a long title (its first and its last 8 characters and its sorted words' hash).
-    At most one candidate a key, so pairs grow with the incoming rows whatever the groups' sizes."""
+    title; with ``fuzzy`` also with the first of its title, first author and year, and with the first of every title of ratio ``TITLE_RATIO`` or
+    more, none of which is lost (``near_titles``). At most one candidate a key, so pairs grow with the incoming rows whatever the groups' sizes."""
     columns = ["id", "doi_key", "arxiv_key", "title_key", "authors", "year", "reference"]
     named = lambda prefix: [F.col(c).alias(f"{prefix}_{c}") for c in columns]
-    title = F.col("title_key")
-    words = F.array_sort(F.split(title, " "))
-    blocks = [F.concat(F.lit("a:"), F.substring(title, 1, 8)), F.concat(F.lit("z:"), F.substring(F.reverse(title), 1, 8)), F.concat(F.lit("w:"), F.array_join(words, " "))]
-    keys = [("doi_key", [F.concat(F.lit("d:"), "doi_key")]), ("arxiv_key", [F.concat(F.lit("x:"), "arxiv_key")]), ("title_key", [F.concat(F.lit("t:"), "title_key")])]
+    keys = [F.concat(F.lit(mark), c) for mark, c in (("d:", "doi_key"), ("x:", "arxiv_key"), ("t:", "title_key"))]
     if fuzzy:
-        keys.append(("title_key", [F.when(F.length(title) >= FUZZY_CHARS, b) for b in blocks]))
-    every = F.array_compact(F.array(*(k for _, ks in keys for k in ks)))
+        incoming, known = (df.withColumn("_first", F.get(folded_names(F.col("authors")), F.lit(0))) for df in (incoming, known))
+        keys.append(F.concat(F.lit("u:"), "title_key", F.lit("|"), "_first", F.lit("|"), F.col("year").cast("string")))
+    every = F.array_compact(F.array(*keys))
     found = F.regexp_extract(F.lower(F.coalesce("reference", F.lit(""))), r"(10\.\d+/[^\s,;)]+)", 1)
     heads = known.select(F.struct(*columns).alias("r"), F.explode(every).alias("k")).groupBy("k").agg(F.min_by("r", "r.id").alias("r"))
     asked = incoming.select(*columns, F.explode(F.array_union(every, F.when(found != "", F.array(F.concat(F.lit("d:"), found))).otherwise(F.array().cast("array<string>")))).alias("k"))
-    both = asked.join(heads, "k").filter(F.col("id") != F.col("r.id"))
+    both = asked.join(heads, "k")
+    if fuzzy:
+        near = near_titles(incoming.select("title_key"), known.select("title_key")).select(F.col("asked").alias("title_key"), F.concat(F.lit("t:"), "known").alias("k"))
+        both = both.select(*columns, "r").unionByName(incoming.select(*columns).join(near, "title_key").join(heads, "k").select(*columns, "r"))
+    both = both.filter(F.col("id") != F.col("r.id"))
     return both.select(*named("i"), *(F.col("r")[c].alias(f"c_{c}") for c in columns)).dropDuplicates(["i_id", "c_id"])
 
 

@@ -7,20 +7,45 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papertide.operators.titles import folded_names, folded_title
+
 
 def normalized_doi(doi: Column) -> Column:
-    """Lower case without resolver prefix; empty becomes null."""
-    return F.nullif(F.regexp_replace(F.lower(F.trim(doi)), r"^(https?://(dx\.)?doi\.org/|doi:\s*)", ""), F.lit(""))
+    """Lower case without resolver prefix and without dots at its ends; empty becomes null."""
+    bare = F.regexp_replace(F.lower(F.trim(doi)), r"^https?://(dx\.)?doi\.org/", "")
+    return F.nullif(F.btrim(F.trim(F.regexp_replace(bare, r"^doi:\s*", "")), F.lit(".")), F.lit(""))
+
+
+def arxiv_base(value: Column) -> Column:
+    """Lower-case arXiv id without prefix, address, suffix and version; empty becomes null."""
+    return F.nullif(F.regexp_replace(_arxiv(value), r"v\d+$", ""), F.lit(""))
+
+
+def arxiv_version(value: Column) -> Column:
+    """Version number at the end of an arXiv id, null without one."""
+    return F.nullif(F.regexp_extract(_arxiv(value), r".v(\d+)$", 1), F.lit("")).cast("int")
+
+
+def _arxiv(value: Column) -> Column:
+    bare = F.regexp_replace(F.lower(F.trim(value)), r"^arxiv:\s*", "")
+    bare = F.regexp_replace(bare, r"^https?://(export\.)?arxiv\.org/(abs|pdf)/", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"[?#].*$", ""), r"\.pdf$", "")
 
 
 def title_key(title: Column) -> Column:
-    """Lower-case letters and digits with single blanks; null if nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(""))
+    """Letters and digits without accents and markup, lower case, with single blanks; null if nothing is left."""
+    return folded_title(title)
 
 
 def with_identity_keys(records: DataFrame) -> DataFrame:
-    """Adds doi_key, title_key, year."""
-    return records.withColumns({"doi_key": normalized_doi(F.col("doi")), "title_key": title_key(F.col("title")), "year": F.year("pub_date")})
+    """Adds doi_key, arxiv_key and arxiv_version, title_key, author_keys (folded names in order) and year of records (doi, title,
+    pub_date, and arxiv_id and authors where they have them)."""
+    given = lambda c, kind: F.col(c) if c in records.columns else F.lit(None).cast(kind)
+    arxiv = given("arxiv_id", "string")
+    return records.withColumns({
+        "doi_key": normalized_doi(F.col("doi")), "arxiv_key": arxiv_base(arxiv), "arxiv_version": arxiv_version(arxiv), "title_key": title_key(F.col("title")),
+        "author_keys": folded_names(given("authors", "array<string>")), "year": F.year("pub_date"),
+    })
 
 
 def title_candidates(records: DataFrame, least: int = 16) -> DataFrame:

@@ -10,17 +10,31 @@ from papertide.plans.registry import query
 from papertide.sources import tables as t
 from papertide.streaming import events as st
 
-DOC_KEYS_SQL = f"WITH {t.DOCS_SQL}, keys_v AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN concat('10.1/', CAST(doc_id % 200 AS VARCHAR)) END AS doi_key, nullif(trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '') AS title_key, CAST(year(pub_date) AS INTEGER) AS year FROM docs_v)".replace("{{", "{").replace("}}", "}")
+DOC_KEYS_SQL = f"WITH {t.DOCS_SQL}, keys_v AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN concat('10.1/', CAST(doc_id % 200 AS VARCHAR)) END AS doi_key, {t.FOLDED_TITLE} AS title_key, CAST(year(pub_date) AS INTEGER) AS year FROM docs_v)"
+
+
+def identified(spark, d):
+    i = F.col("doc_id")
+    text = lambda c: c.cast("string")
+    docs = t.docs(spark, d).withColumns({
+        "doi": F.when(i % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), text(i % 200), F.when(i % 2 == 0, ".").otherwise(""))),
+        "arxiv_id": F.when(i % 4 == 1, F.concat(F.lit("arXiv:1500."), text(i % 150), F.when(i % 8 == 1, F.concat(F.lit("v"), text(i % 3 + 1))).otherwise(""))),
+        "authors": F.array(F.concat(F.lit("Zoë "), "lang"), F.concat(F.lit("Müller, "), "source"), F.lit("12")),
+    })
+    return op.with_identity_keys(docs).withColumnRenamed("doc_id", "id")
 
 
 def keyed(spark, d):
-    docs = t.docs(spark, d).withColumn("doi", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), (F.col("doc_id") % 200).cast("string"))))
-    return op.with_identity_keys(docs).select(F.col("doc_id").alias("id"), "doi_key", "title_key", "year")
+    return identified(spark, d).select("id", "doi_key", "title_key", "year")
+
+
+_NAMES = "array_to_string(regexp_extract_all(lower(strip_accents({})), '[a-z]+'), ' ')"
 
 
-@query("identity_keys", f"{DOC_KEYS_SQL} SELECT * FROM keys_v")
+@query("identity_keys", f"""{DOC_KEYS_SQL} SELECT k.*, CASE WHEN id % 4 = 1 THEN concat('1500.', CAST(id % 150 AS VARCHAR)) END AS arxiv_key, CAST(CASE WHEN id % 8 = 1 THEN id % 3 + 1 END AS INTEGER) AS arxiv_version,
+ concat({_NAMES.format("concat('Zoë ', lang)")}, '|', {_NAMES.format("concat('Müller, ', source)")}) AS author_keys FROM keys_v k JOIN documents ON doc_id = id""")
 def identity_keys(spark, d):
-    return keyed(spark, d)
+    return identified(spark, d).select("id", "doi_key", "title_key", "year", "arxiv_key", "arxiv_version", F.array_join("author_keys", "|").alias("author_keys"))
 
 
 @query("title_candidates", f"{DOC_KEYS_SQL} SELECT a.id AS left_id, b.m AS right_id FROM keys_v a JOIN (SELECT title_key, min(id) AS m FROM keys_v WHERE length(title_key) >= 16 GROUP BY 1) b USING (title_key) WHERE a.id <> b.m")

@@ -113,3 +113,5 @@ DOCS_SQL = "docs_v AS (SELECT doc_id, split_part(text, '. ', 1) AS title, text A
 ATTEMPTS_SQL = """attempts_v AS (SELECT event_id, CAST(user_id AS VARCHAR) AS task_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS attempt_number,
  event_type AS candidate_source, CASE WHEN event_type = 'error' OR value < 20 THEN 'failed' ELSE 'completed' END AS status,
  CASE WHEN event_type = 'error' THEN 'http_server_error' WHEN value < 10 THEN 'request_timeout' WHEN value < 20 THEN 'access_denied' END AS failure_class, ts FROM events)"""
+#: A title without accents, other signs beyond ASCII, markup and punctuation.
+FOLDED_TITLE = r"nullif(trim(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(coalesce(title, '')), '[^\x00-\x7F]', '', 'g')), '<[^>]+>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '')"

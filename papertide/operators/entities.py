@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papertide.operators.ordering import packed_groups
+
 # The chemical elements; those made only in reactors are no material; molecules that are no formula.
 ELEMENTS = (
     "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
@@ -165,20 +168,22 @@ def refresh_postings(index: DataFrame, docs: DataFrame, text: str, ids: DataFram
     return index.join(changed, "doc_id", "left_anti").select(*new.columns).unionByName(new)
 
 
-def translation_estimate(texts: DataFrame, done: DataFrame, batch: int = 20, most: int = 12_000) -> DataFrame:
-    """One row: unique_inputs, input_chars, oversized, requests, input_tokens, output_tokens of the texts still to do.
+def translation_estimate(docs: DataFrame, done: DataFrame, save: Callable[[DataFrame], DataFrame], batch: int = 20, most: int = 12_000) -> DataFrame:
+    """One row: unique_inputs, input_chars, oversized, requests, input_tokens, output_tokens of the texts of docs (doc_id, text) still to do.
 
-    Four characters are one token in, three one token out; a request costs 160 and an input 35 tokens more. Packing is an approximation:
-    inputs are dealt to 16 buckets by the first digit of their hash, and a bucket needs as many requests as its inputs or characters ask for.
+    Four characters are one token in, three one token out; a request costs 160 and an input 35 tokens more. Requests are filled in the order of the
+    first document of each text, exactly as taking one text after the other fills them (``packed_groups``). Empty texts need none.
     """
-    plan = translation_plan(texts, done).filter("state = 'needed'")
+    first = docs.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("first"))
+    plan = translation_plan(docs.select("text"), done).filter("state = 'needed'").join(first, "key")
+    plan = save(plan.select("first", "key", F.col("chars").cast("long").alias("chars")))
     fits = plan.filter(F.col("chars").between(1, most))
-    buckets = fits.groupBy(F.substring("key", 1, 1).alias("bucket")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    requests = F.greatest(F.ceil(F.col("n") / batch), F.ceil(F.col("chars") / most))
-    sums = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unique_inputs"), F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("input_chars"), F.coalesce(F.sum(requests), F.lit(0)).alias("requests"))
+    requests = packed_groups(fits, ["first", "key"], "chars", batch, most, save)
+    sums = fits.agg(F.count("*").alias("unique_inputs"), F.coalesce(F.sum("chars"), F.lit(0)).alias("input_chars"))
     large = plan.filter(F.col("chars") > most).agg(F.count("*").alias("oversized"))
+    rows = sums.crossJoin(F.broadcast(large)).withColumn("requests", F.lit(requests).cast("long"))
     tokens_in = F.ceil(F.col("input_chars") / 4) + 160 * F.col("requests") + 35 * F.col("unique_inputs")
-    return sums.crossJoin(F.broadcast(large)).withColumns({"input_tokens": tokens_in, "output_tokens": F.ceil(F.col("input_chars") / 3) + 35 * F.col("unique_inputs")})
+    return rows.withColumns({"input_tokens": tokens_in, "output_tokens": F.ceil(F.col("input_chars") / 3) + 35 * F.col("unique_inputs")})
 
 
 def provider_terms(works: DataFrame, existing: DataFrame, synonyms: DataFrame, lists: tuple[list[str], list[str], list[str]], least: float = 0.25) -> DataFrame:

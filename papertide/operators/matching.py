@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from papertide.operators.records import arxiv_base, components  # noqa: F401
+from papertide.operators.graphs import components
+from papertide.operators.records import arxiv_base  # noqa: F401
 from papertide.operators.titles import FUZZY_CHARS, TITLE_RATIO, folded_names, near_titles
 
 

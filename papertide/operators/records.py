@@ -67,21 +67,6 @@ def merge_sources(records: DataFrame, key: str, order: str, fill: list[str], gro
     return records.groupBy(key).agg(*first, *(F.max(c).alias(c) for c in grow), *(F.bool_or(c).alias(c) for c in any_of), F.count("*").alias("records"))
 
 
-def components(edges: DataFrame, save) -> DataFrame:
-    """node, root (least node reachable) of links (a, b). Each round takes the least label of the neighbours and
-    the label of the label, until none changes; ``save`` writes a round away, so the lineage stays short."""
-    both = save(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        jumped = stepped.join(labels.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.least("root", "up").alias("root"), "was")
-        labels = save(jumped)
-        if labels.filter("root <> was").isEmpty():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
-
-
 def new_records(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """Records whose DOI is unseen or, without DOI, whose title is; one for each key."""
     doi = known.filter("doi_key is not null").select("doi_key").distinct()

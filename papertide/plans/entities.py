@@ -8,6 +8,7 @@ from papertide.operators import entities as op
 from papertide.plans.corpus import rounded
 from papertide.plans.registry import query
 from papertide.sources import tables as t
+from papertide.sources.scratch import saved
 
 # Phrases put before titles and abstracts, so that the invented texts hold entities.
 SEEDS = ("MoS2 on BN", "quantum hall effect", "Weyl-semimetal FeSe", "ARPES study", "erratum for GaAs", "comment on spin liquid", "WSe2 and CrI3", "density functional theory", "H2O and NaCl", "topological insulator Bi2Se3", "DNA and NATO", "plain words")
@@ -187,11 +188,12 @@ def postings_refresh(spark, d):
     return index.groupBy("doc_id").agg(F.max("length").alias("length"), F.count("*").alias("tokens"), F.sum("tf").alias("tf"))
 
 
-@query("translation_estimate", """WITH k AS (SELECT sha256(text) AS key, max(length(text)) AS chars, bool_or(doc_id % 3 = 0) AS done FROM documents GROUP BY 1), f AS (SELECT * FROM k WHERE NOT done AND chars BETWEEN 1 AND 12000), b AS (SELECT substr(key, 1, 1) AS bucket, count(*) AS n, sum(chars) AS chars FROM f GROUP BY 1),
-s AS (SELECT CAST(sum(n) AS BIGINT) AS unique_inputs, CAST(sum(chars) AS BIGINT) AS input_chars, CAST(sum(greatest(ceil(n / 20), ceil(chars / 12000))) AS BIGINT) AS requests FROM b) SELECT *, (SELECT count(*) FROM k WHERE NOT done AND chars > 12000) AS oversized, CAST(ceil(input_chars / 4) + 160 * requests + 35 * unique_inputs AS BIGINT) AS input_tokens, CAST(ceil(input_chars / 3) + 35 * unique_inputs AS BIGINT) AS output_tokens FROM s""")
+@query("translation_estimate", """WITH RECURSIVE k AS (SELECT sha256(text) AS key, max(length(text)) AS chars, bool_or(doc_id % 3 = 0) AS done, min(doc_id) AS first FROM documents GROUP BY 1), f AS (SELECT chars, row_number() OVER (ORDER BY first, key) AS i FROM k WHERE NOT done AND chars BETWEEN 1 AND 12000),
+p(i, used, total, groups) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT f.i, CASE WHEN used = 0 OR used = 20 OR total + chars > 12000 THEN 1 ELSE used + 1 END, CASE WHEN used = 0 OR used = 20 OR total + chars > 12000 THEN chars ELSE total + chars END, CASE WHEN used = 0 OR used = 20 OR total + chars > 12000 THEN groups + 1 ELSE groups END FROM p JOIN f ON f.i = p.i + 1),
+s AS (SELECT count(*) AS unique_inputs, CAST(coalesce(sum(chars), 0) AS BIGINT) AS input_chars, (SELECT max(groups) FROM p) AS requests FROM f) SELECT *, (SELECT count(*) FROM k WHERE NOT done AND chars > 12000) AS oversized, CAST(ceil(input_chars / 4) + 160 * requests + 35 * unique_inputs AS BIGINT) AS input_tokens, CAST(ceil(input_chars / 3) + 35 * unique_inputs AS BIGINT) AS output_tokens FROM s""")
 def translation_estimate(spark, d):
     docs = t.read(spark, d, "documents")
-    return op.translation_estimate(docs.select("text"), docs.filter("doc_id % 3 = 0").select(F.sha2(F.col("text"), 256).alias("key")))
+    return op.translation_estimate(docs.select("doc_id", "text"), docs.filter("doc_id % 3 = 0").select(F.sha2(F.col("text"), 256).alias("key")), lambda df: saved(df, "estimate"))
 
 
 @query("provider_terms", """WITH w AS (SELECT doc_id, unnest([{'n': concat(lang, ' Theory'), 's': doc_id % 10 / 10.0}, {'n': 'Spin-Liquid', 's': doc_id % 4 / 4.0}, {'n': concat('key ', lang), 's': CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.75 END}, {'n': 'Fe2O3', 's': 0.5}]) AS x, unnest(['c', 'c', 'k', 'k']) AS kind FROM documents),

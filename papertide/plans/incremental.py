@@ -25,6 +25,12 @@ def st_rules(spark, d):
     return hits.select("rule_id", "event_id", "value")
 
 
+@query("st_hit_state", f"WITH r(rule_id, event_type, least) AS (VALUES {', '.join(str(r) for r in RULES)}) SELECT rule_id, user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS hits FROM events JOIN r USING (event_type) WHERE value >= least GROUP BY 1, 2")
+def st_hit_state(spark, d):
+    rules = spark.createDataFrame(RULES, "rule_id string, event_type string, least double")
+    return op.hit_state(spark, arriving(spark, d), rules, F.col("value") >= F.col("least"), ["event_type"], "user_id", "ts")
+
+
 @query("st_refresh", "SELECT user_id, count(*) AS events, count(DISTINCT event_type) AS kinds, max(ts) AS last_seen, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1")
 def st_refresh(spark, d):
     derive = lambda rows: rows.groupBy("user_id").agg(

@@ -9,6 +9,7 @@ from papertide.plans.corpus import rounded
 from papertide.plans.registry import query
 from papertide.sources import tables as t
 from papertide.streaming import events as st
+from papertide.streaming.ingest import distinct_observations
 
 DOC_KEYS_SQL = f"WITH {t.DOCS_SQL}, keys_v AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN concat('10.1/', CAST(doc_id % 200 AS VARCHAR)) END AS doi_key, {t.FOLDED_TITLE} AS title_key, CAST(year(pub_date) AS INTEGER) AS year FROM docs_v)"
 
@@ -188,7 +189,8 @@ def st_tumbling(spark, d):
 
 @query("st_dedup", "SELECT user_id, event_type, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1, 2")
 def st_dedup(spark, d):
-    return st.distinct_observations(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("days"))
+    stream = st.arriving(spark, d).select("event_type", "user_id", F.to_date("ts").alias("day"))
+    return distinct_observations(spark, stream, "event_type", "user_id", ["day"]).groupBy("user_id", "event_type").agg(F.count("*").alias("days"))
 
 
 @query("st_hits", "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS hits FROM events WHERE event_type = 'error' OR value < 20 GROUP BY 1")

@@ -46,20 +46,6 @@ def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batch=*").groupBy("event_type", "start").agg(F.sum("events").alias("events"), F.sum("value").alias("value"))
 
 
-def distinct_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, event_type, day once each: dropped inside a batch, then against the earlier batches."""
-    keys = ["user_id", "event_type", "day"]
-
-    def append_new(df: DataFrame, number: int, path: str) -> None:
-        new = df.select("user_id", "event_type", F.to_date("ts").alias("day")).distinct()
-        if number:
-            new = new.join(df.sparkSession.read.parquet(*(f"{path}/batch={i}" for i in range(number))), keys, "left_anti")
-        _overwrite(new, number, path)
-
-    path = run_available(spark, arriving(spark, sf_dir), "observations", "append", append_new)
-    return spark.read.parquet(f"{path}/batch=*")
-
-
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, first_seen, last_seen, hits of the events that a rule matches: streaming state, update mode;
     the last state of each key counts."""

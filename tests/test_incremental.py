@@ -63,3 +63,43 @@ def test_rule_limit_is_inside_the_arrivals(spark):
     rules = spark.createDataFrame([("r", "a", 2), ("s", "b", 0)], "rule_id string, owner string, least long")
     found = op.match_rules(rows, rules, F.col("id") >= F.col("least"), ["owner"], [F.desc("submitted")], 3)
     assert sorted(r["id"] for r in found.collect()) == [3, 4, 5]
+
+
+def files(folder):
+    return {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    derive = lambda rows: rows.groupBy("owner").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    folder, path = tmp_path / "in", f"file://{tmp_path}/kept"
+    run = lambda: {r["owner"]: (r["n"], r["last"]) for r in op.refresh_changed(spark, stream(spark, folder), "owner", derive, path, 16).collect()}
+    first = [(i, f"o{i % 100}", DAY, DAY) for i in range(1000)] + [(5000, None, DAY, DAY)]
+    arrive(spark, folder, first)
+    assert run() == {f"o{k}": (10, 900 + k) for k in range(100)} | {None: (1, 5000)}
+    before = files(tmp_path / "kept/table/data")
+    arrive(spark, folder, [(2000, "o7", DAY, DAY), (2001, None, DAY, DAY), (2002, "new", DAY, DAY)])
+    got = run()
+    assert got == {f"o{k}": (10, 900 + k) for k in range(100) if k != 7} | {"o7": (11, 2000), None: (2, 5000), "new": (1, 2002)}
+    after = files(tmp_path / "kept/table/data")
+    assert all(after[p] == before[p] for p in before)
+    new = set(after) - set(before)
+    assert 1 <= len({p.parent.name for p in new}) <= 3 and len({p.parent.name for p in before}) > 10
+    assert sum(p.stat().st_size for p in new) < 0.5 * sum(p.stat().st_size for p in before)
+    assert run() == got  # nothing has arrived: nothing is written
+    assert files(tmp_path / "kept/table/data") == after
+
+
+def test_observations_are_kept_once(spark, tmp_path):
+    rows = [(1, "a", DAY, DAY), (1, "a", DAY, DAY), (1, "a", DAY, None), (1, "b", DAY, DAY), (None, "a", DAY, DAY)]
+    for part in (rows[:2], rows[1:4], rows, rows[4:]):
+        arrive(spark, tmp_path / "in", part)
+    got = op.distinct_observations(spark, stream(spark, tmp_path / "in"), "owner", "id", ["submitted", "updated"]).collect()
+    assert len(got) == 4 == len({(r["owner"], r["id"], r["payload_hash"]) for r in got})
+
+
+def test_hits_are_counted_a_rule_and_target(spark, tmp_path):
+    arrive(spark, tmp_path / "in", FIRST)
+    arrive(spark, tmp_path / "in", [(1, "a", DAY, DAY + dt.timedelta(days=2)), (9, "a", DAY, DAY)])
+    rules = spark.createDataFrame([("r", "a", 1), ("s", "a", 5), ("t", "z", 0)], "rule_id string, owner string, least long")
+    got = op.hit_state(spark, stream(spark, tmp_path / "in"), rules, F.col("id") >= F.col("least"), ["owner"], "id", "updated").collect()
+    assert sorted((r["rule_id"], r["id"], r["hits"], (r["last_seen"] - r["first_seen"]).days) for r in got) == [("r", 1, 2, 2), ("r", 9, 1, 0), ("s", 9, 1, 0)]

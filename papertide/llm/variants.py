@@ -28,7 +28,7 @@ SHORTEST, LONGEST = 2, 8
 #: Words of the sample, occurrences there up to which a gram is not lengthened, and grams of the dictionary at most.
 SAMPLE, FREQUENT, GRAMS = 50_000, 20, 200_000
 #: Words of a list from which on it is cut by what surrounds the gram.
-LIST_ROWS = 4096
+LIST_ROWS = 256
 #: Characters of a word that are compared side by side; longer words are compared one by one.
 WIDTH = 48
 
@@ -100,20 +100,24 @@ class Grams:
         A gram changes if the edit falls inside it, or right behind it where it could be lengthened. One that starts behind
         the edit can be covered by a new gram that starts before and holds all from the edit to the gram's end.
         """
-        n = len(word)
+        n, longer, inner = len(word), self.longer, self.inner
         change, insert = [0] * (n + 1), [0] * (n + 1)  # edits of the character i; insertions before it
         for p, size in cut:
             end = p + size
-            for i in range(p, end):
+            change[p] += 1
+            for i in range(p + 1, end):
                 change[i] += 1
-                insert[i] += i > p
-            if size < longest and word[p:end] in self.longer:
+                insert[i] += 1
+            if size < longest and word[p:end] in longer:
                 change[end] += 1
                 insert[end] += 1
-            for i in range(max(0, end - longest), p):
-                change[i] += word[i + 1 : end] in self.inner
-            for i in range(max(0, end - longest + 1), p + 1):
-                insert[i] += word[i:end] in self.inner
+            # what reaches less far back is covered by less
+            for i in range(p, max(0, end - longest + 1) - 1, -1):
+                if word[i:end] not in inner:
+                    break
+                insert[i] += 1
+                if i:
+                    change[i - 1] += i - 1 >= end - longest
         return max(max(change), max(insert))
 
     def rarest(self, word: str, longest: int) -> list[tuple[int, int]]:
@@ -132,13 +136,15 @@ def _lists(words: DataFrame, grams, least: int) -> DataFrame:
             part = batch.slice(first, 4096)
             keys, ids, names, sizes, places, lengths = [], [], [], [], [], []
             for number, word in zip(part["id"].to_pylist(), part["word"].to_pylist(), strict=True):
-                for size in (len(word), len(word) - 1):
-                    if size < least:
-                        continue
-                    for p, length in index.rarest(word, min(LONGEST, (size - 1) // 2)):
+                n, known = len(word), {}
+                for size in (n, n - 1) if n > least else (n,):
+                    longest = min(LONGEST, (size - 1) // 2)
+                    if longest not in known:
+                        known[longest] = index.rarest(word, longest)
+                    for p, length in known[longest]:
                         gram = word[p : p + length]
                         # a gram of the longer word stands in the shorter one at the same place or one before
-                        for at in (p,) if size == len(word) else (p, p - 1)[: 2 if p else 1]:
+                        for at in (p,) if size == n else (p, p - 1)[: 2 if p else 1]:
                             keys.append(digest(f"{size},{at},{gram}"))
                             ids.append(number), names.append(word), sizes.append(size), places.append(p), lengths.append(length)
             columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(names, pa.string()), *(pa.array(x, pa.int32()) for x in (sizes, places, lengths))]
@@ -148,7 +154,7 @@ def _lists(words: DataFrame, grams, least: int) -> DataFrame:
         for batch in batches:
             yield from run(batch)
 
-    return words.select("id", "word").mapInArrow(every, "key long, id long, word string, size int, p int, l int")
+    return words.mapInArrow(every, "key long, id long, word string, size int, p int, l int")
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -170,9 +176,8 @@ def _near(words: list[str], i: np.ndarray, j: np.ndarray, codes: np.ndarray, len
     shifted = np.zeros_like(differ)
     shifted[:, :-1] = codes[i][:, :-1] != codes[j][:, 1:]
     first = differ.argmax(1)
-    behind = np.arange(codes.shape[1])[None] >= first[:, None]
-    inside = np.arange(codes.shape[1])[None] < lengths[i][:, None]
-    good = np.where(same, differ.sum(1) == 1, ~(shifted & behind & inside).any(1) & (first < lengths[j]))
+    at = np.arange(codes.shape[1])[None]
+    good = np.where(same, differ.sum(1) == 1, ~(shifted & (at >= first[:, None]) & (at < lengths[i][:, None])).any(1) & (first < lengths[j]))
     for k in np.flatnonzero(np.maximum(lengths[i], lengths[j]) > WIDTH).tolist():
         good[k] = one_edit(words[i[k]], words[j[k]])
     return good
@@ -181,22 +186,37 @@ def _near(words: list[str], i: np.ndarray, j: np.ndarray, codes: np.ndarray, len
 def _merge(keys: np.ndarray, ids: np.ndarray, words: list[str]) -> pa.RecordBatch:
     """Both directions of the near pairs among rows of one key (rows sorted by key)."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.array([w[:WIDTH] for w in words] or [""], f"U{WIDTH}").view(np.uint32).reshape(-1, WIDTH)
-    bits = np.where(codes > 0, np.uint64(1) << (codes % 64).astype(np.uint64), np.uint64(0))
-    letters = np.bitwise_or.reduce(bits, axis=1)
+    width = max(1, min(WIDTH, int(lengths.max(initial=1))))
+    codes = np.array([w[:width] for w in words] or [""], f"U{width}").view(np.uint32).reshape(-1, width)
+    if codes.max(initial=0) < 256:
+        codes = codes.astype(np.uint8)
+    letters = np.zeros(len(codes), np.uint64)
+    for column in codes.T:
+        letters |= np.where(column > 0, np.uint64(1) << (column % 64).astype(np.uint64), np.uint64(0))
     long = lengths > WIDTH
-    rows, shift, found = np.arange(len(keys)), 1, [np.zeros((0, 2), np.int64)]
+    rows, shift, found, waiting, many = np.arange(len(keys)), 1, [np.zeros((0, 2), np.int64)], [], 0
+
+    def check() -> None:
+        i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        for k in range(0, len(i), 1 << 14):
+            x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            hit = _near(words, x, y, codes, lengths)
+            found.append(np.stack([ids[x[hit]], ids[y[hit]]], 1))
+        waiting.clear()
+
     while len(rows := rows[rows + shift < len(keys)]) and len(rows := rows[keys[rows] == keys[rows + shift]]):
         other = rows + shift
         maybe = (np.bitwise_count(letters[rows] ^ letters[other]) <= 2) | long[rows] | long[other]
         i, j = rows[maybe], other[maybe]
         close = (np.abs(lengths[i] - lengths[j]) < 2) & (ids[i] != ids[j])
-        i, j = i[close], j[close]
-        for k in range(0, len(i), 1 << 13):
-            x, y = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
-            hit = _near(words, x, y, codes, lengths)
-            found.append(np.stack([ids[x[hit]], ids[y[hit]]], 1))
+        waiting.append((i[close], j[close]))
+        many += int(close.sum())
+        if many >= 1 << 14:
+            check()
+            many = 0
         shift += 1
+    if waiting:
+        check()
     pairs = np.concatenate(found)
     pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["id", "other"])
@@ -208,7 +228,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([keys, batch["key"].to_numpy()])
         ids = np.concatenate([ids, batch["id"].to_numpy()])
         words += batch["word"].to_pylist()
-        if len(keys) >= 1 << 15 and (cut := int(np.searchsorted(keys, keys[-1]))):
+        if len(keys) >= 1 << 16 and (cut := int(np.searchsorted(keys, keys[-1]))):
             yield _merge(keys[:cut], ids[:cut], words[:cut])
             keys, ids, words = keys[cut:], ids[cut:], words[cut:]
     if words:
@@ -221,7 +241,7 @@ def near_words(words: DataFrame, least: int = 7, list_rows: int = LIST_ROWS, sam
         raise ValueError("an edit may change all grams of so short a word")
     some = [r["word"] for r in words.select("word").orderBy(F.xxhash64("word"), "word").limit(sample).collect()]
     grams = words.sparkSession.sparkContext.broadcast(Grams(some))
-    rows = written(_lists(words, grams, least), "gram-lists")
+    rows = written(_lists(words.select("id", "word").repartition("id"), grams, least), "gram-lists")
     hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > list_rows).select("key", F.lit(True).alias("_hot")), "hot-grams")
     if hot.isEmpty():
         dealt = rows.select("key", "id", "word")

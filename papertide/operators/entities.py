@@ -102,21 +102,64 @@ def formulas(docs: DataFrame, text: str) -> DataFrame:
     return rows.filter(F.length("formula").between(4, 32) & ~F.col("formula").isin(*NO_FORMULAS) & known & short)
 
 
-def field_filter(docs: DataFrame, prefixes: list[str], keep: list[str], drop: list[str], category: str, text: str) -> DataFrame:
-    """Adds in_field and reason: an exclusion first, then category prefix, then keyword."""
-    low = F.lower(text)
-    holds = lambda terms: reduce(Column.__or__, [low.contains(x) for x in terms])
-    reason = F.when(holds(drop), "excluded").when(reduce(Column.__or__, [F.col(category).startswith(p) for p in prefixes]), "category").when(holds(keep), "keyword").otherwise("none")
-    return docs.withColumn("reason", reason).withColumn("in_field", F.col("reason").isin("category", "keyword"))
-
-
-def relevance(docs: DataFrame, prompt: str, text: str) -> DataFrame:
-    """Adds overlap, score (2 + 1.2 a shared word up to 6, + 0.8 with text, at most 10) and priority."""
-    wanted = F.array_distinct(tokens(F.lit(prompt)))
-    overlap = F.size(F.array_intersect(F.array_distinct(tokens(F.col(text))), wanted))
-    score = F.least(F.lit(10.0), 2.0 + F.least(1.2 * F.col("overlap"), F.lit(6.0)) + F.when(F.length(F.coalesce(text, F.lit(""))) > 0, 0.8).otherwise(0.0))
-    rows = docs.withColumn("overlap", overlap).withColumn("score", score)
-    return rows.withColumn("priority", F.when(F.col("score") >= 6, "high").when(F.col("score") >= 4, "medium").otherwise("low"))
+def lookup_text(*texts: Column) -> Column:
+    """Texts one after the other, lower case, hyphens as blanks, single blanks: what terms are looked up in."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(F.concat_ws(" ", *texts)), F.lit("-"), F.lit(" ")), r"\s+", " "))
+
+
+def _first_held(text: Column, terms: list[str], mark: str) -> Column:
+    """``mark:term`` of the first term that the text holds, null if it holds none."""
+    keys = F.array(*(F.struct(F.lit(" ".join(x.lower().replace("-", " ").split())).alias("k"), F.lit(x).alias("t")) for x in terms)) if terms else None
+    if keys is None:
+        return F.lit(None).cast("string")
+    return F.concat(F.lit(mark + ":"), F.get(F.transform(F.filter(keys, lambda x: F.contains(text, x["k"])), lambda x: x["t"]), F.lit(0)))
+
+
+def field_filter(docs: DataFrame, prefixes: list[str], hard: list[str], keep: list[str], drop: list[str], categories: str, texts: list[str]) -> DataFrame:
+    """Adds in_field and reason. The first that holds decides: a category (array) with one of the prefixes, a hard term, a keyword; an exclusion keeps nothing
+    in that one of them has let in. Terms are found anywhere in the columns ``texts`` and the categories, without case and hyphens; the first of each list
+    is named. ``none`` if nothing holds."""
+    cats = F.coalesce(F.col(categories), F.array().cast("array<string>"))
+    rows = docs.withColumn("_text", lookup_text(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts), F.array_join(cats, " ")))
+    text = F.col("_text")
+    by_category = F.when(F.exists(cats, lambda c: reduce(Column.__or__, [F.startswith(c, F.lit(p)) for p in prefixes])), "category")
+    reason = F.coalesce(by_category, _first_held(text, hard, "hard"), _first_held(text, keep, "keyword"), _first_held(text, drop, "exclude"), F.lit("none"))
+    return rows.withColumn("reason", reason).withColumn("in_field", (F.col("reason") == "category") | F.col("reason").rlike("^(hard|keyword):")).drop("_text")
+
+
+def grade_field(filtered: DataFrame, direct: str, categories: str, concepts: str, hints: list[str], journals: list[str], text_hints: list[str], texts: list[str], strict: bool = False) -> DataFrame:
+    """Adds kept, grade and grade_reason to rows of ``field_filter``: high with a category that starts with ``direct`` or a hard term, medium with another reason. Of the rest,
+    ``strict`` excludes all; else a concept with one of the hints or, in one of ``journals``, a text with one of ``text_hints`` is medium, and what
+    is left is low, to be reviewed."""
+    empty = F.array().cast("array<string>")
+    any_of = lambda text, xs: reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in xs], F.lit(False))
+    is_direct = F.exists(F.coalesce(F.col(categories), empty), lambda c: F.startswith(c, F.lit(direct)))
+    hinted = F.exists(F.coalesce(F.col(concepts), empty), lambda c: any_of(lookup_text(c), hints))
+    relaxed = F.coalesce("journal", F.lit("")).isin(*journals) & any_of(lookup_text(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts)), text_hints)
+    why = F.when(is_direct, "direct").when(F.col("in_field"), F.when(F.startswith("reason", F.lit("hard:")), "hard").otherwise("filter"))
+    why = F.coalesce(why, F.lit("strict")) if strict else F.coalesce(why, F.when(hinted, "concept").when(relaxed, "journal").otherwise("review"))
+    grade = F.when(F.col("grade_reason").isin("direct", "hard"), "high").when(F.col("grade_reason") == "strict", "excluded").when(F.col("grade_reason") == "review", "low").otherwise("medium")
+    return filtered.withColumn("grade_reason", why).withColumn("grade", grade).withColumn("kept", F.col("grade") != "excluded")
+
+
+# Words that say nothing about a prompt.
+STOP_WORDS = ("about", "after", "also", "and", "are", "can", "for", "from", "into", "paper", "papers", "recent", "that", "the", "this", "with")
+
+
+def prompt_terms(text: Column) -> Column:
+    """Distinct lower-case words of three characters or more that start with a letter, hyphens inside, without stop words."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z][A-Za-z0-9\-]{2,})"), F.lit(1)), F.lower)
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*STOP_WORDS)))
+
+
+def relevance(docs: DataFrame, prompt: str, texts: list[str], abstract: str, link: str) -> DataFrame:
+    """Adds overlap (terms that texts and prompt share), score (2 + 1.2 a shared term up to 6, 0.8 with a PDF link, 0.8 with an abstract, at most 10, one
+    digit) and priority (high from 7, medium from 4)."""
+    has = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", 0.8).otherwise(0.0)
+    words = prompt_terms(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in texts)))
+    rows = docs.withColumn("overlap", F.size(F.array_intersect(words, prompt_terms(F.lit(prompt)))))
+    rows = rows.withColumn("score", F.least(F.lit(10.0), F.round(2.0 + F.least(1.2 * F.col("overlap"), F.lit(6.0)) + has(link) + has(abstract), 1)))
+    return rows.withColumn("priority", F.when(F.col("score") >= 7, "high").when(F.col("score") >= 4, "medium").otherwise("low"))
 
 
 def postings(docs: DataFrame, text: str) -> DataFrame:
@@ -200,11 +243,35 @@ def provider_terms(works: DataFrame, existing: DataFrame, synonyms: DataFrame, l
     return new.select("doc_id", F.col("r.given").alias("term"), "normalized", "r.confidence", "r.display_eligible", "r.display_reason")
 
 
+# Names of parameters that carry credentials; all that start with x-amz- do as well.
+SECRETS = (
+    "access_token", "api_key", "apikey", "awsaccesskeyid", "auth", "authorization", "code", "credential", "googleaccessid", "jsessionid", "key", "key-pair-id", "password", "policy",
+    "relaystate", "samlresponse", "secret", "session", "sessionid", "sig", "signature", "state", "ticket", "token", "x-goog-credential", "x-goog-signature",
+)
+HIDDEN = "***REDACTED***"
+
+
+def redacted_url(url: Column) -> Column:
+    """URL without user info and fragment, host in lower case, and with the values of secret parameters hidden; other parameters stay. Null gives the empty text."""
+    names = "|".join(SECRETS)
+    clean = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"#.*$", "")
+    shape = r"^([A-Za-z][A-Za-z0-9+.\-]*://)(?:[^/?#@]*@)?([^/?#]*)(.*)$"
+    part = lambda n: F.regexp_extract(clean, shape, n)
+    whole = F.when(clean.rlike(shape), F.concat(part(1), F.lower(part(2)), part(3))).otherwise(clean)
+    return F.regexp_replace(whole, rf"(?i)([?&](?:{names}|x-amz-[^=&]*)=)[^&]*", "$1%2A%2A%2AREDACTED%2A%2A%2A")
+
+
+def redacted_text(text: Column) -> Column:
+    """Free text with its URLs as in ``redacted_url`` and the value behind every secret name and ``=`` or ``:`` hidden."""
+    names = "|".join(sorted(SECRETS, key=len, reverse=True))
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"(https?://)[^/?#@\s'\"<>]*@", "$1")
+    clean = F.regexp_replace(clean, r"(https?://[^\s'\"<>#]*)#[^\s'\"<>]*", "$1")
+    clean = F.regexp_replace(clean, r"(?i)([?&]x-amz-[^=&\s]*=)[^&\s'\"<>]*", "$1%2A%2A%2AREDACTED%2A%2A%2A")
+    return F.regexp_replace(clean, rf"(?i)((?:{names})\s*[=:]\s*)[^&\s,;]+", "$1" + HIDDEN.replace("*", "*"))
+
+
 def redact_urls(df: DataFrame, column: str) -> DataFrame:
-    """Replaces values of query parameters, user info and fragments of the URLs of a column."""
-    url = F.regexp_replace(F.col(column), r"([?&][A-Za-z0-9_]+=)[^&#\s]+", "$1***")
-    url = F.regexp_replace(url, r"://[^/@\s]+@", "://***@")
-    return df.withColumn(column, F.regexp_replace(url, r"#\S*", ""))
+    return df.withColumn(column, redacted_url(F.col(column)))
 
 
 def research_only(df: DataFrame, title: str) -> DataFrame:
@@ -213,9 +280,16 @@ def research_only(df: DataFrame, title: str) -> DataFrame:
 
 
 def inverted_index_to_text(index: Column) -> Column:
-    """Text from a map of word -> positions; of two words on one place the last of the map wins."""
-    places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(places), lambda x: x["w"]), " ")
+    """Text from a map of word -> positions; of two words on one place the last of the map wins. Null and empty maps give the empty text."""
+    entries = F.map_entries(index)
+    places = F.flatten(F.transform(entries, lambda e, o: F.transform(e["value"], lambda p: F.struct(p.alias("p"), o.alias("o"), e["key"].alias("w")))))
+    # sorted by place and falling order, the first of a place stands
+    ordered = F.array_sort(F.transform(places, lambda x: F.struct(x["p"].alias("p"), (-x["o"]).alias("o"), x["w"].alias("w"))))
+    words = F.aggregate(
+        ordered, F.struct(F.lit(None).cast("int").alias("p"), F.array().cast("array<string>").alias("w")),
+        lambda acc, x: F.when(acc["p"].eqNullSafe(x["p"].cast("int")), acc).otherwise(F.struct(x["p"].cast("int").alias("p"), F.concat(acc["w"], F.array(x["w"])).alias("w"))),
+    )
+    return F.coalesce(F.array_join(words["w"], " "), F.lit(""))
 
 
 def translation_plan(texts: DataFrame, done: DataFrame) -> DataFrame:

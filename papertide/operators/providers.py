@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papertide.operators.entities import inverted_index_to_text
 from papertide.operators.records import normalized_doi
 
+_SOURCE = "struct<id:string,display_name:string,type:string>"
+_LOCATION = f"struct<pdf_url:string,landing_page_url:string,source:{_SOURCE}>"
+_TOPIC = "struct<display_name:string,score:double,subfield:struct<id:string,display_name:string>>"
 OPENALEX = (
-    "struct<id:string,doi:string,title:string,publication_date:string,cited_by_count:int,open_access:struct<is_oa:boolean>,best_oa_location:struct<pdf_url:string>,"
-    "concepts:array<struct<display_name:string,score:double>>,topics:array<struct<display_name:string,score:double>>>"
+    f"struct<id:string,doi:string,title:string,publication_date:string,type:string,type_crossref:string,cited_by_count:int,open_access:struct<is_oa:boolean,oa_url:string,oa_status:string>,primary_location:{_LOCATION},"
+    f"locations:array<{_LOCATION}>,authorships:array<struct<author:struct<display_name:string>>>,abstract_inverted_index:map<string,array<int>>,"
+    f"concepts:array<struct<display_name:string,score:double>>,topics:array<{_TOPIC}>,primary_topic:{_TOPIC},keywords:array<struct<display_name:string,score:double>>>"
 )
+_DATED = "struct<`date-parts`:array<array<int>>>"
 CROSSREF = (
-    "struct<DOI:string,title:array<string>,`published-print`:struct<`date-parts`:array<array<int>>>,`published-online`:struct<`date-parts`:array<array<int>>>,"
-    "issued:struct<`date-parts`:array<array<int>>>,abstract:string,`is-referenced-by-count`:int>"
+    f"struct<DOI:string,title:array<string>,`container-title`:array<string>,`published-print`:{_DATED},`published-online`:{_DATED},published:{_DATED},"
+    f"issued:{_DATED},abstract:string,URL:string,publisher:string,type:string,subject:array<string>,license:array<struct<URL:string>>,`reference-count`:int,`is-referenced-by-count`:int>"
 )
 
 
@@ -22,32 +28,53 @@ def first_spellings(names: Column) -> Column:
     return F.aggregate(names, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)) | x.isNull(), acc).otherwise(F.concat(acc, F.array(x))))
 
 
-def parse_openalex(rows: DataFrame, column: str = "json") -> DataFrame:
-    """doi, title, pub_date, cited_by_count, is_open_access (open or with a PDF), concepts of a work's JSON."""
-    w = F.from_json(F.col(column), OPENALEX)
-    names = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<display_name:string,score:double>>")), lambda x: x["display_name"])
-    parsed = rows.select(*[c for c in rows.columns if c != column], w.alias("w"))
+def _text(value: Column) -> Column:
+    return F.coalesce(value, F.lit(""))
+
+
+def parse_openalex(rows: DataFrame, column: str = "json", fallback_journal: str = "") -> DataFrame:
+    """Canonical columns of a work's JSON: doi, title, abstract (from the inverted index), pub_date, journal (of the primary location, else the fallback), authors, concepts (names of
+    concepts, topics and primary topic, the first spelling of each), topics, primary_topic, keywords, locations, cited_by_count, pdf_url (of the primary location, else the open one), url,
+    is_open_access (open or with a PDF), work_type, type_crossref, source_scope, primary_source_type. Broken JSON gives nulls."""
+    rest = [c for c in rows.columns if c != column]
+    parsed = rows.select(*rest, F.from_json(F.col(column), OPENALEX).alias("w"))
+    plain = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda x: F.nullif(F.trim(x["display_name"]), F.lit("")))
+    pdf = F.coalesce(F.nullif("w.primary_location.pdf_url", F.lit("")), F.nullif("w.open_access.oa_url", F.lit("")), F.lit(""))
+    kind = F.coalesce(F.nullif("w.type", F.lit("")), F.lit("article"))
     return parsed.select(
-        *[c for c in rows.columns if c != column], normalized_doi(F.col("w.doi")).alias("doi"), F.col("w.title").alias("title"), F.to_date("w.publication_date").alias("pub_date"),
-        F.coalesce("w.cited_by_count", F.lit(0)).alias("cited_by_count"), (F.coalesce("w.open_access.is_oa", F.lit(False)) | F.col("w.best_oa_location.pdf_url").isNotNull()).alias("is_open_access"),
-        first_spellings(F.concat(names("w.concepts"), names("w.topics"))).alias("concepts"),
+        *rest, F.col("w.id").alias("openalex_id"), normalized_doi(F.col("w.doi")).alias("doi"), _text(F.col("w.title")).alias("title"), inverted_index_to_text(F.col("w.abstract_inverted_index")).alias("abstract"),
+        F.to_date("w.publication_date").alias("pub_date"), F.coalesce(F.nullif("w.primary_location.source.display_name", F.lit("")), F.lit(fallback_journal)).alias("journal"),
+        F.filter(F.transform(F.coalesce("w.authorships", F.array()), lambda a: a["author"]["display_name"]), lambda x: _text(x) != "").alias("authors"),
+        first_spellings(F.concat(plain("w.concepts"), plain("w.topics"), F.array(F.nullif(F.trim("w.primary_topic.display_name"), F.lit(""))))).alias("concepts"),
+        F.col("w.topics").alias("topics"), F.col("w.primary_topic").alias("primary_topic"), F.col("w.keywords").alias("keywords"), F.col("w.locations").alias("locations"),
+        F.coalesce("w.cited_by_count", F.lit(0)).alias("cited_by_count"), pdf.alias("pdf_url"), F.coalesce(F.nullif("w.primary_location.landing_page_url", F.lit("")), F.nullif(pdf, F.lit("")), F.col("w.id")).alias("url"),
+        (F.coalesce("w.open_access.is_oa", F.lit(False)) | (pdf != "")).alias("is_open_access"), kind.alias("work_type"), _text(F.col("w.type_crossref")).alias("type_crossref"),
+        F.when(kind == "preprint", "preprint").otherwise("published").alias("source_scope"), F.coalesce(F.nullif(F.lower(F.trim("w.primary_location.source.type")), F.lit("")), F.lit("unknown")).alias("primary_source_type"),
     )
 
 
-def _date(parts: str) -> Column:
+def _date(parts: Column) -> Column:
     """Date of the first date-parts; a missing month or day is 1."""
-    p = F.get(F.col(parts), F.lit(0))
+    p = F.get(parts, F.lit(0))
     return F.make_date(F.get(p, F.lit(0)), F.coalesce(F.get(p, F.lit(1)), F.lit(1)), F.coalesce(F.get(p, F.lit(2)), F.lit(1)))
 
 
-def parse_crossref(rows: DataFrame, column: str = "json") -> DataFrame:
-    """doi, title, pub_date (print before online before issued), abstract without tags, cited_by_count."""
+def _untagged(value: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(_text(value), "<[^>]*>", " "), r"\s+", " "))
+
+
+def parse_crossref(rows: DataFrame, column: str = "json", fallback_journal: str = "") -> DataFrame:
+    """Canonical columns of a work's JSON: doi, title (all parts), abstract without tags, pub_date (of the first that is given: print, online, published, issued), journal, url,
+    publisher, subjects, reference_count, cited_by_count, is_open_access (with a licence), work_type, source_scope. Broken JSON gives nulls."""
     rest = [c for c in rows.columns if c != column]
     parsed = rows.select(*rest, F.from_json(F.col(column), CROSSREF).alias("w"))
+    dated = F.coalesce(*(F.col(f"w.`{k}`") for k in ("published-print", "published-online", "published", "issued")))
+    doi, joined = normalized_doi(F.col("w.DOI")), lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ")
     return parsed.select(
-        *rest, normalized_doi(F.col("w.DOI")).alias("doi"), F.get("w.title", F.lit(0)).alias("title"),
-        F.coalesce(*(_date(f"w.`{k}`.`date-parts`") for k in ("published-print", "published-online", "issued"))).alias("pub_date"),
-        F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("w.abstract", F.lit("")), "<[^>]*>", " "), r"\s+", " ")).alias("abstract"), F.coalesce("w.is-referenced-by-count", F.lit(0)).alias("cited_by_count"),
+        *rest, doi.alias("doi"), _untagged(joined("w.title")).alias("title"), _untagged(F.col("w.abstract")).alias("abstract"), _date(dated["date-parts"]).alias("pub_date"),
+        F.coalesce(F.nullif(joined("w.`container-title`"), F.lit("")), F.lit(fallback_journal)).alias("journal"), F.coalesce(F.nullif("w.URL", F.lit("")), F.concat(F.lit("https://doi.org/"), doi), F.lit("")).alias("url"),
+        _text(F.col("w.publisher")).alias("publisher"), F.coalesce("w.subject", F.array().cast("array<string>")).alias("subjects"), F.coalesce("w.reference-count", F.lit(0)).alias("reference_count"),
+        F.coalesce("w.is-referenced-by-count", F.lit(0)).alias("cited_by_count"), (F.coalesce(F.size("w.license"), F.lit(0)) > 0).alias("is_open_access"), _text(F.col("w.type")).alias("work_type"), F.lit("published").alias("source_scope"),
     )
 
 

@@ -105,11 +105,18 @@ def best_by(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*names), F.struct(*(o.alias(f"o{n}") for n, o in enumerate(order)))).alias("r")).select("r.*")
 
 
-def failure_plan(attempts: DataFrame, most: int = 5, base: int = 5, longest: int = 3600) -> DataFrame:
-    """Adds kind (transient, manual, permanent), retry and delay (seconds, doubling, at most ``longest``)."""
-    kind = F.when(F.col("failure_class").isin("request_timeout", "http_server_error"), "transient").when(F.col("failure_class") == "access_denied", "manual").when(F.col("failure_class").isNotNull(), "permanent")
-    rows = attempts.withColumn("kind", kind).withColumn("retry", F.coalesce((F.col("kind") == "transient") & (F.col("attempt_number") < most), F.lit(False)))
-    return rows.withColumn("delay", F.when(F.col("retry"), F.least(F.lit(float(longest)), base * F.pow(F.lit(2.0), F.col("attempt_number") - 1)).cast("long")))
+def with_version_type(records: DataFrame) -> DataFrame:
+    """Adds version_type: an explicit known one, else a preprint (arXiv id, no DOI, from arXiv), else published (DOI), imported (by source) or metadata.
+    Columns version_type, doi, arxiv_id, source, journal; missing ones count as empty."""
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in records.columns else F.lit("")
+    explicit, doi, arxiv = F.lower(F.trim(given("version_type"))), normalized_doi(given("doi")), arxiv_base(given("arxiv_id"))
+    source = F.lower(given("source"))
+    preprint = arxiv.isNotNull() & doi.isNull() & ((source == "arxiv") | F.contains(F.lower(given("journal")), F.lit("arxiv")))
+    kind = (
+        F.when(explicit.isin("preprint", "published", "repository", "imported", "metadata"), explicit).when(preprint, "preprint").when(doi.isNotNull(), "published")
+        .when(source.isin("legacy_intake", "imported", "repository"), "imported").otherwise("metadata")
+    )
+    return records.withColumn("version_type", kind)
 
 
 def ris(records: DataFrame) -> DataFrame:

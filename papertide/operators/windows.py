@@ -179,11 +179,17 @@ def coverage_sources(papers: DataFrame, versions: DataFrame) -> DataFrame:
     return papers.select("paper_id", "doi").join(known.groupBy("paper_id").agg(F.array_sort(F.collect_set("source")).alias("sources")), "paper_id", "left")
 
 
-def coverage_gaps(covered: DataFrame, providers: tuple[str, ...]) -> DataFrame:
-    """A row for each paper with a DOI and each provider that lacks it, with a stable id."""
-    missing = F.array_except(F.array(*map(F.lit, providers)), F.coalesce("sources", F.array().cast("array<string>")))
-    rows = covered.filter("doi is not null").select("paper_id", F.explode(missing).alias("target"), F.lit("doi").alias("lookup"), F.col("doi").alias("value"))
-    return rows.withColumn("gap_id", F.sha2(F.concat_ws("|", "paper_id", "target", "lookup"), 256))
+def coverage_gaps(covered: DataFrame) -> DataFrame:
+    """A row for each lookup that could fill a gap of papers (paper_id, doi, arxiv_id, sources), with a stable id: Crossref and OpenAlex are asked
+    by DOI, arXiv by its id."""
+    known = F.coalesce("sources", F.array().cast("array<string>"))
+    row = lambda target, lookup, value, reason: F.when(F.col(value).isNotNull() & ~F.array_contains(known, target), F.struct(F.lit(target).alias("target"), F.lit(lookup).alias("lookup"), F.col(value).alias("value"), F.lit(reason).alias("reason")))
+    wanted = F.array_compact(F.array(
+        row("crossref", "doi", "doi", "DOI record has no Crossref observation"), row("openalex", "doi", "doi", "DOI record has no OpenAlex observation"),
+        row("arxiv", "arxiv", "arxiv_id", "arXiv identity has no arXiv observation"),
+    ))
+    rows = covered.select("paper_id", F.inline(wanted))
+    return rows.withColumn("gap_id", F.sha2(F.concat_ws("|", "paper_id", "target", "lookup", "value"), 256))
 
 
 def daily(outputs: DataFrame, last: str, days: int) -> DataFrame:

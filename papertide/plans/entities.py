@@ -64,9 +64,18 @@ def formulas(spark, d):
     return op.formulas(seeded(spark, d), "title")
 
 
-@query("field_filter", f"{SEEDED_SQL}, r AS (SELECT *, CASE WHEN contains(lower(title), 'erratum') OR contains(lower(title), 'dna') THEN 'excluded' WHEN starts_with(source, 'src1') THEN 'category' WHEN contains(lower(title), 'quantum') OR contains(lower(title), 'spin') THEN 'keyword' ELSE 'none' END AS reason FROM seeded_v) SELECT reason, reason IN ('category', 'keyword') AS in_field, count(*) AS docs FROM r GROUP BY 1, 2")
+_FILTER = f"""{SEEDED_SQL}, x AS (SELECT *, lower(replace(regexp_replace(concat_ws(' ', title, source), '\\s+', ' ', 'g'), '-', ' ')) AS k FROM seeded_v), r AS (SELECT *, CASE WHEN starts_with(source, 'src1') THEN 'category' WHEN contains(k, 'quantum hall') THEN 'hard:quantum-Hall' WHEN contains(k, 'spin') THEN 'keyword:spin' WHEN contains(k, 'gaas') THEN 'keyword:GaAs'
+ WHEN contains(k, 'erratum') THEN 'exclude:erratum' WHEN contains(k, 'dna') THEN 'exclude:DNA' ELSE 'none' END AS reason FROM x)"""
+
+
+def filtered(spark, d):
+    docs = seeded(spark, d).withColumns({"cats": F.array("source"), "concepts": F.array("lang", F.lit("Weyl-Study"))}).withColumn("journal", F.col("lang"))
+    return op.field_filter(docs, ["src1"], ["quantum-Hall"], ["spin", "GaAs"], ["erratum", "DNA"], "cats", ["title"])
+
+
+@query("field_filter", f"{_FILTER} SELECT reason, reason = 'category' OR starts_with(reason, 'hard:') OR starts_with(reason, 'keyword:') AS in_field, count(*) AS docs FROM r GROUP BY 1, 2")
 def field_filter(spark, d):
-    return op.field_filter(seeded(spark, d), ["src1"], ["quantum", "spin"], ["erratum", "dna"], "source", "title").groupBy("reason", "in_field").agg(F.count("*").alias("docs"))
+    return filtered(spark, d).groupBy("reason", "in_field").agg(F.count("*").alias("docs"))
 
 
 @query("research_only", f"{SEEDED_SQL} SELECT doc_id FROM seeded_v WHERE NOT regexp_matches(lower(trim(title)), '^(erratum|corrigendum|comment on|reply to|publisher.s note|retraction|editorial)')")
@@ -77,10 +86,12 @@ def research_only(spark, d):
 _PROMPT = "quantum spin transport of the in and hall insulator"
 
 
-@query("relevance", f"""{SEEDED_SQL}, o AS (SELECT doc_id, abstract, len(list_intersect(list_distinct(string_split(trim({_FOLD.format('abstract')}), ' ')), string_split('{_PROMPT}', ' '))) AS overlap FROM seeded_v), s AS (SELECT doc_id, overlap, least(10.0, 2 + least(1.2 * overlap, 6.0) + CASE WHEN length(abstract) > 0 THEN 0.8 ELSE 0 END) AS score FROM o)
-SELECT doc_id, CAST(overlap AS INTEGER) AS overlap, round(CAST(score AS DOUBLE), 6) AS score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS priority FROM s""")
+@query("relevance", f"""{SEEDED_SQL}, o AS (SELECT doc_id, len(list_intersect(list_distinct(list_filter(list_transform(regexp_extract_all(concat_ws(' ', title, abstract, lang), '[A-Za-z][A-Za-z0-9\\-]{{2,}}'), lambda w: lower(w)), lambda w: NOT list_contains({list(op.STOP_WORDS)}, w))), ['quantum', 'spin', 'transport', 'hall', 'insulator', 'spin-liquid'])) AS overlap, abstract FROM seeded_v),
+s AS (SELECT doc_id, overlap, least(10.0, round(2 + least(1.2 * overlap, 6.0) + CASE WHEN doc_id % 3 = 0 THEN 0.8 ELSE 0 END + CASE WHEN abstract <> '' THEN 0.8 ELSE 0 END, 1)) AS score FROM o)
+SELECT doc_id, CAST(overlap AS INTEGER) AS overlap, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS priority FROM s""")
 def relevance(spark, d):
-    return rounded(op.relevance(seeded(spark, d), _PROMPT, "abstract").select("doc_id", "overlap", "score", "priority"), "score")
+    docs = seeded(spark, d).withColumn("pdf_url", F.when(F.col("doc_id") % 3 == 0, "http://x/y.pdf"))
+    return op.relevance(docs, "Quantum spin transport of the in, and Hall insulator with a spin-liquid", ["title", "abstract", "lang"], "abstract", "pdf_url").select("doc_id", "overlap", "score", "priority")
 
 
 _POSTINGS = f"""WITH p AS (SELECT doc_id, list_filter(string_split({_FOLD.format('text')}, ' '), lambda x: x <> '') AS w FROM documents), post AS (SELECT token, doc_id, length, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS INTEGER) AS length, unnest(w) AS token FROM p) GROUP BY ALL)"""
@@ -105,9 +116,15 @@ def bm25_index(spark, d):
     return rounded(op.bm25(op.postings(docs, "text"), totals, "and is"), "score")
 
 
-@query("redact_urls", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '([?&][A-Za-z0-9_]+=)[^&#\\s]+', '\\1***', 'g'), '://[^/@\\s]+@', '://***@', 'g'), '#\\S*', '', 'g') AS url FROM pages")
+_HID = "%2A%2A%2AREDACTED%2A%2A%2A"
+
+
+@query("redact_urls", f"SELECT page_id, concat(split_part(url, '#', 1), '?page=2&Token={_HID}&q=a+b&x-amz-date={_HID}') AS url, concat('GET ', split_part(url, '#', 1), '?a=1&token=***REDACTED*** failed; api_key: ***REDACTED***, page=7') AS log FROM pages")
 def redact_urls(spark, d):
-    return op.redact_urls(t.read(spark, d, "pages").select("page_id", "url"), "url")
+    pages = t.read(spark, d, "pages")
+    signed = F.concat(F.regexp_replace(F.split_part("url", F.lit("#"), F.lit(1)), "://", "://me:pw@"), F.lit("?page=2&Token=abc&q=a+b&x-amz-date=1#part"))
+    log = F.concat(F.lit("GET "), F.regexp_replace(F.split_part("url", F.lit("#"), F.lit(1)), "://", "://me:pw@"), F.lit("?a=1&token=abc#top failed; api_key: xyz, page=7"))
+    return op.redact_urls(pages.select("page_id", signed.alias("url"), op.redacted_text(log).alias("log")), "url")
 
 
 @query("file_dedup", "SELECT sha256(html) AS digest, CAST(max(strlen(html)) AS BIGINT) AS size, count(*) AS copies, min(page_id) AS first_page, starts_with(max(html), '%PDF-') AS is_pdf FROM pages GROUP BY 1")
@@ -134,11 +151,10 @@ def translation_plan(spark, d):
     return plan.groupBy("state").agg(F.count("*").alias("texts"), F.sum("chars").cast("long").alias("chars"), F.sum(F.ceil(F.col("chars") / 4)).alias("tokens"))
 
 
-@query("confidence", f"WITH {t.PAPERS_SQL}, {t.TERMS_SQL}, n AS (SELECT paper_id, count(*) AS n, max(confidence) AS c FROM terms_v GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'excluded' WHEN c >= 0.9 AND n >= 6 THEN 'high' WHEN c >= 0.7 THEN 'medium' ELSE 'low' END AS grade, count(*) AS papers FROM papers_v LEFT JOIN n USING (paper_id) GROUP BY 1")
+@query("confidence", f"""{_FILTER}, g AS (SELECT *, CASE WHEN starts_with(source, 'src11') THEN 'direct' WHEN starts_with(reason, 'hard:') THEN 'hard' WHEN reason = 'category' OR starts_with(reason, 'keyword:') THEN 'filter' WHEN lang = 'fr' THEN 'concept' WHEN lang = 'es' AND contains(k, 'dna') THEN 'journal' ELSE 'review' END AS why FROM r)
+SELECT why AS grade_reason, CASE WHEN why IN ('direct', 'hard') THEN 'high' WHEN why = 'review' THEN 'low' ELSE 'medium' END AS grade, count(*) AS docs FROM g GROUP BY 1, 2""")
 def confidence(spark, d):
-    n = t.terms(spark, d).groupBy("paper_id").agg(F.count("*").alias("n"), F.max("confidence").alias("c"))
-    grade = F.when(F.col("n").isNull(), "excluded").when((F.col("c") >= 0.9) & (F.col("n") >= 6), "high").when(F.col("c") >= 0.7, "medium").otherwise("low")
-    return t.papers(spark, d).join(n, "paper_id", "left").groupBy(grade.alias("grade")).agg(F.count("*").alias("papers"))
+    return op.grade_field(filtered(spark, d), "src11", "cats", "concepts", ["fr"], ["es"], ["dna"], ["title"]).groupBy("grade_reason", "grade").agg(F.count("*").alias("docs"))
 
 
 _FIELD = f"""WITH {t.TERMS_SQL}, w(term_type, field, rank) AS (VALUES ('concept', 'a', 1), ('material', 'b', 2), ('method', 'c', 3)), s AS (SELECT paper_id, field, min(rank) AS rank, round(sum(confidence), 6) AS score FROM terms_v JOIN w USING (term_type) WHERE display_eligible = 1 GROUP BY 1, 2)"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.operators import providers as op
+from papertide.operators.acquisition import acquisition_priority
 from papertide.plans.registry import query
 from papertide.plans.windows import OUT_SQL, outputs
 from papertide.sources import tables as t
@@ -15,31 +16,40 @@ from papertide.sources import tables as t
 AS_OF = "1998-06-30"
 
 
-@query("src_openalex", f"WITH {t.PAPERS_SQL} SELECT paper_id, doi, concat('T ', paper_id) AS title, pub_date, cited_by_count, is_open_access OR CAST(paper_id AS BIGINT) % 11 = 0 AS is_open_access, CASE WHEN lower(journal) = lower(source) THEN journal ELSE concat(journal, '|', source) END AS concepts FROM papers_v")
+@query("src_openalex", f"""WITH {t.PAPERS_SQL}, p AS (SELECT *, CAST(paper_id AS BIGINT) AS i FROM papers_v) SELECT paper_id, doi, concat('T ', paper_id) AS title, abstract, pub_date, CASE WHEN i % 6 = 0 THEN 'Fallback' ELSE journal END AS journal, concat('A ', source, '|Bö') AS authors, cited_by_count,
+ is_open_access OR i % 11 = 0 OR i % 13 = 0 AS is_open_access, CASE WHEN i % 11 = 0 THEN 'http://x/y.pdf' WHEN i % 13 = 0 THEN 'http://oa/z.pdf' ELSE '' END AS pdf_url, CASE WHEN i % 11 = 0 THEN 'http://x/y.pdf' WHEN i % 13 = 0 THEN 'http://oa/z.pdf' ELSE concat('https://openalex.org/W', paper_id) END AS url,
+ concat(journal, CASE WHEN lower(journal) = lower(source) THEN '' ELSE concat('|', source) END, '|Main') AS concepts, CASE WHEN i % 4 = 0 THEN 'preprint' ELSE 'article' END AS work_type, CASE WHEN i % 4 = 0 THEN 'preprint' ELSE 'published' END AS source_scope, CASE WHEN i % 6 = 0 THEN 'unknown' ELSE 'journal' END AS primary_source_type FROM p""")
 def src_openalex(spark, d):
-    p = t.papers(spark, d)
+    p, i = t.papers(spark, d), F.col("paper_id").cast("long")
     name = lambda c, s: F.struct(c.alias("display_name"), F.lit(s).alias("score"))
-    pdf = F.when(F.col("paper_id").cast("long") % 11 == 0, F.lit("http://x/y.pdf"))
+    words = F.filter(F.split("abstract", " "), lambda w: w != "")
+    index = F.map_from_entries(F.transform(words, lambda w, k: F.struct(F.concat(w, F.when(k == 0, "").otherwise("")).alias("key"), F.array(k).alias("value"))))
+    place = F.struct(F.when(i % 11 == 0, "http://x/y.pdf").alias("pdf_url"), F.when(i % 6 != 0, F.struct(F.col("journal").alias("display_name"), F.lit(" Journal ").alias("type"))).alias("source"))
     work = F.struct(
-        F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), F.concat(F.lit("T "), "paper_id").alias("title"), F.col("pub_date").cast("string").alias("publication_date"), "cited_by_count",
-        F.struct(F.col("is_open_access").alias("is_oa")).alias("open_access"), F.struct(pdf.alias("pdf_url")).alias("best_oa_location"),
-        F.array(name(F.col("journal"), 0.5), name(F.upper("journal"), 0.4)).alias("concepts"), F.array(name(F.col("source"), 0.3)).alias("topics"),
+        F.concat(F.lit("https://openalex.org/W"), "paper_id").alias("id"), F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), F.concat(F.lit("T "), "paper_id").alias("title"), F.col("pub_date").cast("string").alias("publication_date"), "cited_by_count",
+        F.when(i % 4 == 0, "preprint").alias("type"), F.struct(F.col("is_open_access").alias("is_oa"), F.when(i % 13 == 0, "http://oa/z.pdf").alias("oa_url")).alias("open_access"), place.alias("primary_location"),
+        F.array(*(F.struct(F.struct(a.alias("display_name")).alias("author")) for a in (F.concat(F.lit("A "), "source"), F.lit(""), F.lit("Bö")))).alias("authorships"), index.alias("abstract_inverted_index"),
+        F.array(name(F.col("journal"), 0.5), name(F.upper("journal"), 0.4)).alias("concepts"), F.array(name(F.col("source"), 0.3)).alias("topics"), name(F.lit(" Main "), 0.9).alias("primary_topic"),
     )
-    parsed = op.parse_openalex(p.select("paper_id", F.to_json(work).alias("json")))
-    return parsed.withColumn("concepts", F.array_join("concepts", "|"))
+    parsed = op.parse_openalex(p.select("paper_id", F.to_json(work).alias("json")), fallback_journal="Fallback")
+    joined = parsed.withColumns({"concepts": F.array_join("concepts", "|"), "authors": F.array_join("authors", "|")})
+    return joined.select("paper_id", "doi", "title", "abstract", "pub_date", "journal", "authors", "cited_by_count", "is_open_access", "pdf_url", "url", "concepts", "work_type", "source_scope", "primary_source_type")
 
 
-@query("src_crossref", f"WITH {t.PAPERS_SQL} SELECT paper_id, doi, concat('T ', paper_id) AS title, CASE CAST(paper_id AS BIGINT) % 3 WHEN 0 THEN pub_date WHEN 1 THEN CAST(date_trunc('month', pub_date) AS DATE) ELSE CAST(date_trunc('year', pub_date) AS DATE) END AS pub_date, abstract, cited_by_count FROM papers_v")
+@query("src_crossref", f"""WITH {t.PAPERS_SQL}, p AS (SELECT *, CAST(paper_id AS BIGINT) AS i FROM papers_v) SELECT paper_id, doi, concat('T ', paper_id, ' part two') AS title, CASE i % 4 WHEN 0 THEN pub_date WHEN 1 THEN CAST(date_trunc('month', pub_date) AS DATE) WHEN 2 THEN pub_date ELSE CAST(date_trunc('year', pub_date) AS DATE) END AS pub_date, abstract, cited_by_count,
+ concat(journal, ' B') AS journal, CASE WHEN i % 5 = 1 THEN 'http://u' WHEN doi IS NOT NULL THEN concat('https://doi.org/', doi) ELSE '' END AS url, i % 3 = 0 AS is_open_access FROM p""")
 def src_crossref(spark, d):
     p = t.papers(spark, d)
-    day, kind = F.col("pub_date"), F.col("paper_id").cast("long") % 3
+    day, i = F.col("pub_date"), F.col("paper_id").cast("long")
+    kind = i % 4
     held = lambda *parts: F.struct(F.array(F.array(*parts)).alias("date-parts"))
     y, m, dd = F.year(day), F.month(day), F.dayofmonth(day)
     work = F.struct(
-        F.col("doi").alias("DOI"), F.array(F.concat(F.lit("T "), "paper_id")).alias("title"), F.when(kind == 0, held(y, m, dd)).alias("published-print"), F.when(kind == 1, held(y, m)).alias("published-online"), held(y).alias("issued"),
+        F.col("doi").alias("DOI"), F.array(F.concat(F.lit("<i>T</i> "), "paper_id"), F.lit("part two")).alias("title"), F.array(F.col("journal"), F.lit("B")).alias("container-title"), F.when(kind == 0, held(y, m, dd)).alias("published-print"), F.when(kind == 1, held(y, m)).alias("published-online"),
+        F.when(kind == 2, held(y, m, dd)).alias("published"), held(y).alias("issued"), F.when(i % 5 == 1, "http://u").alias("URL"), F.when(i % 3 == 0, F.array(F.struct(F.lit("l").alias("URL")))).otherwise(F.array().cast("array<struct<URL:string>>")).alias("license"),
         F.concat(F.lit("<jats:p>"), F.regexp_replace("abstract", " ", "</jats:p>\n<jats:p>"), F.lit("</jats:p>")).alias("abstract"), F.col("cited_by_count").alias("is-referenced-by-count"),
     )
-    return op.parse_crossref(p.select("paper_id", F.to_json(work).alias("json")))
+    return op.parse_crossref(p.select("paper_id", F.to_json(work).alias("json"))).select("paper_id", "doi", "title", "pub_date", "abstract", "cited_by_count", "journal", "url", "is_open_access")
 
 
 @query("topic_gate", f"WITH {t.TERMS_SQL}, s AS (SELECT paper_id, list({{'field': term_type, 'score': confidence}} ORDER BY confidence DESC, normalized_term) AS topics FROM terms_v GROUP BY 1) SELECT (topics[1].field = 'material' AND topics[1].score >= 0.35) OR len(list_filter(topics, lambda x: x.field = 'material' AND x.score >= 0.95)) > 0 AS passes, count(*) AS papers FROM s GROUP BY 1")
@@ -160,15 +170,17 @@ def author_dim(spark, d):
     return t.read(spark, d, "customer").groupBy(F.md5(F.lower(F.trim("c_name")).cast("binary")).alias("author_id")).agg(F.max_by("c_name", "c_custkey").alias("display_name"), F.count("*").alias("records"))
 
 
-@query("priority", f"WITH {t.PAPERS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY cited_by_count DESC, paper_id) AS r, count(*) OVER () AS n FROM papers_v), th AS (SELECT max(CASE WHEN r = greatest(1, CAST(floor(n * 0.05) AS BIGINT)) THEN cited_by_count END) AS top5, max(CASE WHEN r = greatest(1, CAST(floor(n * 0.2) AS BIGINT)) THEN cited_by_count END) AS top20 FROM n) SELECT paper_id, least(100, CASE WHEN cited_by_count >= top5 THEN 40 WHEN cited_by_count >= top20 THEN 20 ELSE 0 END + CASE WHEN is_open_access THEN 15 ELSE 0 END + CASE WHEN doi IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN pub_date >= DATE '2000-08-01' THEN 25 ELSE 0 END) AS priority FROM papers_v, th")
+@query("priority", f"""WITH {t.PAPERS_SQL}, {t.TERMS_SQL}, m AS (SELECT paper_id, sum(CAST(round(100 * confidence) AS BIGINT)) / 64.0 AS momentum, max(CASE WHEN normalized_term LIKE '%gear' THEN 1 ELSE 0 END) AS gear, max(CASE WHEN term_type = 'material' AND normalized_term = 'Brand#12' THEN 1 ELSE 0 END) AS b12, max(CASE WHEN term_type = 'material' AND normalized_term = 'Brand#23' THEN 1 ELSE 0 END) AS b23 FROM terms_v GROUP BY 1),
+p AS (SELECT v.*, coalesce(momentum, 0) AS momentum, coalesce(b12, 0) AS b12, coalesce(b23, 0) AS b23, CAST(v.paper_id AS BIGINT) AS i, substr(CAST(pub_date AS VARCHAR), 1, 7) AS mon FROM papers_v v LEFT JOIN m USING (paper_id)), n AS (SELECT momentum, row_number() OVER (ORDER BY momentum DESC) AS r, count(*) OVER () AS n FROM p),
+th AS (SELECT max(CASE WHEN r = greatest(1, CAST(floor(n * 0.05) AS BIGINT)) THEN momentum END) AS top5, max(CASE WHEN r = greatest(1, CAST(floor(n * 0.2) AS BIGINT)) THEN momentum END) AS top20 FROM n)
+SELECT paper_id, CAST(least(100, CASE WHEN journal = 'Journal A' OR journal = 'Journal B' THEN 30 WHEN journal = 'Journal C' THEN 15 WHEN source = 'arxiv' OR journal = 'arXiv' THEN 5 ELSE 0 END + CASE WHEN b12 + b23 > 0 THEN 10 + 10 * (b12 + b23) ELSE 0 END + CASE WHEN momentum >= top5 THEN 30 WHEN momentum >= top20 THEN 15 ELSE 5 END
+ + CASE WHEN mon >= '1997-06' THEN 10 WHEN mon >= '1995-06' THEN 5 ELSE 0 END + CASE WHEN doi IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN i % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN is_open_access THEN 10 ELSE 0 END) AS INTEGER) AS priority,
+ concat_ws('; ', CASE WHEN journal = 'Journal A' OR journal = 'Journal B' THEN 'core journal' WHEN journal = 'Journal C' THEN 'context journal' WHEN source = 'arxiv' OR journal = 'arXiv' THEN 'arXiv only' END, CASE WHEN b12 + b23 > 0 THEN concat('matched ', concat_ws(', ', CASE WHEN b12 = 1 THEN 'Brand#12' END, CASE WHEN b23 = 1 THEN 'Brand#23' END)) END,
+ CASE WHEN momentum >= top5 THEN 'top momentum' WHEN momentum >= top20 THEN 'high momentum' ELSE 'nonzero momentum' END, CASE WHEN mon >= '1997-06' THEN 'recent 12 months' WHEN mon >= '1995-06' THEN 'recent 36 months' END, CASE WHEN doi IS NOT NULL THEN 'has DOI' END, CASE WHEN i % 3 = 0 THEN 'has arxiv_id' END, CASE WHEN is_open_access THEN 'has pdf_url' END) AS reason FROM p, th""")
 def priority(spark, d):
-    p = t.papers(spark, d)
-    # the value at a rank from counts by value: no window over all papers
-    counts = p.groupBy("cited_by_count").agg(F.count("*").alias("k"))
-    ranked = counts.withColumns({"upto": F.expr("sum(k) over (order by cited_by_count desc)"), "n": F.expr("sum(k) over ()")})
-    at = lambda q: F.max(F.when(F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("n") * q)), F.col("cited_by_count")))
-    limits = ranked.agg(at(0.05).alias("top5"), at(0.2).alias("top20"))
-    points = F.when(F.col("cited_by_count") >= F.col("top5"), 40).when(F.col("cited_by_count") >= F.col("top20"), 20).otherwise(0)
-    for rule, n in ((F.col("is_open_access"), 15), (F.col("doi").isNotNull(), 10), (F.col("pub_date") >= F.lit("2000-08-01").cast("date"), 25)):
-        points = points + F.when(rule, n).otherwise(0)
-    return p.crossJoin(F.broadcast(limits)).select("paper_id", F.least(points, F.lit(100)).alias("priority"))
+    terms = t.terms(spark, d)
+    summed = terms.groupBy("paper_id").agg((F.sum(F.round(100 * F.col("confidence")).cast("long")) / 64).alias("momentum"), F.collect_set(F.when(F.col("term_type") == "material", F.col("normalized_term"))).alias("terms"))
+    papers = t.papers(spark, d).join(summed, "paper_id", "left").withColumns({
+        "momentum": F.coalesce("momentum", F.lit(0.0)), "arxiv_id": F.when(F.col("paper_id").cast("long") % 3 == 0, F.col("paper_id")), "pdf_url": F.when(F.col("is_open_access"), "http://x/p.pdf"),
+    })
+    return acquisition_priority(papers, ["Brand#12", "Brand#23"], AS_OF, ["Journal A", "Journal B"], ["Journal C"]).select("paper_id", "priority", "reason")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papertide.operators import records as op
+from papertide.operators.acquisition import failure_plan
 from papertide.plans.corpus import rounded
 from papertide.plans.registry import query
 from papertide.sources import tables as t
@@ -125,9 +126,18 @@ def attempt_stats(spark, d):
     return t.attempts(spark, d).groupBy("candidate_source", F.coalesce("failure_class", F.lit("none")).alias("failure_class")).agg(F.count("*").alias("attempts"), done.alias("completed"), F.round(done / F.count("*"), 9).alias("success"))
 
 
-@query("retry_plan", f"WITH {t.ATTEMPTS_SQL}, k AS (SELECT *, CASE WHEN failure_class IN ('request_timeout', 'http_server_error') THEN 'transient' WHEN failure_class = 'access_denied' THEN 'manual' WHEN failure_class IS NOT NULL THEN 'permanent' END AS kind FROM attempts_v) SELECT event_id, kind, coalesce(kind = 'transient' AND attempt_number < 5, false) AS retry, CASE WHEN kind = 'transient' AND attempt_number < 5 THEN CAST(least(3600, 5 * pow(2, attempt_number - 1)) AS BIGINT) END AS delay FROM k")
+_MAY_PASS = "(code IS NULL OR code IN (408, 425, 429) OR code >= 500 OR kind IN ('connection_error', 'http_rate_limited', 'http_server_error', 'request_timeout', 'tls_error'))"
+
+
+@query("retry_plan", f"""WITH {t.ATTEMPTS_SQL}, a AS (SELECT *, CASE WHEN failure_class IS NULL THEN CASE event_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 451 WHEN 3 THEN 503 END END AS code, CASE event_id % 7 WHEN 0 THEN 100000 WHEN 1 THEN 60 END AS after FROM attempts_v),
+k AS (SELECT *, coalesce(failure_class, CASE code WHEN 404 THEN 'not_found' WHEN 429 THEN 'http_rate_limited' WHEN 451 THEN 'legal_restriction' WHEN 503 THEN 'http_server_error' ELSE 'request_error' END) AS kind FROM a),
+r AS (SELECT *, kind IN ('access_denied', 'legal_restriction') AS manual, {_MAY_PASS} AS may FROM k), q AS (SELECT *, NOT manual AND may AND attempt_number < 5 AS retry FROM r)
+SELECT event_id, kind, CASE WHEN retry THEN 'retryable_failed' WHEN manual OR may THEN 'manual_review' ELSE 'permanent_failed' END AS status, retry, CASE WHEN retry THEN CASE WHEN after IS NOT NULL THEN least(86400.0, greatest(least(3600.0, 5 * pow(2, attempt_number - 1)), after)) ELSE least(3600.0, 5 * pow(2, attempt_number - 1)) END END AS delay FROM q""")
 def retry_plan(spark, d):
-    return op.failure_plan(t.attempts(spark, d)).select("event_id", "kind", "retry", "delay")
+    i = F.col("event_id")
+    code = F.when(F.col("failure_class").isNull(), F.when(i % 5 == 0, 404).when(i % 5 == 1, 429).when(i % 5 == 2, 451).when(i % 5 == 3, 503))
+    attempts = t.attempts(spark, d).withColumns({"http_status": code, "retry_after": F.when(i % 7 == 0, 100000.0).when(i % 7 == 1, 60.0)})
+    return failure_plan(attempts).select("event_id", "kind", "status", "retry", "delay")
 
 
 @query("latest_status", f"WITH {t.ATTEMPTS_SQL} SELECT task_id, arg_max(status, attempt_number) AS status, max(attempt_number) AS attempts FROM attempts_v GROUP BY 1")

@@ -8,21 +8,22 @@ from papertide.operators import materials as op
 from papertide.operators.entities import ELEMENTS, NO_FORMULAS
 from papertide.plans.registry import query
 from papertide.sources import tables as t
+from papertide.sources.scratch import saved
 
 # Phrases put before titles and abstracts, so that the invented texts hold materials: with markup and, for the SQL, without.
 MARKED = (
-    "SrTiO<sub>3</sub> films", "Bi 2 Se 3 wires", "MoSe 2 on hBN", "AgBeF4_4 phase", "Fe₃O₄ and twisted bilayer graphene", r"${\mathrm{LaAlO}}_{3}$ gate", "<msub><mi>SrTiO</mi><mn>3</mn></msub> gas",
-    "cuprate YBCO rods", "MnBi 2 Te 4 flakes", "GaAs wells and HfO2", "plain words only", "H2O and NATO rinse", "kagome metal CsV3Sb5", "strontium titanate bulk",
+    "BaTiO<sub>3</sub> films", "Sb 2 Te 3 wires", "WTe 2 on hBN", "KMgF3_2 phase", "Co₃O₄ and twisted bilayer graphene", r"${\mathrm{LaMnO}}_{3}$ gate", "<msub><mi>BaTiO</mi><mn>3</mn></msub> gas",
+    "cuprate YBCO rods", "EuIn 2 As 2 flakes", "GaAs wells and ZrO2", "plain words only", "H2O and NATO rinse", "kagome metal RbV3Sb5", "barium titanate bulk",
 )
 PLAIN = (
-    "SrTiO3 films", "Bi2Se3 wires", "MoSe2 on hBN", "AgBeF4 phase", "Fe3O4 and twisted bilayer graphene", "$LaAlO3$ gate", "SrTiO3 gas",
-    "cuprate YBCO rods", "MnBi2Te4 flakes", "GaAs wells and HfO2", "plain words only", "H2O and NATO rinse", "kagome metal CsV3Sb5", "strontium titanate bulk",
+    "BaTiO3 films", "Sb2Te3 wires", "WTe2 on hBN", "KMgF3 phase", "Co3O4 and twisted bilayer graphene", "$LaMnO3$ gate", "BaTiO3 gas",
+    "cuprate YBCO rods", "EuIn2As2 flakes", "GaAs wells and ZrO2", "plain words only", "H2O and NATO rinse", "kagome metal RbV3Sb5", "barium titanate bulk",
 )
 REGISTRY = (
     ("twisted bilayer graphene", "twisted bilayer graphene", "phrase"), ("bilayer graphene", "bilayer graphene", "phrase"), ("cuprate", "cuprate", "phrase"), ("kagome metal", "kagome metal", "phrase"),
-    ("strontium titanate", "SrTiO3", "alias"), ("SrTiO3", "SrTiO3", "alias"), ("STO", "SrTiO3", "alias"), ("gallium arsenide", "GaAs", "alias"), ("hBN", "hexagonal boron nitride", "alias"),
+    ("barium titanate", "BaTiO3", "alias"), ("BaTiO3", "BaTiO3", "alias"), ("BTO", "BaTiO3", "alias"), ("gallium arsenide", "GaAs", "alias"), ("hBN", "hexagonal boron nitride", "alias"),
 )
-FAMILIES = (("SrTiO3", "perovskite oxide"), ("GaAs", "III-V semiconductor"))
+FAMILIES = (("BaTiO3", "perovskite oxide"), ("GaAs", "III-V semiconductor"))
 _list = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
 _JOINED = "regexp_replace({}, '(^|[^A-Za-z0-9])(([A-Z][a-z]?){{2,}})\\s+([0-9.]+)($|[^A-Za-z0-9])', '\\1\\2\\4\\5', 'g')"
 NAMED_SQL = f"WITH {t.DOCS_SQL}, raw_v AS (SELECT doc_id, concat({_list(PLAIN)}[doc_id % 14 + 1], '. ', title) AS title, CASE WHEN doc_id % 28 >= 14 THEN concat({_list(PLAIN)}[(doc_id + 5) % 14 + 1], '. ', abstract) ELSE abstract END AS abstract FROM docs_v), named_v AS (SELECT doc_id, {_JOINED.format('title')} AS title, {_JOINED.format('abstract')} AS abstract FROM raw_v)"
@@ -49,6 +50,11 @@ def named(spark, d):
     return t.docs(spark, d).select("doc_id", F.concat(seed(i), F.lit(". "), "title").alias("title"), abstract.alias("abstract"))
 
 
+def flat(spark, d):
+    """The flattened texts, made once for formulas, phrases and evidence."""
+    return saved(op.flattened(named(spark, d)), "flattened")
+
+
 def found(spark, docs):
     return op.extract_materials(docs, spark.createDataFrame(REGISTRY, "alias string, material string, kind string"))
 
@@ -60,17 +66,17 @@ def flatten_markup(spark, d):
 
 @query("materials", f"{FOUND_SQL} SELECT * FROM found_v")
 def materials(spark, d):
-    return found(spark, op.flattened(named(spark, d)))
+    return found(spark, flat(spark, d))
 
 
 @query("material_evidence", f"{EVIDENCE_SQL} SELECT * FROM ev_v")
 def material_evidence(spark, d):
-    docs = op.flattened(named(spark, d))
+    docs = flat(spark, d)
     return op.material_evidence(docs, found(spark, docs), spark.createDataFrame(FAMILIES, "material string, family string"))
 
 
 @query("material_dimension", f"{EVIDENCE_SQL} SELECT material, family, count(*) AS papers, md5(lower(material)) AS material_id FROM ev_v GROUP BY 1, 2")
 def material_dimension(spark, d):
-    rows = found(spark, op.flattened(named(spark, d))).groupBy("material").agg(F.count("*").alias("papers"))
+    rows = found(spark, flat(spark, d)).groupBy("material").agg(F.count("*").alias("papers"))
     families = spark.createDataFrame(FAMILIES, "material string, family string")
     return rows.join(families, "material", "left").select("material", op.family(F.col("material"), F.col("family")).alias("family"), "papers", F.md5(F.lower("material").cast("binary")).alias("material_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papertide.plans import corpus, entities, incremental, library, matching, materials, more, records, series, strict, windows  # noqa: F401  they register themselves
+from papertide.plans import corpus, entities, incremental, library, matching, materials, more, records, search, series, strict, windows  # noqa: F401  they register themselves
 from papertide.plans.registry import QUERIES, SQL
 
 

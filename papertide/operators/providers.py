@@ -85,8 +85,30 @@ def topic_gate(rows: DataFrame, field: str, primary: float = 0.35, any_score: fl
     return rows.withColumn("passes", F.coalesce(hit(first, primary), F.lit(False)) | F.coalesce(F.exists("topics", lambda x: hit(x, any_score)), F.lit(False)))
 
 
-def source_quality(rows: DataFrame, url: str, repositories: list[str], trusted: list[str]) -> DataFrame:
-    """Adds quality by the host's ending: repository, trusted_preprint or formal; none without a host."""
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z]+://([^/:?#]+)", 1))
-    ends = lambda xs: F.exists(F.array(*map(F.lit, xs)), lambda x: F.endswith(host, x))
-    return rows.withColumn("quality", F.when(host == "", "none").when(ends(trusted), "trusted_preprint").when(ends(repositories), "repository").otherwise("formal"))
+def source_quality(rows: DataFrame, trusted: tuple[list[str], list[str]], repositories: tuple[list[str], list[str]], formal_types: list[str], formal_crossref: list[str], repository_dois: list[str]) -> DataFrame:
+    """Adds repository_primary, trusted_preprint, formal_venue_evidence, decision and eligible to works (doi, type_crossref, primary_location, locations as
+    ``parse_openalex`` reads them; a location has pdf_url, landing_page_url and source with display_name and type).
+
+    ``trusted`` and ``repositories`` are names and hosts; a host counts with all below it. A work whose primary location is a repository and no trusted preprint server needs formal
+    evidence: a location of one of ``formal_types``, or a DOI outside ``repository_dois`` of one of ``formal_crossref``. Else it is excluded; what names no source stays.
+    """
+    place = F.col("primary_location")
+    every = F.coalesce("locations", F.array().cast(rows.schema["locations"].dataType))
+    every = F.when(place.isNotNull() & ~F.array_contains(every, place), F.concat(F.array(place), every)).otherwise(every)
+    name = lambda x: F.lower(F.trim(F.coalesce(x["source"]["display_name"], F.lit(""))))
+    kind = lambda x: F.lower(F.trim(F.coalesce(x["source"]["type"], F.lit(""))))
+    host = lambda url: F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    below = lambda h, xs: F.exists(F.array(*map(F.lit, xs)).cast("array<string>"), lambda x: (h == x) | F.endswith(h, F.concat(F.lit("."), x)))
+    at = lambda xs: below(host(place["landing_page_url"]), xs) | below(host(place["pdf_url"]), xs)
+    known = lambda xs: name(place).isin(*(x.lower() for x in xs)) if xs else F.lit(False)
+    is_trusted, is_repository = known(trusted[0]) | at(trusted[1]), (kind(place) == "repository") | known(repositories[0]) | at(repositories[1])
+    doi = F.coalesce(normalized_doi(F.col("doi")), F.lit(""))
+    formal_doi = (doi != "") & ~F.exists(F.array(*map(F.lit, repository_dois)).cast("array<string>"), lambda p: F.startswith(doi, p)) & F.lower(F.trim(F.coalesce("type_crossref", F.lit("")))).isin(*formal_crossref)
+    marked = rows.withColumns({
+        "repository_primary": F.coalesce(is_repository, F.lit(False)), "trusted_preprint": F.coalesce(is_trusted, F.lit(False)), "formal_venue_evidence": F.exists(every, lambda x: kind(x).isin(*formal_types)) | formal_doi,
+    })
+    decision = (
+        F.when(F.col("repository_primary") & ~F.col("trusted_preprint") & ~F.col("formal_venue_evidence"), "exclude_generic_repository_without_formal_version").when(F.col("trusted_preprint"), "allow_trusted_preprint")
+        .when(F.col("formal_venue_evidence"), "allow_formal_scholarly_venue").when(F.coalesce(kind(place), F.lit("")).isin(*formal_types), "allow_primary_scholarly_venue").otherwise("allow_no_explicit_repository_evidence")
+    )
+    return marked.withColumn("decision", decision).withColumn("eligible", ~F.startswith("decision", F.lit("exclude")))

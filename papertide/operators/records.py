@@ -119,28 +119,64 @@ def with_version_type(records: DataFrame) -> DataFrame:
     return records.withColumn("version_type", kind)
 
 
+def _present(records: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in records.columns else F.lit(None).cast(kind)
+
+
 def ris(records: DataFrame) -> DataFrame:
-    """paper_id and its RIS text; empty fields are left out."""
-    line = lambda tag, c: F.when(c.cast("string") != "", F.concat(F.lit(f"{tag}  - "), c.cast("string")))
-    kind = F.when(F.col("source_scope") == "preprint", "UNPB").otherwise("JOUR")
-    return records.select("paper_id", F.concat_ws("\n", line("TY", kind), line("T2", F.col("journal")), line("PY", F.col("year")), line("DO", F.col("doi")), line("AB", F.col("abstract")), F.lit("ER  - ")).alias("ris"))
+    """paper_id and its RIS text (TY, TI, an AU line an author, JO, PY, DO, UR, AB) of records with title, and authors, journal, year, doi, url, abstract where they have
+    them; empty fields are left out, the title line always stands."""
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\s+", " "))
+    line = lambda tag, name: F.when(clean(_present(records, name)) != "", F.concat(F.lit(f"{tag}  - "), clean(_present(records, name))))
+    authors = F.coalesce(_present(records, "authors", "array<string>"), F.array().cast("array<string>"))
+    named = F.array_join(F.transform(F.filter(authors, lambda a: clean(a) != ""), lambda a: F.concat(F.lit("AU  - "), clean(a))), "\r\n")
+    lines = [F.lit("TY  - JOUR"), F.concat(F.lit("TI  - "), clean(_present(records, "title"))), F.nullif(named, F.lit("")), *(line(t, n) for t, n in (("JO", "journal"), ("PY", "year"), ("DO", "doi"), ("UR", "url"), ("AB", "abstract"))), F.lit("ER  -")]
+    return records.select("paper_id", F.concat_ws("\r\n", *lines).alias("ris"))
 
 
 def bibtex(records: DataFrame) -> DataFrame:
-    """paper_id and its BibTeX entry (article with a journal, else misc) under ``citation_key``; empty fields are left out, braces in values dropped."""
+    """paper_id and its BibTeX entry (article with a journal, else misc) under ``citation_key``: title, author, year, journal, doi, url (else the PDF's), abstract,
+    eprint; empty fields are left out, braces in values dropped."""
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c.cast("string"), "[{}]", ""), r"\s+", " "))
     line = lambda name, c: F.when(clean(c) != "", F.concat(F.lit(f"  {name} = {{"), clean(c), F.lit("}")))
-    preprint = F.col("source_scope") == "preprint"
-    kind = F.when(preprint, "misc").otherwise("article")
-    fields = F.concat_ws(",\n", line("title", F.col("title")), line("year", F.col("year")), F.when(~preprint, line("journal", F.col("journal"))), line("doi", F.col("doi")), line("abstract", F.col("abstract")))
+    has = lambda n: F.nullif(_present(records, n).cast("string"), F.lit(""))
+    kind = F.when(has("journal").isNull(), "misc").otherwise("article")
+    authors = F.array_join(_present(records, "authors", "array<string>"), " and ")
+    fields = F.concat_ws(
+        ",\n", line("title", has("title")), line("author", authors), line("year", has("year")), line("journal", has("journal")), line("doi", has("doi")), line("url", F.coalesce(has("url"), has("pdf_url"))), line("abstract", has("abstract")),
+        line("eprint", has("arxiv_id")), F.when(has("arxiv_id").isNotNull(), F.lit("  archivePrefix = {arXiv}")),
+    )
     return records.select("paper_id", F.concat(F.lit("@"), kind, F.lit("{"), F.col("citation_key"), F.lit(",\n"), fields, F.lit("\n}")).alias("bibtex"))
 
 
-def citation_keys(records: DataFrame) -> DataFrame:
-    """paper_id, citation_key: base key, later papers of the same base get _2, _3 in id order. Ranks come from
-    one window a base; a base stands for one author and year, which bounds it."""
-    n = F.expr("row_number() over (partition by base order by paper_id)")
-    return records.withColumn("n", n).select("paper_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))).alias("citation_key"))
+def citation_base(records: DataFrame) -> Column:
+    """``author_year_word``: last name of the first author (before a comma, else the last word), the year or ``nd``, and the first title word of three characters or
+    more, with other signs as single underscores."""
+    first = F.trim(F.coalesce(F.get(_present(records, "authors", "array<string>"), F.lit(0)), F.lit("unknown")))
+    last = F.when(F.contains(first, F.lit(",")), F.split_part(first, F.lit(","), F.lit(1))).otherwise(F.element_at(F.split(first, r"\s+"), -1))
+    word = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(_present(records, "title"), F.lit("")), r"([A-Za-z0-9]{3,})", 1), F.lit("")), F.lit("paper"))
+    base = F.concat_ws("_", last, F.coalesce(_present(records, "year").cast("string"), F.lit("nd")), word)
+    return F.btrim(F.regexp_replace(base, r"[^A-Za-z0-9]+", "_"), F.lit("_"))
+
+
+def citation_keys(records: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+    """paper_id, citation_key: base key, later papers of the same base get _2, _3 in id order. ``records`` has paper_id and base, or the columns of ``citation_base``.
+
+    Ranks come from one window a base, which one author, year and word bound; a base with more than ``hot_rows`` papers (records without
+    author or title) is ranked in range partitions of the ids.
+    """
+    named = records.select("paper_id", (F.col("base") if "base" in records.columns else citation_base(records)).alias("base"))
+    sizes = named.groupBy("base").agg(F.count("*").alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_rows).select("base")
+    if hot.isEmpty():
+        ranked = named.withColumn("n", F.expr("row_number() over (partition by base order by paper_id)"))
+    else:
+        cold = named.join(hot, "base", "left_anti").withColumn("n", F.expr("row_number() over (partition by base order by paper_id)"))
+        dealt = named.join(hot, "base", "left_semi").repartitionByRange("base", "paper_id").sortWithinPartitions("base", "paper_id").withColumn("_p", F.spark_partition_id())
+        counts = dealt.groupBy("base", "_p").agg(F.count("*").alias("_k")).withColumn("_before", F.expr("coalesce(sum(_k) over (partition by base order by _p rows between unbounded preceding and 1 preceding), 0)")).drop("_k")
+        inside = dealt.withColumn("_i", F.expr("row_number() over (partition by base, _p order by paper_id)"))
+        ranked = cold.unionByName(inside.join(counts, ["base", "_p"]).select("paper_id", "base", (F.col("_i") + F.col("_before")).cast("int").alias("n")))
+    return ranked.select("paper_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))).alias("citation_key"))
 
 
 def completeness_grid(facts: DataFrame, dims: list[DataFrame], keys: list[str]) -> DataFrame:

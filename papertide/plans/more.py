@@ -58,9 +58,19 @@ def topic_gate(spark, d):
     return op.topic_gate(rows, "material", 0.35, 0.95).groupBy("passes").agg(F.count("*").alias("papers"))
 
 
-@query("source_quality", "WITH h AS (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS h FROM pages) SELECT CASE WHEN h = '' THEN 'none' WHEN ends_with(h, 'example.org') THEN 'trusted_preprint' WHEN ends_with(h, 'example.net') THEN 'repository' ELSE 'formal' END AS quality, count(*) AS pages FROM h GROUP BY 1")
+@query("source_quality", f"""WITH {t.PAPERS_SQL}, p AS (SELECT *, CAST(paper_id AS BIGINT) AS i FROM papers_v), m AS (SELECT *, i % 4 = 0 OR i % 4 = 1 AS repo, i % 8 = 1 OR i % 10 = 3 AS trusted, (doi IS NOT NULL AND i % 9 <> 0 AND i % 3 = 0) OR i % 7 = 0 AS formal FROM p)
+SELECT CASE WHEN repo AND NOT trusted AND NOT formal THEN 'exclude_generic_repository_without_formal_version' WHEN trusted THEN 'allow_trusted_preprint' WHEN formal THEN 'allow_formal_scholarly_venue' ELSE 'allow_no_explicit_repository_evidence' END AS decision, NOT (repo AND NOT trusted AND NOT formal) AS eligible, count(*) AS papers FROM m GROUP BY 1, 2""")
 def source_quality(spark, d):
-    return op.source_quality(t.read(spark, d, "pages"), "url", ["example.net"], ["example.org"]).groupBy("quality").agg(F.count("*").alias("pages"))
+    i = F.col("paper_id").cast("long")
+    source = lambda name, kind: F.struct(F.lit(None).cast("string").alias("id"), name.cast("string").alias("display_name"), kind.cast("string").alias("type"))
+    place = lambda pdf, url, s: F.struct(pdf.cast("string").alias("pdf_url"), url.cast("string").alias("landing_page_url"), s.alias("source"))
+    null = F.lit(None)
+    primary = place(F.when(i % 10 == 3, "https://export.Preprints.example/x.pdf"), F.when(i % 4 == 1, "http://deposit.example:80/1"), source(F.when(i % 8 == 1, " Good Server"), F.when(i % 4 == 0, "Repository")))
+    other = place(null, null, source(F.lit("J"), F.when(i % 7 == 0, "journal").otherwise("other")))
+    doi = F.when(F.col("doi").isNotNull(), F.concat(F.when(i % 9 == 0, "10.77/").otherwise("10.1000/"), "paper_id"))
+    works = t.papers(spark, d).select("paper_id", doi.alias("doi"), F.when(i % 3 == 0, "journal-article").otherwise("posted").alias("type_crossref"), primary.alias("primary_location"), F.array(other).alias("locations"))
+    found = op.source_quality(works, (["good server"], ["preprints.example"]), (["Store"], ["deposit.example"]), ["journal", "conference"], ["journal-article"], ["10.77/"])
+    return found.groupBy("decision", "eligible").agg(F.count("*").alias("papers"))
 
 
 _RADAR = f"""{OUT_SQL}, {t.TERMS_SQL}, r AS (SELECT normalized_term AS material, o.*, date_diff('day', research_date, DATE '{AS_OF}') AS age FROM terms_v JOIN out_v o USING (paper_id) WHERE term_type = 'material')"""

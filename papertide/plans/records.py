@@ -170,21 +170,33 @@ def completeness_grid(spark, d):
     return op.completeness_grid(facts, [o.select(year).distinct(), n.select("n_nationkey", "n_name")], ["year", "n_nationkey"]).select("year", "n_name", "papers")
 
 
-@query("export_ris", f"WITH {t.PAPERS_SQL} SELECT paper_id, concat_ws(chr(10), concat('TY  - ', CASE WHEN source_scope = 'preprint' THEN 'UNPB' ELSE 'JOUR' END), concat('T2  - ', journal), concat('PY  - ', CAST(year AS VARCHAR)), CASE WHEN doi IS NOT NULL THEN concat('DO  - ', doi) END, CASE WHEN abstract <> '' THEN concat('AB  - ', abstract) END, 'ER  - ') AS ris FROM papers_v")
+_CITED = f"WITH {t.PAPERS_SQL}, c AS (SELECT *, CAST(paper_id AS BIGINT) AS i, concat('A {{study}} of ', journal) AS title FROM papers_v)"
+
+
+def cited(spark, d):
+    i = F.col("paper_id").cast("long")
+    authors = F.when(i % 4 == 0, F.array(F.lit("Ada  Byron"), F.lit("Li, Wei"))).when(i % 4 == 1, F.array(F.lit("Müller-Lee, Jo"))).when(i % 4 == 2, F.array().cast("array<string>"))
+    return t.papers(spark, d).withColumns({"title": F.concat(F.lit("A {study} of "), "journal"), "authors": authors, "journal": F.when(i % 3 != 0, F.col("journal")), "url": F.when(i % 5 == 0, F.lit("http://u")), "arxiv_id": F.when(i % 7 == 0, F.col("paper_id"))})
+
+
+_AUTHORED = "CASE i % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} END"
+
+
+@query("export_ris", f"""{_CITED} SELECT paper_id, concat_ws(concat(chr(13), chr(10)), 'TY  - JOUR', concat('TI  - ', title), {_AUTHORED.format("concat('AU  - Ada Byron', chr(13), chr(10), 'AU  - Li, Wei')", "'AU  - Müller-Lee, Jo'")}, CASE WHEN i % 3 <> 0 THEN concat('JO  - ', journal) END, concat('PY  - ', CAST(year AS VARCHAR)),
+ CASE WHEN doi IS NOT NULL THEN concat('DO  - ', doi) END, CASE WHEN i % 5 = 0 THEN 'UR  - http://u' END, CASE WHEN abstract <> '' THEN concat('AB  - ', abstract) END, 'ER  -') AS ris FROM c""")
 def export_ris(spark, d):
-    return op.ris(t.papers(spark, d))
+    return op.ris(cited(spark, d))
 
 
-@query("export_bibtex", f"WITH {t.PAPERS_SQL} SELECT paper_id, concat('@', CASE WHEN source_scope = 'preprint' THEN 'misc' ELSE 'article' END, '{{', 'key', paper_id, ',', chr(10), concat_ws(concat(',', chr(10)), concat('  title = {{A ', paper_id, '}}'), concat('  year = {{', CAST(year AS VARCHAR), '}}'), CASE WHEN source_scope <> 'preprint' THEN concat('  journal = {{', journal, '}}') END, CASE WHEN doi IS NOT NULL THEN concat('  doi = {{', doi, '}}') END, CASE WHEN abstract <> '' THEN concat('  abstract = {{', abstract, '}}') END), chr(10), '}}') AS bibtex FROM papers_v")
+@query("export_bibtex", f"""{_CITED} SELECT paper_id, concat('@', CASE WHEN i % 3 = 0 THEN 'misc' ELSE 'article' END, '{{', 'key', paper_id, ',', chr(10), concat_ws(concat(',', chr(10)), concat('  title = {{A study of ', journal, '}}'), {_AUTHORED.format("'  author = {Ada Byron and Li, Wei}'", "'  author = {Müller-Lee, Jo}'")}, concat('  year = {{', CAST(year AS VARCHAR), '}}'),
+ CASE WHEN i % 3 <> 0 THEN concat('  journal = {{', journal, '}}') END, CASE WHEN doi IS NOT NULL THEN concat('  doi = {{', doi, '}}') END, CASE WHEN i % 5 = 0 THEN '  url = {{http://u}}' END, CASE WHEN abstract <> '' THEN concat('  abstract = {{', abstract, '}}') END, CASE WHEN i % 7 = 0 THEN concat('  eprint = {{', paper_id, '}}', ',', chr(10), '  archivePrefix = {{arXiv}}') END), chr(10), '}}') AS bibtex FROM c""")
 def export_bibtex(spark, d):
-    papers = t.papers(spark, d).withColumns({"title": F.concat(F.lit("{A}  "), "paper_id"), "citation_key": F.concat(F.lit("key"), "paper_id")})
-    return op.bibtex(papers)
+    return op.bibtex(cited(spark, d).withColumn("citation_key", F.concat(F.lit("key"), "paper_id")))
 
 
-@query("citation_keys", f"WITH {t.PAPERS_SQL}, b AS (SELECT paper_id, concat(lower(replace(journal, ' ', '')), '_', month) AS base FROM papers_v), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY paper_id) AS n FROM b) SELECT paper_id, CASE WHEN n = 1 THEN base ELSE concat(base, '_', CAST(n AS VARCHAR)) END AS citation_key FROM r")
+@query("citation_keys", f"""{_CITED}, b AS (SELECT paper_id, concat({_AUTHORED.format("'Byron'", "'M_ller_Lee'").replace(' END', " ELSE 'unknown' END")}, '_', CAST(year AS VARCHAR), '_study') AS base FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY paper_id) AS n FROM b) SELECT paper_id, CASE WHEN n = 1 THEN base ELSE concat(base, '_', CAST(n AS VARCHAR)) END AS citation_key FROM r""")
 def citation_keys(spark, d):
-    base = F.concat(F.lower(F.replace("journal", F.lit(" "), F.lit(""))), F.lit("_"), F.col("month"))
-    return op.citation_keys(t.papers(spark, d).select("paper_id", base.alias("base")))
+    return op.citation_keys(cited(spark, d), hot_rows=800)
 
 
 @query("in_window", f"WITH {t.VERSIONS_SQL} SELECT version_id FROM versions_v WHERE submitted_date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' OR publication_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'")

@@ -143,3 +143,15 @@ def coverage(df: DataFrame, **flags: Column) -> DataFrame:
     counted = [F.count_if(c).alias(k) for k, c in flags.items()]
     row = df.agg(F.count("*").alias("total"), *counted)
     return row.select("total", *flags, *((F.col(k) / F.nullif(F.col("total"), F.lit(0))).alias(f"{k}_share") for k in flags))
+
+
+def top_terms(stats: DataFrame, metric: str, top: int, least: int = 2) -> DataFrame:
+    """term, value, rank: the ``top`` terms of ``least`` occurrences or more by a metric of their months: sums of frequencies, greatest momentum, or shares summed and divided
+    by the calendar months from the first to the last of ``stats``. Ties go to the smaller term."""
+    months = stats.agg((F.max(month_number("month")) - F.min(month_number("month")) + 1).alias("_months"))
+    value = F.max(metric) if metric == "momentum" else F.sum(metric)
+    summed = stats.groupBy("term").agg(value.cast("double").alias("value"), F.sum("raw_freq").alias("_n")).filter(F.col("_n") >= least)
+    if metric.endswith("_share"):
+        summed = summed.crossJoin(F.broadcast(months)).withColumn("value", F.col("value") / F.col("_months"))
+    best = summed.select("term", "value").orderBy(F.desc(F.round("value", 9)), "term").limit(top)
+    return best.withColumn("rank", F.expr("row_number() over (order by round(value, 9) desc, term)"))

@@ -99,6 +99,12 @@ def replace_for_keys(target: DataFrame, new: DataFrame, keys: DataFrame, key: st
     return target.join(keys.select(key).distinct(), key, "left_anti").select(*target.columns).unionByName(new)
 
 
+def latest_status(papers: DataFrame, tasks: DataFrame, order: Column) -> DataFrame:
+    """paper_id, status, attempts of every paper: the status of its last task by ``order``, ``not_requested`` without one."""
+    last = tasks.groupBy("paper_id").agg(F.max_by("status", order).alias("status"), F.max("attempt_number").alias("attempts"))
+    return papers.select("paper_id").join(last, "paper_id", "left").select("paper_id", F.coalesce("status", F.lit("not_requested")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
 def best_by(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``."""
     names = rows.columns

@@ -57,6 +57,13 @@ def growth(stats: DataFrame, last: str) -> DataFrame:
     return both.withColumn("change", (F.col("recent") + 1) / (F.col("previous") + 1))
 
 
+def growth_table(stats: DataFrame, last: str, shown: DataFrame, rising: bool, least: float = 1.0) -> DataFrame:
+    """Rows of ``growth`` for the terms of ``shown`` (term, concept_class) that are physics concepts, or have no class, and weigh ``least`` or more in the recent months
+    (rising) or in those before (cooling). Terms that are not shown never rank."""
+    concepts = shown.filter(F.coalesce("concept_class", F.lit("physics_concept")) == "physics_concept").select("term").distinct()
+    return growth(stats.join(concepts, "term", "left_semi"), last).filter(F.col("recent" if rising else "previous") >= least)
+
+
 def lifecycle(dense: DataFrame, trend_from: str, trend_to: str) -> DataFrame:
     """One row for each ``term`` of a dense calendar (month, raw_freq, weighted_freq): first months, peak,
     half-life, active span, longest burst, counts before and in the trend months, novelty, recent sums."""

@@ -130,11 +130,19 @@ def term_summary(spark, d):
     )
 
 
-@query("top_terms", f"{STATS_SQL} SELECT term, CAST(sum(raw_freq) AS BIGINT) AS raw_freq, round(sum(raw_share) / 80, 6) AS mean_share FROM stats_v WHERE corpus_scope = 'all' GROUP BY 1 HAVING sum(raw_freq) >= 2 ORDER BY 2 DESC, 1 LIMIT 20")
+_METRICS = ("raw_freq", "weighted_freq", "raw_share", "weighted_share", "momentum")
+
+
+@query("top_terms", f"""{STATS_SQL}, n AS (SELECT date_diff('month', min(CAST(concat(month, '-01') AS DATE)), max(CAST(concat(month, '-01') AS DATE))) + 1 AS months FROM stats_v WHERE corpus_scope = 'all'),
+s AS (SELECT term, CAST(sum(raw_freq) AS DOUBLE) AS raw_freq, sum(weighted_freq) AS weighted_freq, sum(raw_share) / max(months) AS raw_share, sum(weighted_share) / max(months) AS weighted_share, max(momentum) AS momentum, sum(raw_freq) AS k FROM stats_v, n WHERE corpus_scope = 'all' GROUP BY 1 HAVING sum(raw_freq) >= 2),
+""" + "SELECT metric, rank, term, round(value, 6) AS value FROM (SELECT metric, term, value, CAST(row_number() OVER (PARTITION BY metric ORDER BY round(value, 9) DESC, term) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, term, {m} AS value FROM s" for m in _METRICS) + ")) WHERE rank <= 20")
 def top_terms(spark, d):
-    months = 80  # calendar months of the corpus
-    found = stats(spark, d).filter("corpus_scope = 'all'").groupBy("term").agg(F.sum("raw_freq").alias("raw_freq"), F.round(F.sum("raw_share") / months, 6).alias("mean_share"))
-    return found.filter("raw_freq >= 2").orderBy(F.desc("raw_freq"), "term").limit(20)
+    rows = stats(spark, d).filter("corpus_scope = 'all'")
+    found = None
+    for metric in _METRICS:
+        best = op.top_terms(rows, metric, 20).withColumn("metric", F.lit(metric)).withColumn("value", F.round("value", 6))
+        found = best if found is None else found.unionByName(best)
+    return found.select("metric", "rank", "term", "value")
 
 
 @query("top_terms_by_type", f"WITH {t.TERMS_SQL} SELECT term_type, term, papers FROM (SELECT term_type, normalized_term AS term, count(*) AS papers, row_number() OVER (PARTITION BY term_type ORDER BY count(*) DESC, normalized_term) AS r FROM terms_v GROUP BY 1, 2) WHERE r <= 10")

@@ -140,9 +140,11 @@ def retry_plan(spark, d):
     return failure_plan(attempts).select("event_id", "kind", "status", "retry", "delay")
 
 
-@query("latest_status", f"WITH {t.ATTEMPTS_SQL} SELECT task_id, arg_max(status, attempt_number) AS status, max(attempt_number) AS attempts FROM attempts_v GROUP BY 1")
+@query("latest_status", f"WITH {t.ATTEMPTS_SQL}, l AS (SELECT task_id, arg_max(status, attempt_number) AS status, max(attempt_number) AS attempts FROM attempts_v GROUP BY 1) SELECT CAST(c_custkey AS VARCHAR) AS paper_id, coalesce(status, 'not_requested') AS status, CAST(coalesce(attempts, 0) AS INTEGER) AS attempts FROM customer LEFT JOIN l ON task_id = CAST(c_custkey AS VARCHAR)")
 def latest_status(spark, d):
-    return t.attempts(spark, d).groupBy("task_id").agg(F.max_by("status", "attempt_number").alias("status"), F.max("attempt_number").alias("attempts"))
+    papers = t.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("paper_id"))
+    tasks = t.attempts(spark, d).withColumnRenamed("task_id", "paper_id")
+    return op.latest_status(papers, tasks, F.col("attempt_number"))
 
 
 @query("due_tasks", f"WITH {t.ATTEMPTS_SQL}, l AS (SELECT task_id, max(attempt_number) AS n, arg_max(status, attempt_number) AS status, arg_max(failure_class, attempt_number) AS failure_class FROM attempts_v GROUP BY 1) SELECT task_id, n AS attempts FROM l WHERE status = 'failed' AND failure_class <> 'access_denied'")

@@ -60,18 +60,25 @@ def compare_zscore(spark, d):
     return rounded(se.zscore(dense(spark, d).join(eight(spark, d), "term"), ["term"], "weighted_freq").select("term", "month", "z"), "z")
 
 
-_GROWTH = f"""{STATS_SQL}, g AS (SELECT term, sum(CASE WHEN month >= '2001-06' THEN weighted_freq ELSE 0 END) AS recent, sum(CASE WHEN month < '2001-06' THEN weighted_freq ELSE 0 END) AS previous FROM stats_v WHERE corpus_scope = 'all' AND month BETWEEN '2001-03' AND '2001-08' GROUP BY 1)
-SELECT term, round(recent, 6) AS recent, round(previous, 6) AS previous, round((recent + 1) / (previous + 1), 6) AS change FROM g ORDER BY (recent + 1) / (previous + 1)"""
+_GROWTH = f"""{STATS_SQL}, s AS (SELECT normalized_term AS term FROM terms_v GROUP BY 1 HAVING max(display_eligible) = 1 AND count(*) FILTER (term_type IN ('method', 'material')) = 0), g AS (SELECT term, sum(CASE WHEN month >= '2001-06' THEN weighted_freq ELSE 0 END) AS recent, sum(CASE WHEN month < '2001-06' THEN weighted_freq ELSE 0 END) AS previous
+ FROM stats_v SEMI JOIN s USING (term) WHERE corpus_scope = 'all' AND month BETWEEN '2001-03' AND '2001-08' GROUP BY 1)
+SELECT term, round(recent, 6) AS recent, round(previous, 6) AS previous, round((recent + 1) / (previous + 1), 6) AS change FROM g WHERE @@ >= 1 ORDER BY (recent + 1) / (previous + 1)"""
 
 
-@query("rising", f"{_GROWTH} DESC, term LIMIT 20")
+def shown(spark, d):
+    """Terms that show, with their class."""
+    terms = t.terms(spark, d).groupBy(F.col("normalized_term").alias("term")).agg(F.max("display_eligible").alias("e"), F.collect_set("term_type").alias("types"))
+    return terms.filter("e = 1").select("term", concept_class(F.col("types")).alias("concept_class"))
+
+
+@query("rising", f"{_GROWTH.replace('@@', 'recent')} DESC, term LIMIT 20")
 def rising(spark, d):
-    return rounded(se.growth(all_scope(spark, d), LAST).orderBy(F.desc("change"), "term").limit(20), "recent", "previous", "change")
+    return rounded(se.growth_table(all_scope(spark, d), LAST, shown(spark, d), True).orderBy(F.desc("change"), "term").limit(20), "recent", "previous", "change")
 
 
-@query("cooling", f"{_GROWTH}, term LIMIT 20")
+@query("cooling", f"{_GROWTH.replace('@@', 'previous')}, term LIMIT 20")
 def cooling(spark, d):
-    return rounded(se.growth(all_scope(spark, d), LAST).orderBy("change", "term").limit(20), "recent", "previous", "change")
+    return rounded(se.growth_table(all_scope(spark, d), LAST, shown(spark, d), False).orderBy("change", "term").limit(20), "recent", "previous", "change")
 
 
 @query("heatmap", f"{STATS_SQL}, k AS (SELECT term FROM stats_v WHERE corpus_scope = 'all' GROUP BY 1 ORDER BY sum(raw_freq) DESC, 1 LIMIT 15) SELECT term, month, raw_freq AS value FROM stats_v SEMI JOIN k USING (term) WHERE corpus_scope = 'all' AND raw_freq > 0")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from papertide.operators import acquisition, entities, providers, records, windows
+from papertide.operators import acquisition, entities, providers, records, series, windows
 
 
 def test_category_comes_before_hard_terms_keywords_and_exclusions(spark):
@@ -109,3 +109,43 @@ def test_identity_keys(spark):
     df = spark.createDataFrame(rows, "doi string, arxiv_id string, title string, authors array<string>").withColumn("pub_date", F.lit("2020-02-01").cast("date"))
     got = [(r["doi_key"], r["arxiv_key"], r["arxiv_version"], r["title_key"], r["author_keys"]) for r in records.with_identity_keys(df).collect()]
     assert got == [("10.1/abc", "2001.00001", 3, "moire bands", ["zoe angstrom", "muller j"]), ("10.1/abc", "cond-mat/9901001", None, "moire bands", []), (None, None, None, None, [])]
+
+
+def test_source_quality(spark):
+    place = "struct<pdf_url:string,landing_page_url:string,source:struct<id:string,display_name:string,type:string>>"
+    at = lambda name=None, kind=None, url=None, pdf=None: (pdf, url, (None, name, kind))
+    rows = [
+        ("10.1/a", "journal-article", at("Store", "repository"), []), (None, None, at("Store", "repository"), [at("J", "Journal")]), (None, None, at("Store", "repository"), [at("J", "other")]), ("10.77/x", "journal-article", at(None, None, "https://www.deposit.example/1"), None),
+        (None, None, at("Good Server ", "repository"), None), (None, None, at("x", "repository", None, "http://me@Export.preprints.example:80/p.pdf"), []), (None, None, None, None), (None, None, at("J", "conference"), []), (None, None, at("J", None, "http://notdeposit.example/"), []),
+    ]
+    df = spark.createDataFrame(rows, f"doi string, type_crossref string, primary_location {place}, locations array<{place}>")
+    got = [(r["decision"], r["eligible"]) for r in providers.source_quality(df, (["good server"], ["preprints.example"]), (["Old Store"], ["deposit.example"]), ["journal", "conference"], ["journal-article"], ["10.77/"]).collect()]
+    out, formal, trusted, open_ = "exclude_generic_repository_without_formal_version", "allow_formal_scholarly_venue", "allow_trusted_preprint", "allow_no_explicit_repository_evidence"
+    assert got == [(formal, True), (formal, True), (out, False), (out, False), (trusted, True), (trusted, True), (open_, True), (formal, True), (open_, True)]
+
+
+def test_citations(spark):
+    rows = [("1", "On the  Hall effect", ["Ada Byron", " "], "PRB", 2020, "10.1/a", "http://u", "1500.1"), ("2", "On {the} Hall", ["Byron, Ada"], "", 2020, None, None, None), ("3", "a", None, None, None, "", None, ""), ("4", "The Hall", ["B. Byron"], None, 2020, None, None, None)]
+    df = spark.createDataFrame(rows, "paper_id string, title string, authors array<string>, journal string, year int, doi string, pdf_url string, arxiv_id string")
+    for hot in (100_000, 1):
+        keys = {r["paper_id"]: r["citation_key"] for r in records.citation_keys(df, hot).collect()}
+        assert keys == {"1": "Byron_2020_the", "2": "Byron_2020_the_2", "3": "unknown_nd_paper", "4": "Byron_2020_The"}
+    text = {r["paper_id"]: r["ris"].split("\r\n") for r in records.ris(df).collect()}
+    assert text["1"] == ["TY  - JOUR", "TI  - On the Hall effect", "AU  - Ada Byron", "JO  - PRB", "PY  - 2020", "DO  - 10.1/a", "ER  -"] and text["3"] == ["TY  - JOUR", "TI  - a", "ER  -"]
+    made = {r["paper_id"]: r["bibtex"] for r in records.bibtex(df.withColumn("citation_key", F.concat(F.lit("k"), "paper_id"))).collect()}
+    assert made["2"] == "@misc{k2,\n  title = {On the Hall},\n  author = {Byron, Ada},\n  year = {2020}\n}"
+    assert made["1"].startswith("@article{k1,") and made["1"].endswith("  url = {http://u},\n  eprint = {1500.1},\n  archivePrefix = {arXiv}\n}")
+
+
+def test_growth_ranks_shown_concepts_with_weight(spark):
+    rows = [("a", "2024-06", 4.0), ("a", "2024-01", 1.0), ("b", "2024-01", 2.0), ("hidden", "2024-06", 9.0), ("method", "2024-06", 9.0), ("faint", "2024-06", 0.5)]
+    stats = spark.createDataFrame(rows, "term string, month string, weighted_freq double")
+    shown = spark.createDataFrame([("a", "physics_concept"), ("b", None), ("method", "method"), ("faint", "physics_concept")], "term string, concept_class string")
+    table = lambda rising: {r["term"]: (r["recent"], r["previous"], r["change"]) for r in series.growth_table(stats, "2024-06", shown, rising).collect()}
+    assert table(True) == {"a": (4.0, 1.0, 2.5)} and table(False) == {"a": (4.0, 1.0, 2.5), "b": (0.0, 2.0, 1 / 3)}
+
+
+def test_papers_without_a_task(spark):
+    tasks = spark.createDataFrame([("1", 1, "failed"), ("1", 2, "completed")], "paper_id string, attempt_number int, status string")
+    got = sorted(tuple(r) for r in records.latest_status(spark.createDataFrame([("1",), ("2",)], "paper_id string"), tasks, F.col("attempt_number")).collect())
+    assert got == [("1", "completed", 2), ("2", "not_requested", 0)]

@@ -2,7 +2,8 @@
 
 The 256-bit SimHashes of a group of candidates stand as bit planes and are compared by the carry-save counters of
 ``simhash``; what is within the radius is verified on the texts. At similarity 0.8 the sets' cosine is 0.889 at least,
-so a bit differs with probability 0.151: 39 of 256 bits on average, and more than ``RADIUS`` in less than one pair of 10^7.
+so a bit differs with probability 0.151: 39 of 256 bits on average, and more than ``RADIUS`` in less than one pair of 10^6. That holds for sets of
+``SMALL`` shingles or more; of fewer, a bit differs more often, so pairs with a smaller set skip the SimHash and go by the exact bounds only.
 
 Before the texts are read, a parity sketch (each shingle flips one of 512 bits) drops pairs by an exact bound: it differs in no more
 bits than the sets in shingles.
@@ -32,6 +33,8 @@ from papertide.llm.simhash import pairs_within, within_radius
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of a SimHash, and differing bits up to which a pair is verified.
 BITS, RADIUS = 256, 71
+#: Shingles of the smaller set from which on SimHashes are compared.
+SMALL = 64
 #: Bits of a parity sketch.
 SKETCH = 512
 #: Pairs whose bit planes stand side by side.
@@ -171,7 +174,10 @@ def _candidates(rows: DataFrame, least: float, heads: bool) -> DataFrame:
             good = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
             i, j = i[good], j[good]
             if len(i) and not near:
-                hit = np.concatenate([within_radius(bits[i[k : k + AT_ONCE]], bits[j[k : k + AT_ONCE]], RADIUS) + k for k in range(0, len(i), AT_ONCE)])
+                small = np.flatnonzero(np.minimum(n[i], n[j]) < SMALL)
+                large = np.flatnonzero(np.minimum(n[i], n[j]) >= SMALL)
+                hit = [large[k : k + AT_ONCE][within_radius(bits[i[large[k : k + AT_ONCE]]], bits[j[large[k : k + AT_ONCE]]], RADIUS)] for k in range(0, len(large), AT_ONCE)]
+                hit = np.concatenate([small, *hit])
                 i, j = i[hit], j[hit]
             if len(i) and not heads:
                 differ = np.bitwise_count(part[5][i] ^ part[5][j]).sum(1, dtype=np.int64)
@@ -192,6 +198,13 @@ def _candidates(rows: DataFrame, least: float, heads: bool) -> DataFrame:
                 group = np.arange(first[g], first[g] + sizes[g])
                 roots, times = np.unique(root[group], return_counts=True)
                 asking = group[root[group] != roots[np.argmax(times)]]  # rows of the most common root need not ask each other
+                few = asking[n[asking] < SMALL / least]
+                others = group[n[group] < SMALL / least]
+                for k in range(0, len(few), 64):
+                    some = few[k : k + 64]
+                    i, j = np.repeat(some, len(others)), np.tile(others, len(some))
+                    only = np.minimum(n[i], n[j]) < SMALL
+                    put(i[only], j[only], True)
                 for k in range(0, len(asking), 256):
                     i, j = pairs_within(bits[asking[k : k + 256]], bits[group], RADIUS)
                     put(asking[k + i], group[j], True)

@@ -1,9 +1,10 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
-from papertide.llm.nearcopies import near_copy_groups
+from papertide.llm.nearcopies import RADIUS, near_copy_groups, shingle_set, wide_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,22 @@ def test_pipeline_stage_drops_edited_copies(spark):
     rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(reversed(base)))]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(x["doc_id"] for x in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("copies", [0, 120])
+def test_small_sets_whose_bits_differ_more_are_linked(spark, copies):
+    """Eight words against the same and one more: four shingles of five are equal. Some such pairs differ in more bits than the radius."""
+    r = random.Random(8)
+    found = []
+    while len(found) < 3:
+        words = [f"w{r.randrange(10**6)}" for _ in range(9)]
+        a, b = (wide_fingerprint(shingle_set([w.encode() for w in words[:k]])) for k in (8, 9))
+        if int(np.bitwise_count(a ^ b).sum()) > RADIUS - 8:
+            found.append(words)
+    rows = []
+    for words in found:
+        rows += [(len(rows), " ".join(words[:8])), (len(rows) + 1, " ".join(words))]
+    # many texts that share their first shingles, so that the pair stands in a large group
+    rows += [(1000 + k, " ".join(found[0][:5] + [f"x{k}-{i}" for i in range(8)])) for k in range(copies)]
+    got = {x["doc_id"]: x["component_id"] for x in near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == [0, 0, 2, 2, 4, 4] and all(got[1000 + k] == 1000 + k for k in range(copies))

@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from papertide.llm.common import HOT_ROWS, split_join, written
 from papertide.llm.components import star_components
-from papertide.llm.nearcopies import BUCKETS, KEY_ROWS, _map_slices, shingle_set, words_of
-from papertide.llm.simhash import within_radius
+from papertide.llm.nearcopies import BUCKETS, KEY_ROWS, _map_slices, shingle_set, sketch, words_of
 
 SHINGLE, SIMILARITY = 2, 0.8
 #: Buckets, bits after the leading one, and the register of an empty bucket.
@@ -117,27 +116,29 @@ def estimates(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, others: np
 
 
 def _signed(docs: DataFrame, least: float) -> DataFrame:
-    """doc_id, hi and lo (key of the set), n (shingles), times (copies), bands, regs and bits: of one signature after the other."""
+    """doc_id, hi and lo (key of the set), n (shingles), parity (each shingle flips one of 512 bits), times (copies), and bands, regs and bits of
+    one signature after the other."""
     rows = band_rows(least)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes, times, bands, regs, bits = [], [], [], [], [], []
+        keys, sizes, odd, times, bands, regs, bits = [], [], [], [], [], [], []
         for text in batch["text"]:
             shingles = shingle_set(words_of(text.as_py()), SHINGLE)
             own = classes(len(shingles), least)
             signed = [registers(shingles, t) for t in own]
             keys.append(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64))
             sizes.append(len(shingles))
+            odd.append(sketch(shingles).tobytes())
             times.append(own)
             bands.append(np.concatenate([band_keys(r, rows, t) for r, t in zip(signed, own, strict=True)] or [np.zeros(0, np.uint64)]).view(np.int64))
             regs.append(b"".join(r.tobytes() for r in signed))
             bits.append(b"".join(parities(r).tobytes() for r in signed))
         hi, lo = np.stack(keys).T
-        columns = [batch["doc_id"], pa.array(np.ascontiguousarray(hi)), pa.array(np.ascontiguousarray(lo)), pa.array(sizes, pa.int64()), pa.array(times, pa.list_(pa.int32()))]
+        columns = [batch["doc_id"], pa.array(np.ascontiguousarray(hi)), pa.array(np.ascontiguousarray(lo)), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.array(times, pa.list_(pa.int32()))]
         columns += [pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary()), pa.array(bits, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "hi", "lo", "n", "times", "bands", "regs", "bits"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "hi", "lo", "n", "parity", "times", "bands", "regs", "bits"])
 
-    return _map_slices(docs, run, "doc_id long, hi long, lo long, n long, times array<int>, bands array<long>, regs binary, bits binary")
+    return _map_slices(docs, run, "doc_id long, hi long, lo long, n long, parity binary, times array<int>, bands array<long>, regs binary, bits binary")
 
 
 def _words(column: pa.Array, kind: type) -> np.ndarray:
@@ -153,11 +154,12 @@ def _dealt(rows: DataFrame, key_rows: int) -> DataFrame:
 
 
 def _left_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b)`` of rows (key, node, n, root, bits) of one key and different roots whose sizes and bits let them be near."""
+    """Pairs ``(a, b)`` of rows (key, node, n, root, bits, parity) of one key and different roots whose sizes, bits and parities let them be near.
+    The parities are an exact bound: they differ in no more bits than the sets in shingles."""
     share = (1 - least) / 2
     radius = int(REGISTERS * share + DEVIATIONS * np.sqrt(REGISTERS * share * (1 - share)))
 
-    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, odd: np.ndarray) -> pa.RecordBatch:
         out, at, shift = [np.zeros((0, 2), np.int64)], np.arange(len(key)), 1
         while len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
             i, j = at, at + shift
@@ -165,7 +167,9 @@ def _left_pairs(rows: DataFrame, least: float) -> DataFrame:
             i, j = i[good], j[good]
             for k in range(0, len(i), AT_ONCE):
                 x, y = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
-                hit = within_radius(bits[x], bits[y], radius)
+                hit = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64) <= (1 - least) / (1 + least) * (n[x] + n[y]) + 1e-9
+                x, y = x[hit], y[hit]
+                hit = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= radius
                 out.append(np.sort(np.stack([node[x[hit]], node[y[hit]]], 1), axis=1))
             shift += 1
         found = np.unique(np.concatenate(out), axis=0)
@@ -176,7 +180,7 @@ def _left_pairs(rows: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch[c].to_numpy() for c in ("key", "node", "n", "root")] + [_words(batch["bits"], np.uint64)]
+            new = [batch[c].to_numpy() for c in ("key", "node", "n", "root")] + [_words(batch[c], np.uint64) for c in ("bits", "parity")]
             kept = [np.concatenate(v) for v in zip(kept, new, strict=True)] if kept else new
             if len(kept[0]) >= 1 << 15 and (cut := int(np.searchsorted(kept[0], kept[0][-1]))):
                 yield pairs(*(v[:cut] for v in kept))
@@ -184,7 +188,7 @@ def _left_pairs(rows: DataFrame, least: float) -> DataFrame:
         if kept:
             yield pairs(*kept)
 
-    dealt = rows.select("key", "node", "n", "root", "bits").repartition("key").sortWithinPartitions("key", "node")
+    dealt = rows.select("key", "node", "n", "root", "bits", "parity").repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -197,6 +201,17 @@ def _both(pairs: DataFrame, side: DataFrame, names: list[str]) -> DataFrame:
     return wide
 
 
+def _signatures(every: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, regs, bits of the nodes ``wanted``, from the row of each node's least id: the signatures of all other texts stay where they are. At most
+    ``BUCKETS`` hash values of ids are broadcast."""
+    known = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    ids = written(nodes.select("node", "hi", "lo", F.coalesce("least_id", F.lit(-(1 << 63))).alias("_id")).join(wanted.select("node").distinct(), "node", "left_semi"), "near-ids")
+    bucket = F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)).cast("int")
+    rows = every.select("hi", "lo", known.alias("_id"), "regs", "bits").withColumn("_bucket", bucket)
+    some = rows.join(F.broadcast(ids.select(bucket.alias("_bucket")).distinct()), "_bucket", "left_semi")
+    return written(some.join(ids, ["hi", "lo", "_id"]).dropDuplicates(["node"]).select("node", "regs", "bits"), "near-signatures")
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes allow the bound and whose corrected estimate reaches it, less its deviation."""
     least = percent / 100
@@ -259,7 +274,7 @@ def near_sets(docs: DataFrame, percent: int = 80, key_rows: int = KEY_ROWS, hot_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = written(_signed(rows, least), "near-signed")
     # equal sets are one node, which the least id stands for
-    signed = F.first(F.struct("n", "times", "bands", "regs", "bits")).alias("x")
+    signed = F.first(F.struct("n", "parity", "times", "bands")).alias("x")
     nodes = every.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least_id"), signed).select("hi", "lo", "least_id", "x.*")
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     bands = REGISTERS // band_rows(least)
@@ -271,15 +286,15 @@ def near_sets(docs: DataFrame, percent: int = 80, key_rows: int = KEY_ROWS, hot_
     heads = keys.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("head"))
     starred = split_join(keys, heads, ["key"], sizes, hot_rows=hot_rows, total=total).filter("node <> head")
     pairs = written(starred.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "near-pairs")
-    links = _links(rows, pairs, nodes, percent)
+    links = _links(rows, every, pairs, nodes, percent)
     roots = star_components(links, hot_rows)
     left = keys.drop("size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = left.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("size")).filter("_a <> _b").select("key", "size")
-    rest = left.join(mixed, "key")  # keys of one component are done
+    rest = written(left.join(mixed, "key"), "near-left")  # keys of one component are done
     bits = F.expr(f"substring(bits, s * {REGISTERS // 8} + 1, {REGISTERS // 8})").alias("bits")
-    rest = written(rest.join(nodes.select("node", "n", "bits"), "node").select("key", "node", "root", "size", "n", bits), "near-left")
+    rest = written(rest.join(nodes.select("node", "n", "parity"), "node").join(_signatures(every, nodes, rest), "node").select("key", "node", "root", "size", "n", bits, "parity"), "near-left")
     pairs = written(_left_pairs(_dealt(rest, key_rows), least), "near-pairs")
-    links = links.union(_links(rows, pairs, nodes, percent))
+    links = links.union(_links(rows, every, pairs, nodes, percent))
     named = nodes.select("node", "hi", "lo", "least_id").join(star_components(links, hot_rows), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "near-roots")
     component = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -289,6 +304,7 @@ def near_sets(docs: DataFrame, percent: int = 80, key_rows: int = KEY_ROWS, hot_
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def _links(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    likely = written(_likely(pairs, nodes.select("node", "n", "times", "regs"), percent), "near-likely")
+def _links(rows: DataFrame, every: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    signed = _signatures(every, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    likely = written(_likely(pairs, nodes.select("node", "n", "times").join(signed.select("node", "regs"), "node"), percent), "near-likely")
     return written(_confirmed(likely, _full_sets(rows, likely, nodes), percent), "near-links")

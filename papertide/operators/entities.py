@@ -75,14 +75,18 @@ def normalize_terms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     return terms.withColumn("_k", key).join(known, "_k", "left").withColumn("normalized", F.coalesce("canonical", cleaned)).drop("_k", "canonical")
 
 
-def eligibility(terms: DataFrame, generic: list[str], allowed: list[str], methods: list[str]) -> DataFrame:
-    """Adds display_eligible and display_reason by the first rule that holds."""
+def eligibility(terms: DataFrame, generic: list[str], allowed: list[str], methods: list[str], broken: tuple[str, ...] = (), plain_methods: tuple[str, ...] = ()) -> DataFrame:
+    """Adds display_eligible and display_reason by the first rule that holds. A generic word among ``plain_methods`` is a method all the same if it stands as one; a term
+    that holds one of ``broken`` anywhere is a scrap of a longer phrase, unless it is allowed."""
     key = F.lower(F.replace(F.trim("term"), F.lit("-"), F.lit(" ")))
+    scrap = reduce(Column.__or__, [F.contains(key, F.lit(x)) for x in broken], F.lit(False))
+    named_method = (F.col("term_type") == "method") & (key.isin(*plain_methods) if plain_methods else F.lit(False))
     formula = F.col("term").rlike(r"^([A-Z][a-z]?[0-9]*){2,}$")
     words = F.split(key, " ")
     all_generic = (F.size(words) >= 2) & F.forall(words, lambda w: w.isin(*generic, "van", "der", "waals"))
     reason = (
-        F.when(F.length(F.trim("term")) < 3, "too_short").when(key.isin(generic), "generic_term").when(all_generic & ~key.isin(allowed), "generic_ngram")
+        F.when(F.length(F.trim("term")) < 3, "too_short").when(key.isin(generic), F.when(named_method, "method_dictionary").otherwise("generic_term"))
+        .when(scrap & ~key.isin(allowed), "broken_ngram").when(all_generic & ~key.isin(allowed), "generic_ngram")
         .when(F.col("term_type") == "material", F.when(formula | key.isin(allowed), "material").otherwise("weak_material_candidate"))
         .when(F.col("term_type") == "method", F.when(key.isin(methods), "method_dictionary").otherwise("weak_method_candidate"))
         .when(key.isin(allowed), "canonical_phrase").when(formula, "material_formula").when(F.col("confidence") < 0.7, "weak_candidate").otherwise("not_canonical")
@@ -91,6 +95,17 @@ def eligibility(terms: DataFrame, generic: list[str], allowed: list[str], method
     return terms.withColumn("display_reason", reason).withColumn("display_eligible", good.cast("int"))
 
 
+def material_search(materials: DataFrame, aliases: DataFrame, wanted: str) -> DataFrame:
+    """material_id of the materials (canonical_name, material_family, phase, thickness, composition) that hold ``wanted`` in one of the five, or in an alias (material_id, alias), without
+    case; all materials if nothing is wanted. Both tables are read once and not joined."""
+    word = wanted.strip().lower()
+    if not word:
+        return materials.select("material_id").distinct()
+    holds = lambda c: F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(word))
+    by_name = materials.filter(reduce(Column.__or__, [holds(c) for c in ("canonical_name", "material_family", "phase", "thickness", "composition")]))
+    return by_name.select("material_id").union(aliases.filter(holds("alias")).select("material_id")).distinct()
+
+
 def formulas(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, formula: chemical formulas of two elements at least, 4 to 32 characters; without digits
     at most three elements. Known molecules and unknown symbols are left out."""

@@ -10,7 +10,7 @@ from papertide.operators.records import normalized_doi
 
 _SOURCE = "struct<id:string,display_name:string,type:string>"
 _LOCATION = f"struct<pdf_url:string,landing_page_url:string,source:{_SOURCE}>"
-_TOPIC = "struct<display_name:string,score:double,subfield:struct<id:string,display_name:string>>"
+_TOPIC = "struct<id:string,display_name:string,score:double,subfield:struct<id:string,display_name:string>>"
 OPENALEX = (
     f"struct<id:string,doi:string,title:string,publication_date:string,type:string,type_crossref:string,cited_by_count:int,open_access:struct<is_oa:boolean,oa_url:string,oa_status:string>,primary_location:{_LOCATION},"
     f"locations:array<{_LOCATION}>,authorships:array<struct<author:struct<display_name:string>>>,abstract_inverted_index:map<string,array<int>>,"
@@ -78,11 +78,28 @@ def parse_crossref(rows: DataFrame, column: str = "json", fallback_journal: str
     )
 
 
-def topic_gate(rows: DataFrame, field: str, primary: float = 0.35, any_score: float = 0.45) -> DataFrame:
-    """Adds passes: the first topic is of the field with score ``primary``, or any topic with ``any_score``."""
-    hit = lambda x, least: (x["field"] == field) & (x["score"] >= least)
-    first = F.get("topics", F.lit(0))
-    return rows.withColumn("passes", F.coalesce(hit(first, primary), F.lit(False)) | F.coalesce(F.exists("topics", lambda x: hit(x, any_score)), F.lit(False)))
+def last_part(address: Column) -> Column:
+    """What stands behind the last slash of an address, slashes at its end aside; empty for null."""
+    return F.regexp_extract(F.coalesce(address, F.lit("")), r"([^/]*)/*$", 1)
+
+
+def topic_gate(rows: DataFrame, subfield: str, by_text: Column, generalists: list[str], primary: float = 0.35, any_score: float = 0.45) -> DataFrame:
+    """Adds primary_score, best_score, topic_keep, generalist_only and passes to works (topics, primary_topic, journal as ``parse_openalex`` reads them).
+
+    A work's topics keep it if its primary topic is of the subfield with a score of ``primary`` or any topic of it has ``any_score``; the primary topic has the better of
+    its own score and the one it has among the topics. ``by_text`` says that the text alone keeps it: in a journal of ``generalists`` topics without that
+    do not suffice. No topics, no scores and no journal count as 0 and as the empty name.
+    """
+    top, empty = F.col("primary_topic"), F.array().cast(rows.schema["topics"].dataType)
+    most = lambda xs: F.greatest(F.coalesce(F.array_max(F.transform(xs, lambda x: x["score"])), F.lit(0.0)), F.lit(0.0))
+    inside = F.filter(F.coalesce("topics", empty), lambda x: last_part(x["subfield"]["id"]) == subfield)
+    same = F.filter(inside, lambda x: (F.coalesce(top["id"], F.lit("")) != "") & (x["id"] == top["id"]))
+    journal = F.lower(F.trim(F.regexp_replace(F.coalesce("journal", F.lit("")), r"\s+", " ")))
+    scored = rows.withColumns({"primary_score": F.greatest(F.coalesce(top["score"], F.lit(0.0)), most(same)), "best_score": most(inside)})
+    kept = ((last_part(top["subfield"]["id"]) == subfield) & (F.col("primary_score") >= primary)) | (F.col("best_score") >= any_score)
+    text = F.coalesce(by_text, F.lit(False))
+    scored = scored.withColumn("topic_keep", kept).withColumn("generalist_only", F.col("topic_keep") & ~text & journal.isin([x.lower() for x in generalists]))
+    return scored.withColumn("passes", text | (F.col("topic_keep") & ~F.col("generalist_only")))
 
 
 def source_quality(rows: DataFrame, trusted: tuple[list[str], list[str]], repositories: tuple[list[str], list[str]], formal_types: list[str], formal_crossref: list[str], repository_dois: list[str]) -> DataFrame:

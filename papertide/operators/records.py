@@ -105,6 +105,52 @@ def latest_status(papers: DataFrame, tasks: DataFrame, order: Column) -> DataFra
     return papers.select("paper_id").join(last, "paper_id", "left").select("paper_id", F.coalesce("status", F.lit("not_requested")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
+def hit_rollup(hits: DataFrame, versions: DataFrame) -> DataFrame:
+    """monitor_id, paper_id, first_matched, last_matched, matches, hit_id, version_id, version_type: one row for each rule and paper of hits (monitor_id, paper_id, version_id,
+    hit_id, first_matched, last_matched, matches). Hit and version are those of a published version (versions: version_id, version_type), then of
+    the latest match, then of the least hit_id; a hit whose version is unknown ranks as not published."""
+    late = F.coalesce(-F.unix_micros(F.col("last_matched").cast("timestamp")), F.lit(1 << 62))  # no date ranks last
+    rank = F.struct(F.when(F.col("version_type").isin("publication", "published"), 0).otherwise(1).alias("kind"), late.alias("late"), F.col("hit_id").alias("id"))
+    joined = hits.join(versions.select("version_id", "version_type"), "version_id", "left")
+    rows = joined.groupBy("monitor_id", "paper_id").agg(F.min("first_matched").alias("first_matched"), F.max("last_matched").alias("last_matched"), F.sum("matches").alias("matches"), F.min_by(F.struct("hit_id", "version_id", "version_type"), rank).alias("b"))
+    return rows.select("monitor_id", "paper_id", "first_matched", "last_matched", "matches", "b.*")
+
+
+#: States from which a task may be put back.
+FAILED = ("retryable_failed", "permanent_failed", "manual_review")
+
+
+def due_tasks(tasks: DataFrame, now: Column, limit: int) -> DataFrame:
+    """The ``limit`` tasks (status, next_attempt_at, priority, created_at, task_id) to work on next: pending, or failed for a while with no or a reached time; by falling priority, then age."""
+    reached = (F.col("status") == "retryable_failed") & F.coalesce(F.col("next_attempt_at") <= now, F.lit(True))
+    return tasks.filter((F.col("status") == "pending") | reached).orderBy(F.desc("priority"), "created_at", "task_id").limit(limit)
+
+
+def requeue(tasks: DataFrame, attempts: DataFrame, ids: DataFrame | None = None, failure_classes: tuple[str, ...] = (), sources: tuple[str, ...] = (), limit: int | None = 25) -> DataFrame:
+    """New snapshot of tasks (task_id, status, attempt_count, next_attempt_at, last_error, source, updated_at, created_at) with failed ones pending again, their attempts, time, error and source unset.
+
+    With ``ids`` (task_id; an empty table chooses none) those of them that failed, ``limit`` of them if it is given. Else 1 to 100 of all failed ones, those longest untouched first, whose last
+    attempt (attempts: task_id, attempt_number, candidate_index, failure_class) has one of the classes or whose error names it in brackets, and that come from one of the sources; no
+    classes and no sources ask for nothing. The limit is the feature: a stated number of tasks is put back at a time.
+    """
+    failed = tasks.filter(F.col("status").isin(*FAILED))
+    if ids is not None:
+        chosen = failed.join(ids.select("task_id").distinct(), "task_id", "left_semi")
+    else:
+        limit, chosen = max(1, min(limit or 25, 100)), failed
+        if failure_classes:
+            last = attempts.groupBy("task_id").agg(F.max_by("failure_class", F.struct("attempt_number", "candidate_index")).alias("_class"))
+            named = reduce(Column.__or__, [F.contains(F.coalesce("last_error", F.lit("")), F.lit(f"[{k}]")) for k in failure_classes])
+            chosen = failed.join(last, "task_id", "left").filter(F.coalesce(F.col("_class").isin(*failure_classes), F.lit(False)) | named)
+        if sources:
+            chosen = chosen.filter(F.coalesce("source", F.lit("")).isin(*sources))
+    if limit is not None:
+        chosen = chosen.orderBy("updated_at", "created_at", "task_id").limit(max(0, limit))
+    marked = tasks.join(chosen.select("task_id", F.lit(True).alias("_again")), "task_id", "left")
+    reset = {"status": F.lit("pending"), "attempt_count": F.lit(0), "next_attempt_at": F.lit(None), "last_error": F.lit(None), "source": F.lit(None)}
+    return marked.select(*(F.when(F.col("_again"), reset[c]).otherwise(F.col(c)).alias(c) if c in reset else F.col(c) for c in tasks.columns))
+
+
 def best_by(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``."""
     names = rows.columns

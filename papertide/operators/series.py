@@ -47,6 +47,30 @@ def zscore(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     return series.withColumn("z", (F.col(value) - F.expr(f"avg({value}) {part}")) / F.when(sd == 0, 1.0).otherwise(sd))
 
 
+def compare(series: DataFrame, keys: list[str], value: str, smoothing: str = "raw") -> DataFrame:
+    """Keys, month, value: the ``zscore`` of the whole series, smoothed after that by rolling_3, rolling_6, ewma or, as raw, not at all."""
+    z = zscore(series, keys, value).select(*keys, "month", "z")
+    if smoothing == "raw":
+        return z.withColumnRenamed("z", "value")
+    smoothed = ewma(z, keys, "z") if smoothing == "ewma" else rolling(z, keys, "z", {"rolling_3": 3, "rolling_6": 6}[smoothing])
+    return smoothed.select(*keys, "month", F.col("smooth").alias("value"))
+
+
+def heatmap(stats: DataFrame, first: str, last: str, metric: str, shown: DataFrame, concept_class: str | None = None, without: tuple[str, ...] = (), min_count: int = 2, top: int = 40) -> DataFrame:
+    """term, month, value: cells above 0 of the ``top`` terms by the sum of ``metric`` over the months from ``first`` to ``last``.
+
+    Terms come from ``shown`` (term, concept_class; a missing class is the empty one), of ``concept_class`` only if it is given, none of the classes ``without``, and need ``min_count``
+    papers. Sums are compared to nine digits, equal ones by name.
+    """
+    kind = F.coalesce("concept_class", F.lit(""))
+    allowed = shown.filter(~kind.isin(list(without))) if without else shown
+    allowed = allowed.filter(kind == concept_class) if concept_class else allowed
+    cells = stats.filter(F.col("month").between(first, last))
+    sums = cells.join(allowed.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.round(F.sum(metric), 9).alias("score"), F.sum("raw_freq").alias("n"))
+    best = sums.filter(F.col("n") >= max(1, min_count)).orderBy(F.desc("score"), "term").limit(top).select("term")
+    return cells.filter(F.col(metric) > 0).join(F.broadcast(best), "term", "left_semi").select("term", "month", F.col(metric).alias("value"))
+
+
 def growth(stats: DataFrame, last: str) -> DataFrame:
     """term, recent, previous, change: weight of the last three calendar months against the three before."""
     end = int(last[:4]) * 12 + int(last[5:7])
@@ -122,10 +146,11 @@ def published_and_preprint(published: DataFrame, preprint: DataFrame) -> DataFra
     return joined.withColumn("gap", F.greatest(F.col("preprint_share") - F.col("published_share"), F.lit(0.0)) * (1 + F.col("preprint_momentum")))
 
 
-def side_rankings(published: DataFrame, preprint: DataFrame, top: int) -> DataFrame:
-    """ranking, rank, term, score: the ``top`` terms by published heat, preprint rise, gap, and least published heat (two published papers, or
-    one preprint, at least); of equal scores the first by name, of cooling ones the more frequent."""
-    side = lambda df, k: df.select("term", "month", F.col("raw_share").alias(f"{k}_share"), F.col("momentum").alias(f"{k}_m"), F.col("raw_freq").alias(f"{k}_n"))
+def side_rankings(published: DataFrame, preprint: DataFrame, top: int, concepts: DataFrame) -> DataFrame:
+    """ranking, rank, term, score: the ``top`` terms of ``concepts`` (term: shown physics concepts that are no platform) by published heat, preprint rise, gap, and least published
+    heat (two published papers, or one preprint, at least); of equal scores the first by name, of cooling ones the more frequent."""
+    kept = lambda df: df.join(concepts.select("term").distinct(), "term", "left_semi")
+    side = lambda df, k: kept(df).select("term", "month", F.col("raw_share").alias(f"{k}_share"), F.col("momentum").alias(f"{k}_m"), F.col("raw_freq").alias(f"{k}_n"))
     both = side(published, "pub").join(side(preprint, "pre"), ["term", "month"], "full").na.fill(0)
     gap = F.greatest(F.col("pre_share") - F.col("pub_share"), F.lit(0.0)) * (1 + F.col("pre_m"))
     sums = both.groupBy("term").agg(F.round(F.sum("pub_m"), 6).alias("heat"), F.round(F.sum("pre_m"), 6).alias("rise"), F.round(F.sum(gap), 6).alias("gap"), F.sum("pub_n").alias("pub_n"), F.sum("pre_n").alias("pre_n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papertide.operators import entities as op
+from papertide.operators import fields as fd
 from papertide.plans.corpus import rounded
 from papertide.plans.registry import query
 from papertide.sources import tables as t
@@ -50,12 +51,12 @@ def normalize_terms(spark, d):
     return op.normalize_terms(terms, synonyms).groupBy("term_type", "normalized").agg(F.sum("n").alias("papers"))
 
 
-@query("eligibility", f"""WITH {t.TERMS_SQL}, r AS (SELECT *, lower(replace(trim(normalized_term), '-', ' ')) AS k FROM terms_v) SELECT term_type, CASE WHEN length(trim(normalized_term)) < 3 THEN 'too_short' WHEN k IN ('red', 'gear', 'blue') THEN 'generic_term' WHEN k IN ('red gear', 'blue gear') THEN 'generic_ngram'
+@query("eligibility", f"""WITH {t.TERMS_SQL}, r AS (SELECT *, lower(replace(trim(normalized_term), '-', ' ')) AS k FROM terms_v) SELECT term_type, CASE WHEN length(trim(normalized_term)) < 3 THEN 'too_short' WHEN k IN ('red', 'gear', 'blue', 'economy') THEN CASE WHEN term_type = 'method' AND k = 'economy' THEN 'method_dictionary' ELSE 'generic_term' END WHEN contains(k, 'green') AND k <> 'green bolt' THEN 'broken_ngram' WHEN k IN ('red gear', 'blue gear') THEN 'generic_ngram'
 WHEN term_type = 'material' THEN CASE WHEN regexp_matches(normalized_term, '^([A-Z][a-z]?[0-9]*){{2,}}$') OR k IN ('green bolt') THEN 'material' ELSE 'weak_material_candidate' END WHEN term_type = 'method' THEN CASE WHEN k IN ('standard', 'promo') THEN 'method_dictionary' ELSE 'weak_method_candidate' END
 WHEN k IN ('green bolt') THEN 'canonical_phrase' WHEN regexp_matches(normalized_term, '^([A-Z][a-z]?[0-9]*){{2,}}$') THEN 'material_formula' WHEN confidence < 0.7 THEN 'weak_candidate' ELSE 'not_canonical' END AS display_reason, count(*) AS n FROM r GROUP BY 1, 2""")
 def eligibility(spark, d):
     terms = t.terms(spark, d).withColumnRenamed("normalized_term", "term")
-    return op.eligibility(terms, ["red", "gear", "blue"], ["green bolt"], ["standard", "promo"]).groupBy("term_type", "display_reason").agg(F.count("*").alias("n"))
+    return op.eligibility(terms, ["red", "gear", "blue", "economy"], ["green bolt"], ["standard", "promo"], ("green",), ("economy",)).groupBy("term_type", "display_reason").agg(F.count("*").alias("n"))
 
 
 @query("formulas", f"""{SEEDED_SQL}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(title, '[A-Za-z0-9.]+')) AS f FROM seeded_v), c AS (SELECT doc_id, rtrim(f, '.') AS f FROM w), s AS (SELECT DISTINCT doc_id, f, regexp_extract_all(f, '[A-Z][a-z]?') AS e FROM c WHERE regexp_matches(f, '^([A-Z][a-z]?([0-9]+(\\.[0-9]+)?)?){{2,}}$'))
@@ -157,15 +158,20 @@ def confidence(spark, d):
     return op.grade_field(filtered(spark, d), "src11", "cats", "concepts", ["fr"], ["es"], ["dna"], ["title"]).groupBy("grade_reason", "grade").agg(F.count("*").alias("docs"))
 
 
-_FIELD = f"""WITH {t.TERMS_SQL}, w(term_type, field, rank) AS (VALUES ('concept', 'a', 1), ('material', 'b', 2), ('method', 'c', 3)), s AS (SELECT paper_id, field, min(rank) AS rank, round(sum(confidence), 6) AS score FROM terms_v JOIN w USING (term_type) WHERE display_eligible = 1 GROUP BY 1, 2)"""
+FIELDS = {"spin": ("spin", "hall", "arpes"), "matter": ("weyl", "gaas", "hall"), "theory": ("dft", "density functional", "dna")}
+_N_OF = ", ".join("+".join(f"CAST(contains(k, '{w}') AS INTEGER)" for w in words) + f" AS {f}" for f, words in FIELDS.items())
 
 
-@query("primary_field", f"{_FIELD} SELECT field, count(*) AS papers FROM (SELECT paper_id, arg_min(field, (-score, rank)) AS field FROM s GROUP BY 1) GROUP BY 1")
+@query("primary_field", f"""{_EXTRACT}, tt AS (SELECT doc_id, string_agg(term, chr(10)) AS terms FROM x WHERE confidence > 0 GROUP BY 1), e AS (SELECT doc_id, source, title, concat_ws(chr(10), concat(title, ' ', abstract), terms) AS whole FROM seeded_v LEFT JOIN tt USING (doc_id)),
+b AS (SELECT *, CASE WHEN starts_with(source, 'src1') THEN 'category' WHEN doc_id % 3 = 0 THEN 'topic' ELSE 'text' END AS basis FROM e), k AS (SELECT *, lower(CASE basis WHEN 'topic' THEN title ELSE whole END) AS k FROM b), n AS (SELECT *, {_N_OF} FROM k),
+fq AS (SELECT *, greatest(spin, matter, theory) AS most FROM n), g AS (SELECT CASE WHEN source = 'src1' THEN 'alpha' WHEN basis = 'category' THEN 'other' WHEN most = 0 THEN CASE basis WHEN 'topic' THEN 'other' ELSE 'unclassified' END WHEN spin = most THEN 'spin' WHEN matter = most THEN 'matter' ELSE 'theory' END AS field,
+ CASE WHEN basis <> 'text' THEN 'direct' WHEN most > 0 THEN 'inferred' ELSE 'unclassified' END AS evidence FROM fq)
+SELECT field, count(*) AS papers, count(*) FILTER (evidence = 'direct') AS direct, count(*) FILTER (evidence = 'inferred') AS inferred, count(*) FILTER (evidence = 'unclassified') AS unclassified FROM g GROUP BY 1""")
 def primary_field(spark, d):
-    kinds = F.broadcast(spark.createDataFrame([("concept", "a", 1), ("material", "b", 2), ("method", "c", 3)], "term_type string, field string, rank int"))
-    scores = t.terms(spark, d).filter("display_eligible = 1").join(kinds, "term_type").groupBy("paper_id", "field").agg(F.min("rank").alias("rank"), F.round(F.sum("confidence"), 6).alias("score"))
-    best = scores.groupBy("paper_id").agg(F.min_by("field", F.struct(-F.col("score"), F.col("rank"))).alias("field"))
-    return best.groupBy("field").agg(F.count("*").alias("papers"))
+    subfield = F.struct(F.when(F.col("doc_id") % 3 == 0, "https://x.org/subfields/3104").alias("id"))
+    docs = seeded(spark, d).select(F.col("doc_id").alias("paper_id"), F.array("source").alias("categories"), F.struct(F.col("title").alias("display_name"), subfield.alias("subfield")).alias("primary_topic"), "title", "abstract")
+    terms = extracted(spark, d).select(F.col("doc_id").alias("paper_id"), "term")
+    return fd.field_distribution(fd.primary_field(docs, terms, {"src1": "alpha"}, "src1", "other", "3104", FIELDS))
 
 
 @query("paper_children", f"WITH {t.TERMS_SQL} SELECT paper_id, array_to_string(list(normalized_term ORDER BY confidence DESC, normalized_term), '|') AS materials FROM terms_v WHERE term_type = 'material' GROUP BY 1")
@@ -174,12 +180,12 @@ def paper_children(spark, d):
     return rows.select("paper_id", F.array_join(F.transform("s", lambda x: x["m"]), "|").alias("materials"))
 
 
-@query("material_search", f"WITH {t.TERMS_SQL} SELECT DISTINCT normalized_term AS material FROM terms_v WHERE term_type = 'material' AND normalized_term ILIKE '%2%' UNION SELECT DISTINCT normalized_term FROM terms_v WHERE term_type = 'concept' AND normalized_term ILIKE '%gear%'")
+@query("material_search", "SELECT p_partkey AS material_id FROM part WHERE p_name ILIKE '%gear%' OR p_type ILIKE '%gear%' OR p_brand ILIKE '%gear%' OR p_partkey % 7 = 0 UNION SELECT p_partkey FROM part WHERE p_partkey % 11 = 0 AND p_size > 25")
 def material_search(spark, d):
-    terms = t.terms(spark, d)
-    by_name = terms.filter((F.col("term_type") == "material") & F.col("normalized_term").ilike("%2%"))
-    by_alias = terms.filter((F.col("term_type") == "concept") & F.col("normalized_term").ilike("%gear%"))
-    return by_name.union(by_alias).select(F.col("normalized_term").alias("material")).distinct()
+    part = t.read(spark, d, "part")
+    materials = part.select(F.col("p_partkey").alias("material_id"), F.col("p_name").alias("canonical_name"), F.col("p_type").alias("material_family"), F.col("p_brand").alias("phase"), F.lit(None).cast("string").alias("thickness"), F.when(F.col("p_partkey") % 7 == 0, "Head-GEAR 2").alias("composition"))
+    aliases = part.filter("p_partkey % 11 = 0").select(F.col("p_partkey").alias("material_id"), F.when(F.col("p_size") > 25, "old Gears").otherwise("none").alias("alias"))
+    return op.material_search(materials, aliases, "  Gear ")
 
 
 _GRADED = "CASE WHEN doc_id % 6 = 0 THEN 'low' ELSE 'high' END"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.operators import providers as op
+from papertide.operators import records as rc
 from papertide.operators.acquisition import acquisition_priority
 from papertide.plans.registry import query
 from papertide.plans.windows import OUT_SQL, outputs
@@ -52,10 +53,16 @@ def src_crossref(spark, d):
     return op.parse_crossref(p.select("paper_id", F.to_json(work).alias("json"))).select("paper_id", "doi", "title", "pub_date", "abstract", "cited_by_count", "journal", "url", "is_open_access")
 
 
-@query("topic_gate", f"WITH {t.TERMS_SQL}, s AS (SELECT paper_id, list({{'field': term_type, 'score': confidence}} ORDER BY confidence DESC, normalized_term) AS topics FROM terms_v GROUP BY 1) SELECT (topics[1].field = 'material' AND topics[1].score >= 0.35) OR len(list_filter(topics, lambda x: x.field = 'material' AND x.score >= 0.95)) > 0 AS passes, count(*) AS papers FROM s GROUP BY 1")
+@query("topic_gate", f"""WITH {t.PAPERS_SQL}, {t.TERMS_SQL}, s AS (SELECT paper_id, list({{'field': term_type, 'score': confidence}} ORDER BY confidence DESC, normalized_term) AS topics FROM terms_v GROUP BY 1),
+q AS (SELECT CAST(paper_id AS BIGINT) % 3 = 0 AS by_text, journal = 'Journal B' AS general, topics[1].field = 'material' AS mine, topics[1].score AS score, coalesce(list_max(list_transform(list_filter(topics, lambda x: x.field = 'material'), lambda x: x.score)), 0) AS best FROM s JOIN papers_v USING (paper_id)),
+r AS (SELECT *, (mine AND score >= 0.9) OR best >= 0.95 AS topic_keep FROM q) SELECT topic_keep, topic_keep AND NOT by_text AND general AS generalist_only, by_text OR (topic_keep AND NOT general) AS passes, count(*) AS papers FROM r GROUP BY 1, 2, 3""")
 def topic_gate(spark, d):
-    rows = t.terms(spark, d).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), F.col("normalized_term").alias("n"), F.col("term_type").alias("field"), F.col("confidence").alias("score")))).alias("topics"))
-    return op.topic_gate(rows, "material", 0.35, 0.95).groupBy("passes").agg(F.count("*").alias("papers"))
+    rows = t.terms(spark, d).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), F.col("normalized_term").alias("n"), F.col("term_type").alias("field"), F.col("confidence").alias("score")))).alias("s"))
+    topic = lambda x, part: F.struct(F.concat_ws(":", x["field"], x["n"]).alias("id"), (x["score"] / part).alias("score"), F.struct(F.concat(F.lit("https://x.org/subfields/"), x["field"], F.lit("/")).alias("id")).alias("subfield"))
+    works = rows.select("paper_id", F.transform("s", lambda x: topic(x, 1)).alias("topics"), topic(F.get("s", F.lit(0)), 2).alias("primary_topic"))
+    works = works.join(t.papers(spark, d).select("paper_id", F.replace("journal", F.lit(" "), F.lit("  ")).alias("journal")), "paper_id")
+    gated = op.topic_gate(works, "material", F.col("paper_id").cast("long") % 3 == 0, ["JOURNAL B"], 0.9, 0.95)
+    return gated.groupBy("topic_keep", "generalist_only", "passes").agg(F.count("*").alias("papers"))
 
 
 @query("source_quality", f"""WITH {t.PAPERS_SQL}, p AS (SELECT *, CAST(paper_id AS BIGINT) AS i FROM papers_v), m AS (SELECT *, i % 4 = 0 OR i % 4 = 1 AS repo, i % 8 = 1 OR i % 10 = 3 AS trusted, (doi IS NOT NULL AND i % 9 <> 0 AND i % 3 = 0) OR i % 7 = 0 AS formal FROM p)
@@ -153,9 +160,14 @@ def rule_hits(spark, d):
     return t.terms(spark, d).join(rules, "term_type").filter("normalized_term like pattern").join(t.papers(spark, d).select("paper_id", "pub_date"), "paper_id")
 
 
-@query("hit_rollup", f"{_HITS} SELECT monitor_id, paper_id, min(pub_date) AS first_match, count(*) AS hits, min(normalized_term) AS best FROM h GROUP BY 1, 2")
+@query("hit_rollup", f"""{_HITS.replace('WITH', 'WITH ' + t.VERSIONS_SQL + ',', 1)}, c AS (SELECT monitor_id, paper_id, count(*) AS matches FROM h GROUP BY 1, 2),
+v AS (SELECT monitor_id, paper_id, version_id, version_type, matches, coalesce(publication_date, submitted_date) AS day, coalesce(publication_date, submitted_date) + CAST(matches AS INTEGER) AS last_day FROM c JOIN versions_v ON canonical_paper_id = paper_id)
+SELECT monitor_id, paper_id, min(day) AS first_matched, max(last_day) AS last_matched, CAST(sum(matches) AS BIGINT) AS matches, arg_min(version_id, (CASE WHEN version_type = 'published' THEN 0 ELSE 1 END, -epoch(last_day), version_id)) AS version_id FROM v GROUP BY 1, 2""")
 def hit_rollup(spark, d):
-    return rule_hits(spark, d).groupBy("monitor_id", "paper_id").agg(F.min("pub_date").alias("first_match"), F.count("*").alias("hits"), F.min("normalized_term").alias("best"))
+    counted = rule_hits(spark, d).groupBy("monitor_id", "paper_id").agg(F.count("*").alias("matches"))
+    versions = t.versions(spark, d).withColumn("first_matched", F.coalesce("publication_date", "submitted_date")).withColumnRenamed("canonical_paper_id", "paper_id")
+    hits = counted.join(versions.select("paper_id", "version_id", "first_matched"), "paper_id").withColumns({"last_matched": F.expr("date_add(first_matched, cast(matches as int))"), "hit_id": F.col("version_id")})
+    return rc.hit_rollup(hits, versions).select("monitor_id", "paper_id", "first_matched", "last_matched", "matches", "version_id")
 
 
 @query("monitor_overview", f"{_HITS} SELECT m.monitor_id, count(DISTINCT paper_id) AS papers, count(DISTINCT CASE WHEN pub_date = DATE '1998-06-30' THEN paper_id END) AS new_today FROM m LEFT JOIN h USING (monitor_id) GROUP BY 1")

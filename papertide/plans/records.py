@@ -147,10 +147,39 @@ def latest_status(spark, d):
     return op.latest_status(papers, tasks, F.col("attempt_number"))
 
 
-@query("due_tasks", f"WITH {t.ATTEMPTS_SQL}, l AS (SELECT task_id, max(attempt_number) AS n, arg_max(status, attempt_number) AS status, arg_max(failure_class, attempt_number) AS failure_class FROM attempts_v GROUP BY 1) SELECT task_id, n AS attempts FROM l WHERE status = 'failed' AND failure_class <> 'access_denied'")
+_TASKS = f"""WITH {t.ATTEMPTS_SQL}, l AS (SELECT task_id, CAST(task_id AS BIGINT) AS i, max(attempt_number) AS attempt_count, arg_max(status, attempt_number) AS last, arg_max(coalesce(failure_class, ''), attempt_number) AS last_class,
+ arg_max(candidate_source, attempt_number) AS source, CAST(min(ts) AS DATE) AS created_at, CAST(max(ts) AS DATE) AS updated_at FROM attempts_v GROUP BY 1),
+tasks AS (SELECT *, CASE WHEN i % 10 = 0 THEN 'pending' WHEN last = 'completed' THEN CASE WHEN i % 4 = 1 THEN 'permanent_failed' ELSE 'completed' END WHEN last_class = 'access_denied' THEN 'manual_review' ELSE 'retryable_failed' END AS status, CASE WHEN i % 3 <> 0 THEN updated_at + CAST(i % 9 AS INTEGER) END AS next_attempt_at, i % 5 AS priority,
+ CASE WHEN i % 4 = 1 THEN concat('[request_timeout] ', task_id) ELSE '' END AS last_error FROM l)"""
+NOW = "2024-01-28"
+
+
+def tasks(spark, d):
+    """One task a user, with the state after its last attempt."""
+    i = F.col("task_id").cast("long")
+    last = t.attempts(spark, d).groupBy("task_id").agg(F.max("attempt_number").alias("attempt_count"), F.max_by(F.struct("status", "failure_class", "candidate_source"), "attempt_number").alias("l"), F.min("ts").cast("date").alias("created_at"), F.max("ts").cast("date").alias("updated_at"))
+    state = (
+        F.when(i % 10 == 0, "pending").when(F.col("l.status") == "completed", F.when(i % 4 == 1, "permanent_failed").otherwise("completed"))
+        .when(F.col("l.failure_class") == "access_denied", "manual_review").otherwise("retryable_failed")
+    )
+    return last.select(
+        "task_id", state.alias("status"), "attempt_count", F.when(i % 3 != 0, F.expr("date_add(updated_at, cast(task_id % 9 as int))")).alias("next_attempt_at"), (i % 5).alias("priority"), "created_at", "updated_at",
+        F.when(i % 4 == 1, F.concat(F.lit("[request_timeout] "), "task_id")).otherwise("").alias("last_error"), F.col("l.candidate_source").alias("source"),
+    )
+
+
+@query("due_tasks", f"{_TASKS} SELECT task_id, status, priority, attempt_count FROM tasks WHERE status = 'pending' OR (status = 'retryable_failed' AND (next_attempt_at IS NULL OR next_attempt_at <= DATE '{NOW}')) ORDER BY priority DESC, created_at, task_id LIMIT 50")
 def due_tasks(spark, d):
-    last = t.attempts(spark, d).groupBy("task_id").agg(F.max("attempt_number").alias("attempts"), F.max_by(F.struct("status", "failure_class"), "attempt_number").alias("l"))
-    return last.filter("l.status = 'failed' and l.failure_class <> 'access_denied'").select("task_id", "attempts")
+    return op.due_tasks(tasks(spark, d), F.lit(NOW).cast("date"), 50).select("task_id", "status", "priority", "attempt_count")
+
+
+@query("requeue", f"""{_TASKS}, k AS (SELECT task_id FROM tasks WHERE status IN ('retryable_failed', 'permanent_failed', 'manual_review') AND (last_class = 'request_timeout' OR contains(last_error, '[request_timeout]')) AND source IN ('click', 'view', 'error', 'purchase') ORDER BY updated_at, created_at, task_id LIMIT 40)
+SELECT CASE WHEN k.task_id IS NULL THEN status ELSE 'pending' END AS status, k.task_id IS NOT NULL AS again, count(*) AS tasks, CAST(sum(CASE WHEN k.task_id IS NULL THEN attempt_count ELSE 0 END) AS BIGINT) AS attempts, CAST(sum(CASE WHEN k.task_id IS NULL THEN 0 ELSE i END) AS BIGINT) AS ids FROM tasks LEFT JOIN k USING (task_id) GROUP BY 1, 2""")
+def requeue(spark, d):
+    attempts = t.attempts(spark, d).withColumn("candidate_index", F.lit(1))
+    after = op.requeue(tasks(spark, d), attempts, failure_classes=("request_timeout",), sources=("click", "view", "error", "purchase"), limit=40)
+    again = F.col("source").isNull()
+    return after.groupBy("status", again.alias("again")).agg(F.count("*").alias("tasks"), F.sum("attempt_count").alias("attempts"), F.sum(F.when(again, F.col("task_id").cast("long")).otherwise(0)).alias("ids"))
 
 
 @query("lifecycle_counts", f"WITH {t.ATTEMPTS_SQL} SELECT status, candidate_source, count(DISTINCT task_id) AS tasks FROM attempts_v GROUP BY ROLLUP (status, candidate_source)")

@@ -81,11 +81,16 @@ def cooling(spark, d):
     return rounded(se.growth_table(all_scope(spark, d), LAST, shown(spark, d), False).orderBy("change", "term").limit(20), "recent", "previous", "change")
 
 
-@query("heatmap", f"{STATS_SQL}, k AS (SELECT term FROM stats_v WHERE corpus_scope = 'all' GROUP BY 1 ORDER BY sum(raw_freq) DESC, 1 LIMIT 15) SELECT term, month, raw_freq AS value FROM stats_v SEMI JOIN k USING (term) WHERE corpus_scope = 'all' AND raw_freq > 0")
+@query("heatmap", f"""{STATS_SQL}, s AS (SELECT normalized_term AS term FROM terms_v GROUP BY 1 HAVING max(display_eligible) = 1 AND count(*) FILTER (term_type = 'method') = 0), c AS (SELECT term, month, raw_freq, momentum FROM stats_v WHERE corpus_scope = 'all' AND month BETWEEN '{TREND}' AND '{LAST}'),
+k AS (SELECT term FROM c SEMI JOIN s USING (term) GROUP BY 1 HAVING sum(raw_freq) >= 2 ORDER BY round(sum(momentum), 9) DESC, 1 LIMIT 15) SELECT term, month, round(momentum, 6) AS value FROM c SEMI JOIN k USING (term) WHERE momentum > 0""")
 def heatmap(spark, d):
-    cells = all_scope(spark, d)
-    top = cells.groupBy("term").agg(F.sum("raw_freq").alias("n")).orderBy(F.desc("n"), "term").limit(15).select("term")
-    return cells.filter("raw_freq > 0").join(F.broadcast(top), "term", "left_semi").select("term", "month", F.col("raw_freq").alias("value"))
+    return rounded(se.heatmap(all_scope(spark, d), TREND, LAST, "momentum", shown(spark, d), without=("method",), top=15), "value")
+
+
+@query("compare_smoothed", f"""{DENSE_SQL}, {EIGHT_SQL}, z AS (SELECT term, month, n, (weighted_freq - avg(weighted_freq) OVER w) / CASE WHEN stddev_pop(weighted_freq) OVER w = 0 THEN 1 ELSE stddev_pop(weighted_freq) OVER w END AS z FROM dense_v SEMI JOIN eight USING (term) WINDOW w AS (PARTITION BY term))
+SELECT term, month, round(avg(z) OVER (PARTITION BY term ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS value FROM z""")
+def compare_smoothed(spark, d):
+    return rounded(se.compare(dense(spark, d).join(eight(spark, d), "term"), ["term"], "weighted_freq", "rolling_3"), "value")
 
 
 LIFE_SQL = f"""{DENSE_SQL}, b AS (SELECT term, min(CASE WHEN raw_freq > 0 THEN month END) AS first_seen, min(CASE WHEN raw_freq > 0 AND month >= '1999-09' THEN month END) AS trend_first_seen, max(weighted_freq) AS peak_value, arg_min(n, (-weighted_freq, n)) AS peak_n,
@@ -162,16 +167,16 @@ def pub_preprint_top(spark, d):
     return summed.orderBy(F.desc("gap"), "term").limit(20).select("term", F.round("gap", 5).alias("gap"))
 
 
-_SIDES = f"""WITH a AS ({_side('published').replace('raw_share, momentum', 'raw_share, momentum, raw_freq')}), b AS ({_side('preprint').replace('raw_share, momentum', 'raw_share, momentum, raw_freq')}), g AS (SELECT coalesce(a.term, b.term) AS term, coalesce(a.momentum, 0) AS heat, coalesce(b.momentum, 0) AS rise, coalesce(a.raw_freq, 0) AS pub_n, coalesce(b.raw_freq, 0) AS pre_n,
+_SIDES = f"""WITH {t.TERMS_SQL}, pc AS (SELECT normalized_term AS term FROM terms_v GROUP BY 1 HAVING max(display_eligible) = 1 AND count(*) FILTER (term_type IN ('method', 'material')) = 0), a AS ({_side('published').replace('raw_share, momentum', 'raw_share, momentum, raw_freq')}), b AS ({_side('preprint').replace('raw_share, momentum', 'raw_share, momentum, raw_freq')}), g AS (SELECT coalesce(a.term, b.term) AS term, coalesce(a.momentum, 0) AS heat, coalesce(b.momentum, 0) AS rise, coalesce(a.raw_freq, 0) AS pub_n, coalesce(b.raw_freq, 0) AS pre_n,
  greatest(coalesce(b.raw_share, 0) - coalesce(a.raw_share, 0), 0) * (1 + coalesce(b.momentum, 0)) AS gap FROM a FULL JOIN b ON a.term = b.term AND a.month = b.month),
-s AS (SELECT term, round(sum(heat), 6) AS heat, round(sum(rise), 6) AS rise, round(sum(gap), 6) AS gap, CAST(sum(pub_n) AS BIGINT) AS pub_n, CAST(sum(pre_n) AS BIGINT) AS pre_n FROM g GROUP BY 1),
+s AS (SELECT term, round(sum(heat), 6) AS heat, round(sum(rise), 6) AS rise, round(sum(gap), 6) AS gap, CAST(sum(pub_n) AS BIGINT) AS pub_n, CAST(sum(pre_n) AS BIGINT) AS pre_n FROM g SEMI JOIN pc USING (term) GROUP BY 1),
 k AS (SELECT 'published_heat' AS ranking, term, heat AS score, row_number() OVER (ORDER BY heat DESC, term) AS rank FROM s WHERE pub_n >= 2 UNION ALL SELECT 'preprint_rising', term, rise, row_number() OVER (ORDER BY rise DESC, term) FROM s WHERE pre_n >= 1
  UNION ALL SELECT 'validation_gap', term, gap, row_number() OVER (ORDER BY gap DESC, term) FROM s WHERE pre_n >= 1 UNION ALL SELECT 'cooling_published', term, heat, row_number() OVER (ORDER BY heat, pub_n DESC, term) FROM s WHERE pub_n >= 2)"""
 
 
 @query("pub_preprint_rankings", f"{_SIDES} SELECT ranking, CAST(rank AS INTEGER) AS rank, term, score FROM k WHERE rank <= 20")
 def pub_preprint_rankings(spark, d):
-    return se.side_rankings(*sides(spark, d), 20)
+    return se.side_rankings(*sides(spark, d), 20, shown(spark, d).filter("concept_class = 'physics_concept'"))
 
 
 def pairs_of(spark, d):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from papertide.operators import acquisition, entities, providers, records, series, windows
+from papertide.operators import acquisition, entities, fields, providers, records, series, windows
 
 
 def test_category_comes_before_hard_terms_keywords_and_exclusions(spark):
@@ -149,3 +149,90 @@ def test_papers_without_a_task(spark):
     tasks = spark.createDataFrame([("1", 1, "failed"), ("1", 2, "completed")], "paper_id string, attempt_number int, status string")
     got = sorted(tuple(r) for r in records.latest_status(spark.createDataFrame([("1",), ("2",)], "paper_id string"), tasks, F.col("attempt_number")).collect())
     assert got == [("1", "completed", 2), ("2", "not_requested", 0)]
+
+
+def test_scraps_and_plain_methods_among_terms(spark):
+    rows = [("transport", "method", 1.0), ("transport", "concept", 1.0), ("physics quantum-matter", "concept", 1.0), ("physics quantum Hall", "concept", 1.0), ("quantum state", "concept", 1.0), ("ARPES", "method", 1.0), ("odd words", "concept", 0.6), ("odd words", "concept", 0.7), ("Fe", "material", 1.0)]
+    df = spark.createDataFrame(rows, "term string, term_type string, confidence double")
+    got = [(r["display_reason"], r["display_eligible"]) for r in entities.eligibility(df, ["transport", "quantum", "state"], ["physics quantum hall"], ["arpes"], ("physics quantum",), ("transport",)).collect()]
+    assert got == [
+        ("method_dictionary", 1), ("generic_term", 0), ("broken_ngram", 0), ("canonical_phrase", 1), ("generic_ngram", 0), ("method_dictionary", 1), ("weak_candidate", 0), ("not_canonical", 0), ("too_short", 0),
+    ]
+
+
+def test_topics_alone_do_not_keep_papers_of_generalist_journals(spark):
+    topic = "struct<id:string,display_name:string,score:double,subfield:struct<id:string,display_name:string>>"
+    at = lambda i, score, sub: (i, None, score, (sub, None))
+    ours, away = "https://x.org/subfields/3104/", "https://x.org/subfields/3100"
+    rows = [
+        ([at("t", 0.36, ours)], at("t", 0.1, ours), "PRB", False), ([at("u", 0.36, ours)], at("t", 0.1, ours), "PRB", False), ([at("u", 0.45, ours)], at("t", 0.9, away), "PRB", None), ([at("u", 0.45, ours)], at("t", 0.9, away), " big  Journal", False),
+        ([at("u", 0.45, ours)], None, "Big Journal", True), ([], None, "Big Journal", True), (None, None, None, None), ([at("", 0.44, ours)], at("", 0.1, ours), "PRB", False),
+    ]
+    df = spark.createDataFrame(rows, f"topics array<{topic}>, primary_topic {topic}, journal string, by_text boolean")
+    got = [(r["topic_keep"], r["generalist_only"], r["passes"]) for r in providers.topic_gate(df, "3104", F.col("by_text"), ["Big Journal"]).collect()]
+    assert got == [(True, False, True), (False, False, False), (True, False, True), (True, True, False), (True, False, True), (False, False, True), (False, False, False), (False, False, False)]
+
+
+def test_primary_fields(spark):
+    topic = "struct<display_name:string,subfield:struct<id:string>>"
+    rows = [
+        ("1", ["hep-th", "cond.soft"], None, "superconductor", None), ("2", ["cond.new"], None, None, None), ("3", None, ("Mott and Kondo pairing", ("x/3104",)), "polymer polymer", "colloid"), ("4", [], ("nothing", ("3104/",)), "polymer", ""),
+        ("5", [], ("polymer", ("x/1",)), "On SPIN ice", "colloid"), ("6", None, None, None, None), ("7", None, None, "pairing", "polymer"), ("8", None, None, "x", None),
+    ]
+    papers = spark.createDataFrame(rows, f"paper_id string, categories array<string>, primary_topic {topic}, title string, abstract string")
+    terms = spark.createDataFrame([("5", "polymer"), ("5", "spin"), ("3", "polymer"), ("8", "Kondo"), ("9", "Kondo"), ("7", None)], "paper_id string, term string")
+    words = {"super": ("superconduct", "pairing"), "strong": ("mott", "kondo", "spin"), "soft": ("polymer", "colloid")}
+    found = fields.primary_field(papers, terms, {"cond.soft": "soft"}, "cond.", "other", "3104", words)
+    assert {r["paper_id"]: (r["field"], r["evidence"]) for r in found.collect()} == {
+        "1": ("soft", "direct"), "2": ("other", "direct"), "3": ("strong", "direct"), "4": ("other", "direct"), "5": ("soft", "inferred"), "6": ("unclassified", "unclassified"), "7": ("super", "inferred"), "8": ("strong", "inferred"),
+    }
+    assert {r["field"]: tuple(r)[1:] for r in fields.field_distribution(found).collect()} == {"soft": (2, 1, 1, 0), "other": (2, 2, 0, 0), "strong": (2, 1, 1, 0), "super": (1, 0, 1, 0), "unclassified": (1, 0, 0, 1)}
+    assert fields.primary_field(papers.limit(0), terms, {}, "cond.", "other", "3104", words).count() == 0
+
+
+def test_heatmap_of_allowed_classes(spark):
+    rows = [("a", "2024-01", 1, 3.0), ("a", "2024-02", 1, 0.0), ("m", "2024-01", 9, 9.0), ("rare", "2024-01", 1, 8.0), ("b", "2024-02", 2, 1.0), ("b", "2023-12", 2, 50.0), ("hidden", "2024-01", 5, 5.0)]
+    stats = spark.createDataFrame(rows, "term string, month string, raw_freq long, momentum double")
+    shown = spark.createDataFrame([("a", "physics_concept"), ("m", "method"), ("rare", None), ("b", None)], "term string, concept_class string")
+    cells = lambda **k: sorted(tuple(r) for r in series.heatmap(stats, "2024-01", "2024-02", "momentum", shown, **k).collect())
+    assert cells(without=("method",)) == [("a", "2024-01", 3.0), ("b", "2024-02", 1.0)] and cells(top=1) == [("m", "2024-01", 9.0)] and cells(concept_class="physics_concept") == [("a", "2024-01", 3.0)]
+    assert [c[0] for c in cells(min_count=0)] == ["a", "b", "m", "rare"]
+
+
+def test_comparison_is_smoothed_after_the_z_score(spark):
+    df = spark.createDataFrame([("a", "2024-01", 1.0), ("a", "2024-02", 3.0), ("b", "2024-01", 5.0), ("b", "2024-02", 5.0)], "term string, month string, v double")
+    values = lambda how: {(r["term"], r["month"]): round(r["value"], 6) for r in series.compare(df, ["term"], "v", how).collect()}
+    assert values("raw") == {("a", "2024-01"): -1.0, ("a", "2024-02"): 1.0, ("b", "2024-01"): 0.0, ("b", "2024-02"): 0.0}
+    assert values("rolling_3")["a", "2024-02"] == 0.0 and values("ewma")["a", "2024-02"] == -0.3
+
+
+def test_rankings_hold_concepts_only(spark):
+    side = spark.createDataFrame([("a", "2024-01", 0.1, 1.0, 2), ("method", "2024-01", 0.9, 9.0, 9)], "term string, month string, raw_share double, momentum double, raw_freq long")
+    assert {r["term"] for r in series.side_rankings(side, side, 5, spark.createDataFrame([("a",)], "term string")).collect()} == {"a"}
+
+
+def test_hits_of_a_paper_become_one(spark):
+    hits = spark.sql("select * from values ('m', '1', 'v1', 'h1', date'2024-01-02', date'2024-03-01', 2L), ('m', '1', 'v2', 'h2', date'2024-01-05', date'2024-01-06', 3L), ('m', '1', 'v3', 'h0', date'2024-01-05', null, 1L), ('n', '1', null, 'h3', null, null, 1L) as t(monitor_id, paper_id, version_id, hit_id, first_matched, last_matched, matches)")
+    versions = spark.createDataFrame([("v1", "preprint"), ("v2", "published"), ("v3", "publication")], "version_id string, version_type string")
+    got = sorted((r["monitor_id"], str(r["first_matched"]), str(r["last_matched"]), r["matches"], r["hit_id"], r["version_type"]) for r in records.hit_rollup(hits, versions).collect())
+    assert got == [("m", "2024-01-02", "2024-03-01", 6, "h2", "published"), ("n", "None", "None", 1, "h3", None)]
+
+
+def test_due_and_requeued_tasks(spark):
+    rows = [("a", "pending", 1, "2024-01-03", None, None, "x", 0), ("b", "retryable_failed", 5, "2024-01-02", "2024-02-01", "[timeout] t", "x", 2), ("c", "retryable_failed", 5, "2024-01-01", "2024-03-01", None, None, 3), ("d", "manual_review", 9, "2024-01-01", None, "[denied] no", "y", 4), ("e", "completed", 9, "2024-01-01", None, None, "y", 1), ("f", "retryable_failed", 5, "2024-01-01", None, "", "y", 1)]
+    tasks = spark.createDataFrame(rows, "task_id string, status string, priority int, created_at string, next_attempt_at string, last_error string, source string, attempt_count int").withColumn("updated_at", F.col("created_at"))
+    assert [r["task_id"] for r in records.due_tasks(tasks, F.lit("2024-02-01"), 9).collect()] == ["f", "b", "a"]
+    attempts = spark.createDataFrame([("c", 1, 1, "denied"), ("c", 2, 1, "denied"), ("c", 2, 2, "timeout"), ("e", 1, 1, "timeout"), ("f", 1, 1, "timeout"), ("f", 2, 1, "denied")], "task_id string, attempt_number int, candidate_index int, failure_class string")
+    again = lambda **k: sorted(r["task_id"] for r in records.requeue(tasks, attempts, **k).collect() if r["status"] == "pending" and r["task_id"] != "a")
+    assert again(failure_classes=("timeout",)) == ["b", "c"] and again(failure_classes=("denied",)) == ["d", "f"] and again(sources=("y",)) == ["d", "f"] and again() == ["b", "c", "d", "f"]
+    ids = spark.createDataFrame([("d",), ("e",), ("b",)], "task_id string")
+    assert again(ids=ids) == ["b", "d"] and again(ids=ids, limit=1) == ["d"] and again(ids=ids.limit(0)) == [] and again(limit=1) == ["c"]
+    row = records.requeue(tasks, attempts, ids=ids).filter("task_id = 'd'").first()
+    assert (row["attempt_count"], row["last_error"], row["source"], row["priority"]) == (0, None, None, 9)
+
+
+def test_materials_by_attributes_and_aliases(spark):
+    materials = spark.createDataFrame([(1, "MoS2", None, "2H", None, None), (2, "x", "TMD family", None, None, "moS"), (3, "y", None, None, "bulk", None)], "material_id int, canonical_name string, material_family string, phase string, thickness string, composition string")
+    aliases = spark.createDataFrame([(3, "Molybdenum"), (1, "Molybdenite"), (4, None)], "material_id int, alias string")
+    ids = lambda word: sorted(r[0] for r in entities.material_search(materials, aliases, word).collect())
+    assert ids(" MOS ") == [1, 2] and ids("molyb") == [1, 3] and ids("bulk") == [3] and ids("") == [1, 2, 3] and ids("zz") == []

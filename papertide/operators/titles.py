@@ -95,7 +95,8 @@ def near_titles(asked: DataFrame, known: DataFrame, ratio: float = TITLE_RATIO,
     d = F.floor((a + b) * F.lit(1 - ratio) + 1e-9)
     shift = F.col("place") - F.col("start")
     fits = (2 * F.least(a, b) >= ratio * (a + b) - 1e-9) & (2 * shift <= d + (a - b)) & (2 * shift >= (a - b) - d) & (F.col("asked") != F.col("known"))
-    met = windows.join(_pieces(right, ratio), "text").filter(fits).select("asked", "known").distinct()
+    # texts weigh far more in memory than in compressed files, by whose size a broadcast would be chosen: all joins on titles are merge joins
+    met = windows.join(_pieces(right, ratio).hint("merge"), "text").filter(fits).select("asked", "known").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,33 +128,34 @@ def first_come_groups(records: DataFrame, save: Callable[[DataFrame], DataFrame]
     decided = rows
     for name in ("doi", "arxiv", "title"):
         first = rows.filter(F.col(f"{name}_key").isNotNull()).groupBy(f"{name}_key").agg(F.min("id").alias(f"_{name}"))
-        decided = decided.join(first, f"{name}_key", "left")
+        decided = decided.join(first.hint("merge"), f"{name}_key", "left")
     earlier = lambda n: F.col(f"_{n}") < F.col("id")
     rule = F.when(earlier("doi"), "doi").when(earlier("arxiv"), "arxiv").when(earlier("title"), "title")
     parent = F.when(earlier("doi"), F.col("_doi")).when(earlier("arxiv"), F.col("_arxiv")).when(earlier("title"), F.col("_title"))
     decided = save(decided.select("id", "title_key", parent.alias("parent"), rule.alias("rule")))
-    open_rows = decided.filter("parent is null and title_key is not null").select("id", "title_key")
+    open_rows = decided.filter("parent is null").filter(F.char_length("title_key").between(shortest, LONGEST_TITLE)).select("id", "title_key")
     titles = open_rows.select("title_key")
     near = near_titles(titles, titles, ratio, shortest)
-    named = near.join(open_rows.select(F.col("id").alias("a"), F.col("title_key").alias("asked")), "asked").join(open_rows.select(F.col("id").alias("b"), F.col("title_key").alias("known")), "known")
+    named = near.join(open_rows.select(F.col("id").alias("a"), F.col("title_key").alias("asked")).hint("merge"), "asked")
+    named = named.join(open_rows.select(F.col("id").alias("b"), F.col("title_key").alias("known")).hint("merge"), "known")
     edges = save(named.filter("b < a").select("a", "b"))  # the later record asks
     joined = None
     while not edges.isEmpty():
-        starts = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_anti")  # no earlier neighbour is left
-        marked = edges.join(starts.select("b", F.lit(True).alias("_starts")), "b", "left")
+        starts = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_anti")  # no earlier neighbour is left
+        marked = edges.join(starts.select("b", F.lit(True).alias("_starts")).hint("merge"), "b", "left")
         firsts = marked.groupBy("a").agg(F.min("b").alias("b"), F.min_by("_starts", "b").alias("_starts"))
         found = save(firsts.filter("_starts").select("a", "b"))
         joined = found if joined is None else joined.unionByName(found)
         gone = found.select("a")
-        edges = edges.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b")
+        edges = edges.join(gone.hint("merge"), "a", "left_anti").join(gone.withColumnRenamed("a", "b").hint("merge"), "b", "left_anti").select("a", "b")
         edges = save(edges)
     links = decided.select("id", "parent", "rule")
     if joined is not None:
-        links = links.join(joined.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("parent", "b").alias("parent"), F.when(F.col("b").isNotNull(), "near_title").otherwise(F.col("rule")).alias("rule"))
+        links = links.join(joined.withColumnRenamed("a", "id").hint("merge"), "id", "left").select("id", F.coalesce("parent", "b").alias("parent"), F.when(F.col("b").isNotNull(), "near_title").otherwise(F.col("rule")).alias("rule"))
     at = save(links.select("id", F.coalesce("parent", "id").alias("group"), F.coalesce("rule", F.lit("new")).alias("rule")))
     while True:  # parents of parents, twice as far in each round
         up = at.select(F.col("id").alias("group"), F.col("group").alias("_up"))
-        step = save(at.join(up, "group").select("id", F.col("_up").alias("group"), "rule", (F.col("_up") != F.col("group")).alias("_moved")))
+        step = save(at.join(up.hint("merge"), "group").select("id", F.col("_up").alias("group"), "rule", (F.col("_up") != F.col("group")).alias("_moved")))
         at = step.drop("_moved")
         if step.filter("_moved").isEmpty():
             return at

@@ -115,6 +115,24 @@ def near_titles(asked: DataFrame, known: DataFrame, ratio: float = TITLE_RATIO,
     return met.mapInArrow(run, "asked string, known string, ratio double")
 
 
+def one_off_titles(asked: DataFrame, known: DataFrame, shortest: int = FUZZY_CHARS) -> DataFrame:
+    """(asked, known) of all distinct titles of ``shortest`` characters or more, however long, of which one has one character more than the other and is equal else.
+
+    Nothing is lost: the character stands in one half, so the other half is equal in both. Halves meet by hash, with the shorter title's length;
+    what meets is compared in time of its length.
+    """
+
+    def halves(titles: DataFrame, name: str, more: int) -> DataFrame:
+        n = F.char_length(name) - more
+        h = F.floor(n / 2).cast("int")
+        keys = F.array(F.xxhash64(F.lit("first"), n, F.substring(F.col(name), F.lit(1), h)), F.xxhash64(F.lit("last"), n, F.substring(F.col(name), h + 1 + more, n - h)))
+        return titles.select(name, F.explode(keys).alias("half"))
+
+    left, right = (df.toDF(name).filter(F.char_length(name) >= shortest).distinct() for df, name in ((asked, "asked"), (known, "known")))
+    met = [halves(left, "asked", a).join(halves(right, "known", b).hint("merge"), "half").select("asked", "known") for a, b in ((0, 1), (1, 0))]
+    return met[0].unionByName(met[1]).filter(F.levenshtein("asked", "known", 1) == 1).distinct()
+
+
 def first_come_groups(records: DataFrame, save: Callable[[DataFrame], DataFrame], ratio: float = TITLE_RATIO, shortest: int = FUZZY_CHARS) -> DataFrame:
     """id, group (id of its first record), rule of records (id in order of arrival, doi_key, arxiv_key, title_key): what taking them one after
     the other gives.

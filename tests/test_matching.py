@@ -93,3 +93,13 @@ def test_receipts(spark):
     assert got == {
         "a": ("receipt_missing", None), "b": ("receipt_invalid", None), "c": ("receipt_schema_mismatch", None), "d": ("source_changed", None), "e": ("imported", "now"), "f": ("source_unreadable", None)
     }
+
+
+def test_long_titles_without_one_character_are_candidates(spark):
+    title = "band structure of layered quantum materials and the like " * 12
+    row = lambda i, t: (i, None, None, t, ["A B"], 2001, None)
+    schema = "id long, doi_key string, arxiv_key string, title_key string, authors array<string>, year int, reference string"
+    asked, known = spark.createDataFrame([row(1, title[:200] + title[201:])], schema), spark.createDataFrame([row(2, title), row(4, title)], schema)
+    got = [tuple(r) for r in matching.score_pairs(matching.candidate_pairs(asked, known, fuzzy=True)).select("left_id", "right_id", "rule", "confidence").collect()]
+    n = len(title)
+    assert got == [(1, 2, "title_similarity_review", 2 * (n - 1) / (2 * n - 1))]

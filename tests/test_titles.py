@@ -103,3 +103,27 @@ def test_chain_of_near_titles(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "id long, doi_key string, arxiv_key string, title_key string")
     assert titles.first_come_groups(df, lambda d: saved(d, "groups")).collect() == []
+
+
+def test_titles_are_never_broadcast(spark):
+    """Compressed files look small; the titles in them may not fit the driver."""
+    rows = [(i, None, None, f"title number {i} of a corpus") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, doi_key string, arxiv_key string, title_key string")
+    plans = []
+
+    def kept(d):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return saved(d, "groups")
+
+    assert titles.first_come_groups(df, kept).count() == 20
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_one_character_more_or_less_at_any_length(spark):
+    r = random.Random(5)
+    long, plain = words(r, 900), "aab bba " * 40  # only frequent characters: the matcher finds nothing in such texts
+    known = [long, plain.strip(), "a title of some length", "short"]
+    asked = [long[:k] + long[k + 1 :] for k in (0, 1, len(long) // 2, len(long) // 2 + 1, len(long) - 1)] + [plain.strip()[1:], "a title of some lengths", "a title of same length", "a title of some leng", "shor", long]
+    df = lambda x: spark.createDataFrame([(i,) for i in [*x, None]], "t string")
+    got = {(x["asked"], x["known"]) for x in titles.one_off_titles(df(asked), df(known)).collect()}
+    assert got == {(a, long) for a in asked[:5]} | {(asked[5], known[1]), (asked[6], known[2])}

@@ -172,20 +172,30 @@ def merge_components(rooted: DataFrame, filled: list[str]) -> DataFrame:
     return rooted.groupBy("root").agg(F.max_by("id", quality).alias("paper_id"), F.min("pub_date").alias("created_at"), F.max("pub_date").alias("last_seen_at"), (F.count("*") - 1).alias("aliases"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used; inside functions on arrays a plain column would be computed at each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def author_identity(name: Column) -> Column:
     """``last:initials``: the last word, or that before a comma, and the first letters of all words but the last, three at most."""
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("([a-z]+)"), F.lit(1))
-    every = words(name)
-    last = F.when(F.contains(name, F.lit(",")), F.coalesce(F.try_element_at(words(F.split_part(name, F.lit(","), F.lit(1))), F.lit(-1)), F.get(every, F.lit(0)))).otherwise(F.try_element_at(every, F.lit(-1)))
-    initials = F.array_join(F.transform(F.slice(every, 1, F.greatest(F.size(every) - 1, F.lit(0))), lambda w: F.substring(w, 1, 1)), "")
-    return F.when(F.size(every) > 0, F.concat(last, F.lit(":"), F.substring(initials, 1, 3)))
+
+    def identity(every: Column) -> Column:
+        last = F.when(F.contains(name, F.lit(",")), F.coalesce(F.try_element_at(words(F.split_part(name, F.lit(","), F.lit(1))), F.lit(-1)), F.get(every, F.lit(0)))).otherwise(F.try_element_at(every, F.lit(-1)))
+        initials = F.array_join(F.transform(F.slice(every, 1, F.greatest(F.size(every) - 1, F.lit(0))), lambda w: F.substring(w, 1, 1)), "")
+        return F.when(F.size(every) > 0, F.concat(last, F.lit(":"), F.substring(initials, 1, 3)))
+
+    return _once(words(name), identity)
 
 
 def clean_authors(authors: Column) -> Column:
     """Names with single blanks; of names with the same identity the first stays, names without letters go."""
-    neat = F.filter(F.transform(authors, lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "), " , ", ", "))), lambda x: author_identity(x).isNotNull())
-    keys = F.transform(neat, author_identity)
-    return F.filter(neat, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    blanks = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "), " , ", ", "))
+    named = F.transform(authors, lambda x: _once(blanks(x), lambda y: F.struct(y.alias("name"), author_identity(y).alias("key"))))
+    # names and keys of a row are made once and then only looked at
+    first = lambda pairs: F.filter(pairs, lambda x, i: F.array_position(pairs.getField("key"), x["key"]) == i + 1)
+    return _once(F.filter(named, lambda x: x["key"].isNotNull()), lambda pairs: first(pairs).getField("name"))
 
 
 def link_publications(versions: DataFrame) -> tuple[DataFrame, DataFrame]:

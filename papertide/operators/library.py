@@ -19,11 +19,12 @@ def link_entities(terms: DataFrame, materials: DataFrame) -> DataFrame:
     """paper_id, kind, entity_id, name, confidence: material terms to the dimension ``materials`` (material_id, name) by lower-case name, the
     others to a topic whose id comes from type and name. Of repeated links the surest stays."""
     known = materials.select("material_id", F.lower("name").alias("_k")).groupBy("_k").agg(F.min("material_id").alias("entity_id"))
-    rows = terms.withColumn("_k", F.lower("normalized_term"))
-    named = rows.filter("term_type = 'material'").join(known, "_k").select("paper_id", F.lit("material").alias("kind"), "entity_id", F.col("normalized_term").alias("name"), "confidence")
-    topic = F.md5(F.concat_ws(":", "term_type", "_k").cast("binary"))
-    topics = rows.filter("term_type <> 'material'").select("paper_id", F.lit("topic").alias("kind"), topic.alias("entity_id"), F.col("normalized_term").alias("name"), "confidence")
-    return named.union(topics).groupBy("paper_id", "kind", "entity_id").agg(F.min("name").alias("name"), F.max("confidence").alias("confidence"))
+    material = F.col("term_type") == "material"
+    # one left join: rows stay dealt by paper, which two halves put together again would not
+    rows = terms.withColumn("_t", F.lower("normalized_term")).withColumn("_k", F.when(material, F.col("_t"))).join(known, "_k", "left")
+    topic = F.md5(F.concat_ws(":", "term_type", "_t").cast("binary"))
+    links = rows.select("paper_id", F.when(material, "material").otherwise("topic").alias("kind"), F.when(material, F.col("entity_id")).otherwise(topic).alias("entity_id"), F.col("normalized_term").alias("name"), "confidence")
+    return links.filter("entity_id is not null").groupBy("paper_id", "kind", "entity_id").agg(F.min("name").alias("name"), F.max("confidence").alias("confidence"))
 
 
 def seed_versions(papers: DataFrame, existing: DataFrame, providers: tuple[str, ...] = ("openalex", "crossref", "arxiv")) -> DataFrame:

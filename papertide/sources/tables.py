@@ -14,6 +14,16 @@ JOURNALS = (("Journal A", "core", 5.0), ("Journal B", "core", 3.0), ("Journal C"
 UNKNOWN_WEIGHT = 1.5
 
 
+#: Rows of line items that one task groups.
+ROWS_A_TASK = 250_000
+
+
+def dealt(rows: DataFrame, key: str, n: int, most: int = ROWS_A_TASK) -> DataFrame:
+    """``rows``, made of ``n`` rows of a table, dealt by ``key``. The number of parts follows n: parts whose number the engine chooses are merged by the size of compressed
+    rows, so what a task groups would grow with the input."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // most)), key)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,14 +53,16 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct rows; dealt by paper, which serves the distinct and the joins on the paper with one shuffle."""
     l, day = F.col, F.col("l_shipdate").cast("date")
-    return read(spark, sf_dir, "lineitem").select(
+    items = read(spark, sf_dir, "lineitem")
+    rows = items.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("version_id"),
         l("l_orderkey").cast("string").alias("canonical_paper_id"),
         F.when(l("l_returnflag") == "N", "published").when(l("l_returnflag") == "R", "preprint").otherwise("metadata").alias("version_type"),
         F.when(l("l_returnflag") != "R", day).alias("publication_date"),
         F.when(l("l_returnflag") == "R", day).alias("submitted_date"),
         F.when(l("l_suppkey") % 4 == 0, "openalex").when(l("l_suppkey") % 4 == 1, "crossref").when(l("l_suppkey") % 4 == 2, "arxiv").otherwise("legacy").alias("source"),
-    ).repartition("canonical_paper_id").distinct()
+    )
+    return dealt(rows, "canonical_paper_id", items.count()).distinct()
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +71,7 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount")
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     kind = F.explode(F.array(*(F.struct(F.lit(t).alias("term_type"), F.col(c).alias("normalized_term")) for t, c in (("concept", "p_name"), ("material", "p_brand"), ("method", "p_type")))))
-    joined = items.join(parts, items.l_partkey == parts.p_partkey).withColumn("paper_id", F.col("l_orderkey").cast("string")).repartition("paper_id")
+    joined = dealt(items.join(parts, items.l_partkey == parts.p_partkey).withColumn("paper_id", F.col("l_orderkey").cast("string")), "paper_id", items.count())
     rows = joined.select("paper_id", kind.alias("k"), (1 - F.col("l_discount") * 5).alias("confidence"), F.when(F.col("p_size") % 5 != 0, 1).otherwise(0).alias("elig"))
     return rows.groupBy("paper_id", F.col("k.term_type").alias("term_type"), F.col("k.normalized_term").alias("normalized_term")).agg(
         F.max("confidence").alias("confidence"), F.max("elig").alias("display_eligible")

@@ -20,7 +20,7 @@ NO_FORMULAS = ("H2O", "CO2", "O2", "N2", "NH3", "CH4", "NO", "NO2")
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; hyphens and other marks part words."""
-    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " ")), " "), "")
 
 
 def phrases(words: str, longest: int = 4) -> Column:
@@ -179,7 +179,9 @@ def relevance(docs: DataFrame, prompt: str, texts: list[str], abstract: str, lin
 
 def postings(docs: DataFrame, text: str) -> DataFrame:
     """token, doc_id, tf, length (words of the document)."""
-    worded = docs.select("doc_id", tokens(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("length"), F.explode("w").alias("token"))
+    # the length is made before the words become rows, else each row would carry all words of its document
+    sized = docs.select("doc_id", tokens(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("length"), "w")
+    worded = sized.select("doc_id", "length", F.explode("w").alias("token"))
     return worded.groupBy("token", "doc_id", "length").agg(F.count("*").alias("tf"))
 
 
@@ -299,12 +301,11 @@ def inverted_index_to_text(index: Column) -> Column:
     entries = F.map_entries(index)
     places = F.flatten(F.transform(entries, lambda e, o: F.transform(e["value"], lambda p: F.struct(p.alias("p"), o.alias("o"), e["key"].alias("w")))))
     # sorted by place and falling order, the first of a place stands
-    ordered = F.array_sort(F.transform(places, lambda x: F.struct(x["p"].alias("p"), (-x["o"]).alias("o"), x["w"].alias("w"))))
-    words = F.aggregate(
-        ordered, F.struct(F.lit(None).cast("int").alias("p"), F.array().cast("array<string>").alias("w")),
-        lambda acc, x: F.when(acc["p"].eqNullSafe(x["p"].cast("int")), acc).otherwise(F.struct(x["p"].cast("int").alias("p"), F.concat(acc["w"], F.array(x["w"])).alias("w"))),
-    )
-    return F.coalesce(F.array_join(words["w"], " "), F.lit(""))
+    ordered = F.sort_array(F.transform(places, lambda x: F.struct(x["p"].alias("p"), (-x["o"]).alias("o"), x["w"].alias("w"))))
+    # sorted once and bound by a name; words are picked, not put one behind the other, which would copy the text at each word
+    first = lambda xs: F.filter(xs, lambda x, i: (i == 0) | ~F.get(xs, i - 1)["p"].eqNullSafe(x["p"]))
+    words = F.get(F.transform(F.array(ordered), lambda xs: first(xs).getField("w")), F.lit(0))
+    return F.coalesce(F.array_join(words, " "), F.lit(""))
 
 
 def translation_plan(texts: DataFrame, done: DataFrame) -> DataFrame:

@@ -109,10 +109,16 @@ def bm25(spark, d):
     return rounded(op.bm25_texts(t.read(spark, d, "documents"), "text", "the of"), "score")
 
 
+def texts(spark, d):
+    """Texts dealt by document in small parts: what one task groups is bounded, and postings of a document need no further shuffle."""
+    docs = t.read(spark, d, "documents").select("doc_id", "text")
+    return t.dealt(docs, "doc_id", docs.count(), 2_500)
+
+
 @query("bm25_index", f"""{_POSTINGS}, n AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc_id, length FROM post)), h AS (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM post WHERE token IN ('is', 'and'))
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h, n GROUP BY 1 HAVING count(*) = 2""")
 def bm25_index(spark, d):
-    docs = t.read(spark, d, "documents")
+    docs = texts(spark, d)
     totals = docs.select(F.size(op.tokens(F.col("text"))).alias("length")).filter("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     return rounded(op.bm25(op.postings(docs, "text"), totals, "and is"), "score")
 
@@ -139,7 +145,7 @@ def file_dedup(spark, d):
 @query("src_inverted_index", "SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') AS text FROM documents")
 def src_inverted_index(spark, d):
     words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: x != "")
-    placed = t.read(spark, d, "documents").select("doc_id", F.posexplode(words).alias("p", "w"))
+    placed = texts(spark, d).select("doc_id", F.posexplode(words).alias("p", "w"))
     index = placed.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return index.select("doc_id", op.inverted_index_to_text(F.col("index")).alias("text"))
 
@@ -204,7 +210,7 @@ def rebuild_terms(spark, d):
 
 @query("postings_refresh", f"{_POSTINGS} SELECT doc_id, max(length) AS length, count(*) AS tokens, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY 1")
 def postings_refresh(spark, d):
-    docs = t.read(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d)
     stale = docs.filter("doc_id % 4 <> 0").withColumn("text", F.when(F.col("doc_id") % 8 == 1, "an older text").otherwise(F.col("text")))
     index = op.refresh_postings(op.postings(stale, "text"), docs, "text", docs.filter("doc_id % 8 = 1").select("doc_id"))
     return index.groupBy("doc_id").agg(F.max("length").alias("length"), F.count("*").alias("tokens"), F.sum("tf").alias("tf"))

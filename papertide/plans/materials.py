@@ -42,6 +42,10 @@ y AS (SELECT *, trim(regexp_replace(CASE WHEN field = 'title' THEN title ELSE ab
 ev_v AS (SELECT doc_id, material, family, CASE WHEN starts_with(detector, 'formula_ner') THEN 'paper_text_formula' ELSE 'paper_text_registry' END AS source, field, CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 110), pos + length(material) + 190 - greatest(1, pos - 110)) ELSE substr(text, 1, 360) END AS snippet FROM z)"""
 
 
+#: Bytes of a batch of texts that crosses to Python.
+BATCH_BYTES = 4 << 20
+
+
 def named(spark, d):
     seeds = F.array(*map(F.lit, MARKED))
     seed = lambda n: F.element_at(seeds, (n % 14 + 1).cast("int"))
@@ -51,8 +55,10 @@ def named(spark, d):
 
 
 def flat(spark, d):
-    """The flattened texts, made once for formulas, phrases and evidence."""
-    return saved(op.flattened(named(spark, d)), "flattened")
+    """The flattened texts, made once for formulas, phrases and evidence. Batches that cross to Python are bounded in bytes, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    docs = named(spark, d)
+    return saved(op.flattened(t.dealt(docs, "doc_id", docs.count(), 2_500)), "flattened")
 
 
 def found(spark, docs):

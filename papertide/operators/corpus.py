@@ -109,11 +109,21 @@ def term_month(papers: DataFrame, terms: DataFrame, journals: DataFrame) -> Data
     journals (number), momentum. Terms are made distinct by paper, then counted by bucket
     and journal before the scopes multiply the rows.
     """
-    held = with_journal(papers, journals).select("paper_id", "month", "journal", "bucket", "weight", "cited_by_count")
+    return term_month_of(term_counts(papers, terms, journals), papers, journals)
+
+
+def term_counts(papers: DataFrame, terms: DataFrame, journals: DataFrame, *parts: str) -> DataFrame:
+    """Papers (n), weight (w) and citations (c) by term, month, bucket and journal, and by further columns of the papers: few rows, from one pass over the terms."""
+    held = with_journal(papers, journals).select("paper_id", "month", "journal", "bucket", "weight", "cited_by_count", *parts)
     once = terms.select("paper_id", F.col("normalized_term").alias("term")).distinct()
-    small = once.join(held, "paper_id").groupBy("term", "month", "bucket", "journal").agg(
+    return once.join(held, "paper_id").groupBy("term", "month", "bucket", "journal", *parts).agg(
         F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.coalesce("cited_by_count", F.lit(0))).alias("c")
     )
+
+
+def term_month_of(small: DataFrame, papers: DataFrame, journals: DataFrame) -> DataFrame:
+    """``term_month`` from the ``term_counts`` of the same papers."""
+    held = with_journal(papers, journals).select("month", "bucket", "weight")
     wide = with_scopes(small).groupBy("term", "month", "corpus_scope").agg(
         F.sum("n").alias("raw_freq"), F.sum("w").alias("weighted_freq"), F.sum("c").alias("citation_sum"), F.countDistinct("journal").alias("journals")
     )

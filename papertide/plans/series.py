@@ -9,6 +9,7 @@ from papertide.operators import series as se
 from papertide.plans.corpus import STATS_SQL, rounded, stats
 from papertide.plans.registry import query
 from papertide.sources import tables as t
+from papertide.sources.scratch import saved
 
 FIRST, LAST, TREND = "1995-01", "2001-08", "1999-09"
 #: Dense calendar of all terms in scope ``all``.
@@ -143,8 +144,11 @@ def lifecycle_summary(spark, d):
 
 
 def sides(spark, d):
-    papers, terms, journals = t.papers(spark, d), t.terms(spark, d), t.journals(spark)
-    return [op.term_month(papers.filter(F.col("source_scope") == s), terms, journals).filter("corpus_scope = 'all'") for s in ("published", "preprint")]
+    """Published and preprint statistics from one pass over the terms."""
+    papers, journals = t.papers(spark, d), t.journals(spark)
+    counts = saved(op.term_counts(papers, t.terms(spark, d), journals, "source_scope"), "sides")
+    own = lambda df, s: df.filter(F.col("source_scope") == s)
+    return [op.term_month_of(own(counts, s), own(papers, s), journals).filter("corpus_scope = 'all'") for s in ("published", "preprint")]
 
 
 def _side(scope: str) -> str:

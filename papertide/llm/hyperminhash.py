@@ -209,7 +209,8 @@ def _signatures(every: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFr
     bucket = F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)).cast("int")
     rows = every.select("hi", "lo", known.alias("_id"), "regs", "bits").withColumn("_bucket", bucket)
     some = rows.join(F.broadcast(ids.select(bucket.alias("_bucket")).distinct()), "_bucket", "left_semi")
-    return written(some.join(ids, ["hi", "lo", "_id"]).dropDuplicates(["node"]).select("node", "regs", "bits"), "near-signatures")
+    found = some.join(ids, ["hi", "lo", "_id"]).dropDuplicates(["hi", "lo", "_id"])  # one row a node, where the join has dealt it
+    return written(found.select("node", "regs", "bits"), "near-signatures")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -245,8 +246,9 @@ def _full_sets(rows: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "hi", "lo", F.col("least_id").alias("doc_id")), "node"), "near-ids")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
     some = rows.withColumn("_bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("_bucket")).distinct()), "_bucket", "left_semi").drop("_bucket")
-    found = _map_slices(some.join(wanted, "doc_id").select("node", "hi", "lo", "text"), run, "node long, shingles array<long>")
-    return written(found.dropDuplicates(["node"]), "near-sets")
+    # repeated rows go where the join has dealt them: sets are wider than texts. Texts of one id and set that differ in blanks only repeat a link
+    once = some.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "node", "hi", "lo", "text").distinct().drop("doc_id")
+    return written(_map_slices(once, run, "node long, shingles array<long>"), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

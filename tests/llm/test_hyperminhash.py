@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from papertide.llm import hyperminhash
 from papertide.llm.hyperminhash import REGISTERS, band_keys, band_rows, classes, copies, estimates, near_sets, registers
 
 
@@ -72,6 +73,27 @@ def test_rows_without_an_id_and_repeated_ones(spark):
     assert got == sorted(want, key=str)
 
 
+def test_signatures_and_sets_are_dealt_once(spark, monkeypatch):
+    plans, before = {}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def kept(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    written = hyperminhash.written
+    monkeypatch.setattr(hyperminhash, "written", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus(3, 20)
+        rows += [(rows[0][0], rows[0][1]), (rows[0][0], (rows[0][1] or "") + " ")]  # an id repeated, with other blanks too
+        got = sorted(tuple(x) for x in near_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted(brute(rows))
+    for name in ("near-signatures", "near-sets"):
+        assert plans[name] and not any("hashpartitioning(node" in plan for plan in plans[name])  # they were dealt once more to be made distinct
+
+
 def test_no_rows(spark):
     assert near_sets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -28,6 +28,13 @@ def test_terms_and_versions_are_dealt_by_number(spark):
     assert "], 4" in plan(tables.versions(spark, SF))
 
 
+@given
+@pytest.mark.parametrize("name", ["cooc_nodes", "cooling"])
+def test_term_queries_are_dealt_by_number(spark, name):
+    dealt = [x for x in plan(getattr(series, name)(spark, SF)).splitlines() if "RepartitionByExpression [paper_id" in x]
+    assert dealt and all(x.endswith("], 4") for x in dealt)  # parts of the engine's choice grew with the input
+
+
 def test_links_stay_dealt_by_paper(spark):
     terms = spark.createDataFrame([("p", "material", "Si", 0.5), ("p", "topic", "Spin", 0.7), ("q", "material", "none", 0.9)], "paper_id string, term_type string, normalized_term string, confidence double")
     links = library.link_entities(terms, spark.createDataFrame([("m1", "si")], "material_id string, name string"))

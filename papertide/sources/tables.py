@@ -16,6 +16,8 @@ UNKNOWN_WEIGHT = 1.5
 
 #: Rows of line items that one task groups.
 ROWS_A_TASK = 250_000
+#: Line items that pass one task's parts in a join.
+ITEMS_A_JOIN = 1_000_000
 
 
 def dealt(rows: DataFrame, key: str, n: int, most: int = ROWS_A_TASK) -> DataFrame:
@@ -67,11 +69,14 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over the join; the three kinds of term come from one row each. Rows are dealt by paper before they become
-    three, which serves the grouping and later joins on the paper."""
+    three, which serves the grouping and later joins on the paper. Parts of more rows than one task groups are dealt with their line items, which pass by them unsorted;
+    left to the engine, the join's tasks would be as many at any size, each sort a share of all items and hold it once more for the next shuffle."""
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount")
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    parts, n = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), items.count()
+    if parts.count() > ROWS_A_TASK:
+        items, parts = dealt(items, "l_partkey", n, ITEMS_A_JOIN), dealt(parts, "p_partkey", n, ITEMS_A_JOIN).hint("shuffle_hash")
     kind = F.explode(F.array(*(F.struct(F.lit(t).alias("term_type"), F.col(c).alias("normalized_term")) for t, c in (("concept", "p_name"), ("material", "p_brand"), ("method", "p_type")))))
-    joined = dealt(items.join(parts, items.l_partkey == parts.p_partkey).withColumn("paper_id", F.col("l_orderkey").cast("string")), "paper_id", items.count())
+    joined = dealt(items.join(parts, items.l_partkey == parts.p_partkey).withColumn("paper_id", F.col("l_orderkey").cast("string")), "paper_id", n)
     rows = joined.select("paper_id", kind.alias("k"), (1 - F.col("l_discount") * 5).alias("confidence"), F.when(F.col("p_size") % 5 != 0, 1).otherwise(0).alias("elig"))
     return rows.groupBy("paper_id", F.col("k.term_type").alias("term_type"), F.col("k.normalized_term").alias("normalized_term")).agg(
         F.max("confidence").alias("confidence"), F.max("elig").alias("display_eligible")

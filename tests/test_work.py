@@ -35,6 +35,20 @@ def test_term_queries_are_dealt_by_number(spark, name):
     assert dealt and all(x.endswith("], 4") for x in dealt)  # parts of the engine's choice grew with the input
 
 
+@given
+def test_many_parts_are_dealt_with_their_items(spark, monkeypatch):
+    few = tables.terms(spark, SF)
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 10)
+    monkeypatch.setattr(tables, "ITEMS_A_JOIN", 500, raising=False)
+    many = tables.terms(spark, SF)
+    for key in ("l_partkey", "p_partkey"):
+        n = next(x for x in plan(many).splitlines() if f"RepartitionByExpression [{key}" in x).rsplit(" ", 1)[1]
+        assert int(n) == -(-tables.read(spark, SF, "lineitem").count() // 500)  # as many at any size before
+        assert key not in [x.split("[")[1].split("#")[0] for x in plan(few).splitlines() if "RepartitionByExpression [" in x]
+    assert "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString()  # the sort held a task's share of all items
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_links_stay_dealt_by_paper(spark):
     terms = spark.createDataFrame([("p", "material", "Si", 0.5), ("p", "topic", "Spin", 0.7), ("q", "material", "none", 0.9)], "paper_id string, term_type string, normalized_term string, confidence double")
     links = library.link_entities(terms, spark.createDataFrame([("m1", "si")], "material_id string, name string"))

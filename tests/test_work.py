@@ -49,6 +49,15 @@ def test_many_parts_are_dealt_with_their_items(spark, monkeypatch):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
 
 
+@given
+def test_cooling_deals_many_parts_at_each_look(spark, monkeypatch):
+    few = series.cooling(spark, SF)
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 10)
+    many = series.cooling(spark, SF)
+    assert plan(many).count("RepartitionByExpression [l_partkey") == plan(many).count("RepartitionByExpression [paper_id") > 0
+    assert list(map(tuple, few.collect())) == list(map(tuple, many.collect()))
+
+
 def test_links_stay_dealt_by_paper(spark):
     terms = spark.createDataFrame([("p", "material", "Si", 0.5), ("p", "topic", "Spin", 0.7), ("q", "material", "none", 0.9)], "paper_id string, term_type string, normalized_term string, confidence double")
     links = library.link_entities(terms, spark.createDataFrame([("m1", "si")], "material_id string, name string"))

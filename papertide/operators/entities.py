@@ -296,6 +296,17 @@ def research_only(df: DataFrame, title: str) -> DataFrame:
     return df.filter(~F.lower(F.trim(F.coalesce(title, F.lit("")))).rlike(r"^(erratum|corrigendum|comment on|reply to|publisher.s note|retraction|editorial)"))
 
 
+def word_positions(words: Column) -> Column:
+    """Map of word -> positions of an array of words, made within the row: rows without words have an empty map, and rows of one id stay apart. Null gives null."""
+    ordered = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    # sorted rows and the places where a word begins are bound by a name, as they are looked into at each word
+    starts = lambda xs: F.filter(F.transform(xs, lambda _, i: i), lambda i: (i == 0) | (F.get(xs, i)["w"] != F.get(xs, i - 1)["w"]))
+    places = lambda xs, at, i, k: F.slice(xs, i + 1, F.coalesce(F.get(at, k + 1), F.size(xs)) - i).getField("p")
+    entries = lambda xs, at: F.transform(at, lambda i, k: F.struct(F.get(xs, i)["w"], places(xs, at, i, k)))
+    bound = F.transform(F.array(ordered), lambda xs: F.get(F.transform(F.array(starts(xs)), lambda at: entries(xs, at)), F.lit(0)))
+    return F.map_from_entries(F.get(bound, F.lit(0)))
+
+
 def inverted_index_to_text(index: Column) -> Column:
     """Text from a map of word -> positions; of two words on one place the last of the map wins. Null and empty maps give the empty text."""
     entries = F.map_entries(index)

@@ -144,10 +144,9 @@ def file_dedup(spark, d):
 
 @query("src_inverted_index", "SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') AS text FROM documents")
 def src_inverted_index(spark, d):
-    words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: x != "")
-    placed = texts(spark, d).select("doc_id", F.posexplode(words).alias("p", "w"))
-    index = placed.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return index.select("doc_id", op.inverted_index_to_text(F.col("index")).alias("text"))
+    words = F.filter(F.split(F.regexp_replace("text", r"[ \t\n\f\r]+", " "), " "), lambda x: x != "")
+    index = texts(spark, d).select("doc_id", op.word_positions(words).alias("index"))
+    return index.select("doc_id", F.when(F.col("index").isNotNull(), op.inverted_index_to_text(F.col("index"))).alias("text"))
 
 
 @query("translation_plan", "WITH k AS (SELECT sha256(text) AS key, CAST(max(length(text)) AS BIGINT) AS chars, bool_or(doc_id % 3 = 0) AS done FROM documents GROUP BY 1) SELECT CASE WHEN done THEN 'cached' ELSE 'needed' END AS state, count(*) AS texts, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(ceil(chars / 4)) AS BIGINT) AS tokens FROM k GROUP BY 1")

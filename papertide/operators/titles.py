@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Least ratio of two titles that may be one paper, and shortest and longest normalised title that are compared with unequal ones. What is
-#: longer is running text in the place of a title and meets equal values only.
-TITLE_RATIO, FUZZY_CHARS, LONGEST_TITLE = 0.94, 16, 300
+from papertide.operators.nearness import near_texts
+
+#: Least ratio of two titles that may be one paper, and shortest normalised title that is compared with unequal ones. Longer ones are compared whatever their length.
+TITLE_RATIO, FUZZY_CHARS = 0.94, 16
 
 
 @F.pandas_udf(StringType())
@@ -40,79 +38,14 @@ def folded_names(names: Column) -> Column:
     return F.filter(bare, lambda x: x != "")
 
 
-def longest_partner(n: int, ratio: float) -> int:
-    """Length of the longest title that one of n characters can reach ``ratio`` with: all of the shorter one matches at best."""
-    return int(n * (2 - ratio) / ratio + 1e-9)
-
-
-def pieces(n: int, ratio: float) -> int:
-    """Pieces of a title of n characters of which one at least stands whole in any title within ``ratio``: one more than the
-    characters that can be left out or put in."""
-    return int((1 - ratio) * (n + longest_partner(n, ratio)) + 1e-9) + 1
-
-
-def piece_lengths(shortest: int, ratio: float) -> list[int]:
-    """All lengths that pieces have; a piece is never longer than 1 / (share of characters that may differ)."""
-    least = {n // pieces(n, ratio) for n in range(shortest, shortest + 4000)}
-    top = int(1 / ((1 - ratio) * (1 + (2 - ratio) / ratio))) + 1
-    return list(range(max(1, min(least)), top + 1))
-
-
-def _pieces(titles: DataFrame, ratio: float) -> DataFrame:
-    """known, text, start: the pieces of each title."""
-    n = F.char_length("known")
-    most = F.floor(n * F.lit((2 - ratio) / ratio) + 1e-9)
-    k = (F.floor((n + most) * F.lit(1 - ratio) + 1e-9) + 1).cast("int")
-    cut = lambda j: F.floor(j * n / k).cast("int")
-    rows = titles.withColumn("_j", F.explode(F.sequence(F.lit(0), k - 1)))
-    return rows.select("known", cut(F.col("_j")).alias("start"), F.substring(F.col("known"), cut(F.col("_j")) + 1, cut(F.col("_j") + 1) - cut(F.col("_j"))).alias("text"))
-
-
-def _letters(titles: list[str]) -> np.ndarray:
-    """How often each character code (modulo 64) stands in a title."""
-    out = np.zeros((len(titles), 64), np.int16)
-    for i, t in enumerate(titles):
-        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 63, minlength=64)
-    return out
-
-
-def near_titles(asked: DataFrame, known: DataFrame, ratio: float = TITLE_RATIO, shortest: int = FUZZY_CHARS, longest: int = LONGEST_TITLE, both_ways: bool = False) -> DataFrame:
-    """(asked, known, ratio) of all distinct unequal titles of ``shortest`` to ``longest`` characters whose ratio of matching characters is ``ratio`` or more.
+def near_titles(asked: DataFrame, known: DataFrame, ratio: float = TITLE_RATIO, shortest: int = FUZZY_CHARS, both_ways: bool = False, runs: bool = False) -> DataFrame:
+    """(asked, known, ratio) of all distinct unequal titles of ``shortest`` characters or more, however long, whose ratio of matching characters is ``ratio`` or more (``near_texts``; nothing is lost).
 
-    Nothing is lost: characters matched in both are at most what is left after d deletions and insertions, d = (1 - ratio) (a + b). Of
-    d + 1 pieces of the known title one is whole in the asked one, at a place that d and the lengths bound. So pieces meet all
-    substrings of their lengths in one equi-join, places are checked there, and pairs get their exact ratio after a bound from their letters'
-    counts. ``asked`` and ``known`` have one column of titles each; null titles meet nothing. With ``both_ways`` a pair counts if it
-    reaches ``ratio`` in either order.
+    ``asked`` and ``known`` have one column of titles each; null titles meet nothing. With ``both_ways`` a pair counts if it reaches ``ratio`` in either order, with ``runs`` all of the
+    shorter title matches where the other is the same with a run of characters put in.
     """
-    left = asked.toDF("asked").filter(F.char_length("asked").between(shortest, longest)).distinct()
-    right = known.toDF("known").filter(F.char_length("known").between(shortest, longest)).distinct()
-    n = F.char_length("asked")
-    spans = F.array(*(F.struct(F.lit(size).alias("size"), F.lit(0).alias("o")) for size in piece_lengths(shortest, ratio)))
-    windows = left.withColumn("_s", F.explode(spans)).withColumn("place", F.explode(F.sequence(F.lit(0), F.greatest(n - F.col("_s.size"), F.lit(0)))))
-    windows = windows.select("asked", "place", F.substring(F.col("asked"), F.col("place") + 1, F.col("_s.size")).alias("text"))
-    a, b = F.char_length("asked"), F.char_length("known")
-    d = F.floor((a + b) * F.lit(1 - ratio) + 1e-9)
-    shift = F.col("place") - F.col("start")
-    fits = (2 * F.least(a, b) >= ratio * (a + b) - 1e-9) & (2 * shift <= d + (a - b)) & (2 * shift >= (a - b) - d) & (F.col("asked") != F.col("known"))
-    # texts weigh far more in memory than in compressed files, by whose size a broadcast would be chosen: all joins on titles are merge joins
-    met = windows.join(_pieces(right, ratio).hint("merge"), "text").filter(fits).select("asked", "known").distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch["asked"].to_pylist(), batch["known"].to_pylist()
-            sizes = np.array([len(i) + len(j) for i, j in zip(x, y, strict=True)])
-            maybe = 2 * np.minimum(_letters(x), _letters(y)).sum(1) >= ratio * sizes - 1e-9
-            rows = []
-            for k in np.flatnonzero(maybe).tolist():
-                r = SequenceMatcher(None, x[k], y[k]).ratio()
-                if both_ways and r < ratio:
-                    r = SequenceMatcher(None, y[k], x[k]).ratio()
-                if r >= ratio:
-                    rows.append((x[k], y[k], r))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["asked", "known", "ratio"])
-
-    return met.mapInArrow(run, "asked string, known string, ratio double")
+    left, right = (df.toDF("text").filter(F.char_length("text") >= shortest).distinct().withColumn("id", F.lit(0)) for df in (asked, known))
+    return near_texts(left, right, ratio, shortest, both_ways, runs, with_texts=True)
 
 
 def one_off_titles(asked: DataFrame, known: DataFrame, shortest: int = FUZZY_CHARS) -> DataFrame:
@@ -151,12 +84,9 @@ def first_come_groups(records: DataFrame, save: Callable[[DataFrame], DataFrame]
     rule = F.when(earlier("doi"), "doi").when(earlier("arxiv"), "arxiv").when(earlier("title"), "title")
     parent = F.when(earlier("doi"), F.col("_doi")).when(earlier("arxiv"), F.col("_arxiv")).when(earlier("title"), F.col("_title"))
     decided = save(decided.select("id", "title_key", parent.alias("parent"), rule.alias("rule")))
-    open_rows = decided.filter("parent is null").filter(F.char_length("title_key").between(shortest, LONGEST_TITLE)).select("id", "title_key")
-    titles = open_rows.select("title_key")
-    near = near_titles(titles, titles, ratio, shortest)
-    named = near.join(open_rows.select(F.col("id").alias("a"), F.col("title_key").alias("asked")).hint("merge"), "asked")
-    named = named.join(open_rows.select(F.col("id").alias("b"), F.col("title_key").alias("known")).hint("merge"), "known")
-    edges = save(named.filter("b < a").select("a", "b"))  # the later record asks
+    open_rows = decided.filter("parent is null").select("id", F.col("title_key").alias("text"))
+    near = near_texts(open_rows, open_rows, ratio, shortest, earlier=True)  # the later record asks
+    edges = save(near.select(F.col("asked").alias("a"), F.col("known").alias("b")))
     joined = None
     while not edges.isEmpty():
         starts = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_anti")  # no earlier neighbour is left

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from papertide.operators import titles
+from papertide.operators import nearness, titles
 from papertide.sources.scratch import saved
 
 
@@ -127,3 +127,45 @@ def test_one_character_more_or_less_at_any_length(spark):
     df = lambda x: spark.createDataFrame([(i,) for i in [*x, None]], "t string")
     got = {(x["asked"], x["known"]) for x in titles.one_off_titles(df(asked), df(known)).collect()}
     assert got == {(a, long) for a in asked[:5]} | {(asked[5], known[1]), (asked[6], known[2])}
+
+
+def long_corpus(n, seed):
+    """Titles of more than 300 characters, as they stand, edited, and with a piece moved."""
+    r = random.Random(seed)
+    base = [words(r, r.choice([45, 60, 120, 300])) for _ in range(n)]
+    out = list(base)
+    for t in base:
+        out += [edited(r, t, max(1, int(len(t) * share))) for share in (0.002, 0.01, 0.025, 0.04)]
+        k = r.randrange(len(t) // 2)
+        out.append(t[:k] + t[k + 20 :] + t[k : k + 20])
+    return out, r
+
+
+def test_long_titles_are_compared_at_any_length(spark):
+    texts, r = long_corpus(6, 11)
+    plain = "aab bba " * 60  # only frequent characters
+    texts += [plain.strip(), plain.strip()[:-1] + "b", "x" + plain.strip()]
+    r.shuffle(texts)
+    rows = [(i * 2, r.choice([None, None, None, f"10.1/{r.randrange(25)}"]), None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, doi_key string, arxiv_key string, title_key string")
+    got = {x["id"]: (x["group"], x["rule"]) for x in titles.first_come_groups(df, lambda d: saved(d, "groups")).collect()}
+    assert got == loop(rows) and sum(rule == "near_title" for _, rule in got.values()) > 8
+
+
+def test_split_classes_lose_nothing(spark, monkeypatch):
+    texts, _ = long_corpus(3, 12)
+    known, asked, _ = corpus(60, 13)
+    df = spark.createDataFrame([(t,) for t in texts + known + asked], "t string")
+    whole = {tuple(x) for x in titles.near_titles(df, df).collect()}
+    monkeypatch.setattr(nearness, "CELL", 1500)
+    monkeypatch.setattr(nearness, "SLICE", 300)
+    monkeypatch.setattr(nearness, "PAIRS", 16)
+    assert {tuple(x) for x in titles.near_titles(df, df).collect()} == whole and len(whole) > 50
+
+
+def test_runs_of_titles_are_not_shuffled(spark):
+    """A row for each run of characters, with its title, grew with the squares of the titles' lengths."""
+    df = spark.createDataFrame([("a title of some length",), ("a title of some lengths",)], "t string")
+    near = titles.near_titles(df, df)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" not in plan and "FlatMapCoGroupsInArrow" in plan and near.count() == 2

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
@@ -13,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from papertide.operators.graphs import components
+from papertide.operators.nearness import run_ratio
 from papertide.operators.records import arxiv_base  # noqa: F401
-from papertide.operators.titles import FUZZY_CHARS, TITLE_RATIO, folded_names, near_titles, one_off_titles
+from papertide.operators.titles import FUZZY_CHARS, TITLE_RATIO, folded_names, near_titles
 
 
 def openalex_key(value: Column) -> Column:
@@ -43,9 +43,8 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     matcher, which passes over frequent characters in texts of 200 or more, is asked about other pairs only."""
 
     def ratio(x: str, y: str) -> float:
-        short, long = sorted((x, y), key=len)
-        same = len(os.path.commonprefix((short, long)))
-        return 2 * len(short) / len(x + y) if short[same:] == long[len(long) - len(short) + same :] else SequenceMatcher(None, x, y).ratio()
+        r = run_ratio(x, y)
+        return SequenceMatcher(None, x, y).ratio() if r is None else r
 
     return pd.Series([1.0 if x == y else ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -84,7 +83,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 def candidate_pairs(incoming: DataFrame, known: DataFrame, fuzzy: bool = False) -> DataFrame:
     """Pairs for ``score_pairs``: each incoming record with the first known one of its DOI, arXiv id, DOI in the reference and
     title; with ``fuzzy`` also with the first of its title, first author and year, and with the first of every title of ratio ``TITLE_RATIO`` or
-    more, none of which is lost (``near_titles``), or with one character more or less, whatever their length (``one_off_titles``). At most one candidate a key, so pairs grow with the incoming rows whatever the groups' sizes."""
+    more, none of which is lost, whatever their length (``near_titles``). At most one candidate a key, so pairs grow with the incoming rows whatever the groups' sizes."""
     columns = ["id", "doi_key", "arxiv_key", "title_key", "authors", "year", "reference"]
     named = lambda prefix: [F.col(c).alias(f"{prefix}_{c}") for c in columns]
     keys = [F.concat(F.lit(mark), c) for mark, c in (("d:", "doi_key"), ("x:", "arxiv_key"), ("t:", "title_key"))]
@@ -97,8 +96,7 @@ def candidate_pairs(incoming: DataFrame, known: DataFrame, fuzzy: bool = False)
     asked = incoming.select(*columns, F.explode(F.array_union(every, F.when(found != "", F.array(F.concat(F.lit("d:"), found))).otherwise(F.array().cast("array<string>")))).alias("k"))
     both = asked.join(heads.hint("merge"), "k")
     if fuzzy:
-        titles = incoming.select("title_key"), known.select("title_key")
-        near = near_titles(*titles).select("asked", "known").unionByName(one_off_titles(*titles)).distinct().select(F.col("asked").alias("title_key"), F.concat(F.lit("t:"), "known").alias("k"))
+        near = near_titles(incoming.select("title_key"), known.select("title_key"), runs=True).select(F.col("asked").alias("title_key"), F.concat(F.lit("t:"), "known").alias("k"))
         both = both.select(*columns, "r").unionByName(incoming.select(*columns).join(near.hint("merge"), "title_key").join(heads.hint("merge"), "k").select(*columns, "r"))
     both = both.filter(F.col("id") != F.col("r.id"))
     return both.select(*named("i"), *(F.col("r")[c].alias(f"c_{c}") for c in columns)).dropDuplicates(["i_id", "c_id"])

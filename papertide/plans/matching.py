@@ -84,7 +84,8 @@ def shortened(recs):
 SELECT i.id AS left_id, k.id AS right_id, 'title_similarity_review' AS rule, round(2.0 * (k.n - 1) / (2 * k.n - 1), 6) AS confidence FROM i JOIN k ON i.n = k.n - 1 AND levenshtein(i.title_key, k.title_key) = 1""")
 def fuzzy_decisions(spark, d):
     """Titles without one character against all known titles that are one longer: no near title is lost."""
-    recs = records(spark, d)
+    # looked at several times: texts are folded once
+    recs = saved(records(spark, d).select("id", "doi_key", "arxiv_key", "title_key", "authors", "year", "reference"), "records")
     asked = shortened(recs.filter("id % 2 = 1"))
     found = op.score_pairs(op.candidate_pairs(asked, recs.filter("id % 2 = 0"), fuzzy=True)).filter("matched")
     longer = found.join(asked.select(F.col("id").alias("left_id"), F.length("title_key").alias("n")), "left_id")

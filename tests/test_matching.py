@@ -103,3 +103,16 @@ def test_long_titles_without_one_character_are_candidates(spark):
     got = [tuple(r) for r in matching.score_pairs(matching.candidate_pairs(asked, known, fuzzy=True)).select("left_id", "right_id", "rule", "confidence").collect()]
     n = len(title)
     assert got == [(1, 2, "title_similarity_review", 2 * (n - 1) / (2 * n - 1))]
+
+
+def test_fuzzy_candidates_of_long_titles_differ_in_several_places(spark):
+    """Titles of more than 300 characters met those with one character more or less only; a run put in counts whole, as the titles' ratio says."""
+    title = " ".join(f"layer {i} of the sample {i * 37 % 101}" for i in range(24))
+    plain = "aab bba " * 60  # only frequent characters
+    row = lambda i, t: (i, None, None, t, ["A B"], 2001, None)
+    schema = "id long, doi_key string, arxiv_key string, title_key string, authors array<string>, year int, reference string"
+    asked = spark.createDataFrame([row(1, title[:200] + "z" + title[201:400] + "q" + title[401:]), row(3, plain[:100] + "ab" * 10 + plain[100:])], schema)
+    pairs = matching.candidate_pairs(asked, spark.createDataFrame([row(2, title), row(4, plain)], schema), fuzzy=True)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "half" not in plan  # halves of titles were shuffled too
+    assert sorted((r["left_id"], r["right_id"], r["rule"]) for r in matching.score_pairs(pairs).collect()) == [(1, 2, "title_similarity_review"), (3, 4, "title_similarity_review")]

@@ -105,15 +105,17 @@ def latest_status(papers: DataFrame, tasks: DataFrame, order: Column) -> DataFra
     return papers.select("paper_id").join(last, "paper_id", "left").select("paper_id", F.coalesce("status", F.lit("not_requested")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
-def hit_rollup(hits: DataFrame, versions: DataFrame) -> DataFrame:
+def hit_rollup(hits: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """monitor_id, paper_id, first_matched, last_matched, matches, hit_id, version_id, version_type: one row for each rule and paper of hits (monitor_id, paper_id, version_id,
     hit_id, first_matched, last_matched, matches). Hit and version are those of a published version (versions: version_id, version_type), then of
-    the latest match, then of the least hit_id; a hit whose version is unknown ranks as not published. A version named by several rows counts once, as published if one of them says so."""
+    the latest match, then of the least hit_id; a hit whose version is unknown ranks as not published. A version named by several rows counts once, as published if one of them says so.
+    Without ``versions`` the hits bring their version_type, and hits that are dealt by paper are not shuffled again."""
     late = F.coalesce(-F.unix_micros(F.col("last_matched").cast("timestamp")), F.lit(1 << 62))  # no date ranks last
     kind = F.when(F.col("version_type").isin("publication", "published"), 0).otherwise(1)
     rank = F.struct(kind.alias("kind"), late.alias("late"), F.col("hit_id").alias("id"))
-    joined = hits.join(versions.groupBy("version_id").agg(F.min_by("version_type", F.struct(kind, "version_type")).alias("version_type")), "version_id", "left")
-    rows = joined.groupBy("monitor_id", "paper_id").agg(F.min("first_matched").alias("first_matched"), F.max("last_matched").alias("last_matched"), F.sum("matches").alias("matches"), F.min_by(F.struct("hit_id", "version_id", "version_type"), rank).alias("b"))
+    if versions is not None:
+        hits = hits.join(versions.groupBy("version_id").agg(F.min_by("version_type", F.struct(kind, "version_type")).alias("version_type")), "version_id", "left")
+    rows = hits.groupBy("monitor_id", "paper_id").agg(F.min("first_matched").alias("first_matched"), F.max("last_matched").alias("last_matched"), F.sum("matches").alias("matches"), F.min_by(F.struct("hit_id", "version_id", "version_type"), rank).alias("b"))
     return rows.select("monitor_id", "paper_id", "first_matched", "last_matched", "matches", "b.*")
 
 

@@ -6,7 +6,7 @@ docs (documents) and attempts (events) stand for a bibliographic corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Journal, class, weight; the preprint server weighs 1 and unknown journals 1.5.
@@ -53,31 +53,41 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct rows; dealt by paper, which serves the distinct and the joins on the paper with one shuffle."""
+    """Distinct rows; dealt by paper, which serves the distinct and the joins on the paper with one shuffle. Columns are dealt as they are read; ids and dates are made where they are dealt to."""
     l, day = F.col, F.col("l_shipdate").cast("date")
     items = read(spark, sf_dir, "lineitem")
-    rows = items.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("version_id"),
-        l("l_orderkey").cast("string").alias("canonical_paper_id"),
+    raw = items.select(l("l_orderkey").cast("string").alias("canonical_paper_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
+    return dealt(raw, "canonical_paper_id", items.count()).select(
+        F.concat_ws("-", "canonical_paper_id", "l_linenumber", "l_partkey", "l_suppkey").alias("version_id"),
+        "canonical_paper_id",
         F.when(l("l_returnflag") == "N", "published").when(l("l_returnflag") == "R", "preprint").otherwise("metadata").alias("version_type"),
         F.when(l("l_returnflag") != "R", day).alias("publication_date"),
         F.when(l("l_returnflag") == "R", day).alias("submitted_date"),
         F.when(l("l_suppkey") % 4 == 0, "openalex").when(l("l_suppkey") % 4 == 1, "crossref").when(l("l_suppkey") % 4 == 2, "arxiv").otherwise("legacy").alias("source"),
-    )
-    return dealt(rows, "canonical_paper_id", items.count()).distinct()
+    ).distinct()
 
 
-def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass over the join; the three kinds of term come from one row each. Rows are dealt by paper before they become
-    three, which serves the grouping and later joins on the paper. Parts of more rows than one task groups are dealt with their line items, which pass by them unsorted;
+def of_papers(spark: SparkSession, sf_dir: str, parts: DataFrame, *columns: str) -> DataFrame:
+    """The line items' ``columns`` and ``parts`` (p_partkey and more) with paper_id, dealt by paper. Parts of more rows than one task groups are dealt with their line items, which pass by them unsorted;
     left to the engine, the join's tasks would be as many at any size, each sort a share of all items and hold it once more for the next shuffle."""
-    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount")
-    parts, n = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), items.count()
-    if parts.count() > ROWS_A_TASK:
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *columns)
+    n = items.count()
+    if read(spark, sf_dir, "part").count() > ROWS_A_TASK:
         items, parts = dealt(items, "l_partkey", n, ITEMS_A_JOIN), dealt(parts, "p_partkey", n, ITEMS_A_JOIN).hint("shuffle_hash")
-    kind = F.explode(F.array(*(F.struct(F.lit(t).alias("term_type"), F.col(c).alias("normalized_term")) for t, c in (("concept", "p_name"), ("material", "p_brand"), ("method", "p_type")))))
-    joined = dealt(items.join(parts, items.l_partkey == parts.p_partkey).withColumn("paper_id", F.col("l_orderkey").cast("string")), "paper_id", n)
-    rows = joined.select("paper_id", kind.alias("k"), (1 - F.col("l_discount") * 5).alias("confidence"), F.when(F.col("p_size") % 5 != 0, 1).otherwise(0).alias("elig"))
+    rows = items.join(parts, items.l_partkey == parts.p_partkey).withColumn("paper_id", F.col("l_orderkey").cast("string"))
+    return dealt(rows.drop("l_orderkey", "l_partkey", "p_partkey"), "paper_id", n)
+
+
+def kinds() -> Column:
+    """A row for each of a part's three terms: term_type, normalized_term."""
+    return F.explode(F.array(*(F.struct(F.lit(t).alias("term_type"), F.col(c).alias("normalized_term")) for t, c in (("concept", "p_name"), ("material", "p_brand"), ("method", "p_type")))))
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the join; the three kinds of term come from one row each. Rows are dealt by paper before they become
+    three, which serves the grouping and later joins on the paper."""
+    joined = of_papers(spark, sf_dir, read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "l_discount")
+    rows = joined.select("paper_id", kinds().alias("k"), (1 - F.col("l_discount") * 5).alias("confidence"), F.when(F.col("p_size") % 5 != 0, 1).otherwise(0).alias("elig"))
     return rows.groupBy("paper_id", F.col("k.term_type").alias("term_type"), F.col("k.normalized_term").alias("normalized_term")).agg(
         F.max("confidence").alias("confidence"), F.max("elig").alias("display_eligible")
     )

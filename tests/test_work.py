@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from papertide.operators import entities, library, matching
+from papertide.operators import entities, library, matching, records
 from papertide.plans import entities as texts
 from papertide.plans import materials, more, search, series
 from papertide.sources import tables
@@ -95,3 +95,16 @@ def test_texts_are_dealt_in_bounded_batches(spark):
     assert "RepartitionByExpression [doc_id" in plan(texts.texts(spark, SF))
     materials.flat(spark, SF)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(materials.BATCH_BYTES)
+
+
+@given
+def test_hits_are_dealt_by_paper_only(spark):
+    hits = more.hit_rollup(spark, SF)
+    shuffles = [x for x in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+    assert shuffles and all("hashpartitioning(paper_id" in x or "hashpartitioning(canonical_paper_id" in x or "partkey" in x for x in shuffles)  # ids of versions were dealt twice more
+    assert "l_discount" not in hits._jdf.queryExecution().executedPlan().toString()  # all terms were dealt, not those that a rule asks for
+
+
+def test_hits_with_their_version_type(spark):
+    hits = spark.sql("select * from values ('m', '1', 'v1', 'h1', date'2024-01-02', date'2024-03-01', 2L, 'preprint'), ('m', '1', 'v2', 'h2', date'2024-01-05', date'2024-01-06', 3L, 'published') as t(monitor_id, paper_id, version_id, hit_id, first_matched, last_matched, matches, version_type)")
+    assert [(r["matches"], r["hit_id"], r["version_type"]) for r in records.hit_rollup(hits).collect()] == [(5, "h2", "published")]

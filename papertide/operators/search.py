@@ -9,11 +9,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertide.operators.entities import tokens
+from papertide.operators.entities import tokens, word_positions
 
 #: Fields of a scope: all, or those that hold metadata or the full text.
 SCOPES = {"all": ("title", "abstract", "body"), "metadata": ("title", "abstract"), "fulltext": ("body",)}
 
+#: Documents whose postings of a bucket and field one task writes.
+DOCS_A_PART = 250_000
+
 
 def words_of_query(query: str) -> list[str]:
     """Distinct lower-case words of letters and digits."""
@@ -24,9 +27,10 @@ def field_postings(docs: DataFrame, fields: tuple[str, ...] = SCOPES["all"]) ->
     """doc_id, field, token, tf, length (words of all fields of the document)."""
     worded = docs.select("doc_id", *(tokens(F.col(f)).alias(f) for f in fields))
     sized = worded.withColumn("length", reduce(Column.__add__, [F.size(f) for f in fields]))
-    parts = sized.select("doc_id", "length", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("w")) for f in fields))))
-    rows = parts.select("doc_id", "length", "field", F.explode("w").alias("token"))
-    return rows.groupBy("doc_id", "length", "field", "token").agg(F.count("*").alias("tf"))
+    # words are counted within the row: a shuffle of all words would follow the text
+    counts = lambda f: F.transform(F.map_entries(word_positions(F.col(f))), lambda e: F.struct(F.lit(f).alias("field"), e["key"].alias("token"), F.size(e["value"]).cast("long").alias("tf")))
+    parts = sized.select("doc_id", "length", F.inline(F.flatten(F.array(*(counts(f) for f in fields)))))
+    return parts.select("doc_id", "length", "field", "token", "tf")
 
 
 class TextIndex:
@@ -43,7 +47,10 @@ class TextIndex:
         """Indexes ``docs`` (doc_id and the fields) as ``version``: 0 for the first, then 1, 2, .. A version that is written again is replaced."""
         bucket = F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(self.buckets)).cast("int")
         rows = field_postings(docs, fields).withColumn("bucket", bucket)
-        rows.repartition("bucket", "field").write.mode("overwrite").partitionBy("bucket", "field").parquet(f"{self.path}/postings/version={version}")
+        # the postings of a frequent word are dealt to several tasks, whose number follows the documents
+        parts = -(-docs.count() // DOCS_A_PART)
+        tasks = max(self.spark.sparkContext.defaultParallelism, 2 * parts)
+        rows.repartition(tasks, "bucket", "field", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).write.mode("overwrite").partitionBy("bucket", "field").parquet(f"{self.path}/postings/version={version}")
         own = docs.select("doc_id", reduce(Column.__add__, [F.size(tokens(F.col(f))) for f in fields]).cast("long").alias("length"), F.lit(version).alias("version"))
         if version:
             old = self.live(version - 1)
@@ -97,56 +104,104 @@ class PaperFilter:
     collection: str = ""
 
 
-def search_papers(versions: DataFrame, side: dict[str, DataFrame], wanted: PaperFilter, hits: DataFrame | None = None) -> DataFrame:
-    """The versions (version_id, paper_id, version_type, journal, year, data_mode, view_eligible, is_open_access) that pass, with ``score``.
-
-    Real papers of the main view only. Each entry of ``wanted`` adds a filter, or a semi-join with one table of ``side`` (authors: version_id, name; topics and materials: paper_id,
-    name; files: paper_id; tasks and reviews: paper_id, status; states: paper_id, favorite, reading_status; collections: paper_id, collection_id); what is not asked for
-    is not read. ``hits`` (doc_id: version_id, score) are the text search's, 0 without one. Names and journals match as lower-case substrings.
-    """
-    rows = versions.filter("data_mode = 'real' and coalesce(view_eligible, false)")
-    part = lambda c, value: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(value.strip().lower()))
+def _part(c: str, value: str) -> Column:
+    return F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(value.strip().lower()))
 
-    def among(name: str, key: str, rule: Column | None = None, how: str = "left_semi") -> DataFrame:
-        table = side[name] if rule is None else side[name].filter(rule)
-        return rows.join(table.select(key), key, how)
 
+def _rules(wanted: PaperFilter) -> tuple[list[Column], list[tuple[str, str, Column, bool]]]:
+    """What ``wanted`` asks of a version itself, and of which side tables: name, key, rule of their rows, and whether a row must be there or none may be."""
+    own, among = [], []
     if wanted.journal.strip():
-        rows = rows.filter(part("journal", wanted.journal))
+        own.append(_part("journal", wanted.journal))
     if wanted.version_type == "preprint":
-        rows = rows.filter("version_type = 'preprint'")
+        own.append(F.col("version_type") == "preprint")
     elif wanted.version_type == "publication":
-        rows = rows.filter("version_type in ('publication', 'published')")
+        own.append(F.col("version_type").isin("publication", "published"))
     if wanted.year_from is not None:
-        rows = rows.filter(F.col("year") >= wanted.year_from)
+        own.append(F.col("year") >= wanted.year_from)
     if wanted.year_to is not None:
-        rows = rows.filter(F.col("year") <= wanted.year_to)
+        own.append(F.col("year") <= wanted.year_to)
     if wanted.open_access:
-        rows = rows.filter("is_open_access")
+        own.append(F.col("is_open_access"))
     if wanted.author.strip():
-        rows = among("authors", "version_id", part("name", wanted.author))
+        among.append(("authors", "version_id", _part("name", wanted.author), True))
     if wanted.topic.strip():
-        rows = among("topics", "paper_id", part("name", wanted.topic))
+        among.append(("topics", "paper_id", _part("name", wanted.topic), True))
     if wanted.material.strip():
-        rows = among("materials", "paper_id", part("name", wanted.material))
-    if wanted.pdf_status == "downloaded":
-        rows = among("files", "paper_id")
-    elif wanted.pdf_status == "missing":
-        rows = among("files", "paper_id", how="left_anti")
+        among.append(("materials", "paper_id", _part("name", wanted.material), True))
+    if wanted.pdf_status in ("downloaded", "missing"):
+        among.append(("files", "paper_id", F.lit(True), wanted.pdf_status == "downloaded"))
     elif wanted.pdf_status in ("pending", "retryable_failed", "permanent_failed", "downloading"):
-        rows = among("tasks", "paper_id", F.col("status") == wanted.pdf_status)
+        among.append(("tasks", "paper_id", F.col("status") == wanted.pdf_status, True))
     elif wanted.pdf_status == "failed":
-        rows = among("tasks", "paper_id", F.col("status").isin("retryable_failed", "permanent_failed"))
+        among.append(("tasks", "paper_id", F.col("status").isin("retryable_failed", "permanent_failed"), True))
     if wanted.review:
-        rows = among("reviews", "paper_id", F.col("status") == "pending")
+        among.append(("reviews", "paper_id", F.col("status") == "pending", True))
     if wanted.favorite:
-        rows = among("states", "paper_id", F.col("favorite"))
+        among.append(("states", "paper_id", F.col("favorite"), True))
     if wanted.reading_status:
-        rows = among("states", "paper_id", F.col("reading_status") == wanted.reading_status)
+        among.append(("states", "paper_id", F.col("reading_status") == wanted.reading_status, True))
     if wanted.collection:
-        rows = among("collections", "paper_id", F.col("collection_id") == wanted.collection)
+        among.append(("collections", "paper_id", F.col("collection_id") == wanted.collection, True))
+    return own, among
+
+
+#: Real papers of the main view.
+_SHOWN = "data_mode = 'real' and coalesce(view_eligible, false)"
+
+
+def search_papers(versions: DataFrame, side: dict[str, DataFrame], wanted: PaperFilter, hits: DataFrame | None = None) -> DataFrame:
+    """The versions (version_id, paper_id, version_type, journal, year, data_mode, view_eligible, is_open_access) that pass, with ``score``.
+
+    Real papers of the main view only. Each entry of ``wanted`` adds a filter, or a semi-join with one table of ``side`` (authors: version_id, name; topics and materials: paper_id,
+    name; files: paper_id; tasks and reviews: paper_id, status; states: paper_id, favorite, reading_status; collections: paper_id, collection_id); what is not asked for
+    is not read. ``hits`` (doc_id: version_id, score) are the text search's, 0 without one. Names and journals match as lower-case substrings.
+    """
+    rows = versions.filter(_SHOWN)
+    own, among = _rules(wanted)
+    for rule in own:
+        rows = rows.filter(rule)
+    for name, key, rule, held in among:
+        rows = rows.join(side[name].filter(rule).select(key), key, "left_semi" if held else "left_anti")
     if not wanted.q.strip():
         return rows.withColumn("score", F.lit(0.0))
     if hits is None:
         raise ValueError("a text search needs the hits of an index")
     return rows.join(hits.select(F.col("doc_id").alias("version_id"), "score"), "version_id")
+
+
+def count_papers(versions: DataFrame, side: dict[str, DataFrame], asked: dict[str, PaperFilter], hits: dict[str, DataFrame]) -> DataFrame:
+    """asked, versions, papers: how many versions and papers ``search_papers`` finds for each of several filters, with the ``hits`` (version_id, or paper_id where papers' texts are searched) of those that have a text.
+
+    All filters share one look at each table: the rules on a side table become marks of its keys, the marks of a key are gathered once, and versions meet them
+    once by version and once by paper.
+    """
+    marks: dict[str, list[tuple[DataFrame, dict[str, Column]]]] = {"version_id": [], "paper_id": []}
+    tables: dict[tuple[str, str], dict[str, Column]] = {}
+    passed: dict[str, list[Column]] = {}
+
+    def marked(name: str, key: str, rule: Column) -> Column:
+        mark = tables.setdefault((name, key), {})
+        column = next((c for c, r in mark.items() if str(r) == str(rule)), f"_{name}_{len(mark)}")
+        mark[column] = rule
+        return F.coalesce(F.col(column), F.lit(False))
+
+    for name, wanted in asked.items():
+        own, among = _rules(wanted)
+        passed[name] = [F.coalesce(c, F.lit(False)) for c in own] + [m if held else ~m for m, held in ((marked(t, key, rule), held) for t, key, rule, held in among)]
+        if wanted.q.strip():
+            column, key = f"_hit_{len(passed)}", next(k for k in marks if k in hits[name].columns)
+            marks[key].append((hits[name].select(key), {column: F.lit(True)}))
+            passed[name].append(F.coalesce(F.col(column), F.lit(False)))
+    for (name, key), rules in tables.items():
+        marks[key].append((side[name].filter(reduce(Column.__or__, rules.values())), rules))
+    rows = versions.filter(_SHOWN)
+    for key, found in marks.items():
+        if found:
+            columns = [c for _, rules in found for c in rules]
+            parts = [df.select(key, *((rules[c] if c in rules else F.lit(None).cast("boolean")).alias(c) for c in columns)) for df, rules in found]
+            rows = rows.join(reduce(DataFrame.unionByName, parts).groupBy(key).agg(*(F.bool_or(c).alias(c) for c in columns)), key, "left")
+    names = list(asked)
+    by_paper = rows.groupBy("paper_id").agg(*(F.count_if(reduce(Column.__and__, passed[n], F.lit(True))).alias(f"n{i}") for i, n in enumerate(names)))
+    total = by_paper.agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))), *(F.count_if((F.col(f"n{i}") > 0) & F.col("paper_id").isNotNull()).alias(f"p{i}") for i in range(len(names))))
+    return total.select(F.inline(F.array(*(F.struct(F.lit(n).alias("asked"), F.coalesce(f"n{i}", F.lit(0)).alias("versions"), F.col(f"p{i}").alias("papers")) for i, n in enumerate(names)))))

@@ -2,11 +2,13 @@
 
 import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from papertide.operators.search import SCOPES, TextIndex, words_of_query
+from papertide.operators import search
+from papertide.operators.search import SCOPES, PaperFilter, TextIndex, count_papers, search_papers, words_of_query
 
 WORDS = ["spin", "hall", "the", "of", "moire", "bands", "x1"]
 
@@ -74,3 +76,38 @@ def test_an_update_writes_its_own_postings(index, spark, tmp_path):
 def test_queries_without_words(index):
     assert words_of_query(" -- ") == [] and words_of_query("Spin-Hall (2D)") == ["2d", "hall", "spin"]
     assert index.search(" . ", "all").collect() == []
+
+
+def test_counts_of_many_filters_are_those_of_each(spark):
+    rows = [("v1", "1", "published", "Journal A", 1995, "real", True, True), ("v2", "1", "preprint", "arXiv", 1996, "real", True, False), ("v3", "2", "published", None, 1997, "real", True, None), ("v4", "3", "preprint", "Journal B", None, "mock", True, True), ("v5", "4", "metadata", "Journal B", 1997, "real", None, True), ("v6", "5", "publication", "journal c", 1999, "real", True, True), ("v6", "5", "preprint", "journal c", 1999, "real", True, True)]
+    versions = spark.createDataFrame(rows, "version_id string, paper_id string, version_type string, journal string, year int, data_mode string, view_eligible boolean, is_open_access boolean")
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    side = {
+        "authors": make([("v1", "Ada"), ("v1", None), ("v6", "ADA B"), ("v3", "Bo")], "version_id string, name string"), "topics": make([("1", "Spin"), ("1", "spin ice"), ("5", None)], "paper_id string, name string"),
+        "materials": make([("2", "Si")], "paper_id string, name string"), "files": make([("1",), ("1",)], "paper_id string"), "tasks": make([("2", "pending"), ("5", "permanent_failed"), ("5", None)], "paper_id string, status string"),
+        "reviews": make([("5", "pending")], "paper_id string, status string"), "states": make([("1", True, "reading"), ("2", None, "unread")], "paper_id string, favorite boolean, reading_status string"), "collections": make([("5", "c1")], "paper_id string, collection_id string"),
+    }
+    asked = {
+        "none": {}, "author": {"author": " ADA"}, "topic": {"topic": "spin"}, "both": {"topic": "SPIN", "author": "a", "version_type": "publication"}, "material": {"material": "si"}, "journal": {"journal": "journal"}, "from": {"year_from": 1996}, "to": {"year_to": 1996}, "there": {"pdf_status": "downloaded"},
+        "missing": {"pdf_status": "missing"}, "pending": {"pdf_status": "pending"}, "failed": {"pdf_status": "failed"}, "open": {"open_access": True}, "review": {"review": True}, "favorite": {"favorite": True}, "unread": {"reading_status": "unread"}, "collection": {"collection": "c1"}, "text": {"q": "x"}, "nothing": {"q": "y", "author": "zz"},
+    }
+    asked = {n: PaperFilter(**w) for n, w in asked.items()}
+    hits = make([("v6", 0.5), ("v2", 0.1)], "doc_id string, score double")
+    want = set()
+    for n, w in asked.items():
+        found = search_papers(versions, side, w, hits if w.q else None).collect()
+        want.add((n, len(found), len({r["paper_id"] for r in found})))
+    found = count_papers(versions, side, asked, {"text": hits.withColumnRenamed("doc_id", "version_id"), "nothing": make([], "version_id string")})
+    assert {tuple(r) for r in found.collect()} == want and len({v for _, v, _ in want}) > 3
+    by_paper = count_papers(versions, side, {"text": asked["text"]}, {"text": make([("1",)], "paper_id string")})
+    assert [tuple(r) for r in by_paper.collect()] == [("text", 2, 1)]
+
+
+def test_postings_of_a_frequent_word_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "DOCS_A_PART", 10)
+    docs = spark.createDataFrame([(i, "spin", f"spin {i}", "") for i in range(60)], "doc_id long, title string, abstract string, body string")
+    made = TextIndex(spark, f"file://{tmp_path}/index", 4)
+    made.add(docs, 0)
+    bucket = zlib.crc32(b"spin") % 4
+    assert len(list((tmp_path / f"index/postings/version=0/bucket={bucket}/field=title").glob("*.parquet"))) > 1
+    assert sorted(r["doc_id"] for r in made.search("spin").collect()) == list(range(60)) and [r["doc_id"] for r in made.search("spin 7").collect()] == [7]

@@ -108,3 +108,9 @@ def test_hits_are_dealt_by_paper_only(spark):
 def test_hits_with_their_version_type(spark):
     hits = spark.sql("select * from values ('m', '1', 'v1', 'h1', date'2024-01-02', date'2024-03-01', 2L, 'preprint'), ('m', '1', 'v2', 'h2', date'2024-01-05', date'2024-01-06', 3L, 'published') as t(monitor_id, paper_id, version_id, hit_id, first_matched, last_matched, matches, version_type)")
     assert [(r["matches"], r["hit_id"], r["version_type"]) for r in records.hit_rollup(hits).collect()] == [(5, "h2", "published")]
+
+
+@given
+def test_all_filters_share_one_look_at_each_table(spark):
+    looks = [x for x in plan(search.paper_filters(spark, SF)).splitlines() if "Relation [" in x and "version_type#" in x]
+    assert len(looks) == 2  # the versions and their authors; each filter read its tables anew
